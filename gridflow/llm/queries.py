@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import editprint, langid, packing, simhash
+from .common import crc_fold
 
 #: Where the public vocabularies lie; a parameter of every operator that takes one.
 TOKENIZERS = os.path.dirname(public_tokenizers.__file__)
@@ -19,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_editprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edits(table(spark, sf_dir, "documents"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs.where(crc_fold("doc_id", 4) != 2)))
+    return found.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, packing.TOKENIZER))
 
@@ -29,6 +40,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_editprint": op3_editprint,
+    "op5_langid": op5_langid,
     "op8_packing": op8_packing,
     "op10_simhash": op10_simhash,
 }
