@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ def chunks(batches: Iterator, weight: int, column: str = "text") -> Iterator:
         size = pdf[column].str.len().fillna(0).to_numpy(dtype=np.int64)
         group = (np.cumsum(size) - size) // weight
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
+        for a, b in pairwise([*cuts, len(pdf)]):
             yield pdf.iloc[a:b].reset_index(drop=True)
 
 
@@ -62,7 +63,7 @@ def arrow_chunks(batches: Iterator[pa.RecordBatch], weight: int, column: str = "
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = (np.cumsum(size) - size) // weight
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(size)], strict=True):
+        for a, b in pairwise([*cuts, len(size)]):
             yield batch.slice(a, b - a)
 
 

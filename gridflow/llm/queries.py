@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editprint, langid, packing, simhash
+from . import editprint, langid, licenses, packing, sentencepiece, simhash, topk
 from .common import crc_fold
 
 #: Where the public vocabularies lie; a parameter of every operator that takes one.
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece.encode_decode(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "piece_bpe_32k.model"))
+    crc = F.crc32(F.to_binary(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), ""), F.lit("hex")))
+    return found.select("doc_id", "n_tokens", crc.alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), F.length("decoded").cast("long").alias("n_chars"))
+
+
 def op3_editprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edits(table(spark, sf_dir, "documents"))
 
@@ -30,20 +36,47 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("lic_n_words").alias("n_words"), F.col("lic_n_base").alias("n_base"), F.col("lic_first").alias("first_word"), F.col("lic_last").alias("last_word"),
+        F.array_join(F.array_sort("lic_base"), ",").alias("base_labels"), F.array_join("lic_labels", ",").alias("labels"), F.col("lic_score").alias("score"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, packing.TOKENIZER))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_editprint": op3_editprint,
     "op5_langid": op5_langid,
+    "op6_licenses": op6_licenses,
     "op8_packing": op8_packing,
+    "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_topk": """
+        WITH v AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5
+    """,
+}
