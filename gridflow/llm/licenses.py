@@ -196,7 +196,7 @@ def scan(docs: DataFrame) -> DataFrame:
     # word index of a place: spaces before it; the last place is found from the reversed text
     firsts = [F.when(F.contains(words, F.lit(x)), spaces(F.substring_index(words, x, 1))) for x in held.values()]
     total = spaces(words) - 1
-    lasts = [F.when(F.contains(words, F.lit(x)), total - F.size(F.split(F.lit(p), " ")) - spaces(F.substring_index(words, x, -1)) + 1) for p, x in held.items()]
+    lasts = [F.when(F.contains(words, F.lit(x)), total - F.size(F.split(F.lit(p), " ")) - spaces(F.substring_index(words, x, -1))) for p, x in held.items()]
     out = once.withColumns({
         "lic_found": F.coalesce(survivors(F.col("lic_every")), F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")),
         "lic_n_words": F.when(F.length(words) > 1, total).otherwise(0).cast("long"),
