@@ -48,9 +48,9 @@ def words_of(text: str) -> list[str]:
 def fit(docs: DataFrame, sample: int = SAMPLE, share: int = SHARE) -> dict[str, str]:
     """Dictionary text by language, from the documents with text and lang."""
     known = docs.where("lang is not null and text is not null and text <> ''")
-    order = F.xxhash64("doc_id")
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = known.select("lang", "doc_id", order.alias("h")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample)
+    picked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
+    for key in (["lang", "salt"], ["lang"]):  # a language that most rows have is cut down in parts first
+        picked = picked.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))).where(F.col("r") <= sample)
     ids = picked.select("lang", "doc_id").distinct()
     # at most sample * LANGUAGES ids; each text gives at most `share` characters
     texts = known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, share).alias("t"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editprint, langid, licenses, packing, sentencepiece, simhash, topk
+from . import editprint, htmltext, langid, licenses, packing, sentencepiece, simhash, topk
 from .common import crc_fold
 
 #: Where the public vocabularies lie; a parameter of every operator that takes one.
@@ -44,6 +44,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.main_text(pages, htmltext.fit(pages))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, packing.TOKENIZER))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_editprint": op3_editprint,
     "op5_langid": op5_langid,
     "op6_licenses": op6_licenses,
+    "op7_html": op7_html,
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,
