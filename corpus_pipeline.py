@@ -8,10 +8,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridflow.llm import kneserney, langid, packing, simhash
+from gridflow.llm.common import materialise
+from gridflow.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told apart; the model comes from the labelled languages of all documents."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within their language's perplexity threshold; an id goes if all its rows are beyond it."""
+    scored = kneserney.classify(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    rejected = materialise(scored.groupBy("doc_id").agg(F.max("keep").alias("keep")).where("not keep").select("doc_id"), "rejected")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates over five-word shingles."""
+    return simhash.first_of_each(docs, simhash.near_classes(docs))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path(packing.TOKENIZER))
+
+
+STAGES: list[tuple[str, Stage]] = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("packing", sequences)]
 
 #: None: none of the stages can be put in SQL; tests/llm/test_pipeline.py holds them against plain versions.
 ORACLE_SQL: str | None = None
@@ -19,4 +47,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents table of `sf_dir`."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return docs

@@ -9,27 +9,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editprint, htmltext, langid, licenses, packing, sentencepiece, simhash, topk
+from . import editprint, htmltext, kneserney, langid, licenses, lmscore, packing, sentencepiece, simhash, topk
 from .common import crc_fold
 
 #: Where the public vocabularies lie; a parameter of every operator that takes one.
 TOKENIZERS = os.path.dirname(public_tokenizers.__file__)
 
 
+def tokenizer_path(name: str) -> str:
+    return os.path.join(TOKENIZERS, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentencepiece.encode_decode(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "piece_bpe_32k.model"))
+    found = sentencepiece.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     crc = F.crc32(F.to_binary(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), ""), F.lit("hex")))
     return found.select("doc_id", "n_tokens", crc.alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), F.length("decoded").cast("long").alias("n_chars"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return kneserney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op3_editprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edits(table(spark, sf_dir, "documents"))
 
 
+def op4_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), lambda doc_id: crc_fold(doc_id, 7) == 2)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs.where(crc_fold("doc_id", 4) != 2)))
@@ -50,7 +63,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, packing.TOKENIZER))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +77,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality": op2_quality,
     "op3_editprint": op3_editprint,
+    "op4_lmscore": op4_lmscore,
     "op5_langid": op5_langid,
     "op6_licenses": op6_licenses,
     "op7_html": op7_html,

@@ -234,3 +234,49 @@ def joined(own: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     lowest = tops.groupBy("root").agg(F.min("least").alias("component_id"))
     table = materialise(tops.join(lowest, "root").select("fp", "component_id"), "classes")
     return own.join(table, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Near duplicates over five-word shingles: fingerprint seeds, bits that may differ at a similarity of 0.8 (for sets of
+#: like size its cosine is 2s / (1 + s), and a bit differs with chance angle / pi), bands and rows of the candidate keys.
+NEAR_SEEDS, NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = (42, 43, 44, 45), 5, 0.8, 10, 3
+
+
+def near_radius(bits: int, similarity: float) -> int:
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
+    """doc_id, fp, component_id of documents whose shingle sets are about `similarity` alike or more.
+
+    The radius that this likeness needs is too wide for choices of bit blocks, so the buckets are bands of minimum
+    hashes of the shingles; the comparison in a bucket is the same, over wider fingerprints.  With 10 bands of 3 a pair
+    at 0.8 shares a bucket with chance 0.999.  Distinct fingerprints stand for their copies.
+    """
+    radius = near_radius(64 * len(seeds), similarity)
+    odd = (np.random.RandomState(7).randint(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << ONE) | ONE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches, 2_000_000):
+            fps, keys = [], []
+            for t in pdf["text"]:
+                words = text_bytes(t).split()
+                grams = {b" ".join(w) for w in zip(*(words[i:] for i in range(shingle)), strict=False)} or {b" ".join(words)}
+                hashes = [np.frombuffer(b"".join([xxhash.xxh64_digest(g, s) for g in grams]), ">u8").astype(np.uint64) for s in seeds]
+                fps.append(b"".join(np.packbits(2 * np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(h)).tobytes() for h in hashes))
+                least = np.array([(hashes[0] * m >> np.uint64(16)).min() for m in odd])
+                keys.append([bytes([b]) + xxhash.xxh64_digest(least[b * ROWS : (b + 1) * ROWS].tobytes()) for b in range(BANDS)])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps, "keys": keys})
+
+    own = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp binary, keys array<binary>"), "near")
+    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    rows = materialise(own.select(F.explode("keys").alias("key"), "fp").distinct(), "keyed")
+    return joined(own.select("doc_id", "fp"), nodes, bucket_links(rows, radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay: the smallest doc_id of each class, each once; a row without an id stays."""
+    keep = found.where("doc_id = component_id").select("doc_id").distinct().withColumn("keep_", F.lit(True))
+    rows = docs.join(keep, "doc_id", "left").where("keep_ or doc_id is null")
+    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    rows = rows.withColumn("turn_", F.row_number().over(once)).where("turn_ = 1 or doc_id is null")
+    return rows.select(docs.columns)
