@@ -30,7 +30,7 @@ def to_int(text: Column, bits: int = 64) -> Pair:
     """Whole numbers, with thousands commas; `bits` bounds the range."""
     number = F.regexp_replace(text, ",", "").try_cast("decimal(38,10)")
     whole = number.cast("decimal(38,0)")
-    return _pair(text, F.when(number == whole, whole.try_cast("int" if bits == 32 else "long")), "INT_INVALID")
+    return _pair(text, F.when(number % 1 == 0, whole.try_cast("int" if bits == 32 else "long")), "INT_INVALID")
 
 
 def to_double(text: Column) -> Pair:

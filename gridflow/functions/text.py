@@ -19,7 +19,7 @@ def is_ascii(text: Column) -> Column:
     return ~text.rlike(r"[^\x00-\x7F]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
