@@ -9,7 +9,7 @@ Weights come from labelled pages: those that mark their article with an article
 block tag's words weigh the log odds of standing inside the marked article; a tag's cost is the log odds of standing
 outside.  What is never article text is left out of the counts.  The tables have one row for each known tag, so they
 are bounded by the list below.  On a page that marks its article, words outside the mark count against the run and
-tags inside it cost next to nothing.
+tags inside it cost next to nothing, nor do inline tags but links anywhere.
 
 Defined results: a null or empty page, or one without text, gives the empty text; unclosed and stray tags, a cut end
 and a bare `<` are read as browsers read them; of equal runs the first and longest is taken; without labelled pages
@@ -120,19 +120,20 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, list[str]]]:
             continue
         tag = name.lower()
         if m[1]:  # end tag
-            tags.append("/" + tag)
             if tag in BLOCKS or tag in NEVER:
                 flush()
+            tags.append("/" + tag)
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if k is not None and (tag in BLOCKS or tag in NEVER or not any(t in BLOCKS for t, _ in stack[k + 1 :])):
                 pop(k)
             continue
-        tags.append(tag)
         if tag == "br" or tag == "wbr":
             text.append(" " if tag == "br" else "")
             continue
         if tag in BLOCKS or tag in NEVER:
             flush()
+        tags.append(tag)
+        if tag in BLOCKS or tag in NEVER:
             if stack and tag in BLOCKS:  # a paragraph ends where a block begins; list items and cells end at the next one
                 k = len(stack)
                 while k and stack[k - 1][0] not in BLOCKS:
@@ -214,7 +215,7 @@ def extract(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
     scores, which = [], []
     for i, (text, block, never, marked, tags) in enumerate(found):
         for t in tags:
-            scores.append(-0.01 if has_mark and marked else -TAG - max(0.0, -weights.get(f"t:{kind(t)}", 0.0)) / 2)
+            scores.append(-0.01 if (has_mark and marked) or t.lstrip("/") in INLINE - {"a"} else -TAG - max(0.0, -weights.get(f"t:{kind(t)}", 0.0)) / 2)
             which.append(-1)
         if not text:
             continue
@@ -224,7 +225,7 @@ def extract(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
         elif has_mark:
             own = MOST if marked else -OUTSIDE
         else:
-            own = WORD + max(-WORD - 1, weights.get(f"w:{kind(block)}", 0.0))
+            own = max(WORD / 4, WORD + weights.get(f"w:{kind(block)}", 0.0))
         scores.append(own * n)
         which.append(i)
     a, b = best_run(np.array(scores))
