@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import materialise
+from .common import materialise, parts
 
 ORDER = 5
 #: Share of the words' own frequencies in a token's probability.
@@ -38,6 +38,8 @@ MIX = 0.5
 SPACE = 32
 #: Symbols of a traversal segment.
 SEGMENT = 1024
+#: Bytes of text in a block.
+BLOCK = 4_000_000
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -77,32 +79,29 @@ class Table:
 class Automaton:
     """States, arcs and failure arcs over the n-grams of a block.
 
-    keys: sorted n-gram keys; seen: count of each in training; total, types: of each as a context (0: no context).
+    keys: sorted n-gram keys, of every order at every place of the block; term: discounted probability after the
+    context (0: not seen); gamma: back-off weight of the context (1: not seen).
     """
 
-    def __init__(self, keys: np.ndarray, seen: np.ndarray, total: np.ndarray, types: np.ndarray, order: int) -> None:
+    def __init__(self, keys: np.ndarray, term: np.ndarray, gamma: np.ndarray, order: int) -> None:
         k_of, code = keys >> ngrams.ORDER_SHIFT, keys & ((1 << ngrams.ORDER_SHIFT) - 1)
-        gamma = np.where(total > 0, types / np.maximum(1, total + types), 1.0)
-        up = np.searchsorted(keys, ngrams.keys_of(code >> 8, k_of - 1))
-        weight = (total + types)[np.minimum(up, len(keys) - 1)]
-        term = np.where((seen > 0) & (k_of > 0), seen / np.maximum(1, weight), 0.0)
-        p = ngrams.probabilities(keys, term, gamma, order)
-        states = np.flatnonzero(((total > 0) & (k_of < order)) | (keys == 0))  # the root is a state even if nothing was seen
-        self.root = 0
-        number = np.full(len(keys), -1, np.int64)
-        number[states] = np.arange(len(states))
-        self.order, self.keys, self.number = order, keys, number
-        self.back = np.log10(gamma[states])
-        self.fail = np.zeros(len(states), np.int64)
-        for k in range(1, order):
-            own = np.flatnonzero(k_of[states] == k)
-            self.fail[own] = self.longest(code[states[own]], np.full(len(own), k - 1))
-        arcs = np.flatnonzero((k_of > 0) & (seen > 0))
-        source = number[up[arcs]]
-        self.table = Table(source << 8 | (code[arcs] & 255))
+        self.order, self.floor, self.root = order, np.log10(1 / 256), 0
+        up = ngrams.keys_of(code >> 8, k_of - 1)
+        # contexts that training has seen, the root first; shorter ones have smaller keys
+        self.states, first = np.unique(np.append(up[gamma < 1], 0), return_index=True)
+        weights = np.append(gamma[gamma < 1], gamma[0] if len(gamma) and up[0] == 0 else 1.0)
+        self.back = np.log10(weights[first])
+        p = np.full(len(keys), 1 / 256)
+        for k in range(1, order + 1):
+            at = np.flatnonzero(k_of == k)
+            below = p[np.searchsorted(keys, ngrams.keys_of(ngrams.lower(code[at], k - 1), k - 1))] if k > 1 else 1 / 256
+            p[at] = term[at] + gamma[at] * below
+        k_state, c_state = self.states >> ngrams.ORDER_SHIFT, self.states & ((1 << ngrams.ORDER_SHIFT) - 1)
+        self.fail = self.longest(c_state, k_state - 1)
+        arcs = np.flatnonzero(term > 0)
+        self.table = Table(np.searchsorted(self.states, up[arcs]) << 8 | (code[arcs] & 255))
         self.cost = np.log10(p[arcs])
         self.to = self.longest(code[arcs], np.minimum(k_of[arcs], order - 1))
-        self.floor = np.log10(1 / 256)
 
     def longest(self, code: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The state of the longest suffix of at most k bytes that is a context."""
@@ -111,10 +110,10 @@ class Automaton:
         for n in range(self.order - 1, 0, -1):
             own = np.flatnonzero(todo & (k >= n))
             want = ngrams.keys_of(ngrams.lower(code[own], n), n)
-            at = np.searchsorted(self.keys, want)
-            at[at == len(self.keys)] = 0
-            hit = (self.keys[at] == want) & (self.number[at] >= 0)
-            out[own[hit]] = self.number[at[hit]]
+            at = np.searchsorted(self.states, want)
+            at[at == len(self.states)] = 0
+            hit = self.states[at] == want
+            out[own[hit]] = at[hit]
             todo[own[hit]] = False
         return out
 
@@ -186,64 +185,84 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], order: int = OR
 
     held_out: the fold of a document, by its id alone.
     """
-    made = materialise(ngrams.blocks(docs, after=b" ").withColumn("held", F.transform("doc_ids", held_out)), "blocks")
+    spark = docs.sparkSession
+    buckets = 4 * parts(spark)
+    made = materialise(ngrams.blocks(docs, after=b" ", block=BLOCK).withColumn("held", F.transform("doc_ids", held_out)), "blocks")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block's distinct n-grams by the bucket of their context, and its distinct words by theirs, in packs."""
         for pdf in batches:
             for r in pdf.itertuples():
                 train = ~np.asarray(r.held, bool)
                 code, n = ngrams.stream(r.payload, order)
                 flag = np.repeat(train, n)
-                own = np.sort(code[flag])
-                new = np.flatnonzero(np.diff(own, prepend=-1))
-                distinct, times = own[new], np.diff(np.append(new, len(own)))
-                rest = np.setdiff1d(code[~flag], distinct)
-                keys, counts = ngrams.every_order(np.concatenate([distinct, rest]), np.concatenate([times, np.zeros(len(rest), np.int64)]), order)
-                words, per, distinct_words = tokens(r.payload)
-                word_counts = np.bincount(words, np.repeat(train, per), len(distinct_words)).astype(np.int64)
-                yield pd.DataFrame({
-                    "block": [r.block], "lang": [""], "keys": [keys], "counts": [counts], "words": [distinct_words.to_numpy(zero_copy_only=False)], "word_counts": [word_counts],
-                    "ends": [int(train.sum())],
-                })
+                keys, counts = ngrams.distinct_of_every_order(code[flag], code[~flag], order)
+                place = _mixed((keys & ((1 << ngrams.ORDER_SHIFT) - 1)) >> 8 | (keys >> ngrams.ORDER_SHIFT) << ngrams.ORDER_SHIFT) % buckets
+                sizes, at = np.bincount(place, minlength=buckets), np.argsort(place, kind="stable")
+                cuts = np.cumsum(sizes)[:-1]
+                packs = [(r.block, i, "n", k.tobytes(), c.tobytes(), b"") for i, (k, c) in enumerate(zip(np.split(keys[at], cuts), np.split(counts[at], cuts), strict=True)) if len(k)]
+                words, per, texts = tokens(r.payload)
+                counts = np.bincount(words, np.repeat(train, per), len(texts)).astype(np.int64)
+                texts = np.append(texts.to_numpy(zero_copy_only=False), "")  # the empty word stands for the end mark
+                counts = np.append(counts, train.sum())
+                place = (pd.util.hash_array(texts, categorize=False) % np.uint64(buckets)).astype(np.int64)
+                at = np.argsort(place, kind="stable")
+                for i, own in enumerate(np.split(at, np.cumsum(np.bincount(place, minlength=buckets))[:-1])):
+                    if len(own):
+                        packs.append((r.block, i, "w", own.astype(np.int64).tobytes(), counts[own].tobytes(), "\n".join(texts[own]).encode("utf-8", "surrogatepass")))
+                yield pd.DataFrame(packs, columns=["block", "bucket", "kind", "keys", "counts", "words"])
+
+    packs = made.select("block", "payload", "held").mapInPandas(count, "block long, bucket int, kind string, keys binary, counts binary, words binary")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The packs of one bucket from all blocks: sums over blocks, sent back to each block in its own order."""
+        size = pdf["counts"].map(len).to_numpy() // 8
+        counts = np.frombuffer(b"".join(pdf["counts"]), np.int64)
+        cuts = np.cumsum(size)[:-1]
+        out = pdf[["block", "kind", "keys"]].copy()
+        out["train_tokens"], out["train_types"] = 0, 0
+        if pdf["kind"].iloc[0] == "w":
+            code = pd.factorize(np.array([w for x in pdf["words"] for w in x.decode("utf-8", "surrogatepass").split("\n")], dtype=object))[0]
+            total = np.bincount(code, counts).astype(np.int64)
+            out["first"] = [x.tobytes() for x in np.split(total[code].astype(np.float64), cuts)]
+            out["second"] = b""
+            out.iloc[0, out.columns.get_loc("train_tokens")] = int(total.sum())
+            out.iloc[0, out.columns.get_loc("train_types")] = int((total > 0).sum())
+        else:
+            keys, code = np.unique(np.frombuffer(b"".join(pdf["keys"]), np.int64), return_inverse=True)
+            seen = np.bincount(code, counts, len(keys))
+            up = (keys & ((1 << ngrams.ORDER_SHIFT) - 1)) >> 8 | (keys >> ngrams.ORDER_SHIFT) << ngrams.ORDER_SHIFT
+            context = np.unique(up, return_inverse=True)[1]
+            total, types = np.bincount(context, seen), np.bincount(context, seen > 0)
+            both = np.maximum(1, total + types)
+            term, gamma = seen / both[context], np.where(total > 0, types / both, 1.0)[context]
+            out["first"] = [x.tobytes() for x in np.split(term[code].astype(np.float32), cuts)]
+            out["second"] = [x.tobytes() for x in np.split(gamma[code].astype(np.float32), cuts)]
+        return out
 
-    counted = materialise(
-        made.select("block", "payload", "held").mapInPandas(count, "block long, lang string, keys array<long>, counts array<long>, words array<string>, word_counts array<long>, ends long"), "counted"
+    # a bucket holds its share of all blocks' distinct entries; there are as many buckets as the input asks for
+    replies = materialise(
+        packs.groupBy("kind", "bucket").applyInPandas(meet, "block long, kind string, keys binary, train_tokens long, train_types long, first binary, second binary"), "replies"
     )
-    rows = ngrams.listed(counted)
-    seen = materialise(rows.where("n > 0").groupBy("key").agg(F.sum("n").alias("seen")), "seen")
-    contexts = seen.where(ngrams.order_of(F.col("key")) > 0).groupBy(ngrams.prefix_of(F.col("key")).alias("key")).agg(F.sum("seen").alias("total"), F.count("*").alias("types"))
-    table = seen.join(contexts, "key", "full").na.fill(0)
-    got = rows.select("block", "i", "key").join(table, "key").groupBy("block").agg(F.collect_list(F.struct("i", "seen", "total", "types")).alias("g"))
-    got = got.select("block", *[F.col(f"g.{c}").alias(c) for c in ("i", "seen", "total", "types")])
-
-    zipped = counted.select("block", F.posexplode(F.arrays_zip("words", "word_counts")).alias("j", "x")).select("block", "j", F.col("x.words").alias("word"), F.col("x.word_counts").alias("n"))
-    totals = materialise(zipped.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    ends = counted.agg(F.coalesce(F.sum("ends"), F.lit(0)).alias("ends"))
-    whole = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).crossJoin(ends).first()  # one row
-    train_ends = int(whole["ends"])
-    n_all, distinct = int(whole["n"]) + train_ends, int(whole["v"]) + (train_ends > 0)
-    known = zipped.select("block", "j", "word").join(totals, "word").groupBy("block").agg(F.collect_list(F.struct("j", "c")).alias("w"))
-    known = known.select("block", F.col("w.j").alias("j"), F.col("w.c").alias("c"))
+    whole = replies.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_types"), F.lit(0)).alias("v")).first()  # one row
+    n_all, distinct = int(whole["n"]), int(whole["v"])
+    sent = replies.groupBy("block").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("keys", "first", "second"))).alias(k) for k in "nw"])  # of one block
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                keys = np.asarray(r.keys, np.int64)
-                columns = np.zeros((3, len(keys)), np.int64)
-                if r.i is not None:
-                    columns[:, np.asarray(r.i)] = r.seen, r.total, r.types
-                symbols = Automaton(keys, *columns, order).run(r.payload)
+                keys = np.frombuffer(b"".join(x["keys"] for x in r.n), np.int64)
+                term, gamma = (np.frombuffer(b"".join(x[c] for x in r.n), np.float32).astype(np.float64) for c in ("first", "second"))
+                at = np.argsort(keys)
+                symbols = Automaton(keys[at], term[at], gamma[at], order).run(r.payload)
                 last = np.flatnonzero(np.isin(np.frombuffer(r.payload, np.uint8), (SPACE, ngrams.END)))  # of each token
                 chars = np.add.reduceat(symbols, np.append(0, last[:-1] + 1), dtype=np.float64) if len(last) else np.empty(0)
-                words, per, distinct_words = tokens(r.payload)
-                c = np.zeros(len(distinct_words) + 1, np.int64)
-                if r.j is not None:
-                    c[np.asarray(r.j)] = r.c
-                c[-1] = train_ends  # the end mark
-                below = np.log10(n_all + 1.0 * (distinct + 1))
-                log = np.log10(c + 1.0) - below
+                words, per, _ = tokens(r.payload)
+                c = np.empty(sum(len(x["keys"]) for x in r.w) // 8)
+                c[np.frombuffer(b"".join(x["keys"] for x in r.w), np.int64)] = np.frombuffer(b"".join(x["first"] for x in r.w), np.float64)
+                log = np.log10(c + 1.0) - np.log10(n_all + 1.0 * (distinct + 1))
                 doc = np.repeat(np.arange(len(per)), per)
-                which = np.full(len(last), -1)  # tokens in order: a document's words, then its end
+                which = np.full(len(last), -1)  # tokens in order: a document's words, then its end, the last entry
                 which[np.setdiff1d(np.arange(len(last)), np.cumsum(per + 1) - 1, assume_unique=True)] = words
                 with np.errstate(divide="ignore"):
                     own = np.log10(c[which]) + np.log10(MIX / max(1, n_all))
@@ -251,10 +270,14 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], order: int = OR
                     own = np.maximum(own, other) + np.log10(1 + 10.0 ** -np.abs(own - other))
                 yield pd.DataFrame({
                     "doc_id": pd.array(r.doc_ids, dtype="Int64"), "held_out": np.asarray(r.held, bool), "n_tokens": per + 1,
-                    "n_known": np.bincount(doc, c[words] > 0, len(per)).astype(np.int64) + (train_ends > 0), "train_tokens": n_all,
+                    "n_known": np.bincount(doc, c[words] > 0, len(per)).astype(np.int64) + (c[-1] > 0), "train_tokens": n_all,
                     "base_score": np.bincount(doc, log[words], len(per)) + log[-1], "score": np.add.reduceat(own, np.cumsum(per + 1) - per - 1) if len(per) else own,
                 })
 
-    every = made.select("block", "doc_ids", "held", "payload").join(counted.select("block", "keys"), "block").join(got, "block", "left").join(known, "block", "left")
+    every = made.select("block", "doc_ids", "held", "payload").join(sent, "block")
     return every.drop("block").mapInPandas(run, RESULT)
 
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """Keys spread over the non-negative longs."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64)

@@ -112,6 +112,20 @@ def every_order(codes: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.n
     return flat, np.bincount(at, np.concatenate(sums), len(flat)).astype(np.int64)
 
 
+def distinct_of_every_order(train: np.ndarray, rest: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all orders at the places of full-order codes, and how often each occurs in `train`."""
+    own, times = np.unique(train, return_counts=True)
+    codes = np.concatenate([own, np.setdiff1d(np.unique(rest), own, assume_unique=True)])
+    counts = np.concatenate([times, np.zeros(len(codes) - len(own), np.int64)])
+    keys, sums = [keys_of(codes, order)], [counts]
+    for k in range(order - 1, 0, -1):
+        codes, at = np.unique(lower(codes, k), return_inverse=True)
+        counts = np.bincount(at, counts, len(codes)).astype(np.int64)
+        keys.append(keys_of(codes, k))
+        sums.append(counts)
+    return np.concatenate(keys), np.concatenate(sums)
+
+
 def order_of(key: Column) -> Column:
     return F.shiftrightunsigned(key, ORDER_SHIFT)
 
