@@ -236,13 +236,15 @@ def joined(own: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near duplicates over five-word shingles: fingerprint seeds, bits that may differ at a similarity of 0.8 (for sets of
-#: like size its cosine is 2s / (1 + s), and a bit differs with chance angle / pi), bands and rows of the candidate keys.
+#: Near duplicates over five-word shingles: fingerprint seeds, shingle, similarity (for sets of like size the cosine is
+#: 2s / (1 + s), and a bit differs with chance angle / pi), bands and rows of the candidate keys.
 NEAR_SEEDS, NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = (42, 43, 44, 45), 5, 0.8, 10, 3
 
 
 def near_radius(bits: int, similarity: float) -> int:
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Bits that differ at this similarity on average, and one standard deviation more: most pairs at it are within."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
