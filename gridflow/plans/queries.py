@@ -266,7 +266,7 @@ def validate_expr(spark, sf):
     return validate.validate(read(spark, sf, "lineitem"), [validate.expression("price", F.col("l_extendedprice") > 1000 * F.col("l_quantity"))]).out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
-@query("""SELECT 'size' AS rule, count(*) AS n, 'ERROR' AS severity FROM part WHERE p_size < 10 UNION ALL SELECT 'price', count(*), 'WARN' FROM part WHERE p_retailprice > 1000""")
+@query("""SELECT 'size' AS rule, count(*) AS n, 'ERROR' AS severity FROM part WHERE p_size < 10 GROUP BY 1 UNION ALL SELECT 'price', count(*), 'WARN' FROM part WHERE p_retailprice > 1000 GROUP BY 1""")
 def validate_issues(spark, sf):
     rules = [validate.in_range("size", "p_size", 10), validate.in_range("price", "p_retailprice", high=1000, severity="WARN")]
     return validate.validate(read(spark, sf, "part"), rules).issues
