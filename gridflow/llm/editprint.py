@@ -29,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import materialise, parts
+from .simhash import bucket_links, joined
 
 SEGMENT, SLOTS = 2048, 128
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_M = (1 << 64) - 1
+#: Near texts: bands and slots of a band for candidates; at a likeness of 0.8 a pair shares a band with chance 0.999.
+BANDS, BAND, LIKENESS = 24, 6, 0.8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -145,6 +147,30 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp binary")
 
 
+def near_classes(docs: DataFrame, like: float = LIKENESS, slots: int = SLOTS) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id reachable over texts whose fingerprints are about `like` alike.
+
+    Candidates share a band of sampled slots; the bits of their fingerprints verify them, up to the distance that the
+    likeness has on average and one standard deviation more.
+    """
+    own = materialise(fingerprints(docs, slots), "editprints")
+    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    bands = np.random.RandomState(11).randint(0, slots, (BANDS, BAND))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                packed = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1)
+                every = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(pdf), -1)
+                for b, pick in enumerate(bands):
+                    yield pd.DataFrame({"key": [bytes([b]) + k.tobytes() for k in every[:, pick]], "fp": pdf["fp"]})
+
+    rows = materialise(nodes.select("fp").mapInPandas(keyed, "key binary, fp binary"), "keyed")
+    # a differing slot differs in 32/15 of its four bits on average
+    radius = int((1 - like) * slots * 32 / 15 + 2 * np.sqrt(slots * like * (1 - like)))
+    return joined(own, nodes, bucket_links(rows, radius))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, b, own: every document in its range b of ids, and once more, with own false, the row that follows range b.
 

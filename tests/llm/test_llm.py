@@ -146,6 +146,14 @@ def test_editprint_follows_edit_distance(docs):
     assert near[0] > 0.6 and 0.4 < near[1] < 0.75 and near[2] < 0.35
 
 
+def test_editprint_near_classes(spark, docs):
+    texts = [t for t in docs["text"] if 800 < len(t) < 4000][:15]
+    near = [t[:300] + "#" + t[301:600] + "zz" + t[602:] for t in texts]
+    got = {r["doc_id"]: r["component_id"] for r in editprint.near_classes(table(spark, [*texts, *near, *texts[:3]])).collect()}
+    assert all(got[15 + i] == got[i] for i in range(15)) and all(got[30 + i] == got[i] for i in range(3))
+    assert editprint.near_classes(table(spark, [])).count() == 0
+
+
 # 4
 
 
