@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridflow.llm import kneserney, langid, packing, simhash
-from gridflow.llm.common import materialise
+from gridflow.llm.common import bounded_batches, materialise
 from gridflow.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,11 +19,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; the model comes from the labelled languages of all documents."""
+    bounded_batches(spark)
     return langid.accepted(docs, langid.fit(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their language's perplexity threshold; an id goes if all its rows are beyond it."""
+    bounded_batches(spark)
     scored = kneserney.classify(docs, table(spark, sf_dir, "labels").where("quality = 1"))
     rejected = materialise(scored.groupBy("doc_id").agg(F.max("keep").alias("keep")).where("not keep").select("doc_id"), "rejected")
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
@@ -31,11 +33,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates over five-word shingles."""
+    bounded_batches(spark)
     return simhash.first_of_each(docs, simhash.near_classes(docs))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path(packing.TOKENIZER))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_chunks
 
 #: Bytes of text in a block.
-BLOCK = 6_000_000
+BLOCK = 3_000_000
 END = 10
 ORDER_SHIFT = 56
 

@@ -56,7 +56,7 @@ class WordEncoder:
     again.
     """
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

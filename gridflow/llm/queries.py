@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import editprint, htmltext, kneserney, langid, licenses, lmscore, packing, sentencepiece, simhash, topk
-from .common import crc_fold
+from .common import bounded_batches, crc_fold
 
 #: Where the public vocabularies lie; a parameter of every operator that takes one.
 TOKENIZERS = os.path.dirname(public_tokenizers.__file__)
@@ -21,6 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
