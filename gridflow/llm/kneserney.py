@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from . import ngrams
 from .common import materialise, parts
 
-ORDER = 3
-#: Upper quantile of trusted perplexities, and how far beyond it a document may lie.
-QUANTILE, SLACK = 0.9, 20.0
+ORDER = 4
+#: Upper quantile of trusted perplexities, and how far beyond it a document may lie, as a share of its distance from the median.
+QUANTILE, SLACK = 0.99, 0.25
 #: A short text's perplexity scatters: its limit is higher by this over the root of its symbols (in log2).
 SHORT = 4.0
 #: The thresholds are broadcast up to so many languages, counted.

@@ -114,6 +114,14 @@ def test_quality_keeps_good_and_drops_junk(spark, sf):
     assert kept[1] > 0.97 and kept[0] < 0.5
 
 
+def test_quality_limit_lies_near_the_quantile(spark):
+    scores = [2 + 0.3 * i / 1000 for i in range(1000)]  # trusted texts that spread by 0.3 bits
+    scored = spark.createDataFrame([("en", x, True) for x in scores] + [("en", 9.0, False)], "lang string, log2_perplexity double, trusted boolean")
+    limit = kneserney.thresholds(scored).first()["threshold"]
+    assert np.quantile(scores, 0.99) <= limit < max(scores) + 0.1
+    assert kneserney.ORDER >= 4
+
+
 def test_quality_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert kneserney.classify(table(spark, []), none).count() == 0
