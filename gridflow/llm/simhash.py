@@ -172,9 +172,10 @@ def links(nodes: DataFrame, bits: int, radius: int, blocks: int) -> DataFrame:
     return bucket_links(rows, radius)
 
 
-def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """(a, b): spanning links within `radius` among the (key, fp) rows of each key; rows are distinct."""
+def bucket_links(rows: DataFrame, radius: int, bits: int | None = None) -> DataFrame:
+    """(a, b): spanning links within `radius` among the (key, fp) rows of each key, by the first `bits` bits of fp; rows are distinct."""
     spark = rows.sparkSession
+    width = None if bits is None else bits // 8
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shards = parts(spark)
     small = rows.join(sizes.where("n <= 64"), "key").select("key", "fp")
@@ -196,7 +197,7 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
             return pd.DataFrame({"a": [], "b": []}, dtype=object)
         code = pd.factorize(pdf["key"])[0]
         starts = np.flatnonzero(np.diff(code, prepend=-1))
-        child, root = small_links(bits_of(list(pdf["fp"])), starts, np.diff(np.append(starts, len(pdf))), radius)
+        child, root = small_links(bits_of([x[:width] for x in pdf["fp"]]), starts, np.diff(np.append(starts, len(pdf))), radius)
         fp = pdf["fp"].to_numpy()
         return pd.DataFrame({"a": fp[root], "b": fp[child]})
 
@@ -212,7 +213,7 @@ def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         first = (pdf["tile"] == i).to_numpy()
         fp = np.concatenate([pdf["fp"].to_numpy()[first], pdf["fp"].to_numpy()[~first]])
-        b = bits_of(list(fp))
+        b = bits_of([x[:width] for x in fp])
         child, root = tile_links(b[: first.sum()], None if i == j else b[first.sum() :], radius)
         return pd.DataFrame({"a": fp[root], "b": fp[child]})
 
@@ -241,38 +242,139 @@ def joined(own: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
 NEAR_SEEDS, NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = (42, 43, 44, 45), 5, 0.8, 10, 3
 
 
+#: Bytes of shingle hashes in a tile of the exact comparison.
+TILE_BYTES = 8_000_000
+
+
 def near_radius(bits: int, similarity: float) -> int:
-    """Bits that differ at this similarity on average, and one standard deviation more: most pairs at it are within."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+    """Bits within which all but the rarest pairs of this similarity are: the mean and four standard deviations.
+
+    A bit of two sets of like size differs with chance angle / pi; of sets of four and five shingles, where ties count, with 3 / 16.
+    """
+    p = max(np.arccos(2 * similarity / (1 + similarity)) / np.pi, 3 / 16)
+    return int(bits * p + 4 * np.sqrt(bits * p * (1 - p)))
+
+
+def shingle_set(text: str | None, shingle: int) -> set[bytes]:
+    words = text_bytes(text).split()
+    return {b" ".join(w) for w in zip(*(words[i:] for i in range(shingle)), strict=False)} or {b" ".join(words)}
+
+
+def set_node(grams: set[bytes], seeds: tuple[int, ...]) -> tuple[bytes, np.ndarray]:
+    """A set's fingerprint followed by a digest of the whole set, and the set's sorted hashes."""
+    hashes = [np.frombuffer(b"".join([xxhash.xxh64_digest(g, s) for g in grams]), np.uint8).reshape(-1, 8) for s in seeds]
+    fp = b"".join(np.packbits(2 * np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64) > len(h)).tobytes() for h in hashes)
+    own = np.sort(hashes[0].reshape(-1).view(">u8").astype(np.uint64))
+    return fp + xxhash.xxh3_128_digest(own.tobytes()), own
+
+
+def exact_links(fps: list[bytes], sets: list[bytes], first: np.ndarray | None, bits: int, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the rows whose sets have a Jaccard similarity of `similarity` or more, between `first` rows and the rest, or among all.
+
+    The bit-sliced comparison gives each row its candidates; those not linked yet are compared as sets.
+    """
+    n = len(fps)
+    sizes = np.fromiter((len(x) // 8 for x in sets), np.int64, n)
+    code = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    flag = np.zeros(int(code.max()) + 1, bool)
+    every = bits_of([x[: bits // 8] for x in fps])
+    left = np.arange(n) if first is None else np.flatnonzero(first)
+    right = np.arange(n) if first is None else np.flatnonzero(~first)
+    parent = np.arange(n)
+    planes = to_planes(every[right][None])
+    for a in range(0, len(left), QUERIES):
+        near = unpacked(within(planes, every[None, left[a : a + QUERIES]], radius), len(right))[0]
+        for i, row in zip(left[a : a + QUERIES], near, strict=True):
+            other = right[row]
+            other = other[(parent[other] != parent[i]) & (np.minimum(sizes[other], sizes[i]) >= similarity * np.maximum(sizes[other], sizes[i]) - 1e-9)]
+            if first is None:
+                other = other[other > i]
+            if not len(other):
+                continue
+            own = code[starts[i] : starts[i] + sizes[i]]
+            flag[own] = True
+            heads = np.cumsum(sizes[other]) - sizes[other]
+            both = np.add.reduceat(flag[code[np.arange(sizes[other].sum()) + np.repeat(starts[other] - heads, sizes[other])]], heads, dtype=np.int64)
+            flag[own] = False
+            like = other[both >= similarity * (sizes[other] + sizes[i] - both) - 1e-9]
+            hook(parent, np.full(len(like), i), like)
+    child = np.flatnonzero(parent != np.arange(n))
+    return child, parent[child]
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
-    """doc_id, fp, component_id of documents whose shingle sets are about `similarity` alike or more.
+    """doc_id, fp, component_id: the smallest doc_id reachable over documents whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     The radius that this likeness needs is too wide for choices of bit blocks, so the buckets are bands of minimum
-    hashes of the shingles; the comparison in a bucket is the same, over wider fingerprints.  With 10 bands of 3 a pair
-    at 0.8 shares a bucket with chance 0.999.  Distinct fingerprints stand for their copies.
+    hashes of the shingles (with 10 bands of 3 a pair at 0.8 shares one with chance 0.999), and the comparison of bits
+    is a filter.  The hash sets of the rows that it links go to their buckets, and only pairs that are alike as sets
+    are links.  A node is a distinct set, and stands for its copies.
     """
-    radius = near_radius(64 * len(seeds), similarity)
+    bits, radius = 64 * len(seeds), near_radius(64 * len(seeds), similarity)
+    spark = docs.sparkSession
     odd = (np.random.RandomState(7).randint(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << ONE) | ONE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches, 2_000_000):
-            fps, keys = [], []
+            fps, keys, sizes = [], [], []
             for t in pdf["text"]:
-                words = text_bytes(t).split()
-                grams = {b" ".join(w) for w in zip(*(words[i:] for i in range(shingle)), strict=False)} or {b" ".join(words)}
-                hashes = [np.frombuffer(b"".join([xxhash.xxh64_digest(g, s) for g in grams]), ">u8").astype(np.uint64) for s in seeds]
-                fps.append(b"".join(np.packbits(2 * np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) > len(h)).tobytes() for h in hashes))
-                least = np.array([(hashes[0] * m >> np.uint64(16)).min() for m in odd])
+                fp, own = set_node(shingle_set(t, shingle), seeds)
+                least = np.array([(own * m >> np.uint64(16)).min() for m in odd])
+                fps.append(fp)
+                sizes.append(len(own))
                 keys.append([bytes([b]) + xxhash.xxh64_digest(least[b * ROWS : (b + 1) * ROWS].tobytes()) for b in range(BANDS)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps, "keys": keys})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps, "keys": keys, "size": sizes})
 
-    own = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp binary, keys array<binary>"), "near")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = materialise(picked.mapInPandas(run, "doc_id long, fp binary, keys array<binary>, size long"), "near")
     nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    rows = materialise(own.select(F.explode("keys").alias("key"), "fp").distinct(), "keyed")
-    return joined(own.select("doc_id", "fp"), nodes, bucket_links(rows, radius))
+    rows = materialise(own.select(F.explode("keys").alias("key"), "fp", "size").distinct(), "keyed")
+    found = bucket_links(rows.select("key", "fp"), radius, bits)
+    linked = materialise(found.select(F.col("a").alias("fp")).union(found.select("b")).distinct(), "linked")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches, 2_000_000):
+            made = [set_node(shingle_set(t, shingle), seeds) for t in pdf["text"]]
+            yield pd.DataFrame({"fp": [fp for fp, _ in made], "hashes": [h.tobytes() for _, h in made]})
+
+    ids = nodes.join(linked, "fp").select(F.col("least").alias("id"))
+    texts = picked.join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = texts.mapInPandas(listed, "fp binary, hashes binary").join(linked, "fp", "left_semi").dropDuplicates(["fp"])
+    sets = materialise(sets, "sets")
+
+    # every bucket in tiles of bounded rows and bytes, and each pair of tiles a group
+    few = rows.join(linked, "fp", "left_semi")
+    tiles = few.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
+    tiles = tiles.select("key", F.expr(f"cast(greatest(ceil(n / {TILE // 2}), ceil(all * 8 / {TILE_BYTES})) as int)").alias("tiles"))
+    dealt = few.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+    dealt = dealt.select("key", "fp", "tile", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
+    dealt = dealt.select("key", "fp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile").join(sets, "fp")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        group = None
+        for pdf in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for key, i, j, tile, fp, hashes in zip(pdf["key"], pdf["i"], pdf["j"], pdf["tile"], pdf["fp"], pdf["hashes"], strict=True):
+                if (key, i, j) != group:
+                    out += pairs(held, group)
+                    held, group = [], (key, i, j)
+                held.append((tile, fp, hashes))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=object)
+        yield pd.DataFrame(pairs(held, group), columns=["a", "b"], dtype=object)
+
+    def pairs(held: list[tuple], group: tuple | None) -> list[tuple[bytes, bytes]]:
+        if len(held) < 2:
+            return []
+        first = None if group[1] == group[2] else np.array([t == group[1] for t, _, _ in held])
+        if first is not None and (first.all() or not first.any()):
+            return []
+        child, root = exact_links([x for _, x, _ in held], [x for _, _, x in held], first, bits, radius, similarity)
+        return [(held[r][1], held[c][1]) for c, r in zip(child, root, strict=True)]
+
+    ordered = dealt.repartition(parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return joined(own.select("doc_id", "fp"), nodes, ordered.mapInPandas(compared, "a binary, b binary"))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

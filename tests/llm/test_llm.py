@@ -401,6 +401,33 @@ def test_near_classes_take_similar_texts_only(spark, docs):
     assert len(got) == 40 + len(AWKWARD)
 
 
+def test_near_classes_are_those_of_exact_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 64)  # so that buckets are cut in tiles too
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(60):  # two or more texts that share a start: similarities on both sides of 0.8
+        base = [f"w{k}x{i}" for i in range(104)]
+        texts += [" ".join(base), " ".join(base[: 104 - int(rng.integers(4, 40))]), " ".join([*base[: 104 - int(rng.integers(4, 30))], *(f"v{k}y{i}" for i in range(8))])]
+    hot = [f"h{i}" for i in range(300)]
+    texts += [" ".join([*hot[:at], f"new{at}", *hot[at + 1 :]]) for at in range(0, 300, 2)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "", None]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in ((t or "").split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(table(spark, texts)).collect()}
+    assert sum(got[i] != find(i) for i in range(len(texts))) == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
