@@ -6,10 +6,11 @@ From that run come its blocks, without what is never article text wherever it st
 sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments.
 
 Weights come from labelled pages: those that mark their article with an article or main element, over all pages.  A
-block tag's words weigh the log odds of standing inside the marked article; a tag's cost is the log odds of standing
-outside.  What is never article text is left out of the counts.  The tables have one row for each known tag, so they
-are bounded by the list below.  On a page that marks its article, words outside the mark count against the run and
-tags inside it cost next to nothing, nor do inline tags but links anywhere.
+block tag's words weigh the log odds of standing inside the marked article; a tag's cost falls with the log odds of
+standing inside.  What is never article text is left out of the counts.  The mark is one more feature: the log odds of
+marked and of unmarked words to stand in the run that the other weights find on the labelled pages.  On a page that
+marks something a word adds its own; no word falls below the least weight, so the mark alone throws nothing away.  The
+tables have one row for each known tag, so they are bounded by the list below.  Inline tags but links cost next to nothing.
 
 Defined results: a null or empty page, or one without text, gives the empty text; unclosed and stray tags, a cut end
 and a bare `<` are read as browsers read them; of equal runs the first and longest is taken; without labelled pages
@@ -56,7 +57,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Prior weight of a word by its block and cost of a tag, and the bounds of learned ones.
 WORD, TAG, MOST = 1.0, 0.5, 6.0
-OUTSIDE = 3.0
+#: Least weight of a word and least cost of a tag.
+LEAST_WORD, LEAST_TAG = 0.25, 0.01
 
 KINDS = sorted(BLOCKS | VOID | INLINE | NEVER | {"other", "text"})
 
@@ -165,7 +167,7 @@ def kind(tag: str) -> str:
 
 
 def fit(pages: DataFrame, column: str = "html") -> dict[str, float]:
-    """Weights by `w:<block>` and `t:<tag>`, from every page that marks its article."""
+    """Weights by `w:<block>`, `t:<tag>` and `m:<marked>`, from every page that marks its article."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter[tuple[str, bool]] = Counter()
@@ -185,11 +187,30 @@ def fit(pages: DataFrame, column: str = "html") -> dict[str, float]:
     marked = pages.select(F.col(column).alias("page_")).where(F.lower("page_").rlike("<(article|main)[\\s>]"))
     rows = marked.mapInPandas(count, "feature string, inside int, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()  # a few rows for each known tag
     counts = {(r["feature"], r["inside"]): r["n"] for r in rows}
-    total = {k: {i: sum(n for (f, j), n in counts.items() if f[0] == k and j == i) + 1 for i in (0, 1)} for k in "wt"}
     weights = {}
     for f in {f for f, _ in counts}:
-        odds = math.log((counts.get((f, 1), 0) + 1) / total[f[0]][1]) - math.log((counts.get((f, 0), 0) + 1) / total[f[0]][0])
+        odds = math.log(counts.get((f, 1), 0) + 1) - math.log(counts.get((f, 0), 0) + 1)
         weights[f] = max(-MOST, min(MOST, odds))
+
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Words of marked pages by whether they are marked and stand in the run that the other weights find."""
+        sums: Counter[tuple[int, int]] = Counter()
+        for pdf in batches:
+            for page in pdf["page_"]:
+                found = blocks(page)
+                if any(b[3] for b in found):
+                    run = set(region(found, weights)[0])
+                    for i, (text, _, never, inside, _) in enumerate(found):
+                        if text and not never:
+                            sums[int(inside), int(i in run)] += text.count(" ") + 1
+        yield pd.DataFrame([(i, k, n) for (i, k), n in sums.items()], columns=["inside", "run", "n"])
+
+    rows = marked.mapInPandas(agree, "inside int, run int, n long").groupBy("inside", "run").agg(F.sum("n").alias("n")).collect()  # four at most
+    if rows:
+        seen = {(r["inside"], r["run"]): r["n"] for r in rows}
+        for i in (0, 1):
+            odds = math.log(seen.get((i, 1), 0) + 1) - math.log(seen.get((i, 0), 0) + 1)
+            weights[f"m:{i}"] = max(-MOST, min(MOST, odds))
     return weights
 
 
@@ -206,31 +227,35 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def extract(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
-    """The main text and the score of its run."""
-    if not page:
-        return "", 0.0
-    found = blocks(page)
+def region(found: list[tuple[str, str, bool, bool, list[str]]], weights: dict[str, float]) -> tuple[list[int], float]:
+    """The blocks of text in the best run, without what is never article text, and the run's score."""
     has_mark = any(marked and not never and text for text, _, never, marked, _ in found)
     scores, which = [], []
     for i, (text, block, never, marked, tags) in enumerate(found):
         for t in tags:
-            scores.append(-0.01 if (has_mark and marked) or t.lstrip("/") in INLINE - {"a"} else -TAG - max(0.0, -weights.get(f"t:{kind(t)}", 0.0)) / 2)
+            odds = weights.get(f"t:{kind(t)}", 0.0)
+            scores.append(-LEAST_TAG if t.lstrip("/") in INLINE - {"a"} else -max(LEAST_TAG, TAG - odds / 2))
             which.append(-1)
         if not text:
             continue
         n = text.count(" ") + 1
         if never:
             own = 0.0  # left out of the text, so it neither draws the run in nor splits it
-        elif has_mark:
-            own = MOST if marked else -OUTSIDE
         else:
-            own = max(WORD / 4, WORD + weights.get(f"w:{kind(block)}", 0.0))
+            own = max(LEAST_WORD, WORD + weights.get(f"w:{kind(block)}", 0.0) + (weights.get(f"m:{int(marked)}", 0.0) if has_mark else 0.0))
         scores.append(own * n)
         which.append(i)
     a, b = best_run(np.array(scores))
-    kept = [found[i][0] for i in which[a:b] if i >= 0 and not found[i][2] and (found[i][3] or not has_mark)]
-    return "\n".join(kept), float(sum(scores[a:b]))
+    return [i for i in which[a:b] if i >= 0 and not found[i][2]], float(sum(scores[a:b]))
+
+
+def extract(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
+    """The main text and the score of its run."""
+    if not page:
+        return "", 0.0
+    found = blocks(page)
+    kept, score = region(found, weights)
+    return "\n".join(found[i][0] for i in kept), score
 
 
 def main_text(pages: DataFrame, weights: dict[str, float], column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

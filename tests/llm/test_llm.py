@@ -270,6 +270,33 @@ def test_html_awkward(spark):
     assert got[:4] == ["", "", "no tags at all", "a < b"] and got[4] == TEXT and got[5] == "" and got[6] == "\n".join(["word"] * 3000)
 
 
+@pytest.fixture(scope="module")
+def page_weights(spark, sf):
+    return htmltext.fit(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def test_html_unmarked_body_beside_cards(page_weights):
+    body = [f"Sentence {i} of the real story, told in a plain element of the page with words enough." for i in range(30)]
+    cards = "".join(f"<article><h3>Card {i}</h3><p>A short teaser.</p></article>" for i in range(3))
+    for before, after in ((cards, ""), ("", cards)):
+        page = f"<html><body>{before}<div>{''.join(f'<div>{x}</div>' for x in body)}</div>{after}</body></html>"
+        for weights in (page_weights, {}):
+            assert set(body) <= set(htmltext.extract(page, weights)[0].split("\n"))
+
+
+def test_html_several_articles(page_weights):
+    one, two = ("<p>" + " ".join(f"{w}{i}" for i in range(n)) + "</p>" for w, n in (("long", 200), ("short", 20)))
+    between = "<div><p>" + " ".join(f"gap{i}" for i in range(60)) + "</p></div>"
+    text = htmltext.extract(f"<html><body><article>{one}</article>{between}<article>{two}</article></body></html>", page_weights)[0]
+    assert "long199" in text and "short0" in text and "short19" in text
+
+
+def test_html_marked_page_without_its_mark(spark, sf, page_weights):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").limit(60).collect()]
+    for page in pages:
+        assert htmltext.extract(re.sub(r"<(/?)(article|main)(?=[\s>])", r"<\1div", page), page_weights)[0] == htmltext.extract(page, page_weights)[0]
+
+
 def test_html_best_run_is_the_best():
     rng = np.random.default_rng(1)
     for _ in range(50):
