@@ -22,7 +22,8 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import materialise, parts
 from .simhash import bucket_links, joined
 
-SEGMENT, SLOTS = 2048, 128
+SLOTS = 128
+#: The walk's bits are made for so many steps at a time; with fewer walks than this under way each goes on by itself.
+STEPS, FEW = 4096, 24
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: Near texts: bands and slots of a band for candidates; at a likeness of 0.8 a pair shares a band with chance 0.999.
 BANDS, BAND, LIKENESS = 24, 6, 0.8
@@ -53,10 +56,16 @@ def steps_of(n: np.ndarray) -> np.ndarray:
     return (9 * n) // 4 + 64
 
 
-def moves() -> np.ndarray:
-    """The walk's random bits by (step, character class)."""
-    top = int(steps_of(np.int64(SEGMENT)))
-    return (mix(np.arange(top * 256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8).reshape(top, 256)
+@lru_cache(maxsize=64)
+def bits_at(window: int) -> np.ndarray:
+    """The walk's random bits by (step, character class), for the steps from window * STEPS on."""
+    first = np.uint64(window * STEPS * 256) + np.uint64(0x9E3779B97F4A7C15)
+    return (mix(np.arange(STEPS * 256, dtype=np.uint64) + first) >> np.uint64(63)).astype(np.uint8).reshape(STEPS, 256)
+
+
+def moves() -> Callable[[int], np.ndarray]:
+    """The walk's random bits by window of steps."""
+    return bits_at
 
 
 def jump(slots: int, length: np.ndarray) -> np.ndarray:
@@ -71,7 +80,7 @@ def jump(slots: int, length: np.ndarray) -> np.ndarray:
     return at
 
 
-def embed(texts: list[str], table: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+def embed(texts: list[str], table: Callable[[int], np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """uint8 [texts, slots]: four bits of the characters that the walks write at the slots' places."""
     out = np.zeros((len(texts), slots), np.uint8)
     n = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -81,43 +90,56 @@ def embed(texts: list[str], table: np.ndarray, slots: int = SLOTS) -> np.ndarray
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = ((points ^ (points >> 8)) & 255).astype(np.uint8)
     n = n[full]
-    # segments: every text has whole ones and one last
-    count = -(-n // SEGMENT)
-    first = np.cumsum(count) - count
-    text_of = np.repeat(np.arange(len(n)), count)
-    index = np.arange(len(text_of)) - first[text_of]
-    begin = (np.cumsum(n) - n)[text_of] + index * SEGMENT
-    size = np.minimum(SEGMENT, n[text_of] - index * SEGMENT)
-    steps = steps_of(size)
-    upto = np.cumsum(steps)
-    base = upto[first] - steps[first]  # of each text's sequence
-    place = jump(slots, upto[first + count - 1] - base)
-    segment = np.searchsorted(upto, place + base[:, None], side="right")
-    step = place + base[:, None] - (upto[segment] - steps[segment])
-    # longest segments first, so that those still walking are a prefix
+    begin, steps = np.cumsum(n) - n, steps_of(n)
+    step = jump(slots, steps)
+    # longest texts first, so that those still walking are a prefix
     order = np.argsort(-steps, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    begin, size, steps = begin[order].astype(np.int32), size[order].astype(np.int32), steps[order]
+    begin, size, steps = begin[order], n[order], steps[order]
     ask = np.argsort(step.ravel(), kind="stable")
-    who, when = rank[segment.ravel()[ask]], step.ravel()[ask]
-    cut = np.searchsorted(when, np.arange(steps[0] + 1))
-    live = len(steps) - np.searchsorted(steps[::-1], np.arange(steps[0]), side="right")
-    got = np.empty(len(ask), np.int32)
-    pos = begin.copy()
-    end = begin + size
-    for j in range(int(steps[0])):
-        a, b, k = cut[j], cut[j + 1], live[j]
-        if a < b:
-            got[a:b] = pos[who[a:b]]
-        p = pos[:k]
-        p += table[j].take(kind.take(p))
-        if j >= 8:  # no walk has reached its end before, unless it is a very short one
-            over = p >= end[:k]
-            if over.any():
-                p[over] = begin[:k][over]
-        else:
+    who, when = np.repeat(rank, slots)[ask], step.ravel()[ask]
+    got = np.empty(len(ask), np.int64)
+    pos, end = begin.copy(), begin + size
+    done = 0  # asks answered
+    for base in range(0, int(steps[0]), STEPS):
+        bits = table(base // STEPS)
+        last = min(base + STEPS, int(steps[0]))
+        cut = done + np.searchsorted(when[done:], np.arange(base, last + 1))
+        live = len(steps) - np.searchsorted(steps[::-1], np.arange(base, last), side="right")
+        for j in range(base, last):
+            k = live[j - base]
+            if k <= FEW:
+                break
+            a, b = cut[j - base], cut[j - base + 1]
+            if a < b:
+                got[a:b] = pos[who[a:b]]
+            p = pos[:k]
+            p += bits[j - base].take(kind.take(p))
             np.copyto(p, begin[:k], where=p >= end[:k])
+        else:
+            j = last
+        if j < last:  # the few longest, each through the rest of the window
+            flat = bits.tobytes()
+            for w in range(live[j - base]):
+                asked = cut[j - base] + np.flatnonzero(who[cut[j - base] : cut[-1]] == w)
+                start, stop = int(begin[w]), int(size[w])
+                p = int(pos[w]) - start
+                near = kind[start + p : min(start + stop, start + p + STEPS)].tobytes() + (kind[start : start + STEPS].tobytes() if p + STEPS >= stop else b"")
+                trail, at = np.empty(min(last, int(steps[w])) - j, np.int64), p
+                i, fresh = 0, stop <= STEPS
+                for t in range(len(trail)):
+                    trail[t] = at
+                    if flat[(j - base + t) * 256 + near[i]]:
+                        at += 1
+                        i += 1
+                        if at == stop:
+                            at = 0
+                            if fresh:  # a short text starts over from its own first character
+                                near, i = kind[start : start + stop].tobytes(), 0
+                pos[w] = start + at
+                got[asked] = start + trail[when[asked] - j]
+        done = int(cut[-1])
     sample = np.empty(len(ask), np.uint8)
     sample[ask] = (mix(points[got].astype(np.uint64) + np.uint64(1)) >> np.uint64(60)).astype(np.uint8)
     out[full] = sample.reshape(len(n), slots)
@@ -220,7 +242,7 @@ def edits(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return dealt.mapInPandas(run, RESULT)
 
 
-def prints(rows: list[tuple[int | None, str, int, bool]], n: int, table: np.ndarray, slots: int) -> pd.DataFrame:
+def prints(rows: list[tuple[int | None, str, int, bool]], n: int, table: Callable[[int], np.ndarray], slots: int) -> pd.DataFrame:
     """Results of the first n rows that are their range's own; a row without a next one in its range is its own next."""
     texts = [r[1] for r in rows]
     plain = embed(texts, table, slots)

@@ -154,6 +154,22 @@ def test_editprint_follows_edit_distance(docs):
     assert near[0] > 0.6 and 0.4 < near[1] < 0.75 and near[2] < 0.35
 
 
+def test_editprint_whole_text_falls_into_step():
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    text = letters(100_000)
+    some = letters(100) + text  # a paragraph before everything
+    prints = editprint.embed([text, some, letters(100_100)], editprint.moves())
+    assert editprint.likeness(prints[0], prints[1]) > 0.5 and editprint.likeness(prints[0], prints[2]) < 0.25
+
+
+def test_editprint_walk_by_walk_and_together():
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in [1, 2, 3, 7, 40, 2048, 5000, 9000, *rng.integers(1, 6000, 40)]]
+    together = editprint.embed(texts, editprint.moves())
+    assert all((editprint.embed([t], editprint.moves())[0] == row).all() for t, row in zip(texts, together, strict=True))
+
+
 def test_editprint_near_classes(spark, docs):
     texts = [t for t in docs["text"] if 800 < len(t) < 4000][:15]
     near = [t[:300] + "#" + t[301:600] + "zz" + t[602:] for t in texts]
