@@ -1,9 +1,9 @@
 """Language identification by compression.
 
 Each language has a dictionary of raw text.  A text, reduced to lower-cased words, is compressed with every dictionary
-by zstandard; the language whose dictionary gives the smallest size wins.  Where the margin to others is narrow, the
-dictionary that holds most of the text's distinct words decides among them; if that is level too, the text is rejected,
-and its language is the one with the smallest size, then name.  Lines that occur in the samples of several languages
+by zstandard, in pieces of bounded length whose sizes are added, so that the margin's share does not fall with length;
+the language whose dictionary gives the smallest size, then name, wins.  Where the margin to another is narrow, the text
+is rejected.  Lines that occur in the samples of several languages
 (licences, addresses) say nothing about a language and stay out of the dictionaries.
 
 The dictionaries are the only thing fitted: per language, the texts of at most `sample` labelled documents (those
@@ -38,6 +38,8 @@ LANGUAGES = 400
 LEVEL = 3
 #: Sizes within so many bytes, or this share of the smallest, are a narrow margin.
 NARROW_BYTES, NARROW = 4, 0.005
+#: Bytes of a piece.
+PIECE = 8192
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,17 +65,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, share: int = SHARE) -> dict[str,
 
 
 @lru_cache(maxsize=2)
-def compressors(model: tuple[tuple[str, str], ...]) -> list[tuple[str, zstandard.ZstdCompressor, frozenset[str]]]:
+def compressors(model: tuple[tuple[str, str], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     out = []
     for lang, text in model:
         own = zstandard.ZstdCompressionDict(text.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         own.precompute_compress(level=LEVEL)
         bare = zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)
-        out.append((lang, bare, frozenset(text.split())))
+        out.append((lang, bare))
     return out
 
 
-def decide(text: str | None, model: list[tuple[str, zstandard.ZstdCompressor, frozenset[str]]], narrow: float) -> tuple[str, float, int, bool]:
+def decide(text: str | None, model: list[tuple[str, zstandard.ZstdCompressor]], narrow: float) -> tuple[str, float, int, bool]:
     """Language, score, margin in bytes, and whether it is rejected.
 
     The score is the margin's share of the second-best size, so 0 is undecided.
@@ -84,16 +86,11 @@ def decide(text: str | None, model: list[tuple[str, zstandard.ZstdCompressor, fr
     if len(model) == 1:
         return model[0][0], 1.0, 0, False
     data = " ".join(words).encode("utf-8", "surrogatepass")
-    sizes = [len(c.compress(data)) for _, c, _ in model]
+    pieces = [data[a : a + PIECE] for a in range(0, len(data), PIECE)]
+    sizes = [sum(len(c.compress(x)) for x in pieces) for _, c in model]
     best, second = sorted(sizes)[:2]
-    close = [i for i, s in enumerate(sizes) if s <= best + max(NARROW_BYTES, narrow * best)]
-    score, pick, level = (second - best) / second, close[0], False
-    if len(close) > 1:
-        distinct = set(words)
-        held = [len(distinct & model[i][2]) for i in close]
-        top = [i for i, n in zip(close, held, strict=True) if n == max(held)]
-        pick, level = min(top, key=lambda i: (sizes[i], model[i][0])), len(top) > 1
-    return model[pick][0], score, second - best, level
+    pick = min(range(len(sizes)), key=lambda i: (sizes[i], model[i][0]))
+    return model[pick][0], (second - best) / second, second - best, second <= best + max(NARROW_BYTES, narrow * best)
 
 
 def predict(docs: DataFrame, model: dict[str, str], narrow: float = NARROW) -> DataFrame:

@@ -237,6 +237,19 @@ def test_langid_awkward(spark):
     assert {r["lang_pred"] for r in langid.predict(table(spark, AWKWARD), {}).collect()} == {"und"}
 
 
+def test_langid_rejects_narrow_margins_at_any_length(docs):
+    rng = np.random.default_rng(8)
+    texts = {lang: " ".join(docs[docs["lang"] == lang]["text"].dropna()) for lang in ("en", "de", "fr", "es")}
+    own = langid.compressors(tuple(sorted((lang, " ".join(langid.words_of(t[: len(t) // 2]))) for lang, t in texts.items())))
+    for lang, t in texts.items():
+        short, long = (langid.decide((t[len(t) // 2 :] * 200)[:n], own, langid.NARROW) for n in (8_000, 1_000_000))
+        assert long[0] == lang and not long[3] and long[1] > 0.3 * short[1]
+    junk = ["".join(map(chr, rng.integers(97, 123, 300))) for _ in range(100)]
+    junk += [f"{docs['text'].iloc[5].split()[k]} {x[:40]}" for k, x in enumerate(junk[:10])]  # one word that a dictionary may hold
+    found = [langid.decide(t, own, langid.NARROW) for t in junk]
+    assert all(r for _, _, margin, r in found if margin <= langid.NARROW_BYTES) and sum(r for *_, r in found) > 90
+
+
 # 6
 
 
