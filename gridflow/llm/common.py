@@ -26,11 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of fewer rows than Spark's default, so that a Python worker holds little text at once.
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Arrow batches of fewer rows and bytes than Spark's defaults, so that a Python worker holds little text at once.
 
     A setting that the session has changed itself stays.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -48,7 +50,8 @@ def parts(spark: SparkSession) -> int:
 
 def crc_fold(column: Column | str, folds: int) -> Column:
     """crc32 of a column's text, modulo `folds`; a null is hashed as the empty text."""
-    return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string").cast("binary")) % folds
+    text = (F.col(column) if isinstance(column, str) else column).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % folds
 
 
 def text_bytes(text) -> bytes:

@@ -1,16 +1,27 @@
 """Language-model scores by a weighted back-off automaton.
 
-Training documents' byte n-grams are counted by block and summed over all blocks; interpolated Witten-Bell smoothing
-gives each seen n-gram a probability and each context a back-off weight.  In a block the n-grams that it needs become
-an automaton: contexts are states, a seen n-gram is an arc from its context to the longest context that ends it, and a
-state's failure arc leads to its context without the first byte at the cost of the back-off weight.  One traversal from
-left to right carries the state and adds up log probabilities; documents advance together, long ones in segments that
-begin `order` - 1 bytes early, after which the state is the same as in one run.
-
-Tokens are words and one end mark a document; a word's symbols are its bytes and a space, the end's is the end mark.
-Token counts come to each block by the same route (distinct words of a block, joined to the counts of all).  They are
-mixed with the automaton: P(t) = MIX * c / N + (1 - MIX) * A(t), with A(t) what the automaton gives the token's symbols
-where it stands.  The base score of independent words comes from the same counts.
+The automaton has two levels.  On the token level a state is the token before; a seen pair of tokens is an arc from it,
+and its failure arc leads, at the cost of the back-off weight, to the state without a token before, whose arcs are the
+tokens that training has seen.  The failure arc from there leads to the spelling level, where a token's symbols (a word's
+bytes and a space, or the end mark) are scored one by one: contexts of up to `order` - 1 bytes are states, a seen n-gram is
+an arc from its context to the longest context that ends it, and a state's failure arc leads to its context without the
+first byte.  The spelling state is carried on through all tokens.  One traversal from left to right adds up log
+probabilities; documents advance together, long ones in segments that begin `order` - 1 bytes early, after which the
+state is the same as in one run.
+
+Weights: interpolated Witten-Bell on the spelling level, interpolated absolute discounting on the token level, so an arc
+costs what its own counts and what lies below it give together:
+
+    A(t)       what the spelling level gives the token's symbols where it stands
+    P(t)     = (1 - SPELLED) * (max(c(t) - D, 0) + D * V * A(t)) / N + SPELLED * A(t)
+    P(t | s) = (max(c(s, t) - D, 0) + D * T(s) * P(t)) / c(s)
+
+with N and V all and distinct training tokens and T(s) the different tokens that follow s.  Nothing is held for an unseen
+token but its spelling, so the model is open and adds up to one.  The base score comes from the same counts.
+
+Counts: training documents' entries are counted by block and summed over all blocks (see `ngrams`); what grows with the
+input is dealt out to buckets of bounded size, pairs of tokens by the hash of the pair, so that a frequent token is no
+hot key.  T is counted without moving pairs to their first token: the bucket of a pair names one block that counts it.
 
 Defined results: a null or empty text has its end mark only; without training documents every symbol has the uniform
 probability and the base score is that of counts of nought over V = N = 0; repeated rows are scored and counted each
@@ -20,12 +31,14 @@ empty table gives none.  Only the id and text are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +46,15 @@ from . import ngrams
 from .common import materialise, parts
 
 ORDER = 5
-#: Share of the words' own frequencies in a token's probability.
-MIX = 0.5
-SPACE = 32
+#: Discount of the token level, and share of the spelling in a token's probability there.
+DISCOUNT, SPELLED = 0.75, 0.5
 #: Symbols of a traversal segment.
 SEGMENT = 1024
-#: Bytes of text in a block.
-BLOCK = 4_000_000
+#: Bytes of text in a block, and for each bucket.
+BLOCK, BUCKET = 4_000_000, 16_000_000
+SPACE = 32
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
+_REPLY = "block long, kind string, bucket int, one binary, two binary, three binary, train_tokens long, train_types long"
 
 class Table:
     """A hash table from non-negative longs to their places, probed for many keys at once."""
@@ -168,16 +181,108 @@ class Automaton:
         return out
 
 
-def tokens(payload: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Word codes of a block in first-seen order, the number of words of each document, and the distinct words."""
-    texts = pa.array(payload.decode("utf-8", "surrogatepass").split("\n")[:-1], pa.large_string())
-    lists = pc.ascii_split_whitespace(texts)
-    words = lists.flatten()
-    full = pc.not_equal(words, "")
-    coded = words.filter(full).dictionary_encode()
-    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
-    n = np.diff(upto[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
-    return coded.indices.to_numpy(), n, coded.dictionary
+class Tokens:
+    """The token stream of a block: codes in order with an end mark (the last code) after each document, and their words."""
+
+    def __init__(self, payload: bytes) -> None:
+        texts = pa.array(payload.decode("utf-8", "surrogatepass").split("\n")[:-1], pa.large_string())
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten()
+        full = pc.not_equal(words, "")
+        coded = words.filter(full).dictionary_encode()
+        upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        n = np.diff(upto[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
+        self.words = [*coded.dictionary.cast(pa.large_binary()).to_pylist(), b""]  # the empty word stands for the end mark
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        self.n = n + 1
+        self.last = np.cumsum(self.n) - 1
+        self.codes = np.full(int(self.n.sum()), len(self.words) - 1, np.int64)
+        inner = np.ones(len(self.codes), bool)
+        inner[self.last] = False
+        self.codes[inner] = coded.indices.to_numpy()
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct pairs of neighbours in ascending order, their first and second codes' pair of each place, and first codes."""
+        v = len(self.words)
+        both = np.append(v - 1, self.codes[:-1]) * v + self.codes
+        own, at = np.unique(both, return_inverse=True)
+        hashes = ngrams.mix(ngrams.mix(self.hashes[own // v]) ^ self.hashes[own % v])
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return hashes[order], rank[at], own[order] // v
+
+    def order(self) -> np.ndarray:
+        return np.argsort(self.hashes, kind="stable")
+
+
+def spelling(payload: bytes, train: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, keys and training counts of a block's distinct n-grams; a context's n-grams share a bucket (256 at most of each block)."""
+    code, n = ngrams.stream(payload, order)
+    flag = np.repeat(train, n)
+    keys, counts = ngrams.distinct_of_every_order(code[flag], code[~flag], order)
+    places = ngrams.place_of(ngrams.mix(context_of(keys)), buckets)
+    at = np.argsort(places, kind="stable")
+    return places[at], keys[at], counts[at]
+
+
+def context_of(keys: np.ndarray) -> np.ndarray:
+    return (keys & ((1 << ngrams.ORDER_SHIFT) - 1)) >> 8 | (keys >> ngrams.ORDER_SHIFT) << ngrams.ORDER_SHIFT
+
+
+def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The packs of one bucket from all blocks: sums over blocks, sent back to each block in its own order.
+
+    Of an n-gram: its count, its context's total and types.  Of a pair: twice its count, and one more for the block that
+    counts the pair among what follows its first token.
+    """
+    own = [ngrams.widen_sorted(x) for x in pdf["keys"]]
+    cuts = np.cumsum(list(map(len, own)))[:-1]
+    counts = np.concatenate([ngrams.widen(x) for x in pdf["counts"]]).astype(np.float64)
+    keys, first, code = np.unique(np.concatenate(own), return_index=True, return_inverse=True)
+    seen = np.bincount(code, counts, len(keys)).astype(np.int64)
+    out = pdf[["block", "kind", "bucket"]].copy()
+    if pdf["kind"].iloc[0] == "n":
+        context = np.unique(context_of(keys.astype(np.int64)), return_inverse=True)[1]
+        total, types = np.bincount(context, seen).astype(np.int64), np.bincount(context, seen > 0).astype(np.int64)
+        sent = [seen[code], total[context][code], types[context][code]]
+    else:
+        twice = 2 * seen[code]
+        twice[first[seen > 0]] += 1
+        sent = [twice]
+    for name, values in zip(("one", "two", "three"), sent, strict=False):
+        out[name] = [ngrams.squeeze(x) for x in np.split(values, cuts)]
+    return out.reindex(columns=["block", "kind", "bucket", "one", "two", "three"]).assign(train_tokens=0, train_types=0)
+
+
+def meet_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The same for words: counts and followers of each."""
+    words = pa.concat_arrays([pc.split_pattern(pa.scalar(x, pa.large_binary()), b"\n").values for x in pdf["keys"]])
+    counts, types = ([ngrams.widen(x) for x in pdf[c]] for c in ("counts", "types"))
+    cuts = np.cumsum(list(map(len, counts)))[:-1]
+    code = words.dictionary_encode().indices.to_numpy()
+    total, followed = (np.bincount(code, np.concatenate(x).astype(np.float64)).astype(np.int64) for x in (counts, types))
+    out = pdf[["block", "bucket"]].copy()
+    out["kind"] = "w"
+    out["one"] = [ngrams.squeeze(x) for x in np.split(total[code], cuts)]
+    out["two"] = [ngrams.squeeze(x) for x in np.split(followed[code], cuts)]
+    out["three"] = b""
+    out["train_tokens"], out["train_types"] = 0, 0
+    out.iloc[0, out.columns.get_loc("train_tokens")] = int(total.sum())
+    out.iloc[0, out.columns.get_loc("train_types")] = int((total > 0).sum())
+    return out[["block", "kind", "bucket", "one", "two", "three", "train_tokens", "train_types"]]
+
+
+def values(replies: list, name: str) -> np.ndarray:
+    """A block's values from its buckets' replies, in the order of its entries."""
+    own = sorted(replies, key=lambda x: x["bucket"])
+    return np.concatenate([ngrams.widen(x[name]) for x in own]).astype(np.int64) if own else np.empty(0, np.int64)
+
+
+def log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10 of the sum of two numbers given by their log10; -inf is nought."""
+    top = np.maximum(a, b)
+    return np.where(np.isneginf(top), top, top + np.log10(10.0 ** (a - top) + 10.0 ** (b - top)))
 
 
 def score(docs: DataFrame, held_out: Callable[[Column], Column], order: int = ORDER) -> DataFrame:
@@ -185,99 +290,93 @@ def score(docs: DataFrame, held_out: Callable[[Column], Column], order: int = OR
 
     held_out: the fold of a document, by its id alone.
     """
+    # written in buckets of the block number: the joins on it move what comes back to a block, never its text
     spark = docs.sparkSession
-    buckets = 4 * parts(spark)
-    made = materialise(ngrams.blocks(docs, after=b" ", block=BLOCK).withColumn("held", F.transform("doc_ids", held_out)), "blocks")
+    name = f"blocks_{uuid.uuid4().hex}"
+    made = ngrams.blocks(docs, after=b" ", block=BLOCK).withColumn("held", F.transform("doc_ids", held_out))
+    made.write.option("compression", "zstd").bucketBy(parts(spark), "block").saveAsTable(name)
+    try:
+        return materialise(_scored(spark.table(name), order), "scored")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _scored(made: DataFrame, order: int) -> DataFrame:
+    size = made.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all")).first()["all"]
+    buckets = 1 + size // BUCKET
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A block's distinct n-grams by the bucket of their context, and its distinct words by theirs, in packs."""
+        """A block's distinct n-grams and pairs of tokens, in packs by bucket."""
         for pdf in batches:
             for r in pdf.itertuples():
                 train = ~np.asarray(r.held, bool)
-                code, n = ngrams.stream(r.payload, order)
-                flag = np.repeat(train, n)
-                keys, counts = ngrams.distinct_of_every_order(code[flag], code[~flag], order)
-                place = _mixed((keys & ((1 << ngrams.ORDER_SHIFT) - 1)) >> 8 | (keys >> ngrams.ORDER_SHIFT) << ngrams.ORDER_SHIFT) % buckets
-                sizes, at = np.bincount(place, minlength=buckets), np.argsort(place, kind="stable")
-                cuts = np.cumsum(sizes)[:-1]
-                packs = [(r.block, i, "n", k.tobytes(), c.tobytes(), b"") for i, (k, c) in enumerate(zip(np.split(keys[at], cuts), np.split(counts[at], cuts), strict=True)) if len(k)]
-                words, per, texts = tokens(r.payload)
-                counts = np.bincount(words, np.repeat(train, per), len(texts)).astype(np.int64)
-                texts = np.append(texts.to_numpy(zero_copy_only=False), "")  # the empty word stands for the end mark
-                counts = np.append(counts, train.sum())
-                place = (pd.util.hash_array(texts, categorize=False) % np.uint64(buckets)).astype(np.int64)
-                at = np.argsort(place, kind="stable")
-                for i, own in enumerate(np.split(at, np.cumsum(np.bincount(place, minlength=buckets))[:-1])):
-                    if len(own):
-                        packs.append((r.block, i, "w", own.astype(np.int64).tobytes(), counts[own].tobytes(), "\n".join(texts[own]).encode("utf-8", "surrogatepass")))
-                yield pd.DataFrame(packs, columns=["block", "bucket", "kind", "keys", "counts", "words"])
-
-    packs = made.select("block", "payload", "held").mapInPandas(count, "block long, bucket int, kind string, keys binary, counts binary, words binary")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The packs of one bucket from all blocks: sums over blocks, sent back to each block in its own order."""
-        size = pdf["counts"].map(len).to_numpy() // 8
-        counts = np.frombuffer(b"".join(pdf["counts"]), np.int64)
-        cuts = np.cumsum(size)[:-1]
-        out = pdf[["block", "kind", "keys"]].copy()
-        out["train_tokens"], out["train_types"] = 0, 0
-        if pdf["kind"].iloc[0] == "w":
-            code = pd.factorize(np.array([w for x in pdf["words"] for w in x.decode("utf-8", "surrogatepass").split("\n")], dtype=object))[0]
-            total = np.bincount(code, counts).astype(np.int64)
-            out["first"] = [x.tobytes() for x in np.split(total[code].astype(np.float64), cuts)]
-            out["second"] = b""
-            out.iloc[0, out.columns.get_loc("train_tokens")] = int(total.sum())
-            out.iloc[0, out.columns.get_loc("train_types")] = int((total > 0).sum())
-        else:
-            keys, code = np.unique(np.frombuffer(b"".join(pdf["keys"]), np.int64), return_inverse=True)
-            seen = np.bincount(code, counts, len(keys))
-            up = (keys & ((1 << ngrams.ORDER_SHIFT) - 1)) >> 8 | (keys >> ngrams.ORDER_SHIFT) << ngrams.ORDER_SHIFT
-            context = np.unique(up, return_inverse=True)[1]
-            total, types = np.bincount(context, seen), np.bincount(context, seen > 0)
-            both = np.maximum(1, total + types)
-            term, gamma = seen / both[context], np.where(total > 0, types / both, 1.0)[context]
-            out["first"] = [x.tobytes() for x in np.split(term[code].astype(np.float32), cuts)]
-            out["second"] = [x.tobytes() for x in np.split(gamma[code].astype(np.float32), cuts)]
-        return out
-
-    # a bucket holds its share of all blocks' distinct entries; there are as many buckets as the input asks for
-    replies = materialise(
-        packs.groupBy("kind", "bucket").applyInPandas(meet, "block long, kind string, keys binary, train_tokens long, train_types long, first binary, second binary"), "replies"
-    )
-    whole = replies.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_types"), F.lit(0)).alias("v")).first()  # one row
+                places, keys, counts = spelling(r.payload, train, order, buckets)
+                packs = [(r.block, "n", i, ngrams.squeeze_sorted(keys[x]), ngrams.squeeze(counts[x])) for i, x in ngrams.dealt(places)]
+                tokens = Tokens(r.payload)
+                keys, at, _ = tokens.pairs()
+                counts = np.bincount(at, np.repeat(train, tokens.n), len(keys)).astype(np.int64)
+                packs += [(r.block, "p", i, ngrams.squeeze_sorted(keys[x]), ngrams.squeeze(counts[x])) for i, x in ngrams.dealt(ngrams.place_of(keys, buckets))]
+                yield pd.DataFrame(packs, columns=["block", "kind", "bucket", "keys", "counts"])
+
+    packs = made.select("block", "payload", "held").mapInPandas(count, "block long, kind string, bucket int, keys binary, counts binary")
+    replies = materialise(packs.groupBy("kind", "bucket").applyInPandas(meet, _REPLY), "replies")
+    of_kind = lambda rows, k: rows.where(F.col("kind") == k).groupBy("block").agg(F.collect_list(F.struct("bucket", "one", "two", "three")).alias(k))
+    pairs = of_kind(replies, "p")  # of one block
+
+    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                tokens = Tokens(r.payload)
+                counts = np.bincount(tokens.codes, np.repeat(~np.asarray(r.held, bool), tokens.n), len(tokens.words)).astype(np.int64)
+                _, _, first = tokens.pairs()
+                types = np.bincount(first, values(r.p, "one") & 1, len(tokens.words)).astype(np.int64)
+                at = tokens.order()
+                yield pd.DataFrame(
+                    [(r.block, i, b"\n".join(tokens.words[k] for k in at[x]), ngrams.squeeze(counts[at[x]]), ngrams.squeeze(types[at[x]])) for i, x in ngrams.dealt(ngrams.place_of(tokens.hashes[at], buckets))],
+                    columns=["block", "bucket", "keys", "counts", "types"],
+                )
+
+    packs = made.select("block", "payload", "held").join(pairs.hint("shuffle_hash"), "block").mapInPandas(count_words, "block long, bucket int, keys binary, counts binary, types binary")
+    words = materialise(packs.groupBy("bucket").applyInPandas(meet_words, _REPLY), "words")
+    whole = words.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_types"), F.lit(0)).alias("v")).first()  # one row
     n_all, distinct = int(whole["n"]), int(whole["v"])
-    sent = replies.groupBy("block").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("keys", "first", "second"))).alias(k) for k in "nw"])  # of one block
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                keys = np.frombuffer(b"".join(x["keys"] for x in r.n), np.int64)
-                term, gamma = (np.frombuffer(b"".join(x[c] for x in r.n), np.float32).astype(np.float64) for c in ("first", "second"))
+                _, keys, _ = spelling(r.payload, np.ones(len(r.doc_ids), bool), order, buckets)
+                seen, total, types = (values(r.n, c) for c in ("one", "two", "three"))
+                both = np.maximum(1, total + types)
                 at = np.argsort(keys)
-                symbols = Automaton(keys[at], term[at], gamma[at], order).run(r.payload)
-                last = np.flatnonzero(np.isin(np.frombuffer(r.payload, np.uint8), (SPACE, ngrams.END)))  # of each token
-                chars = np.add.reduceat(symbols, np.append(0, last[:-1] + 1), dtype=np.float64) if len(last) else np.empty(0)
-                words, per, _ = tokens(r.payload)
-                c = np.empty(sum(len(x["keys"]) for x in r.w) // 8)
-                c[np.frombuffer(b"".join(x["keys"] for x in r.w), np.int64)] = np.frombuffer(b"".join(x["first"] for x in r.w), np.float64)
-                log = np.log10(c + 1.0) - np.log10(n_all + 1.0 * (distinct + 1))
-                doc = np.repeat(np.arange(len(per)), per)
-                which = np.full(len(last), -1)  # tokens in order: a document's words, then its end, the last entry
-                which[np.setdiff1d(np.arange(len(last)), np.cumsum(per + 1) - 1, assume_unique=True)] = words
-                with np.errstate(divide="ignore"):
-                    own = np.log10(c[which]) + np.log10(MIX / max(1, n_all))
-                    other = chars + np.log10(1 - MIX if n_all else 1.0)
-                    own = np.maximum(own, other) + np.log10(1 + 10.0 ** -np.abs(own - other))
+                symbols = Automaton(keys[at], (seen / both)[at], np.where(total > 0, types / both, 1.0)[at], order).run(r.payload)
+                tokens = Tokens(r.payload)
+                ends = np.flatnonzero(np.isin(np.frombuffer(r.payload, np.uint8), (SPACE, ngrams.END)))  # of each token
+                spelt = np.add.reduceat(symbols, np.append(0, ends[:-1] + 1), dtype=np.float64) if len(ends) else np.empty(0)
+                c, followers = np.empty(len(tokens.words)), np.empty(len(tokens.words))
+                c[tokens.order()], followers[tokens.order()] = values(r.w, "one"), values(r.w, "two")
+                _, at, first = tokens.pairs()
+                own = weighed(c[tokens.codes], (values(r.p, "one") >> 1)[at], c[first][at], followers[first][at], spelt, n_all, distinct)
+                base = (np.log10(c + 1.0) - np.log10(n_all + 1.0 * (distinct + 1)))[tokens.codes]
+                begin = tokens.last - tokens.n + 1
+                total_of = lambda x: np.add.reduceat(x, begin) if len(begin) else np.empty(0)  # noqa: E731, B023
                 yield pd.DataFrame({
-                    "doc_id": pd.array(r.doc_ids, dtype="Int64"), "held_out": np.asarray(r.held, bool), "n_tokens": per + 1,
-                    "n_known": np.bincount(doc, c[words] > 0, len(per)).astype(np.int64) + (c[-1] > 0), "train_tokens": n_all,
-                    "base_score": np.bincount(doc, log[words], len(per)) + log[-1], "score": np.add.reduceat(own, np.cumsum(per + 1) - per - 1) if len(per) else own,
+                    "doc_id": pd.array(r.doc_ids, dtype="Int64"), "held_out": np.asarray(r.held, bool), "n_tokens": tokens.n,
+                    "n_known": total_of((c[tokens.codes] > 0).astype(np.int64)), "train_tokens": n_all, "base_score": total_of(base), "score": total_of(own),
                 })
 
-    every = made.select("block", "doc_ids", "held", "payload").join(sent, "block")
+    every = made.select("block", "doc_ids", "held", "payload")
+    for rows in (of_kind(replies, "n"), pairs, of_kind(words, "w")):
+        every = every.join(rows.hint("shuffle_hash"), "block")
     return every.drop("block").mapInPandas(run, RESULT)
 
 
-def _mixed(keys: np.ndarray) -> np.ndarray:
-    """Keys spread over the non-negative longs."""
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64)
+def weighed(c: np.ndarray, both: np.ndarray, before: np.ndarray, followers: np.ndarray, spelt: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 P(t | s) of each token: c(t), c(s, t), c(s), T(s) and log10 A(t) given."""
+    if not n:
+        return spelt
+    with np.errstate(divide="ignore"):
+        alone = log_sum(np.log10((1 - SPELLED) * np.maximum(c - DISCOUNT, 0) / n), np.log10((1 - SPELLED) * DISCOUNT * v / n + SPELLED) + spelt)
+        known = before > 0
+        size = np.maximum(1, before)
+        after = log_sum(np.log10(np.maximum(both - DISCOUNT, 0) / size), np.log10(DISCOUNT * followers / size) + alone)
+    return np.where(known, after, alone)

@@ -7,6 +7,11 @@ number.  All of it grows in proportion to the input.
 
 An n-gram of order k is a long: the order in the highest byte, then its k bytes.  A document is preceded by `order` - 1
 end marks, so every place has an n-gram of every order.
+
+Blocks meet in packs: a block sorts its distinct entries by bucket, each pack holds those of one bucket as byte planes,
+and a bucket's packs of all blocks are one group.  There is one bucket for so many bytes of text, counted, so a group
+has a bounded size whatever the input.  What comes back to a block lies in the order of its own entries, which it makes
+again, so no key travels twice.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +41,7 @@ def words_of(texts: pa.Array) -> pa.Array:
 
 
 def blocks(docs: DataFrame, id_column: str = "doc_id", by: str | None = None, block: int = BLOCK, after: bytes = b"") -> DataFrame:
-    """block, lang, doc_ids, payload: documents of one language (all, without `by`) in input order.
+    """block, lang, doc_ids, payload, size: documents of one language (all, without `by`) in input order.
 
     payload: the texts one after the other, an end mark after each; `after` goes between a text's last word and it.
     """
@@ -48,13 +54,13 @@ def blocks(docs: DataFrame, id_column: str = "doc_id", by: str | None = None, bl
                 own = batch.filter(pc.equal(batch.column("lang"), lang))
                 texts = words_of(own.column("text"))
                 payload = b"".join(t + after + b"\n" if t else b"\n" for t in texts.cast(pa.large_binary()).to_pylist())
-                yield pa.RecordBatch.from_pydict({"block": [number], "lang": [lang], "doc_ids": [own.column("doc_id").to_pylist()], "payload": [payload]}, schema=SCHEMA)
+                yield pa.RecordBatch.from_pydict({"block": [number], "lang": [lang], "doc_ids": [own.column("doc_id").to_pylist()], "payload": [payload], "size": [len(payload)]}, schema=SCHEMA)
                 number += 1
 
-    return picked.mapInArrow(cut, "block long, lang string, doc_ids array<long>, payload binary")
+    return picked.mapInArrow(cut, "block long, lang string, doc_ids array<long>, payload binary, size long")
 
 
-SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
+SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary()), ("size", pa.int64())])
 
 
 def _merged(batches: Iterator[pa.RecordBatch], weight: int) -> Iterator[pa.RecordBatch]:
@@ -113,17 +119,70 @@ def every_order(codes: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.n
 
 
 def distinct_of_every_order(train: np.ndarray, rest: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all orders at the places of full-order codes, and how often each occurs in `train`."""
+    """Ascending keys of all orders at the places of full-order codes, and how often each occurs in `train`."""
     own, times = np.unique(train, return_counts=True)
     codes = np.concatenate([own, np.setdiff1d(np.unique(rest), own, assume_unique=True)])
     counts = np.concatenate([times, np.zeros(len(codes) - len(own), np.int64)])
+    at = np.argsort(codes)
+    codes, counts = codes[at], counts[at]
     keys, sums = [keys_of(codes, order)], [counts]
     for k in range(order - 1, 0, -1):
         codes, at = np.unique(lower(codes, k), return_inverse=True)
         counts = np.bincount(at, counts, len(codes)).astype(np.int64)
         keys.append(keys_of(codes, k))
         sums.append(counts)
-    return np.concatenate(keys), np.concatenate(sums)
+    return np.concatenate(keys[::-1]), np.concatenate(sums[::-1])  # longer n-grams have larger keys
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 to 2**64 - 1 as compressed byte planes, those of high bytes that are all nought left out."""
+    planes = np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    width = 8
+    while width and not planes[width - 1].any():
+        width -= 1
+    return len(values).to_bytes(4, "little") + bytes([width]) + (zstandard.ZstdCompressor(level=1).compress(planes[:width].tobytes()) if width else b"")
+
+
+def widen(data: bytes) -> np.ndarray:
+    """The numbers of `squeeze`, as uint64."""
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    out = np.zeros((n, 8), np.uint8)
+    if n and width:
+        raw = zstandard.ZstdDecompressor().decompress(data[5:], max_output_size=n * width)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def squeeze_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    k = keys.astype(np.uint64)
+    return squeeze(np.diff(k, prepend=np.uint64(0)))
+
+
+def widen_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(widen(data), dtype=np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, one to one."""
+    x = x.astype(np.uint64)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def place_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash: ranges of hashes, so that ascending hashes are in ascending buckets."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(places: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, entries) for ascending places; only buckets with entries."""
+    cuts = np.flatnonzero(np.diff(places, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True):
+        yield int(places[a]), slice(a, b)
 
 
 def order_of(key: Column) -> Column:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridflow.llm import editprint, htmltext, kneserney, langid, licenses, lmscore, packing, queries, sentencepiece, simhash, topk
+from gridflow.llm import editprint, htmltext, kneserney, langid, licenses, lmscore, ngrams, packing, queries, sentencepiece, simhash, topk
 from gridflow.llm.common import components, crc_fold
 
 AWKWARD = [None, "", " \n\t ", "a", "One two. One two.", "All rights reserved. CC BY-NC 4.0", "x" * 3000, "é日本 <|endoftext|> 😀 ﬁ", "the cat sat on the mat", "the cat sat on the mat", "A\x1cb c"]
@@ -196,16 +196,21 @@ def test_lmscore_against_plain_model(spark):
         t[x[:-1]] += 1
     p = lambda x: 1 / 256 if not x else p(x[1:]) if not n[x[:-1]] else (g[x] + t[x[:-1]] * p(x[1:])) / (n[x[:-1]] + t[x[:-1]])
     total, kinds = sum(c.values()), len(c)
+    pairs = collections.Counter(z for i, x in enumerate(texts) if not held[i] for z in zip([b"\n", *words(x)], [*words(x), b"\n"], strict=True))
     for i, x in enumerate(texts):
         base = score = 0.0
-        s = b"\n" * 4
+        s, last = b"\n" * 4, b"\n"
         for w in [*words(x), b"\n"]:
             own = 1.0
             for symbol in w + b" " if w != b"\n" else w:
                 s += bytes([symbol])
                 own *= p(s[-5:])
             base += math.log10((c[w] + 1) / (total + kinds + 1))
-            score += math.log10(0.5 * c[w] / total + 0.5 * own) if own else 0
+            own = 0.5 * (max(c[w] - 0.75, 0) + 0.75 * kinds * own) / total + 0.5 * own
+            if c[last]:
+                own = (max(pairs[last, w] - 0.75, 0) + 0.75 * sum(a == last for a, _ in pairs) * own) / c[last]
+            last = w
+            score += math.log10(own) if own else 0
         assert got[i]["held_out"] == held[i] and got[i]["train_tokens"] == total and got[i]["n_tokens"] == len(words(x)) + 1
         assert got[i]["n_known"] == sum(c[w] > 0 for w in [*words(x), b"\n"])
         assert got[i]["base_score"] == pytest.approx(base)
@@ -214,6 +219,26 @@ def test_lmscore_against_plain_model(spark):
     assert lmscore.score(table(spark, []), lambda i: crc_fold(i, 7) == 2).count() == 0
 
 
+def test_lmscore_beats_the_base_on_held_out_text(spark):
+    got = queries.op4_lmscore(spark, "/root/testdata/sf0.01").where("held_out").agg(*(F.sum(c).alias(c) for c in ("score", "base_score", "n_tokens"))).first()
+    assert got["score"] / got["n_tokens"] > got["base_score"] / got["n_tokens"] + 0.2
+
+
+def test_lmscore_many_buckets_and_repeated_ids(spark, docs, monkeypatch):
+    texts, ids = docs["text"].head(40).tolist(), [*range(38), None, 3]
+    once = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lmscore.score(table(spark, texts, ids), lambda i: crc_fold(i, 7) == 2).collect()}
+    monkeypatch.setattr(lmscore, "BUCKET", 3000)
+    got = lmscore.score(table(spark, texts, ids).repartition(3), lambda i: crc_fold(i, 7) == 2).collect()
+    assert len(got) == 40 and all(r["score"] == pytest.approx(once[r["doc_id"], r["n_tokens"]], rel=1e-9) for r in got)
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(9)
+    for v in ([], [0, 0], [2**64 - 1, 0], rng.integers(0, 300, 1000), np.sort(rng.integers(0, 2**63, 1000, dtype=np.uint64))):
+        v = np.array(v, np.uint64)
+        assert (ngrams.widen(ngrams.squeeze(v)) == v).all() and (ngrams.widen_sorted(ngrams.squeeze_sorted(np.sort(v))) == np.sort(v)).all()
+
+
 def test_lmscore_without_training(spark):
     got = lmscore.score(table(spark, ["ab", None]), lambda i: F.lit(True)).orderBy("doc_id").collect()
     assert [r["score"] for r in got] == pytest.approx([4 * math.log10(1 / 256), math.log10(1 / 256)], rel=1e-5)
