@@ -8,11 +8,14 @@ is rejected.  Lines that occur in the samples of several languages
 
 The dictionaries are the only thing fitted: per language, the texts of at most `sample` labelled documents (those
 with the smallest hash of their id, over all documents of the language), `share` characters of each at most, so that
-the model has at most sample * share characters a language.  Prediction covers every whole text.
-
-Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; with no labelled document
-every text is `und`; with one language, that one with score 1; repeated rows are predicted alike; an empty table
-gives none; only the id, text and language columns are read.
+the model has at most sample * share characters a language.  Every language is learned, however many there are: the
+whole model has at most `MODEL` characters, and beyond so many languages each has its equal part of them.  Prediction
+covers every whole text.
+
+Defined results: a null text, or one without a letter (numerals such as a half are none), is `und` with score 0 and
+rejected; with no labelled document every text is `und`; with one language, that one with score 1; of equal sizes the
+first name wins and is rejected; repeated rows are predicted alike, and learned once; an empty table gives none; only
+the id, text and language columns are read.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from .common import chunks
 RESULT = "doc_id long, lang_pred string, score double, margin long, rejected boolean"
 #: Bounds of the fitted sample: documents a language, and characters of each.
 SAMPLE, SHARE = 256, 1500
-#: At most this many languages are learned; more is an error, since the model goes to every task.
-LANGUAGES = 400
+#: Bound of the model, which goes to every task, in characters, and the least of a document that is worth a place.
+MODEL, LEAST = 32_000_000, 64
 LEVEL = 3
 #: Sizes within so many bytes, or this share of the smallest, are a narrow margin.
 NARROW_BYTES, NARROW = 4, 0.005
@@ -49,16 +52,18 @@ def words_of(text: str) -> list[str]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, share: int = SHARE) -> dict[str, str]:
     """Dictionary text by language, from the documents with text and lang."""
-    known = docs.where("lang is not null and text is not null and text <> ''")
-    picked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
-    for key in (["lang", "salt"], ["lang"]):  # a language that most rows have is cut down in parts first
+    known = docs.where("lang is not null and text is not null and text <> ''").select("lang", "doc_id", "text")
+    part = MODEL // max(1, known.select("lang").distinct().count())  # characters a language
+    sample = min(sample, max(1, part // LEAST))
+    share = max(1, min(share, part // sample))
+    picked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumns({"s": F.pmod("h", F.lit(4)), "t": F.pmod("h", F.lit(64))})
+    for key in (["lang", "s", "t"], ["lang", "s"], ["lang"]):  # a language that most rows have is cut down in parts first
         picked = picked.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))).where(F.col("r") <= sample)
     ids = picked.select("lang", "doc_id").distinct()
-    # at most sample * LANGUAGES ids; each text gives at most `share` characters
-    texts = known.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, share).alias("t"))
-    rows = texts.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "doc_id", "t"))), 1, sample).alias("all")).orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    # at most MODEL / LEAST ids; each gives at most `share` characters, once
+    texts = known.join(F.broadcast(ids), [known["lang"] == ids["lang"], known["doc_id"].eqNullSafe(ids["doc_id"])], "left_semi")
+    texts = texts.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, share)).alias("t"))
+    rows = texts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "t"))).alias("all")).collect()
     lines = {r["lang"]: [line for x in reversed(r["all"]) for line in x["t"].split("\n")] for r in rows}
     shared = Counter(line for own in lines.values() for line in set(own))
     return {lang: " ".join(w for line in own if shared[line] == 1 for w in words_of(line)) for lang, own in lines.items()}
@@ -81,7 +86,7 @@ def decide(text: str | None, model: list[tuple[str, zstandard.ZstdCompressor]],
     The score is the margin's share of the second-best size, so 0 is undecided.
     """
     words = words_of(text) if text is not None and model else []
-    if not words:
+    if not any(c.isalpha() for w in words for c in w):
         return "und", 0.0, 0, True
     if len(model) == 1:
         return model[0][0], 1.0, 0, False
