@@ -45,14 +45,20 @@ NEVER = frozenset("head script style noscript template nav footer aside form but
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 MARKS = frozenset(("article", "main"))
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em i kbd mark q s samp small span strong sub sup time u var font label ins del".split())
-#: Words of class, id and role that name what is not article text.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay"
-    r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|sidebar|side|widget|widgets|aside|complementary|contentinfo|footer|masthead|topbar|toolbar|comment|comments|respond|disqus|replies|discussion"
-    r"|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|skip|hidden|dialog)(?:$|[\s_-])",
-    re.I,
+#: Words that a name (of class, id or role) begins or ends with if it is not of article text.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo banner cookie cookies consent gdpr popup modal nav navbar navigation menu breadcrumb breadcrumbs"
+    " pagination pager sidebar sidebars footer masthead topbar toolbar comment comments respond disqus newsletter subscribe subscription signup login complementary contentinfo".split()
 )
-HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|head|site-header|page-header)(?:$|[\s_-])", re.I)
+#: Words that say so only where the whole name consists of them and of plain words of layout.
+WEAK = frozenset("side aside share sharing social related recommended search notice notices notification notifications alert alerts overlay widget widgets replies reply discussion skip hidden dialog promotion".split())
+LAYOUT = frozenset(
+    "site page top bottom left right bar box block panel list links link button buttons icon icons item items area section container wrapper inner outer post posts article articles stories content"
+    " title text message messages region form field group row col column".split()
+)
+#: Words that turn a name round: a page with or without a sidebar is not one.
+TURNED = frozenset("no not non has with without is hide show".split())
+HEADERS = frozenset(("header", "head"))
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Prior weight of a word by its block and cost of a tag, and the bounds of learned ones.
@@ -63,6 +69,18 @@ LEAST_WORD, LEAST_TAG = 0.25, 0.01
 KINDS = sorted(BLOCKS | VOID | INLINE | NEVER | {"other", "text"})
 
 
+def unwanted_name(name: str, marked: bool) -> bool:
+    """Whether one name of an element says that its content is not article text."""
+    words = [w for w in re.split(r"[\s_:-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    if not words or not TURNED.isdisjoint(words):
+        return False
+    if words[0] in STRONG or words[-1] in STRONG:
+        return True
+    if not marked and words[-1] in HEADERS and set(words[:-1]) <= LAYOUT:
+        return True
+    return not WEAK.isdisjoint(words) and all(w in WEAK or w in LAYOUT or w.isdigit() for w in words)
+
+
 def unwanted(tag: str, attributes: str, marked: bool) -> bool:
     """Whether an element's content is never article text."""
     if tag in NEVER or (tag == "header" and not marked):
@@ -74,17 +92,72 @@ def unwanted(tag: str, attributes: str, marked: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main") and not re.search(r"comment", found.get("class", "") + " " + found.get("id", ""), re.I):
         return False
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    return bool(names.strip()) and bool(NAMES.search(names) or (not marked and HEADER_NAMES.search(names)))
+    return any(unwanted_name(x, marked) for k in ("class", "id", "role") for x in found.get(k, "").split())
+
+
+class Open:
+    """The elements under way: what a tag asks of them is answered without a walk over all."""
+
+    #: An unclosed one of these does not hold the article; one of the others keeps it.
+    LOOSE, TIGHT = frozenset(("nav", "header", "footer", "form", "head", "menu")), frozenset(("aside", "template", "noscript"))
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.never = self.marks = self.tight = 0
+        self.loose: list[int] = []
+
+    def push(self, tag: str, bad: bool) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, bad))
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
+        if bad and tag in self.LOOSE:
+            self.loose.append(at)
+        self.never += bad
+        self.marks += tag in MARKS
+        self.tight += tag in self.TIGHT
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag, bad = self.stack.pop()
+            at = len(self.stack)
+            self.places[tag].pop()
+            if self.blocks and self.blocks[-1] == at:
+                self.blocks.pop()
+            if self.loose and self.loose[-1] == at:
+                self.loose.pop()
+            self.never -= bad
+            self.marks -= tag in MARKS
+            self.tight -= tag in self.TIGHT
+
+    def now(self) -> tuple[str, bool, bool]:
+        return self.stack[self.blocks[-1]][0] if self.blocks else "other", self.never > 0, self.marks > 0
+
+    def close(self, tag: str) -> None:
+        """An inline element does not end beyond the block that holds its end tag."""
+        k = self.places.get(tag)
+        if k and (tag in BLOCKS or tag in NEVER or not self.blocks or self.blocks[-1] <= k[-1]):
+            self.pop(k[-1])
+
+    def before(self, tag: str) -> None:
+        """What a block's start tag ends: a paragraph always, a list item or cell before the next one, and unclosed menus before the article."""
+        if tag in BLOCKS and self.blocks:
+            last = self.stack[self.blocks[-1]][0]
+            if last == "p" or (last == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                self.pop(self.blocks[-1])
+        if tag in MARKS and self.loose and not self.tight:
+            self.pop(self.loose[0])
 
 
 def blocks(page: str) -> list[tuple[str, str, bool, bool, list[str]]]:
     """(text, block tag, never, marked, tags before it) for each block of text in page order; the tags after the last come with an empty text."""
     out: list[tuple[str, str, bool, bool, list[str]]] = []
-    stack: list[tuple[str, bool]] = []
+    open_ = Open()
     text: list[str] = []
     tags: list[str] = []
-    never = marks = 0
     state: tuple[str, bool, bool] = ("other", False, False)
 
     def flush() -> None:
@@ -95,17 +168,6 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, list[str]]]:
             tags = []
         text.clear()
 
-    def now() -> tuple[str, bool, bool]:
-        block = next((t for t, _ in reversed(stack) if t in BLOCKS), "other")
-        return block, never > 0, marks > 0
-
-    def pop(to: int) -> None:
-        nonlocal never, marks
-        while len(stack) > to:
-            t, bad = stack.pop()
-            never -= bad
-            marks -= t in MARKS
-
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -114,50 +176,36 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, list[str]]]:
         if name is None:
             if m[0][:2] in ("<!", "<?"):
                 continue
-            inside = now()
+            inside = open_.now()
             if inside[1:] != state[1:] or not text:
                 flush()
                 state = inside
             text.append(m[0])
             continue
         tag = name.lower()
+        block = tag in BLOCKS or tag in NEVER
+        if block:
+            flush()
         if m[1]:  # end tag
-            if tag in BLOCKS or tag in NEVER:
-                flush()
             tags.append("/" + tag)
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and (tag in BLOCKS or tag in NEVER or not any(t in BLOCKS for t, _ in stack[k + 1 :])):
-                pop(k)
+            open_.close(tag)
             continue
         if tag == "br" or tag == "wbr":
             text.append(" " if tag == "br" else "")
             continue
-        if tag in BLOCKS or tag in NEVER:
-            flush()
         tags.append(tag)
-        if tag in BLOCKS or tag in NEVER:
-            if stack and tag in BLOCKS:  # a paragraph ends where a block begins; list items and cells end at the next one
-                k = len(stack)
-                while k and stack[k - 1][0] not in BLOCKS:
-                    k -= 1
-                if k and (stack[k - 1][0] == "p" or (stack[k - 1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"))):
-                    pop(k - 1)
-            if tag in MARKS and stack and not any(t in ("aside", "template", "noscript") for t, _ in stack):
-                k = next((i for i, (t, bad) in enumerate(stack) if bad and t in ("nav", "header", "footer", "form", "head", "menu")), None)
-                if k is not None:  # an unclosed menu or header does not hold the article
-                    pop(k)
+        if block:
+            open_.before(tag)
         if tag in VOID or m[3].endswith("/"):
             continue
-        bad = unwanted(tag, m[3], marks > 0)
+        bad = unwanted(tag, m[3], open_.marks > 0)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|$)", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        stack.append((tag, bad))
-        never += bad
-        marks += tag in MARKS
+        open_.push(tag, bad)
     flush()
-    out.append(("", *now(), tags))
+    out.append(("", *open_.now(), tags))
     return out
 
 
