@@ -2,21 +2,19 @@
 
 A text is walked by a random walk that all texts share: at step j it stands on a character c and writes it down, and
 a random bit of (j, c) says whether it moves on.  Two texts that differ by k edits fall back into step soon after each
-edit, so the written sequences differ in about k places: edit distance becomes Hamming distance.  Long texts are cut
-into segments of `SEGMENT` characters that are walked by the same rule, so that the segments of a batch advance
-together and a walk has a bounded length; an insertion shifts later segments by its own length, which the walk absorbs
-like any edit.
+edit, so the written sequences differ in about k places: edit distance becomes Hamming distance.  Every text is walked
+whole; those of a batch advance together, longest first, and the few longest go on alone.
 
 A fingerprint samples the written sequence at `slots` places and keeps four hash bits of each.  The place of a slot is
 chosen by jump hashing of (slot, length): uniform in the sequence, equal for equal lengths, and equal for lengths m < n
 with chance m / n.  So the share of equal slots estimates the likeness of the sequences, whatever the two lengths.
 
-Near pairs: slots are sampled into bands, equal bands make candidates, and the Hamming distance of the fingerprints
-verifies them, with the bit-sliced comparison of the SimHash operator.
+Near texts: slots are sampled into bands, equal bands make candidates, and the Hamming distance of one bit of each slot
+verifies them, with the bit-sliced comparison of the SimHash operator; classes follow the links.
 
 Defined results: a null text is empty; an empty text has the all-zero fingerprint; equal texts have equal fingerprints;
-rows with equal ids are ordered by their text; a table with one row is its own next row; an empty table gives none.
-Only doc_id and text are read.
+rows with equal ids are ordered by their text (those of an id that is frequent in the table, by a hash of it first); null
+ids come first; a table with one row is its own next row; an empty table gives none.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, parts
-from .simhash import bucket_links, joined
+from .simhash import bucket_links, class_ids
 
 SLOTS = 128
 #: The walk's bits are made for so many steps at a time; with fewer walks than this under way each goes on by itself.
 STEPS, FEW = 4096, 24
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Near texts: bands and slots of a band for candidates; at a likeness of 0.8 a pair shares a band with chance 0.999.
-BANDS, BAND, LIKENESS = 24, 6, 0.8
+#: Near texts: bands and slots of a band for candidates; at a likeness of 0.8 a pair shares a band with chance 0.992.
+BANDS, BAND, LIKENESS = 16, 6, 0.8
+#: Ranges of a hash that a frequent id is split into.
+SPLIT = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -169,51 +169,79 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp binary")
 
 
-def near_classes(docs: DataFrame, like: float = LIKENESS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over texts whose fingerprints are about `like` alike.
+def near_radius(like: float, slots: int) -> int:
+    """Bits of a sketch within which nearly all pairs are whose slots are equal with this chance: the mean and two standard deviations.
 
-    Candidates share a band of sampled slots; the bits of their fingerprints verify them, up to the distance that the
-    likeness has on average and one standard deviation more.
+    Slots that differ in their four bits differ in one of them with chance 8 / 15.
+    """
+    p = (1 - like) * 8 / 15
+    return int(slots * p + 2 * np.sqrt(slots * p * (1 - p)))
+
+
+def sketch(prints: np.ndarray) -> np.ndarray:
+    """One bit of each slot, packed."""
+    return np.packbits(prints & 1, axis=1)
+
+
+def near_table(own: DataFrame, like: float = LIKENESS, slots: int = SLOTS) -> DataFrame:
+    """fp, component_id of every distinct fingerprint of `own` (doc_id, fp): the smallest doc_id reachable over texts about `like` alike.
+
+    A node is a sketch.  Candidates share a band of sampled slots; the sketches' distance verifies them, up to what the
+    likeness has on average and two standard deviations more.
     """
-    own = materialise(fingerprints(docs, slots), "editprints")
-    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     bands = np.random.RandomState(11).randint(0, slots, (BANDS, BAND))
+    slots_of = lambda fps: (lambda x: np.stack([x >> 4, x & 15], axis=2).reshape(len(x), -1))(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1))
+
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(sketch=[x.tobytes() for x in sketch(slots_of(pdf["fp"]))])
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                packed = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1)
-                every = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(pdf), -1)
+                every = slots_of(pdf["fp"]).astype(np.int64)
                 for b, pick in enumerate(bands):
-                    yield pd.DataFrame({"key": [bytes([b]) + k.tobytes() for k in every[:, pick]], "fp": pdf["fp"]})
+                    value = (every[:, pick] << (4 * np.arange(BAND))).sum(axis=1)
+                    yield pd.DataFrame({"key": value | b << (4 * BAND), "fp": pdf["sketch"]})
+
+    prints_ = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")).mapInPandas(sketched, "fp binary, least long, sketch binary"), "prints")
+    nodes = materialise(prints_.groupBy(F.col("sketch").alias("fp")).agg(F.min("least").alias("least")), "nodes")
+    rows = prints_.select("fp", "sketch").mapInPandas(keyed, "key long, fp binary").distinct()
+    found = class_ids(nodes, bucket_links(rows, near_radius(like, slots)))
+    return prints_.select("fp", "sketch").join(found.withColumnRenamed("fp", "sketch"), "sketch").select("fp", "component_id")
 
-    rows = materialise(nodes.select("fp").mapInPandas(keyed, "key binary, fp binary"), "keyed")
-    # a differing slot differs in 32/15 of its four bits on average
-    radius = int((1 - like) * slots * 32 / 15 + 2 * np.sqrt(slots * like * (1 - like)))
-    return joined(own, nodes, bucket_links(rows, radius))
+
+def near_classes(docs: DataFrame, like: float = LIKENESS, slots: int = SLOTS) -> DataFrame:
+    """doc_id, fp, component_id of every document."""
+    own = materialise(fingerprints(docs, slots), "editprints")
+    return own.join(near_table(own, like, slots), "fp").select("doc_id", "fp", "component_id")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, b, own: every document in its range b of ids, and once more, with own false, the row that follows range b.
+    """k, h, text, b, own: every document in its range b of ids, and once more, with own false, the row that follows range b.
 
-    Ids are split into ranges by quantiles of the id column alone; only the first row of each range is sent twice.
-    The rows of a range are not a group: a task sorts and streams them.
+    k is the id (nulls first), h splits a frequent one.  Ids are split into ranges by quantiles of the id column alone, and
+    an id with more than a range's share of the rows into ranges of a hash of the text; only the first row of each range
+    is sent twice.  The rows of a range are not a group: a task sorts and streams them.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    least = -(2**63)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     n = parts(spark)
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.01 / n if n < 1000 else 1e-5))) if n > 1 else []
-    # the number of cuts at or below an id, by a sorted array of at most n numbers
-    ranged = docs.withColumn("b", F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0))
-    used = [r["b"] for r in ranged.select("b").distinct().collect()]  # at most n numbers
-    used.sort()
-    before = dict(zip(used, [used[-1], *used[:-1]], strict=True)) if used else {}
-    heads = ranged.groupBy("b").agg(F.min("doc_id").alias("doc_id"))
-    heads = [(r["b"], r["doc_id"]) for r in heads.collect()]  # one id for each range
-    first = F.broadcast(spark.createDataFrame([(before[b], i) for b, i in heads] or [(0, 0)], "prev int, doc_id long"))
-    again = docs.join(first, "doc_id").groupBy("prev", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    again = again.select("doc_id", "text", F.col("prev").alias("b"), F.lit(False).alias("own"))
-    return ranged.select("doc_id", "text", "b", F.lit(True).alias("own")).unionByName(again)
+    cuts = {(int(c), least) for c in docs.stat.approxQuantile("k", [i / n for i in range(1, n)], 0.01 / n if n < 1000 else 1e-5)} if n > 1 else set()
+    often = [r["k"] for r in docs.groupBy("k").count().where(F.col("count") > docs.count() / n).where("count > 1000").collect()]  # fewer than n
+    cuts |= {(k, least + i * (2**64 // SPLIT)) for k in often for i in range(SPLIT)} | {(k + 1, least) for k in often if k < 2**63 - 1}
+    docs = docs.withColumn("h", F.when(F.col("k").isin(often), F.xxhash64("text")).otherwise(F.lit(0)) if often else F.lit(0).cast("long"))
+    # the number of cuts at or below a row's place, by a sorted array of so many places
+    table = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in sorted(cuts)])
+    ranged = docs.withColumn("b", F.size(F.filter(table, lambda c: (c["k"] < F.col("k")) | ((c["k"] == F.col("k")) & (c["h"] <= F.col("h"))))) if cuts else F.lit(0))
+    heads = sorted((r["b"], tuple(r["head"])) for r in ranged.groupBy("b").agg(F.min(F.struct("k", "h")).alias("head")).collect())  # a row a range
+    before = [heads[i - 1][0] for i in range(len(heads))]
+    first = F.broadcast(spark.createDataFrame([(p, *head) for p, (_, head) in zip(before, heads, strict=True)] or [(0, 0, 0)], "prev int, k long, h long"))
+    again = docs.join(first, ["k", "h"]).groupBy("prev", "k", "h").agg(F.min("text").alias("text"))
+    again = again.select("k", "h", "text", F.col("prev").alias("b"), F.lit(False).alias("own"), F.lit(None).cast("long").alias("doc_id"))
+    return ranged.select("k", "h", "text", "b", F.lit(True).alias("own"), "doc_id").unionByName(again)
 
 
 def edits(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -229,7 +257,7 @@ def edits(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         size = 0
         for pdf in batches:
             for row in zip(pdf["doc_id"], pdf["text"], pdf["b"], pdf["own"], strict=True):
-                held.append((None if pd.isna(row[0]) else int(row[0]), row[1] or "", row[2], row[3]))
+                held.append((None if pd.isna(row[0]) else int(row[0]), row[1], row[2], row[3]))
                 size += len(held[-1][1]) + 64
                 if size > 3_000_000:
                     yield prints(held, len(held) - 1, table, slots)
@@ -238,8 +266,8 @@ def edits(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
             yield prints(held, len(held), table, slots)
 
     rows = in_order(docs)
-    dealt = rows.repartition(parts(docs.sparkSession), "b").sortWithinPartitions("b", F.desc("own"), "doc_id", F.coalesce("text", F.lit("")))
-    return dealt.mapInPandas(run, RESULT)
+    dealt = rows.repartition(parts(docs.sparkSession), "b").sortWithinPartitions("b", F.desc("own"), "k", "h", "text")
+    return dealt.select("doc_id", "text", "b", "own").mapInPandas(run, RESULT)
 
 
 def prints(rows: list[tuple[int | None, str, int, bool]], n: int, table: Callable[[int], np.ndarray], slots: int) -> pd.DataFrame:

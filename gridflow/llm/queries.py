@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import editprint, htmltext, kneserney, langid, licenses, lmscore, packing, sentencepiece, simhash, topk
-from .common import bounded_batches, crc_fold
+from .common import bounded_batches, crc_fold, materialise
 
 #: Where the public vocabularies lie; a parameter of every operator that takes one.
 TOKENIZERS = os.path.dirname(public_tokenizers.__file__)
@@ -37,7 +37,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_editprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.edits(table(spark, sf_dir, "documents"))
+    found = materialise(editprint.edits(table(spark, sf_dir, "documents")), "edits").withColumn("fp", F.unhex("fingerprint"))
+    return found.join(editprint.near_table(found.select("doc_id", "fp")), "fp").drop("fp")
 
 
 def op4_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:

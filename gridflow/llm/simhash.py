@@ -229,12 +229,21 @@ def classes(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), r
 
 def joined(own: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Each document with the smallest doc_id of its class; hot fingerprints meet only in the last, splittable join."""
+    return own.join(class_ids(nodes, found), "fp").select("doc_id", "fp", "component_id")
+
+
+def class_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """fp and component_id of each node (fp, least) under the links (a, b) between fingerprints.
+
+    A class that holds many nodes gets its smallest id by parts first.
+    """
     roots = components(found)
     tops = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     tops = materialise(tops, "tops")
-    lowest = tops.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = materialise(tops.join(lowest, "root").select("fp", "component_id"), "classes")
-    return own.join(table, "fp").select("doc_id", "fp", "component_id")
+    linked = tops.join(roots.select("root").distinct(), "root", "left_semi")
+    lowest = linked.groupBy("root", F.pmod(F.xxhash64("fp"), F.lit(64)).alias("part")).agg(F.min("least").alias("low")).groupBy("root").agg(F.min("low").alias("low"))
+    lowest = materialise(lowest, "lowest")
+    return materialise(tops.join(lowest, "root", "left").select("fp", F.coalesce("low", "least").alias("component_id")), "classes")
 
 
 #: Near duplicates over five-word shingles: fingerprint seeds, shingle, similarity (for sets of like size the cosine is

@@ -57,7 +57,7 @@ def test_sentencepiece_scores_equal_the_librarys_unigram(docs):
     texts = [t for t in AWKWARD if t] + docs["text"].head(60).tolist()
     for t in texts:
         split = own.split(t)
-        ids = np.concatenate(own.encode_words(split))
+        ids = np.frombuffer(b"".join(own.encode_words(split)), "<i4")
         want = library.encode(t)
         assert own.decode(ids) == t
         assert sum(1 for i in ids if i in rank) and cost([i for i in ids if i in rank]) == pytest.approx(cost([i for i in want if i in rank]), rel=1e-5)
@@ -72,6 +72,45 @@ def test_sentencepiece_operator_round_trip(spark):
         assert got[i]["decoded"] == (t or "") and len(got[i]["ids"]) == got[i]["n_tokens"]
 
 
+def plain_ids(own, word):
+    """The best ids of a word by a search over all places and pieces."""
+    best, back = [0.0] + [-math.inf] * len(word), [None] * (len(word) + 1)
+    table_ = {"".join(map(chr, row[:n])): k for k, (row, n) in enumerate(zip(own.points.tolist(), own.lengths.tolist(), strict=True))}
+    for e in range(1, len(word) + 1):
+        for b in range(e - 1, max(-1, e - own.longest - 1), -1):
+            k = table_.get(word[b:e], -1 if b == e - 1 else None)
+            if k is not None and best[b] + (own.scores[k] if k >= 0 else own.least) >= best[e]:
+                best[e], back[e] = best[b] + (own.scores[k] if k >= 0 else own.least), (b, k)
+    out, e = [], len(word)
+    while e:
+        b, k = back[e]
+        out.append([int(own.ids[k])] if k >= 0 else [own.byte[x] for x in word[b:e].encode()])
+        e = b
+    return [i for x in reversed(out) for i in x]
+
+
+def test_sentencepiece_words_of_every_length(docs, monkeypatch):
+    own = sentencepiece.Pieces(queries.tokenizer_path("piece_bpe_32k.model"))
+    text = "".join(docs["text"].head(5)).replace(" ", "")
+    words_ = [sentencepiece.MARK + text[i : i + n] for i, n in enumerate([0, 1, 2, 5, 15, 16, 17, 40, 120, 298, 299, 300, 900])] + ["日本é😀" * 3, "aaaaaaaa", "\0\0a"]
+    want = [plain_ids(own, w) for w in words_]
+    assert [list(np.frombuffer(x, "<i4")) for x in own.encode_words(words_)] == want
+    assert [list(np.frombuffer(x, "<i4")) for x in own.encode_words(words_[::-1])] == want[::-1]  # remembered
+    monkeypatch.setattr(sentencepiece, "SEGMENT", 50)
+    assert [list(np.frombuffer(own.long_word(w), "<i4")) for w in words_] == want
+    monkeypatch.setattr(sentencepiece, "REMEMBERED", 1000)
+    own.room = 1000
+    for w, ids in zip(words_, want, strict=True):
+        assert list(np.frombuffer(own.encode_words([w])[0], "<i4")) == ids
+
+
+def test_sentencepiece_very_long_word(spark):
+    text = "abcdefghij" * 100_000 + " end"
+    got = sentencepiece.encode_decode(table(spark, [text, text]), queries.tokenizer_path("piece_bpe_32k.model")).collect()
+    assert [r["decoded"] for r in got] == [text] * 2 and got[0]["ids"] == got[1]["ids"]
+    assert sentencepiece.encode_decode(table(spark, []), queries.tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
 # 2
 
 
@@ -91,7 +130,7 @@ def test_kneserney_against_plain_model(spark):
     for k in (1, 2, 3):
         n = collections.Counter(v for g, v in c.items() if len(g) == k)
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        d[k] = [0] + [max(0, min(i, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.5 * i for i in (1, 2, 3)]
+        d[k] = [0] + [x if n[i] and 0 < (x := i - (i + 1) * y * n[i + 1] / n[i]) < i else 0.5 * i for i in (1, 2, 3)]
 
     def p(g):
         if not g:
@@ -114,6 +153,22 @@ def test_quality_keeps_good_and_drops_junk(spark, sf):
     assert kept[1] > 0.97 and kept[0] < 0.5
 
 
+def test_quality_is_finite_and_keeps_held_out_good_texts(spark):
+    found = queries.op2_quality(spark, "/root/testdata/sf0.01").toPandas()
+    assert np.isfinite(found["perplexity"]).all() and found["perplexity"].max() < 1000
+    held = found[found["trusted"] & found["held_out"]]
+    assert len(held) > 30 and held["keep"].mean() > 0.95
+
+
+def test_quality_with_many_buckets(spark, docs, monkeypatch):
+    texts = docs["text"].head(40).tolist()
+    trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
+    once = {r["doc_id"]: r["log2_perplexity"] for r in kneserney.perplexities(table(spark, texts), trusted).collect()}
+    monkeypatch.setattr(kneserney, "BUCKET", 5000)
+    got = kneserney.perplexities(table(spark, texts).repartition(3), trusted).collect()
+    assert len(got) == 40 and all(r["log2_perplexity"] == pytest.approx(once[r["doc_id"]], rel=1e-9) for r in got)
+
+
 def test_quality_limit_lies_near_the_quantile(spark):
     scores = [2 + 0.3 * i / 1000 for i in range(1000)]  # trusted texts that spread by 0.3 bits
     scored = spark.createDataFrame([("en", x, True) for x in scores] + [("en", 9.0, False)], "lang string, log2_perplexity double, trusted boolean")
@@ -144,6 +199,53 @@ def test_editprint_rows(spark):
     assert editprint.edits(table(spark, ["alone"])).first()["near_next"] == 1.0
 
 
+def test_editprint_null_repeated_and_frequent_ids(spark):
+    texts, ids = ["b", "a", "c", None, "d", "a", "e"], [5, 5, None, 9, 2, None, 7]
+    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in editprint.edits(table(spark, texts, ids)).collect()), key=str)
+    rows = sorted(zip(ids, [t or "" for t in texts], strict=True), key=lambda r: (-1 if r[0] is None else r[0], r[1]))
+    edited = lambda t, after: t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+    assert got == sorted(((i, len(t), hashlib.sha256(edited(t, rows[(k + 1) % 7][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows)), key=str)
+    # an id with most of the rows is split over ranges; its rows follow each other in one order
+    texts, ids = [f"text {i} of it" for i in range(3000)], [i if i % 3 == 0 else 700 for i in range(3000)]
+    got = editprint.edits(table(spark, texts, ids)).collect()
+    whole = collections.Counter((i, len(t)) for i, t in zip(ids, texts, strict=True))
+    assert collections.Counter((r["doc_id"], r["n_chars"]) for r in got) == whole
+    heads = collections.Counter(r["edited_sha256"] for r in got)
+    assert len(heads) > 1000 and editprint.in_order(table(spark, texts, ids)).select("b").distinct().count() > 16
+
+
+def test_editprint_fingerprint_against_plain_walk():
+    """The fingerprint by a walk of one text, step by step."""
+    def plain(text):
+        steps, bits = int(editprint.steps_of(np.array([len(text)]))[0]), {}
+        at, wrote = 0, []
+        for j in range(steps):
+            bits.setdefault(j // editprint.STEPS, editprint.bits_at(j // editprint.STEPS))
+            wrote.append(at)
+            c = ord(text[at])
+            at += int(bits[j // editprint.STEPS][j % editprint.STEPS, (c ^ (c >> 8)) & 255])
+            at = 0 if at == len(text) else at
+        out = []
+        for slot in range(editprint.SLOTS):
+            key, b, to = int(editprint.mix(np.array([slot + 1], np.uint64))[0]), -1, 0
+            while to < steps:
+                b, key = to, (key * 2862933555777941757 + 1) % 2**64
+                to = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+            out.append(int(editprint.mix(np.array([ord(text[wrote[b]]) + 1], np.uint64))[0] >> np.uint64(60)))
+        return out
+
+    rng = np.random.default_rng(13)
+    texts = ["a", "ab", "é日本", *("".join(map(chr, rng.integers(97, 123, n))) for n in (10, 300, 2500, 6000))]
+    assert [row.tolist() for row in editprint.embed(texts, editprint.moves())] == [plain(t) for t in texts]
+
+
+def test_editprint_query_has_classes(spark, sf):
+    got = queries.op3_editprint(spark, sf).toPandas()
+    docs_ = pd.read_parquet(f"{sf}/documents.parquet")
+    assert len(got) == len(docs_) and (got["component_id"] <= got["doc_id"]).all()
+    assert got.groupby("fingerprint")["component_id"].nunique().max() == 1
+
+
 def test_editprint_follows_edit_distance(docs):
     table_ = editprint.moves()
     text = max(docs["text"], key=len)[:6000]
@@ -262,6 +364,41 @@ def test_langid_awkward(spark):
     assert {r["lang_pred"] for r in langid.predict(table(spark, AWKWARD), {}).collect()} == {"und"}
 
 
+def test_langid_without_letters_many_languages_and_repeated_rows(spark, monkeypatch):
+    model = {"en": "the cat sat on the mat " * 20, "de": "die katze sitzt nicht auf der matte " * 20}
+    found = langid.predict(table(spark, ["½ ² ٣", "12 34", "!?", "½ the cat sat on the mat"]), model).orderBy("doc_id").collect()
+    assert [(r["lang_pred"], r["score"]) for r in found[:3]] == [("und", 0.0)] * 3 and found[3]["lang_pred"] == "en"
+    texts = [f"word{i} of language {i}" for i in range(600)]
+    own = langid.fit(table(spark, texts, lang=[f"l{i}" for i in range(600)]))
+    assert len(own) == 600
+    monkeypatch.setattr(langid, "MODEL", 6400)
+    assert {len(x) for x in langid.fit(table(spark, texts, lang=[f"l{i}" for i in range(600)])).values()} <= set(range(11))
+    once, again = (langid.fit(table(spark, ["the cat sat"] * n, [3] * n)) for n in (1, 50))
+    assert once == again == {"en": "the cat sat"}
+
+
+def plain_predict(model, text):
+    """Sizes by compressors of their own, one piece after the other."""
+    import zstandard
+
+    data = " ".join(langid.words_of(text)).encode()
+    sizes = {}
+    for lang, words_ in model.items():
+        dictionary = zstandard.ZstdCompressionDict(words_.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes[lang] = sum(len(made.compress(data[a : a + langid.PIECE])) for a in range(0, len(data), langid.PIECE))
+    return min(sizes, key=lambda x: (sizes[x], x)), sizes
+
+
+def test_langid_against_plain_sizes(spark, sf):
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs_)
+    for r in langid.predict(docs_, model).join(docs_.select("doc_id", "text"), "doc_id").limit(120).collect():
+        lang, sizes = plain_predict(model, r["text"])
+        best, second = sorted(sizes.values())[:2]
+        assert r["lang_pred"] == lang and abs(r["margin"] - (second - best)) <= 1 and r["rejected"] == (second <= best + max(langid.NARROW_BYTES, langid.NARROW * best))
+
+
 def test_langid_rejects_narrow_margins_at_any_length(docs):
     rng = np.random.default_rng(8)
     texts = {lang: " ".join(docs[docs["lang"] == lang]["text"].dropna()) for lang in ("en", "de", "fr", "es")}
@@ -297,6 +434,35 @@ def test_licenses_against_plain_scan(spark, docs):
     assert {"gpl-3-or-later", "mit", "reserved"} <= set(got[n + 1]["lic_labels"]) and "apache-2.0" in got[n + 2]["lic_labels"]
 
 
+def plain_survivors(found):
+    def hides(d, e):
+        longer, same = e["end"] - e["start"] > d["end"] - d["start"], (e["start"], e["end"]) == (d["start"], d["end"])
+        return e["start"] <= d["start"] and e["end"] >= d["end"] and (e["priority"] < d["priority"] or e["priority"] == d["priority"] and (longer or same and e["rule"] < d["rule"]))
+
+    return sorted((d["start"], d["end"], d["rule"]) for d in found if not any(hides(d, e) for e in found))
+
+
+def test_license_suppression_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    own = licenses.rules()
+    texts = ["MIT License and the MIT license; GPL v3 or later, GPL 3.0 GPL", "all rights reserved " * 300, ""]
+    texts += [" ".join(str(rng.choice(["gnu", "general public license", "version", "3", "2", "or later", "licensed under the", "mit", "license", "cc by", "nc", "4.0", "bsd", "clause", "spdx license identifier"])) for _ in range(n)) for n in (5, 60, 400)]
+    words_ = F.col("w")
+    rows = table(spark, texts).select("doc_id", licenses.word_text(F.col("text")).alias("w")).withColumn("every", licenses.detections(words_)).withColumn("left", licenses.survivors(F.col("every"))).collect()
+    for r in rows:
+        want = sorted((m.start(), m.end(), i) for i, (_, _, keyword, x) in enumerate(own) if keyword in r["w"] for m in re.finditer(f"(?<= )(?:{x})(?= )", r["w"]))
+        assert sorted((d["start"], d["end"], d["rule"]) for d in r["every"] or []) == want
+        assert [(d["start"], d["end"], d["rule"]) for d in r["left"] or []] == plain_survivors(r["every"] or [])
+
+
+def test_licenses_long_text_empty_table_and_letters(spark):
+    long = "MIT License, all rights reserved. " * 4000
+    found = {r["doc_id"]: r for r in licenses.scan(table(spark, [long, "LİCENSE Kcc By", None])).collect()}
+    assert found[0]["lic_n_base"] == 4000 and len(found[0]["lic_found"]) == 8000 and found[0]["lic_last"] == 5 * 3999 + 2
+    assert found[1]["lic_n_words"] == 3 and found[1]["lic_n_base"] == 0
+    assert licenses.scan(table(spark, [])).count() == 0
+
+
 def test_every_license_rule_is_reached_by_a_stem():
     assert len(licenses.rules()) > 300
     for _, _, keyword, pattern in licenses.rules():
@@ -351,6 +517,51 @@ def test_html_marked_page_without_its_mark(spark, sf, page_weights):
         assert htmltext.extract(re.sub(r"<(/?)(article|main)(?=[\s>])", r"<\1div", page), page_weights)[0] == htmltext.extract(page, page_weights)[0]
 
 
+def test_html_names_that_only_look_like_those_of_other_parts(page_weights):
+    body = "<p>" + " ".join(f"word{i}" for i in range(60)) + "</p>"
+    for open_, close in (('<div class="side-story">', "</div>"), ('<main><section class="search-results-notice">', "</section></main>"), ('<div class="content no-sidebar">', "</div>"), ('<div id="social-history">', "</div>")):
+        for weights in (page_weights, {}):
+            assert "word59" in htmltext.extract(f"<html><body><nav><a>x</a></nav>{open_}{body}{close}</body></html>", weights)[0], open_
+    for name in ("sidebar", "left-side", "site-notice", "share-buttons", "related-posts", "ad", "post-comments", "cookie-notice", "navBar", "search-box", "newsletter-form", "page-header"):
+        page = f'<html><body><div class="{name}"><p>not this text at all</p></div><article>{body}</article></body></html>'
+        assert "not this" not in htmltext.extract(page, page_weights)[0], name
+
+
+def test_html_deep_nesting_and_long_pages(page_weights):
+    deep = "<div><b>" * 30_000 + "deep text" + "</b></div>" * 30_000
+    assert htmltext.extract(deep, page_weights)[0] == "deep text"
+    assert len(htmltext.extract("<article>" + "<i>word</i> " * 200_000 + "</article>", page_weights)[0]) == 5 * 200_000 - 1
+
+
+def plain_extract(page, weights):
+    """Every run of words and tags, the best by its sum; then its blocks."""
+    found = htmltext.blocks(page)
+    marked = any(m and not n and t for t, _, n, m, _ in found)
+    items = []
+    for i, (text, block, never, inside, tags) in enumerate(found):
+        for t in tags:
+            odds = weights.get(f"t:{htmltext.kind(t)}", 0.0)
+            items.append((-1, -0.01 if t.lstrip("/") in htmltext.INLINE - {"a"} else -max(0.01, 0.5 - odds / 2)))
+        if text:
+            w = max(0.25, 1 + weights.get(f"w:{htmltext.kind(block)}", 0.0) + (weights.get(f"m:{int(inside)}", 0.0) if marked else 0.0))
+            items.append((i, 0.0 if never else w * len(text.split())))
+    best = max(((sum(s for _, s in items[a:b]), -a, b) for a in range(len(items)) for b in range(a, len(items) + 1)), key=lambda x: (round(x[0], 6), x[1], -x[2]))
+    return {i for i, s in items[-best[1] : best[2]] if i >= 0 and not found[i][2]}, best[0]
+
+
+def test_html_against_every_run(page_weights):
+    rng = np.random.default_rng(14)
+    for _ in range(60):
+        page = ""
+        for _ in range(int(rng.integers(1, 9))):
+            tag = str(rng.choice(["p", "div", "li", "article", "nav", "h2", "section", "a", "b"]))
+            page += f"<{tag}>{'w ' * int(rng.integers(0, 12))}</{tag}>" if rng.random() < 0.8 else f"<{tag}>"
+        found = htmltext.blocks(page)
+        kept, score = htmltext.region(found, page_weights)
+        assert score == pytest.approx(plain_extract(page, page_weights)[1], abs=1e-6)
+        assert not any(found[i][2] for i in kept)
+
+
 def test_html_best_run_is_the_best():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -418,6 +629,20 @@ def test_topk_few_and_huge(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_many_blocks_and_dimensions(spark, monkeypatch):
+    for name, n in (("BLOCK", 20), ("BLOCK_BYTES", 2000), ("QUERIES", 3), ("ROTATED", 30), ("STRIDE", 7)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.integers(-9, 9, 5 if i % 4 else 6).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, k=3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q, v in rows[::10]:
+        best = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+        assert got[q] == [(i, -s) for s, i in best]
+
+
 # 10
 
 
