@@ -26,6 +26,30 @@ def null_if_any(value: Column, *fields: Column) -> Column:
     return F.when(~some, value)
 
 
+Pair = tuple[Column, Column]
+
+
+def both(p: Pair, q: Pair) -> Pair:
+    """Logical and of (value, error) pairs: a false side decides, whatever the other's error."""
+    decided = F.coalesce(p[1].isNull() & ~p[0], F.lit(False)) | F.coalesce(q[1].isNull() & ~q[0], F.lit(False))
+    error = F.when(~decided, F.coalesce(p[1], q[1]))
+    return F.when(decided, False).when(error.isNull(), p[0] & q[0]), error
+
+
+def either(p: Pair, q: Pair) -> Pair:
+    """Logical or of pairs: a true side decides."""
+    decided = F.coalesce(p[1].isNull() & p[0], F.lit(False)) | F.coalesce(q[1].isNull() & q[0], F.lit(False))
+    error = F.when(~decided, F.coalesce(p[1], q[1]))
+    return F.when(decided, True).when(error.isNull(), p[0] | q[0]), error
+
+
+def chosen(condition: Pair, yes: Pair, no: Pair) -> Pair:
+    """One of two pairs by a condition; an error of the side that is not taken does not count."""
+    fine = condition[1].isNull()
+    value = F.when(fine & condition[0], yes[0]).when(fine & ~condition[0], no[0])
+    return value, F.when(~fine, condition[1]).when(condition[0], yes[1]).when(~condition[0], no[1])
+
+
 def text_len(s: Column) -> Column:
     return F.length(F.coalesce(s, F.lit(""))).cast("long")
 

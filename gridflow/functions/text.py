@@ -53,14 +53,12 @@ def is_blank(value: Column) -> Column:
 
 
 def key_norm(value: Column, kind: T.DataType, width: bool = False) -> Column:
-    """A key's text form, so that 1, 1.0, '1' and ' 1 ' meet: booleans as True or False, whole numbers without a point."""
+    """A key's text form, so that 1, 1.0, '1' and ' 1 ' meet: booleans as True or False, whole floats without a point; decimals keep their digits."""
     if isinstance(kind, T.BooleanType):
         return F.when(value, "True").when(~value, "False")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         whole = (value == F.floor(value)) & (F.abs(value) < 1e18)
         return F.when(whole, F.floor(value).cast("string")).otherwise(value.cast("string"))
-    if isinstance(kind, T.DecimalType):
-        return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.regexp_replace(value.cast("string"), r"0+$", ""))
     if isinstance(kind, T.StringType):
         return norm_text(value, width)
     return value.cast("string")
@@ -73,7 +71,7 @@ def key_columns(df: DataFrame, fields: list[str], prefix: str) -> tuple[DataFram
 
 
 def norm_value(value: Column, kind: T.DataType) -> Column:
-    """A value's text form for change detection: booleans 1 or 0, whole numbers without a point, decimals without end zeros, dates as text."""
+    """A value's text form for change detection: booleans 1 or 0, whole numbers without a point, decimals without end zeros, dates as text, times to the second."""
     if isinstance(kind, T.BooleanType):
         return F.when(value, "1").when(~value, "0")
     if isinstance(kind, T.StringType):
@@ -81,5 +79,7 @@ def norm_value(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         return F.to_json(value)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+    if isinstance(kind, T.DecimalType):
+        return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.regexp_replace(value.cast("string"), r"0+$", ""))
     return key_norm(value, kind)

@@ -134,7 +134,56 @@ def bad_values(df: DataFrame, target: T.StructType, lengths: Mapping[str, int] |
     return found.groupBy("x.field", "x.problem").agg(F.count("*").alias("n"))
 
 
+def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """field, problem, n like `bad_values`: rows beyond the first of their key, null keys included."""
+    own, names = key_columns(df, list(keys), "_k")
+    again = own.groupBy(*names).agg((F.count("*") - 1).alias("n")).where("n > 0")
+    return again.agg(F.sum("n").alias("n")).where("n > 0").select(F.lit(",".join(keys)).alias("field"), F.lit("repeated").alias("problem"), "n")
+
+
+def touched(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The partitions that rows touch."""
+    return df.select(*fields).distinct()
+
+
+def undone(live: DataFrame, before: DataFrame, fields: Sequence[str], parts: DataFrame) -> DataFrame:
+    """The live rows with these partitions as they were before."""
+    return live.join(parts, list(fields), "left_anti").unionByName(before.join(parts, list(fields), "left_semi").select(*live.columns))
+
+
+def live_rows(live: DataFrame, new: DataFrame, fields: Sequence[str], few: int = 500) -> DataFrame:
+    """The live rows of the partitions that `new` touches.  Up to `few` of them are named in a filter that the scan prunes by; more are joined."""
+    parts = touched(new, fields)
+    own = parts.limit(few + 1).collect()
+    if len(own) > few:
+        return live.join(parts, list(fields), "left_semi")
+    hit = F.lit(False)
+    for r in own:
+        one = F.lit(True)
+        for f in fields:
+            one = one & F.col(f"`{f}`").eqNullSafe(F.lit(r[f]))
+        hit = hit | one
+    if len(fields) == 1 and all(r[0] is not None for r in own):
+        hit = F.col(f"`{fields[0]}`").isin([r[0] for r in own])
+    return live.where(hit)
+
+
+def verdict(ratios: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The row of `guard_ratios` with failed, the guards that these counts break, in order."""
+    some = F.col("live_rows") > 0
+    checks = [
+        (F.lit(not limits.allow_empty) & some & (F.col("new_rows") == 0), "EMPTY"), (some & (F.col("change_ratio") > limits.change_ratio), "ROW_CHANGE"), (some & (F.col("delete_ratio") > limits.delete_ratio), "DELETES"),
+        (F.lit(False) if limits.min_rows is None else F.col("new_rows") < limits.min_rows, "ROWS"), (F.lit(False) if limits.max_rows is None else F.col("new_rows") > limits.max_rows, "ROWS"),
+    ]
+    return ratios.withColumn("failed", F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in checks]))))
+
+
+def page(df: DataFrame, order: Sequence[str], offset: int, limit: int, where: Column | None = None) -> DataFrame:
+    """One page of rows in a stated order."""
+    own = df if where is None else df.where(where)
+    return own.orderBy(*order).offset(offset).limit(limit)
+
+
 def replace_partitions(live: DataFrame, new: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The live rows with every partition that `new` touches replaced by its rows there; null partition values are an error upstream."""
-    touched = new.select(*fields).distinct()
-    return live.join(touched, list(fields), "left_anti").select(*new.columns).unionByName(new)
+    return live.join(touched(new, fields), list(fields), "left_anti").select(*new.columns).unionByName(new)

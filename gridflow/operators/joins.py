@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,23 +43,65 @@ def estimate(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on
 
 def check(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], cardinality: str, max_rows: int, amplification: float, keep_left: bool) -> None:
     """Raise if a side that must be unique repeats a key, or if the join would give too many rows."""
-    for side, fields, kinds in ((right, right_on, ("MANY_TO_ONE", "ONE_TO_ONE")), (left, left_on, ("ONE_TO_MANY", "ONE_TO_ONE"))):
-        if cardinality in kinds and (found := repeated_keys(side, fields, 3).collect()):
-            raise JoinError("JOIN_KEY_NOT_UNIQUE", str([tuple(r) for r in found]))
-    rows = estimate(left, right, left_on, right_on, keep_left).first()["rows_out"] or 0
-    limit = max_rows if cardinality == "MANY_TO_MANY" else min(max_rows, int(max(left.count(), 1) * amplification))
+    l, names = keyed(left, left_on)
+    r, _ = keyed(right, right_on)
+    a, b = l.groupBy(*names).agg(F.count("*").alias("nl")), r.dropna(subset=names).groupBy(*names).agg(F.count("*").alias("nr"))
+    # one aggregation a side: most rows of a key on either, all left rows, and the rows that the join gives
+    key = F.array(*[F.col(n).isNotNull() for n in names])
+    whole = F.forall(key, lambda x: x)
+    found = a.join(b, names, "full").agg(
+        F.max("nr").alias("nr"), F.max(F.when(whole, F.col("nl"))).alias("nl"), F.coalesce(F.sum("nl"), F.lit(0)).alias("left"),
+        F.coalesce(F.sum(F.coalesce("nl", F.lit(0)) * F.coalesce("nr", F.lit(1 if keep_left else 0))), F.lit(0)).alias("rows"),
+    ).first()  # one row
+    for side, fields, n, kinds in ((right, right_on, found["nr"], ("MANY_TO_ONE", "ONE_TO_ONE")), (left, left_on, found["nl"], ("ONE_TO_MANY", "ONE_TO_ONE"))):
+        if cardinality in kinds and (n or 0) > 1:
+            raise JoinError("JOIN_KEY_NOT_UNIQUE", str([tuple(r) for r in repeated_keys(side, fields, 3).collect()]))
+    rows = found["rows"]
+    limit = max_rows if cardinality == "MANY_TO_MANY" else min(max_rows, int(max(found["left"], 1) * amplification))
     if rows > limit:
         raise JoinError("JOIN_EXPLOSION", f"{rows} rows, at most {limit}")
 
 
+def column_plan(
+    left: Sequence[str], right: Sequence[str], left_on: Sequence[str], right_on: Sequence[str], prefix: str = "right", select: Sequence[str] | None = None, aliases: Mapping[str, str] | None = None, merge: bool = True,
+) -> list[tuple[str, str, str]]:
+    """(side, field, name) of each column of a join, in order.
+
+    select: `left.field`, `right.field` or all of a side as `left.*`; without it all of both.  A right key of the same
+    name as its left one is merged into it.  aliases name columns as they would be called in `select`; a right field whose
+    name is taken gets the prefix.
+    """
+    same = {b for a, b in zip(left_on, right_on, strict=True) if a == b} if merge else set()
+    wanted: list[tuple[str, str]] = []
+    for x in select if select is not None else ("left.*", "right.*"):
+        side, _, field = x.partition(".")
+        if side not in ("left", "right"):
+            raise JoinError("JOIN_SELECT", x)
+        own = left if side == "left" else right
+        if field != "*" and field not in own:
+            raise JoinError("JOIN_SELECT", x)
+        wanted += [(side, f) for f in (own if field == "*" else [field]) if not (side == "right" and f in same and field == "*")]
+    out, taken = [], set()
+    for side, f in wanted:
+        name = (aliases or {}).get(f"{side}.{f}", f)
+        if name in taken and side == "right":
+            name = f"{prefix}_{f}"
+        if name in taken:
+            raise JoinError("JOIN_NAME_TAKEN", name)
+        taken.add(name)
+        out.append((side, f, name))
+    return out
+
+
 def join(
     left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], how: str = "INNER", unmatched: str = "SIDE_OUTPUT", prefix: str = "right",
     cardinality: str = "MANY_TO_ONE", max_rows: int = 1_000_000_000, amplification: float = 1.0, checked: bool = True, node: str = "join",
+    select: Sequence[str] | None = None, aliases: Mapping[str, str] | None = None, merge: bool = True,
 ) -> Flow:
     """Equi-join on normalised keys; null keys never meet.
 
     INNER drops left rows without a partner.  LEFT with SIDE_OUTPUT puts them out on the side only; with KEEP_NULLS
-    they stay in the main output with nulls.  A right field whose name the left has too gets `prefix` before it.
+    they stay in the main output with nulls.  select, aliases, merge and prefix: see `column_plan`.
     """
     if how not in ("INNER", "LEFT"):
         raise ValueError(how)
@@ -68,10 +110,9 @@ def join(
         check(left, right, left_on, right_on, cardinality, max_rows, amplification, keep)
     l, names = keyed(left, left_on)
     r, _ = keyed(right, right_on)
-    drop = {b for a, b in zip(left_on, right_on, strict=True) if a == b}
-    new = {f: f"{prefix}_{f}" if f in left.columns else f for f in right.columns if f not in drop}
-    r = r.dropna(subset=names).select(*names, *[F.col(f"`{f}`").alias(n) for f, n in new.items()])
-    out = l.join(r, names, "left" if keep else "inner").select(*left.columns, *new.values())
+    plan = column_plan(left.columns, right.columns, left_on, right_on, prefix, select, aliases, merge)
+    r = r.dropna(subset=names).select(*names, *[F.col(f"`{f}`").alias(f"_r{i}") for i, (side, f, _) in enumerate(plan) if side == "right"])
+    out = l.join(r, names, "left" if keep else "inner").select(*[(F.col(f"`{f}`") if side == "left" else F.col(f"_r{i}")).alias(n) for i, (side, f, n) in enumerate(plan)])
     if how == "INNER":
         return Flow(out)
     alone = l.join(r.select(*names), names, "left_anti").select(*left.columns)

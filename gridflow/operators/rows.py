@@ -6,6 +6,7 @@ output, and issues are rows of a common form.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Value = Column | tuple[Column, Column]
-#: Names that a field cannot have.
-RESERVED = frozenset(("meta", "params", "true", "false", "null", "in"))
+#: Names that a field cannot have.
+RESERVED = frozenset((
+    "params", "meta", "in", "as", "break", "const", "continue", "else", "for", "function", "if", "import", "let",
+    "loop", "package", "namespace", "return", "var", "void", "while", "null", "true", "false",
+))
 NAME = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
 
 
@@ -72,8 +76,8 @@ def select_rename(df: DataFrame, fields: Mapping[str, str] | Sequence[str]) -> D
     if len(set(names)) < len(names):
         raise ValueError("duplicate names")
     for n in names:
-        if n in RESERVED:
-            raise ValueError(f"reserved name {n}")
+        if n in RESERVED or not re.match(NAME, n):
+            raise ValueError(f"reserved name or none: {n}")
     return df.select(*[F.col(f"`{f}`").alias(n) for f, n in pairs])
 
 

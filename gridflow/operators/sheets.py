@@ -6,6 +6,7 @@ group has the sheet in its key, so nothing meets in one task that does not belon
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
+from ..sources.xlsx import address
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,14 @@ class Rect:
         return Rect(self.top + rows, self.left + cols, self.bottom + rows, self.right + cols)
 
 
+def letters(col: Column) -> Column:
+    """The letters of a column number, up to three."""
+    at = lambda n: F.chr(F.lit(65) + n)
+    one, two = F.pmod(col - 1, F.lit(26)), F.pmod(F.floor((col - 27) / 26), F.lit(26))
+    three = F.pmod(F.floor((col - 703) / 676), F.lit(26))
+    return F.concat(F.when(col > 702, at(three)).otherwise(""), F.when(col > 26, at(two)).otherwise(""), at(one))
+
+
 def matching(text: Column, pattern: str, how: str = "EXACT") -> Column:
     own = norm_text(text)
     return {
@@ -113,7 +123,7 @@ def headers(cells: DataFrame, rows: Sequence[int], joiner: str = "_") -> dict[in
             level[r] = v if v or i == len(rows) - 1 else level[r]
             if level[r] and (not parts or parts[-1] != level[r]):
                 parts.append(level[r])
-        name = joiner.join(parts) or f"_col_{c}"
+        name = joiner.join(parts) or "_col_" + address("", 1, c)[1:-1]
         seen[name] = seen.get(name, 0) + 1
         out[c] = name if seen[name] == 1 else f"{name}_{seen[name]}"
     return out
@@ -135,10 +145,12 @@ def key_values_wide(cells: DataFrame, key_col: int, value_col: int, fields: Mapp
     return long.groupBy("sheet").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(n) for k, n in fields.items()])
 
 
-def matrix(cells: DataFrame, header_rows: Mapping[int, str], header_cols: Mapping[int, str], value: str = "value", drop: Sequence[str] = (), drop_empty: bool = False) -> DataFrame:
+def matrix(cells: DataFrame, header_rows: Mapping[int, str], header_cols: Mapping[int, str], value: str = "value", drop: Sequence[str] = (), drop_empty: bool = True, parsers: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """Unpivot: one row for each body cell with its row headers (column: name) and column headers (row: name).
 
-    Header cells that are blank take the one before them; rows and columns whose header is in `drop` are left out.
+    Header cells that are blank take the one before them; rows and columns with a header in `drop`, or whose headers are
+    all blank, are left out.  parsers: by header name an expression for the whole text and a type; its first group, if it
+    has one, is the value.  A text that does not match stays as it is, or is null where the type is not string.
     """
     first_row, first_col = max(header_rows) + 1, max(header_cols) + 1
     text = F.when(norm_text(F.col("value")) != "", norm_text(F.col("value")))
@@ -149,17 +161,29 @@ def matrix(cells: DataFrame, header_rows: Mapping[int, str], header_cols: Mappin
     rows = body.select("sheet", "row").distinct().join(rows, ["sheet", "row"], "left").withColumns({n: F.last(n, ignorenulls=True).over(down) for n in header_cols.values()})
     cols = body.select("sheet", "col").distinct().join(cols, ["sheet", "col"], "left").withColumns({n: F.last(n, ignorenulls=True).over(across) for n in header_rows.values()})
     out = body.join(rows, ["sheet", "row"]).join(cols, ["sheet", "col"])
-    for n in (*header_cols.values(), *header_rows.values()):
-        out = out.where(F.col(n).isNotNull() & ~F.col(n).isin(*drop) if drop else F.col(n).isNotNull())
+    for names in (header_cols.values(), header_rows.values()):
+        out = out.where(F.coalesce(*[F.col(n) for n in names]).isNotNull())
+        for n in names if drop else ():
+            out = out.where(~F.coalesce(F.col(n).isin(*drop), F.lit(False)))
+    for n, (pattern, kind) in (parsers or {}).items():
+        whole = r"\A(?:" + pattern + r")\z"
+        part = F.regexp_extract(F.col(n), whole, 1 if re.compile(pattern).groups else 0)
+        fits = F.col(n).rlike(whole)
+        out = out.withColumn(n, F.when(fits, part).otherwise(F.col(n)) if kind == "string" else F.when(fits, part.try_cast(kind)))
     return out.where(norm_text(F.col(value)) != "") if drop_empty else out
 
 
 def metrics(long: DataFrame, dims: Sequence[str], metric: str, fields: Mapping[str, str], value: str = "value") -> DataFrame:
-    """Metric names of an unpivoted matrix back to columns; of repeated cells the first by row and column."""
+    """Metric names of an unpivoted matrix back to columns; of repeated cells the first by row and column (see `repeated_metrics`)."""
     place = F.struct("row", "col")
     return long.groupBy("sheet", *dims).agg(*[F.min_by(F.when(F.col(metric) == m, F.col(value)), F.when(F.col(metric) == m, place)).alias(n) for m, n in fields.items()])
 
 
+def repeated_metrics(long: DataFrame, dims: Sequence[str], metric: str) -> DataFrame:
+    """sheet, dims, metric, n: cells that meet in one place of the columns."""
+    return long.groupBy("sheet", *dims, metric).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def grouped(rows: DataFrame, first: str, others: Sequence[str], field: str, title: Column | None = None, subtotal: str | None = None) -> DataFrame:
     """Title rows filled down into `field`, then left out; a title row has its first field only, unless a condition says so."""
     alone = F.col(first).isNotNull()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import convert, scalars
 from ..functions.text import key_norm, norm_text, norm_value
-from ..operators import changes, joins, pivot, rows, sheets, validate
+from ..operators import binding, changes, joins, pivot, rows, sheets, source, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -411,6 +412,266 @@ def locate_end_rows(spark, sf):
     return sheets.end_rows(_part_cells(spark, sf), 1, 20)
 
 
+
+# the source node: a sheet a brand, whose header, column order and end differ from sheet to sheet
+
+
+def _book(spark, sf):
+    """Cells: a title, a header row, a body of parts, and a line that ends it.  Brands with an even digit have the columns turned round and lack the type; flags mark cells of some parts."""
+    p = read(spark, sf, "part").withColumn("even", F.pmod(F.substring("p_brand", -1, 1).cast("int"), F.lit(2)) == 0).withColumn("i", F.col("p_partkey").cast("int"))
+    size = F.when(F.col("p_partkey") % 11 == 0, F.lit("n/a")).when(F.col("p_partkey") % 13 == 0, F.lit(" - ")).otherwise(F.col("p_size").cast("string"))
+    price = F.format_number(F.col("p_retailprice"), 2)
+    own = F.when(F.col("even"), F.array(price, size, F.col("p_partkey").cast("string"), F.lit(None).cast("string"))).otherwise(F.array(F.col("p_partkey").cast("string"), size, price, F.col("p_type")))
+    body = p.select(F.col("p_brand").alias("sheet"), (F.col("i") + 10).alias("row"), F.posexplode(own).alias("col", "value"), F.when(F.col("p_partkey") % 17 == 0, 8).when(F.col("p_partkey") % 19 == 0, 1).otherwise(0).alias("flags"))
+    each = p.select(F.col("p_brand").alias("sheet"), "even").distinct()
+    names = F.when(F.col("even"), F.array(F.lit("Price "), F.lit("Size"), F.lit("Part no"), F.lit(None).cast("string"))).otherwise(F.array(F.lit("part  no"), F.lit("Size"), F.lit("Price"), F.lit("Kind")))
+    head = each.select("sheet", F.lit(3).alias("row"), F.posexplode(names).alias("col", "value"), F.lit(0).alias("flags"))
+    title = each.select("sheet", F.lit(2).alias("row"), F.lit(0).alias("col"), F.lit("Parts").alias("value"), F.lit(0).alias("flags"))
+    last = p.groupBy(F.col("p_brand").alias("sheet")).agg((F.max("i") + 11).alias("row")).select("sheet", "row", F.lit(0).alias("col"), F.lit("The end").alias("value"), F.lit(0).alias("flags"))
+    return body.unionByName(head).unionByName(title).unionByName(last).where("value is not null").withColumn("col", F.col("col") + 1).withColumn("kind", F.lit("s"))
+
+
+_PARTS = source.Region(
+    "parts", sheets.Rect(3, 1, 20, 4), locator="ANCHOR", anchor="Parts", offset=(1, 0), rows="UNTIL_ANCHOR", end="The end", cols="UNTIL_BLANK_HEADER",
+    specs=(
+        binding.Spec("part", "/(?i)part no/", "long", required=True), binding.Spec("size", "Size", "int", default=0), binding.Spec("price", "Price", "decimal", options={"precision": 18, "scale": 2}),
+        binding.Spec("kind", "Kind", default="none"),
+    ),
+)
+_BOOK_SQL = """WITH p AS (SELECT p_partkey AS part, p_brand AS sheet, (p_partkey + 10)::INT AS row, right(p_brand, 1)::INT % 2 = 0 AS even, p_partkey % 11 = 0 AS text, p_partkey % 13 = 0 AS blank,
+    p_partkey % 17 = 0 AS error, p_partkey % 17 <> 0 AND p_partkey % 19 = 0 AS hidden, p_size, p_retailprice, p_type FROM part)"""
+_GOOD_SQL = "SELECT sheet, row, part, CASE WHEN blank THEN 0 ELSE p_size END::INT AS size, p_retailprice::DECIMAL(18,2) AS price, CASE WHEN even THEN 'none' ELSE p_type END AS kind FROM p WHERE NOT text AND NOT error"
+
+
+@query(f"{_BOOK_SQL} {_GOOD_SQL}")
+def source_rows(spark, sf):
+    return source.region_rows(_book(spark, sf), _PARTS).out
+
+
+@query(f"""{_BOOK_SQL}, e AS (SELECT sheet, row, unnest(['part', 'size', 'price'] || CASE WHEN even THEN [] ELSE ['kind'] END) AS field, 'CELL_ERROR_VALUE' AS code FROM p WHERE error
+UNION ALL SELECT sheet, row, 'size', 'TYPE_COERCE_FAILED' FROM p WHERE text AND NOT error) SELECT sheet, row, field, code FROM e""")
+def source_failing_cells(spark, sf):
+    return source.region_rows(_book(spark, sf), _PARTS).reject.drop("value")
+
+
+@query(f"""{_BOOK_SQL}, e AS (SELECT 'WARN' AS severity, 'HEADER_MISSING' AS code, 'kind' AS field, count(DISTINCT sheet) AS n FROM p WHERE even
+UNION ALL SELECT 'WARN', 'HIDDEN_ROWS', NULL, count(*) FROM p WHERE hidden
+UNION ALL SELECT 'ERROR', 'CELL_ERROR_VALUE', unnest(['part', 'size', 'price']), count(*) FROM p WHERE error UNION ALL SELECT 'ERROR', 'CELL_ERROR_VALUE', 'kind', count(*) FROM p WHERE error AND NOT even
+UNION ALL SELECT 'ERROR', 'TYPE_COERCE_FAILED', 'size', count(*) FROM p WHERE text AND NOT error) SELECT 'parts' AS node, severity, code, NULL::VARCHAR AS message, field, n FROM e WHERE n > 0""")
+def source_issues(spark, sf):
+    return source.region_rows(_book(spark, sf), _PARTS).issues
+
+
+@query(f"""{_BOOK_SQL}, e AS (SELECT 'WARN' AS severity, count(DISTINCT sheet) AS n FROM p WHERE even UNION ALL SELECT 'WARN', count(*) FROM p WHERE hidden
+UNION ALL SELECT 'ERROR', sum(CASE WHEN even THEN 3 ELSE 4 END) FROM p WHERE error UNION ALL SELECT 'ERROR', count(*) FROM p WHERE text AND NOT error) SELECT severity, sum(n)::BIGINT AS n FROM e WHERE n > 0 GROUP BY 1""")
+def issue_severities(spark, sf):
+    return source.severities(source.region_rows(_book(spark, sf), _PARTS).issues)
+
+
+@query(f"{_BOOK_SQL}, g AS ({_GOOD_SQL}) SELECT sheet AS brand, row, part, size, price, kind FROM g WHERE regexp_full_match(sheet, 'Brand#1.')")
+def source_sheet_set(spark, sf):
+    return source.source(_book(spark, sf), [_PARTS], "REGEX", "Brand#1.", "brand")["parts"].out
+
+
+@query(f"{_BOOK_SQL}, g AS ({_GOOD_SQL}) SELECT g.* FROM g JOIN p USING (sheet, row) WHERE NOT p.hidden")
+def source_hidden_rows_skipped(spark, sf):
+    return source.region_rows(_book(spark, sf), dataclasses.replace(_PARTS, hidden="SKIP")).out
+
+
+@query(f"""{_BOOK_SQL} SELECT sheet, row, part, p_retailprice::DECIMAL(18,2) AS price, CASE WHEN text THEN 'n/a' WHEN blank THEN '-' ELSE p_size::VARCHAR END AS "Size", CASE WHEN NOT even THEN p_type END AS "Kind" FROM p WHERE NOT error""")
+def source_new_columns(spark, sf):
+    own = dataclasses.replace(_PARTS, new_columns="INCLUDE_AS_STRING", specs=(_PARTS.specs[0], _PARTS.specs[2]))
+    found = source.region_rows(_book(spark, sf), own).out
+    return found.withColumn("Size", F.coalesce("Size", F.when(F.col("part") % 13 == 0, "-")))
+
+
+@query(f"""{_BOOK_SQL}, e AS (SELECT sheet, 3 AS top, 1 AS "left", max(row) AS bottom, CASE WHEN even THEN 3 ELSE 4 END AS "right" FROM p GROUP BY sheet, even) SELECT * FROM e""")
+def locate_until_anchor(spark, sf):
+    return source.locate(_book(spark, sf), _PARTS).out
+
+
+@query(f"""{_BOOK_SQL} SELECT sheet, 3 AS top, 1 AS "left", max(row) + 1 AS bottom, CASE WHEN even THEN 3 ELSE 4 END AS "right" FROM p GROUP BY sheet, even""")
+def locate_sheet_end(spark, sf):
+    return source.locate(_book(spark, sf), dataclasses.replace(_PARTS, rows="SHEET_END", locator="FIXED")).out
+
+
+@query(f"""{_BOOK_SQL}, r AS (SELECT sheet, row FROM p UNION SELECT DISTINCT sheet, 3 FROM p UNION SELECT sheet, max(row) + 1 FROM p GROUP BY 1),
+g AS (SELECT *, row - lag(row, 1, 2) OVER (PARTITION BY sheet ORDER BY row) > 25 AS gap FROM r), t AS (SELECT *, sum(gap::INT) OVER (PARTITION BY sheet ORDER BY row) AS part FROM g)
+SELECT sheet, 3 AS top, 1 AS "left", max(row)::INT AS bottom, CASE WHEN right(sheet, 1)::INT % 2 = 0 THEN 3 ELSE 4 END AS "right" FROM t WHERE part = 0 GROUP BY 1""")
+def locate_auto_expand(spark, sf):
+    return source.locate(_book(spark, sf), dataclasses.replace(_PARTS, locator="AUTO_EXPAND", blanks=25)).out
+
+
+@query(f"""{_BOOK_SQL} SELECT sheet, 0 AS moved_rows, 0 AS moved_cols, (max(row) - 2)::INT AS height, abs(max(row) - 2 - 18) > 9 AS size_changed FROM p GROUP BY 1""")
+def locate_report(spark, sf):
+    return source.report(source.locate(_book(spark, sf), _PARTS).out, _PARTS)
+
+
+@query(f"""{_BOOK_SQL} SELECT DISTINCT sheet, 'parts' AS a, 'title' AS b FROM p""")
+def locate_overlaps(spark, sf):
+    regions = [_PARTS, source.Region("title", sheets.Rect(2, 1, 3, 1)), source.Region("free", sheets.Rect(2, 1, 3, 1), shape="IGNORE"), source.Region("fine", sheets.Rect(3, 1, 3, 1), exclude=("parts", "title"))]
+    cells = _book(spark, sf)
+    return source.overlaps({r.id: source.locate(cells, r).out for r in regions}, regions)
+
+
+@query(f"""{_BOOK_SQL} SELECT sheet, min(row)::INT AS row, arg_min(part, row)::VARCHAR AS first, arg_min(CASE WHEN text THEN 'n/a' WHEN blank THEN NULL ELSE p_size::VARCHAR END, row) AS second FROM p WHERE NOT even GROUP BY 1""")
+def shape_summary(spark, sf):
+    own = source.Region("sum", sheets.Rect(4, 1, 4000000, 2), shape="SUMMARY", align=("no", "size"), specs=(binding.Spec("first", "no"), binding.Spec("second", "size")))
+    return source.region_rows(_book(spark, sf).withColumn("flags", F.lit(0)), own).out.where("right(sheet, 1) % 2 = 1")
+
+
+@query(f"""{_BOOK_SQL} SELECT s.sheet, (4 + i)::INT AS row, 1 AS col, CASE WHEN p.part IS NULL THEN NULL WHEN p.even THEN format('{{:,.2f}}', p.p_retailprice::DOUBLE) ELSE p.part::VARCHAR END AS value
+FROM (SELECT DISTINCT sheet FROM p) s CROSS JOIN range(20) a(i) LEFT JOIN p ON p.sheet = s.sheet AND p.row = 4 + i""")
+def cut_padded(spark, sf):
+    cells = _book(spark, sf).where("row > 3 and value <> 'The end'")
+    place = source.locate(_book(spark, sf), source.Region("x", sheets.Rect(4, 1, 23, 1))).out
+    return source.padded(source.cut(cells, place), place)
+
+
+@query(f"""{_BOOK_SQL} SELECT sheet, row, col, value FROM (SELECT sheet, row, 1 AS col, part::VARCHAR AS value FROM p WHERE NOT even UNION ALL SELECT sheet, row, 3, part::VARCHAR FROM p WHERE even) WHERE row % 2 = 0 AND row BETWEEN 11 AND 110""")
+def find_cells(spark, sf):
+    cells = _book(spark, sf).where("row % 2 = 0")
+    return source.find_cells(cells, r"\d{1,3}", "REGEX", sheets.Rect(11, 1, 110, 4)).where("(right(sheet, 1) % 2 = 0 and col = 3) or (right(sheet, 1) % 2 = 1 and col = 1)").select("sheet", "row", "col", "value")
+
+
+@query("""SELECT p_brand AS sheet, (p_partkey + 2)::INT AS row, (p_size + 10)::INT AS col, p_partkey::VARCHAR AS value, 'part ' || p_partkey AS who, p_size::INT AS size FROM part WHERE p_size > 3""")
+def shape_matrix_dim_parsers(spark, sf):
+    p = read(spark, sf, "part")
+    body = p.select(F.col("p_brand").alias("sheet"), (F.col("p_partkey") + 2).cast("int").alias("row"), (F.col("p_size") + 10).cast("int").alias("col"), F.col("p_partkey").cast("string").alias("value"))
+    left = p.select(F.col("p_brand").alias("sheet"), (F.col("p_partkey") + 2).cast("int").alias("row"), F.lit(1).alias("col"), F.concat(F.lit("part "), "p_partkey").alias("value"))
+    top = p.select(F.col("p_brand").alias("sheet"), F.lit(1).alias("row"), (F.col("p_size") + 10).cast("int").alias("col"), F.when(F.col("p_size") > 3, F.concat(F.lit("size "), "p_size")).otherwise("all").alias("value")).distinct()
+    cells = body.unionByName(left).unionByName(top)
+    return sheets.matrix(cells, {1: "size"}, {1: "who"}, drop=("all",), parsers={"size": (r"size (\d+)", "int"), "who": (r"no such (\d+)", "string")}).select("sheet", "row", "col", "value", "who", "size")
+
+
+@query("""WITH r AS (SELECT p_brand AS sheet, p_partkey FROM part), b AS (SELECT sheet, p_partkey AS row, p_partkey - lag(p_partkey) OVER (PARTITION BY sheet ORDER BY p_partkey) > 1 AS gap FROM r),
+g AS (SELECT sheet, row, sum(coalesce(gap, true)::INT) OVER (PARTITION BY sheet ORDER BY row) AS part FROM b),
+e AS (SELECT sheet, min(row)::INT AS top, 1 AS "left", max(row)::INT AS bottom, 1 AS "right" FROM g GROUP BY sheet, part UNION ALL SELECT sheet, min(row)::INT, 4, max(row)::INT, 4 FROM g GROUP BY sheet, part),
+n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY top, "left") AS n FROM e) SELECT sheet, top, "left", bottom, "right", NULL::VARCHAR AS title FROM n WHERE n <= 30""")
+def detect_regions(spark, sf):
+    p = read(spark, sf, "part").select(F.col("p_brand").alias("sheet"), F.col("p_partkey").cast("int").alias("row"), F.posexplode(F.array("p_name", "p_type")).alias("at", "value"))
+    return source.detect(p.select("sheet", "row", (F.col("at") * 3 + 1).alias("col"), "value"))
+
+
+@query("""SELECT 'orders' AS sheet, unnest([1, 2, 3, 4]) AS col, unnest(['int', 'float', 'date', 'string']) AS type""")
+def suggest_types(spark, sf):
+    o = read(spark, sf, "orders")
+    cells = o.select(F.lit("orders").alias("sheet"), F.col("o_orderkey").alias("row"), F.posexplode(F.array(F.format_number("o_custkey", 0), F.concat(F.col("o_totalprice").cast("string"), F.lit("5")), F.date_format("o_orderdate", "yyyy/M/d"), F.col("o_orderpriority"))).alias("at", "value"))
+    return source.typed(cells.withColumn("col", F.col("at") + 1))
+
+
+@query("""SELECT c_custkey, c_nationkey::VARCHAR || '.0' IS NOT NULL AS fine, c_nationkey::VARCHAR AS nation, 'ID_PRECISION_LOST' AS lost, c_nationkey % 2 = 1 AS flag_true FROM customer""")
+def coerce_text(spark, sf):
+    c = read(spark, sf, "customer")
+    nation, _ = binding.coerce(binding.lone(F.concat("c_nationkey", F.lit(".0")), "n"), binding.Spec("nation"))
+    _, lost = binding.coerce(binding.lone(F.lit("1234567890123456"), "n"), binding.Spec("id"))
+    flag, _ = binding.coerce(binding.lone((F.col("c_nationkey") % 2).cast("string"), "b"), binding.Spec("flag"))
+    return c.select("c_custkey", F.lit(True).alias("fine"), nation.alias("nation"), lost.alias("lost"), (flag == "true").alias("flag_true"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'REQUIRED_EMPTY' END AS required, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey ELSE 7 END AS with_default, 'CELL_FORMULA_NO_CACHE' AS uncached,
+o_orderdate::DATE::VARCHAR AS day FROM orders""")
+def coerce_cells(spark, sf):
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.lit(" N/A ")).otherwise(F.col("o_custkey").cast("string"))
+    _, required = binding.coerce(binding.lone(text), binding.Spec("x", type="long", required=True))
+    value, _ = binding.coerce(binding.lone(text), binding.Spec("x", type="long", default=7))
+    _, uncached = binding.coerce(binding.lone(F.lit(None), "n", binding.NO_CACHE), binding.Spec("x"))
+    day, _ = binding.coerce(binding.lone(F.datediff("o_orderdate", F.lit("1899-12-30")).cast("string"), "d"), binding.Spec("x"))
+    return read(spark, sf, "orders").select("o_orderkey", required.alias("required"), value.alias("with_default"), uncached.alias("uncached"), day.alias("day"))
+
+
+# error absorption, join plans, change sets
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_discount = 0 THEN CASE WHEN l_quantity <= 25 THEN false END ELSE l_quantity > 25 AND l_extendedprice / l_discount > 1000000 END AS b,
+CASE WHEN l_discount = 0 AND l_quantity > 25 THEN 'division by zero' END AS b_error, CASE WHEN l_discount = 0 THEN CASE WHEN l_quantity > 25 THEN true END ELSE l_quantity > 25 OR l_extendedprice / l_discount > 1000000 END AS e,
+CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE WHEN l_discount <> 0 THEN l_extendedprice / l_discount END AS c, CASE WHEN l_quantity <= 25 AND l_discount = 0 THEN 'division by zero' END AS c_error FROM lineitem""")
+def expr_error_absorption(spark, sf):
+    ratio = scalars.safe_div(F.col("l_extendedprice"), F.col("l_discount"))
+    many, none = (F.col("l_quantity") > 25, F.lit(None).cast("string")), F.lit(None).cast("string")
+    big = (ratio[0] > 1000000, ratio[1])
+    b, e, c = scalars.both(many, big), scalars.either(many, big), scalars.chosen(many, (F.lit(1.0), none), ratio)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", b[0].alias("b"), b[1].alias("b_error"), e[0].alias("e"), c[0].alias("c"), c[1].alias("c_error"))
+
+
+@query("SELECT o.o_orderkey AS id, o.o_custkey AS customer, c.c_name, c.c_custkey AS theirs FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def join_select_aliases(spark, sf):
+    return joins.join(read(spark, sf, "orders"), read(spark, sf, "customer"), ["o_custkey"], ["c_custkey"], select=["left.o_orderkey", "left.o_custkey", "right.c_name", "right.c_custkey"],
+                      aliases={"left.o_orderkey": "id", "left.o_custkey": "customer", "right.c_custkey": "theirs"}).out
+
+
+@query("""WITH r AS (SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation), s AS (SELECT n_nationkey AS k, upper(n_name) AS name FROM nation)
+SELECT r.k, r.name, r.region, s.k AS other_k, s.name AS other_name FROM r JOIN s ON r.k = s.k""")
+def join_without_merge(spark, sf):
+    n = read(spark, sf, "nation")
+    l = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return joins.join(l, n.select(F.col("n_nationkey").alias("k"), F.upper("n_name").alias("name")), ["k"], ["k"], prefix="other", merge=False).out
+
+
+@query("""WITH a AS (SELECT count(*) AS live FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT count(*) AS new, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS created FROM orders WHERE o_orderkey % 10 < 4),
+d AS (SELECT count(*) AS deleted FROM orders WHERE o_orderkey % 10 >= 4) SELECT live AS live_rows, new AS new_rows, created, deleted,
+list_filter([CASE WHEN abs(new - live)::DOUBLE / live > 0.5 THEN 'ROW_CHANGE' END, CASE WHEN deleted::DOUBLE / live > 0.3 THEN 'DELETES' END, CASE WHEN new > 10 THEN 'ROWS' END], lambda x: x IS NOT NULL)::VARCHAR AS failed FROM a, b, d""")
+def guard_verdict(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    found = changes.verdict(changes.guard_ratios(o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 10 < 4"), ["o_orderkey"]), changes.Limits(max_rows=10))
+    return found.select("live_rows", "new_rows", "created", "deleted", F.concat(F.lit("["), F.array_join("failed", ", "), F.lit("]")).alias("failed"))
+
+
+@query("""SELECT 'c_phone' AS field, 'too long' AS problem, count(*) AS n FROM customer WHERE length(c_mktsegment) > 8 HAVING count(*) > 0
+UNION ALL SELECT 'nation', 'null', count(*) FROM customer WHERE c_nationkey % 5 = 0 HAVING count(*) > 0 UNION ALL SELECT 'c_custkey', 'out of range', count(*) FROM customer WHERE c_custkey > 127 HAVING count(*) > 0""")
+def guard_values(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("c_phone"), F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("nation"))
+    target = T.StructType([T.StructField("c_custkey", T.ByteType()), T.StructField("c_phone", T.StringType()), T.StructField("nation", c.schema["nation"].dataType, False)])
+    return changes.bad_values(c, target, {"c_phone": 8})
+
+
+@query("SELECT 'o_custkey' AS field, 'repeated' AS problem, (count(*) - count(DISTINCT o_custkey))::BIGINT AS n FROM orders HAVING count(*) > count(DISTINCT o_custkey)")
+def guard_repeated_keys(spark, sf):
+    return changes.duplicate_keys(read(spark, sf, "orders").select("o_custkey"), ["o_custkey"])
+
+
+@query("SELECT count(*) AS n, true AS same, false AS other FROM orders")
+def checksum_detects_drift(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    one, turned = changes.checksum(o), changes.checksum(o.orderBy(F.desc("o_custkey")))
+    moved = changes.checksum(o.withColumn("o_custkey", F.when(F.col("o_orderkey") == 1, -1).otherwise(F.col("o_custkey"))))
+    joined = one.join(turned.select("n", F.col("total").alias("t2")), "n").join(moved.select("n", F.col("total").alias("t3")), "n")  # one row each
+    return joined.select("n", (F.col("total") == F.col("t2")).alias("same"), (F.col("total") == F.col("t3")).alias("other"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def partition_live_rows(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return changes.live_rows(o, o.where("o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderkey % 2 = 0"), ["o_orderpriority"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
+def partition_undo(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    new = o.where("o_orderpriority = '1-URGENT' and o_orderkey % 2 = 0").withColumn("o_custkey", F.lit(0).cast(o.schema["o_custkey"].dataType))
+    return changes.undone(changes.replace_partitions(o, new, ["o_orderpriority"]), o, ["o_orderpriority"], changes.touched(new, ["o_orderpriority"]))
+
+
+@query("""SELECT 'u' AS op, o_orderkey FROM orders WHERE o_orderkey % 3 = 0 ORDER BY o_orderkey LIMIT 20 OFFSET 10""")
+def change_log_page(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    after = o.where("o_orderkey % 3 = 0 or o_orderkey % 5 <> 1").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")))
+    found = changes.keyed(o, after, ["o_orderkey"])
+    return changes.page(found.select("op", "o_orderkey"), ["o_orderkey"], 10, 20, F.col("op") == "u")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 50 OFFSET 100")
+def output_page(spark, sf):
+    l = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return changes.page(l, l.columns, 100, 50)
+
+
+@query("SELECT o_orderkey, sha256(o_orderstatus) IS NOT NULL AS made, sha256('{\"o_orderkey\":\"' || o_orderkey || '\",\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS h FROM orders")
+def row_hash_values(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return o.select("o_orderkey", F.lit(True).alias("made"), changes.row_hash(o).alias("h"))
+
+
 # conversion and scalar functions
 
 

@@ -2,6 +2,10 @@
 
 A publication is written beside the live version, counted, and made live by replacing the manifest.  Rolling back is
 pointing to an older version.  All paths go through Spark's Hadoop file system, so any store that Spark reads will do.
+
+Two publications at once: the second to write the next manifest is refused, since a file is created without overwriting.
+HDFS and local file systems do that in one step; on an object store without such a step the writers need a lock of their
+own.  A refused publication deletes what it has written.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import changes
 
@@ -48,12 +53,12 @@ class Releases:
         own = [n for n in names if n.startswith("manifest-") and n.endswith(".json")]
         return json.loads(self._text(own[-1])) if own else {"id": 0, "live": {}, "history": []}
 
-    def _commit(self, expected: int, live: Mapping[str, str], note: str) -> dict:
-        """The next manifest; creating its file without overwriting is the compare-and-set."""
+    def _commit(self, expected: int, live: Mapping[str, str], note: str, **more: object) -> dict:
+        """The next manifest; creating its file without overwriting is the compare-and-set.  more: what its entry says besides."""
         now = self.manifest()
         if now["id"] != expected:
             raise ReleaseError(f"LIVE_CHANGED: {expected} is no longer live")
-        new = {"id": expected + 1, "live": dict(live), "history": [*now["history"], {"id": expected + 1, "live": dict(live), "note": note, "at": time.time()}]}
+        new = {"id": expected + 1, "live": dict(live), "history": [*now["history"], {"id": expected + 1, "live": dict(live), "note": note, "at": time.time(), **more}]}
         try:
             stream = self.fs.create(self._path(f"manifest-{new['id']:012d}.json"), False)
         except Exception as e:
@@ -67,41 +72,91 @@ class Releases:
         own = version or self.manifest()["live"].get(dataset)
         return self.spark.read.parquet(f"{self.root}/{dataset}/{own}") if own else None
 
+    def _sum(self, df: DataFrame) -> list[str]:
+        return [str(x) for x in changes.checksum(df.select(*sorted(df.columns))).first()]
+
+    def drifted(self, dataset: str) -> bool:
+        """Whether the live rows are no longer those that were published."""
+        now = self.manifest()
+        version = now["live"].get(dataset)
+        noted = next((h["sums"][dataset] for h in reversed(now["history"]) if h["live"].get(dataset) == version and dataset in h.get("sums", {})), None)
+        return noted is not None and self._sum(self.read(dataset, version)) != noted
+
     def publish(
         self, outputs: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], limits: changes.Limits = changes.Limits(), force: bool = False, partitions: Mapping[str, Sequence[str]] | None = None, errors: int = 0,
+        targets: Mapping[str, T.StructType] | None = None, lengths: Mapping[str, Mapping[str, int]] | None = None, drift: str = "OVERWRITE", note: str = "publish",
     ) -> dict:
         """Write, check and make live; the counts of changes by dataset, and the manifest.
 
-        A dataset named in `partitions` replaces only the partitions that its rows touch.
+        A dataset named in `partitions` replaces only the partitions that its rows touch.  targets: the schema that a
+        dataset must fit in names, types and values (guards SCHEMA and VALUES, as for repeated keys); drift REJECT refuses
+        live rows that someone else has changed, but for partitions.
         """
         start = self.manifest()
-        live, report = dict(start["live"]), {}
-        for name, df in outputs.items():
-            version = uuid.uuid4().hex
-            before = self.read(name, live.get(name))
-            fields = (partitions or {}).get(name)
-            if fields:
-                if not df.where(" or ".join(f"`{f}` is null" for f in fields)).isEmpty():
+        live, report, sums, written, kept = dict(start["live"]), {}, {}, [], {}
+        try:
+            for name, df in outputs.items():
+                version = uuid.uuid4().hex
+                before = self.read(name, live.get(name))
+                fields = (partitions or {}).get(name)
+                if fields and not df.where(" or ".join(f"`{f}` is null" for f in fields)).isEmpty():
                     raise ReleaseError(f"PARTITION_NULL: {name}")
-                rows = changes.replace_partitions(before, df, fields) if before is not None else df
-            else:
-                rows = df
-            rows.write.parquet(f"{self.root}/{name}/{version}")
-            new = self.read(name, version)
-            n = new.count()
-            if before is None:
-                counts = {"created": n, "updated": 0, "deleted": 0}
-                failed = changes.guards(0, n, n, 0, 0, limits, errors)
-            else:
-                key = keys.get(name)
-                found = changes.keyed(before, new, key) if key else changes.keyless(before, new)
-                counts = changes.summary(found).first().asDict()
-                failed = changes.guards(before.count(), n, **counts, limits=limits, errors=errors)
-            if [g for g in failed if not force or g in changes.NEVER_FORCED]:
-                raise ReleaseError(f"GUARDS: {name}: {', '.join(failed)}")
-            live[name] = version
-            report[name] = counts
-        return {"changes": report, "manifest": self._commit(start["id"], live, "publish")}
+                target = (targets or {}).get(name)
+                wrong = changes.schema_problems(df, target) if target is not None else []
+                if wrong:
+                    raise ReleaseError(f"GUARDS: {name}: SCHEMA: {'; '.join(wrong)}")
+                written.append(f"{name}/{version}")
+                (changes.replace_partitions(before, df, fields) if fields and before is not None else df).write.parquet(f"{self.root}/{name}/{version}")
+                new = self.read(name, version)
+                n, key = new.count(), keys.get(name)
+                bad = changes.bad_values(df, target, (lengths or {}).get(name)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] if target is not None else 0
+                if key:
+                    bad += sum(r["n"] for r in changes.duplicate_keys(new, key).collect())  # one row at most
+                moved = drift == "REJECT" and not fields and before is not None and self.drifted(name)
+                if before is None:
+                    counts = {"created": n, "updated": 0, "deleted": 0}
+                    failed = changes.guards(0, n, n, 0, 0, limits, errors, bad)
+                else:
+                    counts = changes.summary(changes.keyed(before, new, key) if key else changes.keyless(before, new)).first().asDict()
+                    failed = changes.guards(before.count(), n, **counts, limits=limits, errors=errors, bad_values=bad, drift=moved)
+                if [g for g in failed if not force or g in changes.NEVER_FORCED]:
+                    raise ReleaseError(f"GUARDS: {name}: {', '.join(failed)}")
+                if fields:
+                    written.append(f"{name}/{version}-touched")
+                    changes.touched(df, fields).write.parquet(f"{self.root}/{name}/{version}-touched")
+                    kept[name] = {"fields": list(fields), "before": live.get(name)}
+                live[name], report[name], sums[name] = version, counts, self._sum(new)
+            return {"changes": report, "manifest": self._commit(start["id"], live, note, sums=sums, partitions=kept)}
+        except Exception:
+            for path in written:
+                self.fs.delete(self._path(path), True)
+            raise
+
+    def take_over(self, dataset: str, df: DataFrame) -> dict:
+        """The rows that a dataset had before it was published here, as its baseline, which retention never deletes."""
+        start = self.manifest()
+        if dataset in start["live"]:
+            raise ReleaseError(f"TAKEN_OVER: {dataset}")
+        version = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/{dataset}/{version}")
+        return self._commit(start["id"], start["live"] | {dataset: version}, "baseline", sums={dataset: self._sum(self.read(dataset, version))}, baseline=True)
+
+    def undo_partitions(self, dataset: str, publication: int) -> dict:
+        """The partitions that a publication replaced, as they were before it; refused if a later one touched any of them."""
+        now = self.manifest()
+        own = next((h for h in now["history"] if h["id"] == publication and dataset in h.get("partitions", {})), None)
+        if own is None or own["partitions"][dataset]["before"] is None:
+            raise ReleaseError(f"NO_PARTITIONS: {publication}")
+        fields = own["partitions"][dataset]["fields"]
+        parts = self.read(dataset, own["live"][dataset] + "-touched")
+        for h in now["history"]:
+            if h["id"] > publication and h["live"].get(dataset) != own["live"][dataset]:
+                again = dataset in h.get("partitions", {}) and h["partitions"][dataset]["fields"] == fields
+                if not again or not self.read(dataset, h["live"][dataset] + "-touched").join(parts, fields, "left_semi").isEmpty():
+                    raise ReleaseError(f"PARTITION_TOUCHED_LATER: by {h['id']}")
+        version = uuid.uuid4().hex
+        changes.undone(self.read(dataset), self.read(dataset, own["partitions"][dataset]["before"]), fields, parts).write.parquet(f"{self.root}/{dataset}/{version}")
+        return self._commit(now["id"], now["live"] | {dataset: version}, f"undo partitions of {publication}", sums={dataset: self._sum(self.read(dataset, version))})
 
     def forecast(self, dataset: str, df: DataFrame, key: Sequence[str], limits: changes.Limits = changes.Limits()) -> dict:
         """Counts and failing guards of a publication that is not made."""
@@ -112,6 +167,31 @@ class Releases:
         counts = changes.summary(changes.keyed(before, df, key)).first().asDict()
         return counts | {"failed": changes.guards(before.count(), df.count(), **counts, limits=limits)}
 
+    def preview_roll_back(self, to: int, keys: Mapping[str, Sequence[str]]) -> dict:
+        """For each dataset what rolling back would change, fields whose types differ, and whether its live rows have drifted."""
+        now = self.manifest()
+        past = next((h for h in now["history"] if h["id"] == to), None)
+        if past is None:
+            raise ReleaseError(f"NO_RELEASE: {to}")
+        out = {}
+        for name, version in past["live"].items():
+            live, old = self.read(name), self.read(name, version)
+            both = [c for c in old.columns if c in live.columns]
+            found = changes.keyed(live.select(both), old.select(both), keys[name]) if keys.get(name) else changes.keyless(live.select(both), old.select(both))
+            out[name] = changes.summary(found).first().asDict() | {"schema": changes.schema_problems(old, live.schema), "drifted": self.drifted(name)}
+        return out
+
+    def regress(self, dataset: str, runs: Sequence[tuple[DataFrame, int]], key: Sequence[str]) -> list[dict]:
+        """Counts of what a draft's rows change against what was published, for each (rows, publication)."""
+        by = {h["id"]: h["live"].get(dataset) for h in self.manifest()["history"]}
+        return [{"publication": i} | changes.summary(changes.keyed(self.read(dataset, by[i]), df, key)).first().asDict() for df, i in runs]
+
+    def write_issues(self, issues: DataFrame, name: str = "issues") -> str:
+        """Issues as a table of their own beside the datasets."""
+        path = f"{self.root}/_{name}/{uuid.uuid4().hex}"
+        issues.write.parquet(path)
+        return path
+
     def roll_back(self, to: int, expected: int | None = None) -> dict:
         """Make the versions of an older publication live again; nothing is rewritten."""
         now = self.manifest()
@@ -125,15 +205,19 @@ class Releases:
         by = {h["id"]: h["live"].get(dataset) for h in self.manifest()["history"]}
         return changes.keyed(self.read(dataset, by[old]), self.read(dataset, by[new]), key)
 
-    def drop_old(self, keep: int) -> list[str]:
-        """Delete versions that none of the newest `keep` publications names."""
+    def drop_old(self, keep: int, days: float = 1.0) -> list[str]:
+        """Delete versions that none of the newest `keep` publications names, nor the live one, nor a baseline, and that are `days` old.
+
+        The age spares what another publication is writing just now.
+        """
         now = self.manifest()
-        held = {(d, v) for h in now["history"][-keep:] for d, v in h["live"].items()} | set(now["live"].items())
+        held = {(d, v) for h in now["history"] if h in now["history"][-keep:] or h.get("baseline") for d, v in h["live"].items()} | set(now["live"].items())
+        before = (time.time() - days * 86_400) * 1000
         gone = []
         for d in {d for h in now["history"] for d in h["live"]}:
             for status in self.fs.listStatus(self._path(d)):
                 v = status.getPath().getName()
-                if (d, v) not in held:
+                if (d, v.removesuffix("-touched")) not in held and status.getModificationTime() <= before:
                     self.fs.delete(status.getPath(), True)
                     gone.append(f"{d}/{v}")
         return gone

@@ -59,11 +59,25 @@ def _is_date(fmt: str) -> bool:
     return fmt == "date" or bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", fmt.lower())))
 
 
+def problem(path: str, content: bytes, most: int | None = None) -> str | None:
+    """Why a file is not read: its name, its size, a broken container, or too much in it."""
+    if not re.search(r"\.xls[xm]$", path):
+        return "FILE_TYPE"
+    if most is not None and len(content) > most:
+        return "FILE_TOO_LARGE"
+    try:
+        book = zipfile.ZipFile(io.BytesIO(content))
+        book.getinfo("xl/workbook.xml")
+    except (zipfile.BadZipFile, KeyError):
+        return "FILE_BROKEN"
+    return "FILE_TOO_LARGE" if sum(i.file_size for i in book.infolist()) > MAX_UNZIPPED else None
+
+
 def cells_of(path: str, content: bytes, merge_fill: bool) -> Iterator[tuple]:
-    """The cells of one workbook, non-blank or flagged."""
+    """The cells of one workbook, non-blank or flagged; none of a file that `problem` finds fault with."""
+    if problem(path, content):
+        return
     book = zipfile.ZipFile(io.BytesIO(content))
-    if sum(i.file_size for i in book.infolist()) > MAX_UNZIPPED:
-        raise ValueError(f"FILE_TOO_LARGE: {path}")
     strings: list[str] = []
     if "xl/sharedStrings.xml" in book.namelist():
         for _, e in ElementTree.iterparse(book.open("xl/sharedStrings.xml")):
@@ -78,6 +92,10 @@ def cells_of(path: str, content: bytes, merge_fill: bool) -> Iterator[tuple]:
         file = target if target.startswith("xl/") else "xl/" + target
         tail = re.findall(rb'<mergeCell [^>]*ref="([A-Z]+)(\d+):([A-Z]+)(\d+)"', book.read(file)) if merge_fill else []
         merges = [(int(r1), letters_to_number(c1.decode()), int(r2), letters_to_number(c2.decode())) for c1, r1, c2, r2 in tail]
+        by_row: dict[int, list[tuple[int, int, int, int]]] = {}
+        for m in merges:
+            for r in range(m[0], m[2] + 1):
+                by_row.setdefault(r, []).append(m)
         hidden_cols: list[tuple[int, int]] = []
         hidden_row = False
         corner: dict[tuple[int, int], tuple] = {}
@@ -106,10 +124,10 @@ def cells_of(path: str, content: bytes, merge_fill: bool) -> Iterator[tuple]:
                     flags |= NO_CACHE
                 flags |= HIDDEN_ROW * hidden_row | HIDDEN_COL * any(a <= c <= b for a, b in hidden_cols)
                 cell = (path, name, number, r, c, text, kind, flags, fmt)
-                if any((r, c) == (m[0], m[1]) for m in merges):
+                if any((r, c) == (m[0], m[1]) for m in by_row.get(r, ())):
                     corner[r, c] = cell
                 if (text is not None and text.strip()) or flags & ~(BOLD | HIDDEN_ROW | HIDDEN_COL):
-                    if not any(m[0] <= r <= m[2] and m[1] <= c <= m[3] and (r, c) != (m[0], m[1]) for m in merges):
+                    if not any(m[1] <= c <= m[3] and (r, c) != (m[0], m[1]) for m in by_row.get(r, ())):
                         yield cell
                 e.clear()
             elif e.tag == _MAIN + "row":
@@ -140,6 +158,23 @@ def read_cells(spark: SparkSession, path: str, merge_fill: bool = True, rows_per
     return files.mapInPandas(run, CELLS)
 
 
+def upload_report(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """path, size, sha256 and problem (null: none) of every file under a path: what an upload is let in by, and its address by content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [problem(p, bytes(c), most) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pdf[["path", "length", "sha256"]].rename(columns={"length": "size"}).assign(problem=pd.Series(found, dtype=object))
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+    return files.mapInPandas(run, "path string, size long, sha256 string, problem string")
+
+
+def over_cap(cells: DataFrame, cap: int) -> DataFrame:
+    """path, sheet, n: sheets with more cells than are allowed."""
+    return cells.groupBy("path", "sheet").agg(F.count("*").alias("n")).where(F.col("n") > cap)
+
+
 def sheet_report(cells: DataFrame) -> DataFrame:
     """path, sheet, max_row, max_col, hidden, uncached and a fingerprint of the first ten rows that have text."""
     flag = lambda f: F.count(F.when(F.col("flags").bitwiseAND(f) != 0, 1))

@@ -17,8 +17,11 @@ def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
 
 
-def publishing(stream: DataFrame, releases: Releases, dataset: str, keys: Sequence[str], order: str, limits: Limits = Limits(change_ratio=1e9)) -> DataStreamWriter:
-    """A writer that merges each micro-batch into the live version and publishes the result, guarded like any other."""
+def publishing(stream: DataFrame, releases: Releases, dataset: str, keys: Sequence[str], order: str, limits: Limits = Limits()) -> DataStreamWriter:
+    """A writer that merges each micro-batch into the live version and publishes the result, guarded like any other.
+
+    The whole dataset is written again for each micro-batch, so its trigger should be as seldom as its readers allow.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         new, live = latest(rows, keys, order), releases.read(dataset)

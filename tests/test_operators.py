@@ -1,12 +1,14 @@
 import datetime
+import decimal
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridflow.functions import convert, scalars
 from gridflow.functions.text import norm_text
-from gridflow.operators import changes, joins, pivot, rows, sheets, validate
+from gridflow.operators import binding, changes, joins, pivot, rows, sheets, source, validate
 from gridflow.sources import xlsx
 from gridflow.sources.release import ReleaseError, Releases
 
@@ -104,6 +106,104 @@ def test_releases(spark, tmp_path):
     assert store.changes_between("t", 1, 4, ["k"]).count() == 6
 
 
+def test_release_guards_of_schema_values_and_drift(spark, tmp_path):
+    store = Releases(spark, f"file://{tmp_path}/r")
+    one = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "k int, s string")
+    target = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("s", T.StringType())])
+    with pytest.raises(ReleaseError, match="SCHEMA"):
+        store.publish({"t": one.withColumn("more", F.lit(1))}, {"t": ["k"]}, force=True, targets={"t": target})
+    with pytest.raises(ReleaseError, match="VALUES"):
+        store.publish({"t": one}, {"t": ["k"]}, force=True, targets={"t": target}, lengths={"t": {"s": 1}})
+    with pytest.raises(ReleaseError, match="VALUES"):  # repeated keys
+        store.publish({"t": one.union(one)}, {"t": ["k"]}, force=True)
+    assert not list((tmp_path / "r").glob("t/*"))  # nothing of a refused publication stays
+    store.publish({"t": one}, {"t": ["k"]}, targets={"t": target}, lengths={"t": {"s": 5}})
+    version = store.manifest()["live"]["t"]
+    one.limit(1).write.mode("append").parquet(f"{tmp_path}/r/t/{version}")
+    assert store.drifted("t")
+    with pytest.raises(ReleaseError, match="DRIFT"):
+        store.publish({"t": one}, {"t": ["k"]}, drift="REJECT")
+    store.publish({"t": one}, {"t": ["k"]})
+    assert not store.drifted("t")
+
+
+def test_baseline_partition_undo_preview_and_retention(spark, tmp_path):
+    store = Releases(spark, f"file://{tmp_path}/r")
+    base = spark.createDataFrame([(i, i % 3) for i in range(9)], "k int, p int")
+    store.take_over("t", base)
+    with pytest.raises(ReleaseError, match="TAKEN_OVER"):
+        store.take_over("t", base)
+    put = lambda k, p: store.publish({"t": spark.createDataFrame([(k, p)], "k int, p int")}, {"t": ["k"]}, force=True, partitions={"t": ["p"]})["manifest"]["id"]
+    first, second = put(100, 0), put(200, 1)
+    store.undo_partitions("t", first)
+    assert sorted(r["k"] for r in store.read("t").collect()) == [0, 2, 3, 5, 6, 8, 200]
+    again = put(300, 1)
+    with pytest.raises(ReleaseError, match="PARTITION_TOUCHED_LATER"):
+        store.undo_partitions("t", second)
+    assert store.preview_roll_back(1, {"t": ["k"]})["t"] == {"created": 3, "updated": 0, "deleted": 1, "schema": [], "drifted": False}
+    assert store.regress("t", [(base, 1), (base, again)], ["k"])[1]["created"] == 3
+    assert store.drop_old(1) == []  # all are too young
+    gone = store.drop_old(1, days=-1)
+    assert gone and store.read("t").count() == 7 and store.read("t", store.manifest()["history"][0]["live"]["t"]).count() == 9
+
+
+def test_source_over_workbooks(spark, tmp_path):
+    grid = [["Heroes", None, None, None], ["Id", "Power", "Power", "Born"], [1, 10, "x", 45000], [2, "#N/A", "y", 45001.5], ["# note", None, None, None], [3, None, "z", None], ["Total", 10, None, None], [None] * 4, ["other", None, None, None]]
+    workbook(tmp_path / "a.xlsx", grid, hidden=(6,))
+    (tmp_path / "broken.xlsx").write_bytes(b"no zip")
+    (tmp_path / "b.txt").write_bytes(b"x")
+    found = {r["path"].rsplit("/", 1)[1]: r["problem"] for r in xlsx.upload_report(spark, f"file://{tmp_path}/*").collect()}
+    assert found == {"a.xlsx": None, "broken.xlsx": "FILE_BROKEN", "b.txt": "FILE_TYPE"}
+    cells = xlsx.read_cells(spark, f"file://{tmp_path}/*.xlsx").cache()
+    assert xlsx.over_cap(cells, 5).count() == 1 and xlsx.over_cap(cells, 500).count() == 0
+    region = source.Region(
+        "h", sheets.Rect(2, 1, 7, 4), locator="ANCHOR", anchor="Heroes", offset=(1, 0), rows="UNTIL_BLANK_ROWS", cols="UNTIL_BLANK_HEADER", comment="#", subtotals=("Total",),
+        specs=(binding.Spec("id", "Id", "long", required=True), binding.Spec("power", "Power", "int", default=5), binding.Spec("mark", "Power_2"), binding.Spec("born", "Born", "datetime"), binding.Spec("lack", type="int", required=True, default=9)),
+    )
+    flow = source.region_rows(cells, region)
+    born = datetime.datetime(2023, 3, 15)
+    assert sorted(map(tuple, flow.out.drop("sheet").collect())) == [(3, 1, 10, "x", born, 9), (6, 3, 5, "z", None, 9)]
+    assert [tuple(r) for r in flow.reject.drop("sheet").collect()] == [(4, "power", "CELL_ERROR_VALUE", "#N/A")]
+    codes = {(r["severity"], r["code"], r["field"]): r["n"] for r in flow.issues.collect()}
+    assert codes == {("ERROR", "CELL_ERROR_VALUE", "power"): 1, ("ERROR", "HEADER_MISSING_REQUIRED", "lack"): 1, ("WARN", "HEADER_DUPLICATE", "Power_2"): 1, ("WARN", "HIDDEN_ROWS", None): 1}
+    lost = source.locate(cells, source.Region("n", sheets.Rect(1, 1, 2, 2), locator="ANCHOR", anchor="nowhere"))
+    assert lost.out.count() == 0 and [r["code"] for r in lost.issues.collect()] == ["ANCHOR_NOT_FOUND"]
+    ended = source.locate(cells, source.Region("n", sheets.Rect(1, 1, 2, 2), rows="UNTIL_ANCHOR", end="nowhere"))
+    assert ended.out.count() == 0 and [r["code"] for r in ended.issues.collect()] == ["END_ANCHOR_NOT_FOUND"]
+    blocks = source.detect(cells)
+    assert sorted((r["top"], r["bottom"], r["left"], r["right"], r["title"]) for r in blocks.collect()) == [(2, 7, 1, 4, "Heroes"), (9, 9, 1, 1, None)]
+    assert {(r["top"], r["locator"], r["shape"]) for r in source.suggested(cells, blocks).collect()} == {(2, "ANCHOR", "DETAIL"), (9, "ANCHOR", "DETAIL")}
+    assert source.picked_sheets(cells, "INDEX", 0).count() == cells.count() and source.picked_sheets(cells, "EXACT", "S2").count() == 0
+    two = source.source(cells, [region, source.Region("mask", sheets.Rect(3, 2, 4, 2), shape="IGNORE")])["h"]
+    assert sorted((r["id"], r["power"]) for r in two.out.collect()) == [(1, 5), (2, 5), (3, 5)]
+
+
+def test_headers_of_several_levels(spark):
+    cells = spark.createDataFrame([("s", 1, 1, "A"), ("s", 1, 3, "B"), ("s", 2, 1, "x"), ("s", 2, 2, "y"), ("s", 2, 3, "B"), ("s", 3, 1, "1")], "sheet string, row int, col int, value string")
+    region = source.Region("r", sheets.Rect(1, 1, 3, 4), header_rows=2, specs=(binding.Spec("a", "A_x"),))
+    place = source.locate(cells, region).out
+    own = source.cut(cells, place)
+    assert [r["name"] for r in source.header_names(own, place, region).orderBy("col").collect()] == ["A_x", "A_y", "B", "B_2"]
+    assert [spark.range(1).select(sheets.letters(F.lit(n))).first()[0] for n in (1, 26, 27, 52, 53, 702, 703, 16384)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "XFD"]
+    assert binding.spec_problems([binding.Spec("1x"), binding.Spec("meta"), binding.Spec("a", type="what"), binding.Spec("a")]) == ["1x: not a name", "meta: reserved", "a: unknown type what", "a: repeated"]
+
+
+def test_types_of_cells(spark):
+    one = spark.range(1)
+    def made(text, kind="s", flags=0, **spec):
+        value, error = binding.coerce(binding.lone(F.lit(text), kind, flags), binding.Spec("x", **spec))
+        return tuple(one.select(value, error).first())
+
+    assert made("12.0", "n") == ("12", None) and made("1234567890123456", "n") == (None, "ID_PRECISION_LOST") and made("1", "b") == ("true", None)
+    assert made("45000.5", "d") == ("2023-03-15 12:00:00", None) and made("45000", "d") == ("2023-03-15", None)
+    assert made("1,234", type="int") == (1234, None) and made("3000000000", type="int") == (None, "TYPE_COERCE_FAILED") and made("3000000000", type="long") == (3_000_000_000, None)
+    assert made("1", "b", type="float") == (None, "TYPE_COERCE_FAILED") and made("2.345", type="decimal", options={"precision": 5, "scale": 2})[0] == decimal.Decimal("2.35")
+    assert made("t", type="bool") == (None, "TYPE_COERCE_FAILED") and made("是", type="bool") == (True, None)
+    assert made("b", type="enum", options={"values": {"a": 1}}) == (None, "ENUM_UNKNOWN") and made("1|2", type="list", options={"item": "int"}) == ([1, 2], None)
+    assert made(" - ", required=True) == (None, "REQUIRED_EMPTY") and made("", default="d") == ("d", None) and made(None) == (None, None)
+    assert made("2026年1月2日", type="date")[0] == datetime.date(2026, 1, 2) and made("1", "n", binding.NO_CACHE) [1] == "CELL_FORMULA_NO_CACHE"
+
+
 def test_conversions(spark):
     df = spark.createDataFrame([("1,000",), ("x",), (None,), ("1.5",)], "t string")
     v, e = convert.to_int(F.col("t"))
