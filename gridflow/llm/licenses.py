@@ -4,7 +4,8 @@ A text is lower-cased (A-Z) and reduced to words with one space between them.  E
 keyword and a regular expression over such words.  A rule is tried on a text only if its keyword occurs there, so most
 texts meet no expression at all.  A detection that lies inside another's interval gives way to it if that one has the
 better priority, or the same priority and comes first by (longer, earlier rule); so `gpl 3 0 or later` hides the `gpl`
-inside it.  Everything happens within a row: nothing is shuffled, and a hot source or copy costs no more than any row.
+inside it.  Everything happens within a row: nothing is shuffled, and a hot source or copy costs no more than any row;
+a text's detections are placed and sifted in one sweep, so that many of them cost in proportion.
 
 Defined results: a null text is empty; a text without a word has no detections and score 0; rules match whole words;
 repeated rows are scanned alike; an empty table gives none; only the text column is read.
@@ -12,6 +13,8 @@ repeated rows are scanned alike; an empty table gives none; only the text column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +25,143 @@ SCORES = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.7, 5: 0.4}
 #: Every rule needs one of these: its keyword holds it, or each text that its expression matches does.
 STEMS = (
     "licen", "gpl", "cc by", "cc0", "creative", "clause", "wtfpl", "rights reserved", "alle rechte", "tous droits", "todos los derechos", "no part of", "confidential", "unauthori",
-    "copyright", "public domain", "hereby granted", "without warranty", "binary forms", "endorse", "advertising", "in compliance", "free software", "altered", "the fuck", "beer", "permission",
+    "copyright", "public domain", "hereby granted", "without warranty", "binary forms", "endorse", "advertising", "in compliance", "free software", "altered", "the fuck", "beer", "permission", "deal in the software",
 )
 
 Rule = tuple[str, int, str, str]
 
+#: Wording of license texts: label, keyword, expression.
+SIGNATURES = [
+    ("mit", "permission notice", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies"),
+    ("mit", "deal in the software", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish"),
+    ("mit", "dealings in the software", "(?:out of or in connection with|arising from) the software or the use or other dealings in the software without warranty"),
+    ("mit-advertising", "advertising", "except as contained in this notice the name (?:\\S+ ){1,12}shall not be used in advertising"),
+    ("mit-0", "no attribution", "mit no attribution(?: licen[sc]e)?"),
+    ("x11", "x consortium", "the x consortium licen[sc]e|copyright (?:\\S+ ){0,4}x consortium"),
+    ("isc", "disclaims all warranties", "the author disclaims all warranties with regard to this software(?: including all implied warranties)? copyright"),
+    ("isc", "internet systems consortium", "copyright (?:\\S+ ){0,6}internet systems consortium"),
+    ("0bsd", "fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("bsd", "list of conditions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "binary form", "redistributions in binary form must reproduce the above copyright notice this list of conditions"),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising", "this product includes software developed by the university of california berkeley and its contributors advertising"),
+    ("bsd-2-clause-patent", "patent", "clause bsd(?: licen[sc]e)? plus patent(?: grant)?"),
+    ("bsd-3-clause-clear", "clear bsd", "(?:the )?clear bsd licen[sc]e"),
+    ("apache-2.0", "grant of copyright", "grant of copyright licen[sc]e subject to the terms and conditions of this licen[sc]e each contributor hereby grants"),
+    ("apache-2.0", "grant of patent", "grant of patent licen[sc]e subject to the terms and conditions of this licen[sc]e each contributor hereby grants"),
+    ("apache-2.0", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache-2.0", "apache", "apache licen[sc]e version 2 0 january 2004"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation(?: http www apache org)?(?= )(?=.{0,400}licen)"),
+    ("gpl", "free software", "this program is free software"),
+    ("gpl", "fifth floor", "free software foundation inc 51 franklin (?:street|st) fifth floor boston"),
+    ("gpl", "temple place", "free software foundation inc 59 temple place(?: suite 330)? boston"),
+    ("gpl", "should have received", "you should have received a copy of the gnu general public licen[sc]e along with this program"),
+    ("gpl-2", "gnu general public", "gnu general public licen[sc]e version 2 june 1991"),
+    ("gpl-3", "gnu general public", "gnu general public licen[sc]e version 3 29 june 2007"),
+    ("gpl-3", "copyleft", "the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works"),
+    ("gpl-classpath", "classpath", "gpl (?:\\S+ ){0,4}classpath exception|general public licen[sc]e (?:\\S+ ){0,4}classpath exception"),
+    ("gpl-linking", "linking exception", "gpl (?:\\S+ ){0,4}linking exception|general public licen[sc]e (?:\\S+ ){0,4}linking exception"),
+    ("gpl-gcc", "runtime library exception", "gcc runtime library exception(?= )(?=.{0,400}licen)"),
+    ("lgpl", "should have received", "you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e along with this library"),
+    ("lgpl-2.1", "lesser general", "gnu lesser general public licen[sc]e version 2 1 february 1999"),
+    ("lgpl-3", "lesser general", "gnu lesser general public licen[sc]e version 3 29 june 2007"),
+    ("agpl-3", "affero", "gnu affero general public licen[sc]e version 3 19 november 2007"),
+    ("agpl", "remote network interaction", "remote network interaction use with the gnu general public licen[sc]e"),
+    ("agpl", "interacting with it remotely", "users interacting with it remotely through a computer network (?:\\S+ ){0,40}licen[sc]e"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at (?:https?|licen[sc]e)"),
+    ("mpl-2.0", "secondary licen", "incompatible with secondary licen[sc]es"),
+    ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("epl-1.0", "eclipse", "eclipse public licen[sc]e v ?1 0"),
+    ("epl-2.0", "eclipse", "eclipse public licen[sc]e v ?2 0"),
+    ("edl-1.0", "eclipse distribution", "eclipse distribution licen[sc]e(?: v| version)? 1 0"),
+    ("cddl", "common development", "the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("cpl", "common public", "accompanying materials are made available under the terms of the common public licen[sc]e"),
+    ("ipl-1.0", "ibm public", "ibm public licen[sc]e(?: version)? 1 0"),
+    ("spl", "sun public", "sun public licen[sc]e(?: version)?(?: 1 0)?"),
+    ("npl", "netscape public", "netscape public licen[sc]e(?: version)?(?: 1 [01])?"),
+    ("qpl", "q public", "(?:the )?q public licen[sc]e(?: version)?(?: 1 0)?"),
+    ("rpl", "reciprocal public", "reciprocal public licen[sc]e(?: version)?(?: 1 [0-9])?"),
+    ("sleepycat", "sleepycat", "(?:the )?sleepycat(?: public)? licen[sc]e"),
+    ("sissl", "sun industry", "sun industry standards source licen[sc]e"),
+    ("cecill", "cecill", "(?:ce ?cill|cecill)(?: [abc])?(?: free software)? licen[sc]e(?: agreement)?"),
+    ("cecill", "licence cecill", "(?:la )?licence cecill(?: [abc])?"),
+    ("eupl", "eupl", "licen[sc]ed under the eupl"),
+    ("zlib", "arising from the use", "in no event will the authors be held liable for any damages arising from the use of this software permission is granted"),
+    ("zlib", "origin of this software", "the origin of this software must not be misrepresented you must not claim that you wrote the original software (?:\\S+ ){0,30}altered"),
+    ("libpng", "libpng", "(?:the )?(?:libpng|png reference library) licen[sc]e(?: version)?(?: 2(?: 0)?)?"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit(?= )(?=.{0,600}licen)"),
+    ("ssleay", "eric young", "this product includes cryptographic software written by eric young(?= )(?=.{0,600}licen)"),
+    ("curl", "curl", "(?:the )?curl licen[sc]e"),
+    ("icu", "unicode", "(?:icu|unicode(?: inc)?) licen[sc]e(?: agreement)?(?: data files and software)?"),
+    ("hpnd", "historical permission", "historical permission notice and disclaimer"),
+    ("ntp", "ntp", "(?:the )?ntp licen[sc]e(?: attribution)?"),
+    ("w3c", "w3c", "w3c(?: software)?(?: and document)?(?: notice and)? licen[sc]e"),
+    ("vim", "vim", "(?:the )?vim licen[sc]e"),
+    ("ruby", "ruby", "(?:the )?ruby(?: s)? licen[sc]e|same terms as ruby(?: itself)? licen[sc]e"),
+    ("perl", "perl", "(?:under )?the same terms as (?:perl(?: itself)?|the perl (?:5 )?programming language)(?= )(?=.{0,300}licen)"),
+    ("artistic", "artistic", "the artistic licen[sc]e preamble"),
+    ("tcl", "tcl", "tcl(?: tk)? licen[sc]e"),
+    ("sqlite", "good and not evil", "may you do good and not evil (?:\\S+ ){0,40}public domain|public domain (?:\\S+ ){0,60}may you do good and not evil"),
+    ("json", "good not evil", "the software shall be used for good not evil(?= )(?=.{0,600}warranty|.{0,600}licen)"),
+    ("postgresql", "postgresql", "(?:the )?postgresql licen[sc]e"),
+    ("upl-1.0", "universal permissive", "universal permissive licen[sc]e(?: upl)?(?: version)?(?: 1 0)?"),
+    ("blueoak", "blue oak", "blue oak model licen[sc]e(?: 1 0 0)?"),
+    ("mulan", "mulan", "mulan(?: psl| permissive software licen[sc]e)(?: v2)?(?= )(?=.{0,300}licen)"),
+    ("sspl-1.0", "server side public", "server side public licen[sc]e(?: v ?1| version 1)?"),
+    ("elastic-2.0", "elastic", "elastic licen[sc]e(?: 2 0| v2)?"),
+    ("confluent", "confluent community", "confluent community licen[sc]e(?: agreement)?(?: version 1 0)?"),
+    ("commons-clause", "commons clause", "commons clause(?: licen[sc]e)? condition(?: v1 0)?"),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use) licen[sc]e(?: 1 0 0)?"),
+    ("prosperity", "prosperity", "(?:the )?prosperity public licen[sc]e(?: 3 0 0)?"),
+    ("openrail", "rail", "(?:creativeml |bigscience |bigcode )?open ?rail(?: m| [a-z]+)? licen[sc]e"),
+    ("rail", "responsible ai", "responsible ai licen[sc]e"),
+    ("odc-by", "open data commons attribution", "open data commons attribution licen[sc]e"),
+    ("pddl", "public domain dedication", "(?:open data commons )?public domain dedication and licen[sc]e"),
+    ("cdla", "community data", "community data licen[sc]e agreement(?: permissive| sharing)?"),
+    ("ogl-uk", "open government", "open government licen[sc]e(?: v[123](?: 0)?)?"),
+    ("dl-de", "datenlizenz", "datenlizenz deutschland(?: namensnennung| zero)?(?: version)? 2 0(?= )(?=.{0,300}licen)"),
+    ("etalab", "licence ouverte", "licence ouverte(?: open licence)?(?: etalab)?"),
+    ("cc0", "waived all copyright", "to the extent possible under law (?:\\S+ ){0,12}has waived all copyright"),
+    ("cc0", "no copyright", "cc0 1 0 universal|no copyright (?:\\S+ ){0,8}public domain dedication"),
+    ("cc-by-sa", "build upon", "if you (?:remix transform or build upon|alter transform or build upon) (?:\\S+ ){0,20}share ?alike licen[sc]e"),
+    ("cc", "creative commons", "creative commons corporation is not a law firm"),
+    ("cc", "creativecommons", "creativecommons org publicdomain (?:zero|mark) 1 0"),
+    ("gfdl", "invariant sections", "with no invariant sections no front cover texts and no back cover texts (?:\\S+ ){0,30}licen[sc]e"),
+    ("ofl-1.1", "reserved font name", "with reserved font name (?:\\S+ ){0,40}open font licen[sc]e"),
+    ("lppl", "latex project", "latex project public licen[sc]e(?: version| v)?(?: 1 [0-3][abc]?)?"),
+    ("fal", "free art", "free art licen[sc]e(?: 1 [0-3])?|licence art libre"),
+    ("gutenberg", "gutenberg", "(?:full )?project gutenberg(?: tm)? licen[sc]e"),
+    ("nasa", "nasa open source", "nasa open source agreement(?: version)?(?: 1 3)?(?= )(?=.{0,400}licen)"),
+    ("ecl", "educational community", "educational community licen[sc]e(?: version)?(?: 2 0)?"),
+    ("wxwindows", "wxwindows", "wxwindows(?: library)? licen[sc]e"),
+    ("ftl", "freetype", "(?:the )?freetype(?: project)? licen[sc]e"),
+    ("ijg", "independent jpeg", "independent jpeg group(?: s)?(?: free)?(?: software)? licen[sc]e"),
+    ("intel", "intel", "intel (?:simplified software|open source|sample source code) licen[sc]e"),
+    ("nvidia", "nvidia", "nvidia(?: software)? (?:end user )?licen[sc]e(?: agreement)?"),
+    ("oracle-bcl", "binary code", "oracle binary code licen[sc]e(?: agreement)?"),
+    ("eula", "end user licen", "end user licen[sc]e agreement"),
+    ("shareware", "shareware", "shareware (?:licen[sc]e|version|program) (?:\\S+ ){0,20}licen[sc]e"),
+]
+#: Wording of notices.
+NOTICES = [
+    ("reserved", "rights reserved", "no rights reserved"),
+    ("reserved", "diritti", "tutti i diritti riservati|todos os direitos reservados (?:\\S+ ){0,6}copyright"),
+    ("reserved", "copyright", "copyright (?:\\S+ ){1,10}all rights reserved"),
+    ("proprietary", "confidential", "this (?:document|software|material) (?:is|contains) (?:\\S+ ){0,6}confidential"),
+    ("proprietary", "trade secret", "(?:contains|protected as) trade secrets? (?:\\S+ ){0,20}(?:confidential|copyright)"),
+    ("proprietary", "prior written", "without the(?: express)? prior written (?:permission|consent) of"),
+    ("proprietary", "non transferable", "non exclusive non transferable (?:\\S+ ){0,6}licen[sc]e"),
+    ("non-commercial", "commercial use", "(?:not for|no|non) commercial use (?:\\S+ ){0,12}(?:permission|licen[sc]e)"),
+    ("copyright", "copyright", "copyright (?:owner|holder)s? (?:or|and) contributors"),
+    ("copyright", "urheberrecht", "urheberrechtlich geschützt (?:\\S+ ){0,12}copyright"),
+    ("copyright", "droit d", "protégé par le droit d auteur (?:\\S+ ){0,12}copyright"),
+    ("attribution", "with permission", "(?:reprinted|reproduced|used) with permission"),
+    ("warranty", "without warranty", "without warranty of any kind"),
+    ("warranty", "merchantability", "implied warrant(?:y|ies) of merchantability (?:\\S+ ){0,20}(?:licen[sc]e|permission|copyright)"),
+    ("public-domain", "public domain", "no known copyright restrictions (?:\\S+ ){0,20}public domain|(?:is|are) in the public domain"),
+]
+
 
 def _named(label: str, keyword: str, name: str, versions: dict[str, str], *, ids: tuple[str, ...] = ()) -> list[Rule]:
     """Rules for a license family: identifiers, `released under` phrases, names with and without each version."""
@@ -121,7 +256,7 @@ def rules() -> list[Rule]:
         ("cc", "creative commons", "this work is licensed under a creative commons"),
         ("gfdl", "permission", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
     ]
-    out += [(label, 2, keyword, pattern) for label, keyword, pattern in body]
+    out += [(label, 2, keyword, pattern) for label, keyword, pattern in body + SIGNATURES]
     notice = [
         ("reserved", "all rights reserved", "all rights reserved"),
         ("reserved", "some rights reserved", "some rights reserved"),
@@ -138,7 +273,7 @@ def rules() -> list[Rule]:
         ("public-domain", "public domain", "public domain"),
         ("cc", "creative commons", "creative commons(?: licen[sc]e)?"),
     ]
-    return out + [(label, 5, keyword, pattern) for label, keyword, pattern in notice]
+    return out + [(label, 5, keyword, pattern) for label, keyword, pattern in notice + NOTICES]
 
 
 def word_text(text: Column) -> Column:
@@ -152,42 +287,67 @@ def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _found(words: Column, label: Column, priority: Column, rule: Column, pattern: Column) -> Column:
-    """array<struct>: a rule's detections, with character intervals in the word text."""
-    hits, gaps = F.regexp_extract_all(words, pattern, F.lit(0)), F.split(words, pattern, -1)
-    size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    at = lambda k: size(F.slice(gaps, F.lit(1), k + 1)) + size(F.slice(hits, F.lit(1), k))
-    return F.when(
-        F.size(hits) > 0,
-        F.transform(F.sequence(F.lit(0), F.size(hits) - 1), lambda k: F.struct(
-            at(k).alias("start"), (at(k) + F.length(hits[k])).alias("end"), priority.alias("priority"), rule.alias("rule"), label.alias("label")
-        )),
-    )
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once; a column that a lambda names is computed at each of its calls."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def chunked(a: Column, size: int = 64) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda c: F.slice(a, c * size + 1, F.lit(size)))
+
+
+def running(a: Column) -> Column:
+    """The sum of the entries up to each of an array that is not empty, in chunks, so that no step goes over all of it."""
+    add = lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))
+    sums = lambda chunks: F.aggregate(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)), F.array(F.lit(0)), add)
+    within = lambda c, head: F.slice(F.aggregate(c, F.array(head), add), F.lit(2), F.size(c))
+    return let(chunked(a), lambda chunks: let(sums(chunks), lambda heads: F.flatten(F.transform(chunks, lambda c, i: within(c, heads[i])))))
 
 
 def detections(words: Column) -> Column:
-    """array<struct<start, end, priority, rule, label>>: the surviving detections of a word text, in their order."""
+    """array<struct<start, end, priority, rule, label>>: all detections of a word text, with character intervals in it."""
     groups: dict[str, list[Column]] = {}
     for i, (label, p, k, x) in enumerate(rules()):
         groups.setdefault(k, []).append(F.struct(F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(i).alias("rule"), F.lit(f"(?<= )(?:{x})(?= )").alias("pattern")))
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*r).alias("rules")) for k, r in groups.items()])
     gated = F.flatten(F.transform(F.filter(table, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
-    every = F.flatten(F.filter(F.transform(gated, lambda r: _found(words, r["label"], r["priority"], r["rule"], r["pattern"])), lambda a: a.isNotNull()))
-    some = F.lit(False)
-    for stem in STEMS:
-        some = some | F.contains(words, F.lit(stem))
-    return F.when(some, every)
+    tried = F.transform(gated, lambda r: F.struct(r.alias("rule"), F.regexp_extract_all(words, r["pattern"], F.lit(0)).alias("hits")))
+    some = F.filter(tried, lambda x: F.size(x["hits"]) > 0)
+    # a hit begins after all gaps up to it and all hits before it
+    placed = F.transform(some, lambda x: let(F.split(words, x["rule"]["pattern"], -1), lambda gaps: F.struct(
+        x["rule"].alias("rule"), x["hits"].alias("hits"),
+        running(F.transform(x["hits"], lambda h, k: F.length(gaps[k]) + F.when(k > 0, F.length(F.get(x["hits"], k - 1))).otherwise(0))).alias("starts"),
+    )))
+    every = F.flatten(F.transform(placed, lambda x: F.transform(x["hits"], lambda h, k: F.struct(
+        x["starts"][k].alias("start"), (x["starts"][k] + F.length(h)).alias("end"), x["rule"]["priority"].alias("priority"), x["rule"]["rule"].alias("rule"), x["rule"]["label"].alias("label")
+    ))))
+    stem = F.lit(False)
+    for x in STEMS:
+        stem = stem | F.contains(words, F.lit(x))
+    return F.when(stem, every)
 
 
 def survivors(found: Column) -> Column:
-    """Detections that no better one's interval holds: better priority, else longer, else earlier rule."""
-    def hides(d: Column, e: Column) -> Column:
-        longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
-        same = (e["end"] - e["start"]) == (d["end"] - d["start"])
-        better = (e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (longer | (same & (e["rule"] < d["rule"]))))
-        return (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & better
-
-    return F.array_sort(F.filter(found, lambda d: ~F.exists(found, lambda e: hides(d, e))))
+    """Detections that no better one's interval holds: better priority, else longer, else earlier rule.
+
+    In the order of (start, longest, priority, rule) whatever can hide a detection comes before it, and hides it if it ends
+    no earlier.  So one sweep carries the furthest end of each priority and all better ones, in chunks.
+    """
+    reach = lambda m, d: F.transform(m, lambda x, q: F.when(q + 1 >= d["priority"], F.greatest(x, d["end"])).otherwise(x))
+    none = F.array(*[F.lit(-1)] * len(SCORES))
+    ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), *[d[c].alias(c) for c in ("priority", "rule", "end", "label")])))
+    furthest = lambda chunks: F.aggregate(
+        F.transform(chunks, lambda c: F.aggregate(c, none, reach)), F.array(none),
+        lambda s, m: F.concat(s, F.array(F.zip_with(F.element_at(s, -1), m, lambda x, y: F.greatest(x, y)))),
+    )
+    fits = lambda c, head: F.aggregate(
+        c, F.struct(head.alias("m"), F.array().cast("array<boolean>").alias("keep")),
+        lambda s, d: F.struct(reach(s["m"], d).alias("m"), F.concat(s["keep"], F.array(F.get(s["m"], d["priority"] - 1) < d["end"])).alias("keep")), lambda s: s["keep"],
+    )
+    swept = let(ordered, lambda a: let(chunked(a), lambda chunks: let(furthest(chunks), lambda heads: F.flatten(
+        F.transform(chunks, lambda c, i: let(fits(c, heads[i]), lambda keep: F.filter(c, lambda d, j: keep[j])))
+    ))))
+    return F.when(F.size(found) > 0, F.array_sort(F.transform(swept, lambda d: F.struct(*[d[c].alias(c) for c in ("start", "end", "priority", "rule", "label")]))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
