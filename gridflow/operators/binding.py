@@ -129,10 +129,19 @@ def _coded(error: Column) -> Column:
     return F.when(error.isNotNull(), F.lit("TYPE_COERCE_FAILED"))
 
 
-def coerce(cell: Column, spec: Spec, bound: Column | None = None, base_1904: bool = False) -> convert.Pair:
-    """A cell's value and error.  bound: whether the spec's header was found; if not, the value is the default and no cell is asked."""
+def text_of(cell: Column, spec: Spec) -> Column:
+    """A cell's cleaned text, null for null tokens and blanks."""
     text = clean_text(cell["value"])
-    text = F.when(~text.isin(*spec.nulls) & (norm_text(text) != ""), text)
+    return F.when(~text.isin(*spec.nulls) & (norm_text(text) != ""), text)
+
+
+def coerce(cell: Column, spec: Spec, bound: Column | None = None, base_1904: bool = False, text: Column | None = None) -> convert.Pair:
+    """A cell's value and error.
+
+    bound: whether the spec's header was found; if not, the value is the default and no cell is asked.  text: `text_of` the
+    cell where it is a column already, since many places ask for it.
+    """
+    text = text_of(cell, spec) if text is None else text
     kind, flags = F.coalesce(cell["kind"], F.lit("s")), F.coalesce(cell["flags"], F.lit(0))
     value, error = converted(text, kind, spec, base_1904)
     flagged = F.when(flags.bitwiseAND(NO_CACHE) != 0, F.lit("CELL_FORMULA_NO_CACHE")).when(flags.bitwiseAND(ERROR) != 0, F.lit("CELL_ERROR_VALUE"))
@@ -147,8 +156,12 @@ def coerce(cell: Column, spec: Spec, bound: Column | None = None, base_1904: boo
 
 def coerce_rows(df: DataFrame, cells: Mapping[str, Column], specs: Sequence[Spec], keep: Sequence[str] = (), bound: Mapping[str, Column] | None = None, base_1904: bool = False) -> tuple[DataFrame, DataFrame]:
     """(typed rows, failing cells): the columns `keep` and the fields; keep, field, code and value of each cell that fails, whose row is dropped."""
-    pairs = {s.field: coerce(cells[s.field], s, (bound or {}).get(s.field), base_1904) for s in specs}
-    errors = F.array_compact(F.array(*[F.when(e.isNotNull(), F.struct(F.lit(s).alias("field"), e.alias("code"), cells[s]["value"].alias("value"))) for s, (_, e) in pairs.items()]))
-    made = df.select(*keep, *[v.alias(s) for s, (v, _) in pairs.items()], errors.alias("_errors"))
-    bad = made.where(F.size("_errors") > 0).select(*keep, F.explode("_errors").alias("_e")).select(*keep, "_e.field", "_e.code", "_e.value")
-    return made.where(F.size("_errors") == 0).drop("_errors"), bad
+    texts = {s.field: f"_text{i}" for i, s in enumerate(specs)}
+    df = df.withColumns({texts[s.field]: text_of(cells[s.field], s) for s in specs})
+    pairs = {s.field: coerce(cells[s.field], s, (bound or {}).get(s.field), base_1904, F.col(texts[s.field])) for s in specs}
+    made = df.select(*keep, *[v.alias(s) for s, (v, _) in pairs.items()], *[e.alias(f"_e{i}") for i, (_, e) in enumerate(pairs.values())], *[cells[s]["value"].alias(f"_v{i}") for i, s in enumerate(pairs)])
+    names = list(pairs)
+    errors = F.array_compact(F.array(*[F.when(F.col(f"_e{i}").isNotNull(), F.struct(F.lit(s).alias("field"), F.col(f"_e{i}").alias("code"), F.col(f"_v{i}").alias("value"))) for i, s in enumerate(names)]))
+    fine = F.forall(F.array(*[f"_e{i}" for i in range(len(names))]), lambda e: e.isNull())
+    bad = made.where(~fine).select(*keep, F.explode(errors).alias("_e")).select(*keep, "_e.field", "_e.code", "_e.value")
+    return made.where(fine).select(*keep, *names), bad

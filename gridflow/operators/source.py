@@ -188,10 +188,11 @@ def region_rows(cells: DataFrame, region: Region, located: DataFrame | None = No
     if located is None:
         place = locate(cells, region)
         located, found = place.out, [place.issues] if place.issues is not None else []
+    located = located.cache()  # a row a sheet, asked for many times; a lost part is computed again
     more = [c for c in ("kind", "flags") if c not in cells.columns]
     cells = cells.withColumns({c: F.lit("s") if c == "kind" else F.lit(0) for c in more}) if more else cells
     own = cut(cells.select("sheet", "row", "col", "value", "kind", "flags"), located, masks)
-    heads = header_names(own, located, region)
+    heads = header_names(own, located, region).cache()  # a row for each column of a sheet
     k = 0 if region.shape == "SUMMARY" else max(0, region.header_rows)
     body = own.where(F.col("row") >= F.col("top") + k)
     text = norm_text(F.col("value"))
@@ -201,7 +202,7 @@ def region_rows(cells: DataFrame, region: Region, located: DataFrame | None = No
         return heads.groupBy("sheet").agg(*[F.min(F.when(matches(F.col("name"), s), F.col("col"))).alias(f"s{i}") for i, s in enumerate(specs)])
 
     specs = list(region.specs)
-    bound = bind(specs)
+    bound = bind(specs).cache()  # a row a sheet
     used = F.array(*[f"s{i}" for i in range(len(specs))])
     extra = heads.join(bound, "sheet").where(~F.coalesce(F.array_contains(F.array_compact(used), F.col("col")), F.lit(False)) & ~F.col("name").startswith("_block")).select("sheet", "col", "name")
     extra = extra.join(body.where(text != "").select("sheet", "col").distinct(), ["sheet", "col"])
