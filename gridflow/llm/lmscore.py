@@ -51,7 +51,7 @@ DISCOUNT, SPELLED = 0.75, 0.5
 #: Symbols of a traversal segment.
 SEGMENT = 1024
 #: Bytes of text in a block, and for each bucket.
-BLOCK, BUCKET = 4_000_000, 16_000_000
+BLOCK, BUCKET = 3_000_000, 16_000_000
 SPACE = 32
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _REPLY = "block long, kind string, bucket int, one binary, two binary, three binary, train_tokens long, train_types long"
