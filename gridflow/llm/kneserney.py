@@ -121,7 +121,7 @@ def model(raw: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
 
 
 def perplexities(docs: DataFrame, learned: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, lang, n_symbols and log2_perplexity of every document; the model is that of the documents with an id of `learned`."""
+    """doc_id, lang, text_hash, n_symbols and log2_perplexity of every document; the model is that of the documents with an id of `learned`."""
     # written in buckets of the block number: the joins on it move what comes back to a block, never its text
     spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
@@ -175,10 +175,10 @@ def _scored(made: DataFrame, learned: DataFrame, order: int) -> DataFrame:
                 own, at = np.unique(code, return_inverse=True)
                 each = logs[np.searchsorted(keys, ngrams.keys_of(own, order))][at]
                 sums = np.add.reduceat(each, np.cumsum(n) - n) if len(n) else np.empty(0)
-                yield pd.DataFrame({"doc_id": pd.array(r.doc_ids, dtype="Int64"), "lang": r.lang, "n_symbols": n, "log2_perplexity": -sums / n})
+                yield pd.DataFrame({"doc_id": pd.array(r.doc_ids, dtype="Int64"), "lang": r.lang, "text_hash": r.hashes, "n_symbols": n, "log2_perplexity": -sums / n})
 
-    every = made.select("block", "doc_ids", "lang", "payload").join(back.hint("shuffle_hash"), "block").join(cuts.hint("shuffle_hash"), "block", "left")
-    return every.mapInPandas(run, "doc_id long, lang string, n_symbols long, log2_perplexity double")
+    every = made.select("block", "doc_ids", "hashes", "lang", "payload").join(back.hint("shuffle_hash"), "block").join(cuts.hint("shuffle_hash"), "block", "left")
+    return every.mapInPandas(run, "doc_id long, lang string, text_hash long, n_symbols long, log2_perplexity double")
 
 
 def terms(keys: np.ndarray, c: np.ndarray, total: np.ndarray, types: list[np.ndarray], cuts: list | None, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLA
 
 
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, folds: int = FOLDS) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold, keep, trusted and held_out (not counted by the model) of every document."""
+    """doc_id, lang, n_symbols, perplexity, threshold, keep, trusted, held_out (not counted by the model) and text_hash of every document."""
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     held = crc_fold("doc_id", folds) == 0
     scored = perplexities(docs, good.where(~held), order).join(good, "doc_id", "left")
@@ -218,5 +218,5 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
     out = scored.join(limits, "lang", "left").withColumn("threshold", F.col("threshold") + SHORT / F.sqrt("n_symbols"))
     return out.select(
         "doc_id", "lang", "n_symbols", F.pow(F.lit(2.0), "log2_perplexity").alias("perplexity"), F.pow(F.lit(2.0), "threshold").alias("threshold"),
-        F.coalesce(F.col("log2_perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"), "trusted", "held_out",
+        F.coalesce(F.col("log2_perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"), "trusted", "held_out", "text_hash",
     )

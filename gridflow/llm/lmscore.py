@@ -205,7 +205,7 @@ class Tokens:
         """Hashes of the distinct pairs of neighbours in ascending order, their first and second codes' pair of each place, and first codes."""
         v = len(self.words)
         both = np.append(v - 1, self.codes[:-1]) * v + self.codes
-        own, at = np.unique(both, return_inverse=True)
+        at, own = pd.factorize(both)
         hashes = ngrams.mix(ngrams.mix(self.hashes[own // v]) ^ self.hashes[own % v])
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(order), np.int64)

@@ -41,11 +41,13 @@ def words_of(texts: pa.Array) -> pa.Array:
 
 
 def blocks(docs: DataFrame, id_column: str = "doc_id", by: str | None = None, block: int = BLOCK, after: bytes = b"") -> DataFrame:
-    """block, lang, doc_ids, payload, size: documents of one language (all, without `by`) in input order.
+    """block, lang, doc_ids, hashes, payload, size: documents of one language (all, without `by`) in input order.
+
+    hashes tell rows with one id apart, by their text.
 
     payload: the texts one after the other, an end mark after each; `after` goes between a text's last word and it.
     """
-    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(by), F.lit("und")).alias("lang") if by else F.lit("").alias("lang"), "text")
+    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(by), F.lit("und")).alias("lang") if by else F.lit("").alias("lang"), "text", F.xxhash64("text").alias("hash"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -54,13 +56,13 @@ def blocks(docs: DataFrame, id_column: str = "doc_id", by: str | None = None, bl
                 own = batch.filter(pc.equal(batch.column("lang"), lang))
                 texts = words_of(own.column("text"))
                 payload = b"".join(t + after + b"\n" if t else b"\n" for t in texts.cast(pa.large_binary()).to_pylist())
-                yield pa.RecordBatch.from_pydict({"block": [number], "lang": [lang], "doc_ids": [own.column("doc_id").to_pylist()], "payload": [payload], "size": [len(payload)]}, schema=SCHEMA)
+                yield pa.RecordBatch.from_pydict({"block": [number], "lang": [lang], "doc_ids": [own.column("doc_id").to_pylist()], "hashes": [own.column("hash").to_pylist()], "payload": [payload], "size": [len(payload)]}, schema=SCHEMA)
                 number += 1
 
-    return picked.mapInArrow(cut, "block long, lang string, doc_ids array<long>, payload binary, size long")
+    return picked.mapInArrow(cut, "block long, lang string, doc_ids array<long>, hashes array<long>, payload binary, size long")
 
 
-SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary()), ("size", pa.int64())])
+SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("payload", pa.binary()), ("size", pa.int64())])
 
 
 def _merged(batches: Iterator[pa.RecordBatch], weight: int) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ shingle count as one shingle; repeated rows share a class; an empty table gives
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,24 +27,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, components, hook, materialise, parts, text_bytes
+from .ngrams import mix
 
 #: Candidates of a tile, and queries compared at once.
 TILE, QUERIES = 4096, 64
+SPACE = re.compile(rb"[ \t-\r]")
 ONE = np.uint64(1)
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def shingles(data: bytes, n: int, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The n-word shingles of a lower-cased text, repeats included, in lists of bounded size; fewer words make one shingle, none give none."""
+    held: list[bytes] = []
+    at, whole = 0, True
+    while at < len(data):
+        cut = SPACE.search(data, at + piece)
+        end = cut.start() if cut else len(data)
+        words = held + data[at:end].split()
+        at = end
+        if len(words) >= n:
+            yield [b" ".join(w) for w in zip(*(words[i:] for i in range(n)), strict=False)]
+            whole = False
+            held = words[len(words) - n + 1 :] if n > 1 else []
+        else:
+            held = words
+    if whole and held:
+        yield [b" ".join(held)]
+
+
 def simhash(data: bytes, shingle: int, seeds: tuple[int, ...]) -> bytes:
     """The fingerprint of a lower-cased text: 8 big-endian bytes per seed; a bit is set if it is in over half the hashes."""
-    words = data.split()
-    if not words:
-        return bytes(8 * len(seeds))
-    grams = [b" ".join(w) for w in zip(*(words[i:] for i in range(shingle)), strict=False)] or [b" ".join(words)]
-    out = b""
-    for seed in seeds:
-        h = np.frombuffer(b"".join([xxhash.xxh64_digest(g, seed) for g in grams]), np.uint8).reshape(-1, 8)
-        out += np.packbits(2 * np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64) > len(grams)).tobytes()
-    return out
+    counts, n = np.zeros((len(seeds), 64), np.int64), 0
+    for grams in shingles(data, shingle):
+        n += len(grams)
+        for i, seed in enumerate(seeds):
+            h = np.frombuffer(b"".join([xxhash.xxh64_digest(g, seed) for g in grams]), np.uint8).reshape(-1, 8)
+            for a in range(0, len(h), 4096):
+                counts[i] += np.unpackbits(h[a : a + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1).tobytes()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
@@ -246,9 +267,10 @@ def class_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(tops.join(lowest, "root", "left").select("fp", F.coalesce("low", "least").alias("component_id")), "classes")
 
 
-#: Near duplicates over five-word shingles: fingerprint seeds, shingle, similarity (for sets of like size the cosine is
+#: Near duplicates over five-word shingles: the hash's seed, 64-bit parts of a fingerprint, shingle, similarity (for sets of like size the cosine is
 #: 2s / (1 + s), and a bit differs with chance angle / pi), bands and rows of the candidate keys.
-NEAR_SEEDS, NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = (42, 43, 44, 45), 5, 0.8, 10, 3
+NEAR_SEED, NEAR_WORDS, NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 42, 4, 5, 0.8, 10, 3
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 #: Bytes of shingle hashes in a tile of the exact comparison.
@@ -264,17 +286,20 @@ def near_radius(bits: int, similarity: float) -> int:
     return int(bits * p + 4 * np.sqrt(bits * p * (1 - p)))
 
 
-def shingle_set(text: str | None, shingle: int) -> set[bytes]:
-    words = text_bytes(text).split()
-    return {b" ".join(w) for w in zip(*(words[i:] for i in range(shingle)), strict=False)} or {b" ".join(words)}
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a text without words has one of its own."""
+    found = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, NEAR_SEED) for g in grams]), ">u8").astype(np.uint64)) for grams in shingles(text_bytes(text), shingle)]
+    return (found[0] if len(found) == 1 else np.unique(np.concatenate(found))) if found else np.zeros(1, np.uint64)
 
 
-def set_node(grams: set[bytes], seeds: tuple[int, ...]) -> tuple[bytes, np.ndarray]:
-    """A set's fingerprint followed by a digest of the whole set, and the set's sorted hashes."""
-    hashes = [np.frombuffer(b"".join([xxhash.xxh64_digest(g, s) for g in grams]), np.uint8).reshape(-1, 8) for s in seeds]
-    fp = b"".join(np.packbits(2 * np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64) > len(h)).tobytes() for h in hashes)
-    own = np.sort(hashes[0].reshape(-1).view(">u8").astype(np.uint64))
-    return fp + xxhash.xxh3_128_digest(own.tobytes()), own
+def set_node(own: np.ndarray, words: int) -> bytes:
+    """A set's fingerprint of `words` 64-bit parts, each by another mixture of its hashes, followed by a digest of the whole set."""
+    counts = np.zeros((words, 64), np.int64)
+    for i in range(words):
+        h = own if i == 0 else mix(own + np.uint64(i) * ODD)
+        for a in range(0, len(h), 4096):
+            counts[i] += np.unpackbits(h[a : a + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(own), axis=1).tobytes() + xxhash.xxh3_128_digest(own.tobytes())
 
 
 def exact_links(fps: list[bytes], sets: list[bytes], first: np.ndarray | None, bits: int, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -312,15 +337,15 @@ def exact_links(fps: list[bytes], sets: list[bytes], first: np.ndarray | None, b
     return child, parent[child]
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, seeds: tuple[int, ...] = NEAR_SEEDS) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over documents whose shingle sets have a Jaccard similarity of `similarity` or more.
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """doc_id, h, fp, component_id: the smallest doc_id reachable over documents whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    The radius that this likeness needs is too wide for choices of bit blocks, so the buckets are bands of minimum
-    hashes of the shingles (with 10 bands of 3 a pair at 0.8 shares one with chance 0.999), and the comparison of bits
-    is a filter.  The hash sets of the rows that it links go to their buckets, and only pairs that are alike as sets
-    are links.  A node is a distinct set, and stands for its copies.
+    h is a hash of the text, which tells rows with one id apart.  The radius that this likeness needs is too wide for
+    choices of bit blocks, so the buckets are bands of minimum hashes of the shingles (with 10 bands of 3 a pair at 0.8
+    shares one with chance 0.999), and the comparison of bits is a filter.  The hash sets of the rows that it links go to
+    their buckets, and only pairs that are alike as sets are links.  A node is a distinct set, and stands for its copies.
     """
-    bits, radius = 64 * len(seeds), near_radius(64 * len(seeds), similarity)
+    bits, radius = 64 * NEAR_WORDS, near_radius(64 * NEAR_WORDS, similarity)
     spark = docs.sparkSession
     odd = (np.random.RandomState(7).randint(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << ONE) | ONE
 
@@ -328,27 +353,27 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         for pdf in chunks(batches, 2_000_000):
             fps, keys, sizes = [], [], []
             for t in pdf["text"]:
-                fp, own = set_node(shingle_set(t, shingle), seeds)
+                own = shingle_hashes(t, shingle)
                 least = np.array([(own * m >> np.uint64(16)).min() for m in odd])
-                fps.append(fp)
+                fps.append(set_node(own, NEAR_WORDS))
                 sizes.append(len(own))
                 keys.append([bytes([b]) + xxhash.xxh64_digest(least[b * ROWS : (b + 1) * ROWS].tobytes()) for b in range(BANDS)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps, "keys": keys, "size": sizes})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "h": pdf["h"], "fp": fps, "keys": keys, "size": sizes})
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = materialise(picked.mapInPandas(run, "doc_id long, fp binary, keys array<binary>, size long"), "near")
-    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    own = materialise(picked.mapInPandas(run, "doc_id long, h long, fp binary, keys array<binary>, size long"), "near")
+    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("h").alias("h")), "nodes")
     rows = materialise(own.select(F.explode("keys").alias("key"), "fp", "size").distinct(), "keyed")
     found = bucket_links(rows.select("key", "fp"), radius, bits)
     linked = materialise(found.select(F.col("a").alias("fp")).union(found.select("b")).distinct(), "linked")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches, 2_000_000):
-            made = [set_node(shingle_set(t, shingle), seeds) for t in pdf["text"]]
-            yield pd.DataFrame({"fp": [fp for fp, _ in made], "hashes": [h.tobytes() for _, h in made]})
+            made = [shingle_hashes(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"fp": [set_node(h, NEAR_WORDS) for h in made], "hashes": [h.tobytes() for h in made]})
 
-    ids = nodes.join(linked, "fp").select(F.col("least").alias("id"))
-    texts = picked.join(ids.distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # of each linked set the hashes of one text that has it
+    texts = picked.join(nodes.join(linked, "fp").select("h").distinct(), "h", "left_semi").select("text")
     sets = texts.mapInPandas(listed, "fp binary, hashes binary").join(linked, "fp", "left_semi").dropDuplicates(["fp"])
     sets = materialise(sets, "sets")
 
@@ -383,13 +408,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         return [(held[r][1], held[c][1]) for c, r in zip(child, root, strict=True)]
 
     ordered = dealt.repartition(parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return joined(own.select("doc_id", "fp"), nodes, ordered.mapInPandas(compared, "a binary, b binary"))
+    table = class_ids(nodes.select("fp", "least"), ordered.mapInPandas(compared, "a binary, b binary"))
+    return own.select("doc_id", "h", "fp").join(table, "fp").select("doc_id", "h", "fp", "component_id")
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: the smallest doc_id of each class, each once; a row without an id stays."""
-    keep = found.where("doc_id = component_id").select("doc_id").distinct().withColumn("keep_", F.lit(True))
-    rows = docs.join(keep, "doc_id", "left").where("keep_ or doc_id is null")
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    rows = rows.withColumn("turn_", F.row_number().over(once)).where("turn_ = 1 or doc_id is null")
-    return rows.select(docs.columns)
+    """The rows of `docs` that stay: the smallest doc_id of each class, once; a row without an id stays.
+
+    Of several texts with that id in the class, the one with the smallest hash stays.
+    """
+    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("h_")).withColumnRenamed("doc_id", "id_")
+    rows = docs.withColumn("hash_", F.xxhash64("text")).join(keep, (F.col("doc_id") == F.col("id_")) & (F.col("hash_") == F.col("h_")), "left").where("id_ is not null or doc_id is null")
+    rows = rows.withColumn("turn_", F.row_number().over(Window.partitionBy("doc_id", "hash_").orderBy(F.lit(0)))).where("turn_ = 1 or doc_id is null")
+    return rows.select(*[docs[c] for c in docs.columns])

@@ -699,6 +699,17 @@ def test_simhash_large_bucket_is_cut_in_tiles(spark, monkeypatch):
     assert classes(got) == classes([(a, b) for a in prints for b in prints if a < b and (numbers[a] ^ numbers[b]).bit_count() <= 4])
 
 
+def test_shingles_in_pieces():
+    rng = np.random.default_rng(15)
+    for n in (1, 3, 5):
+        for size in (0, 1, 2, 3, 7, 400):
+            data = b"".join(bytes(rng.integers(97, 100, int(rng.integers(1, 6))).astype(np.uint8)) + bytes([int(rng.choice([32, 9, 10, 13]))]) * int(rng.integers(1, 4)) for _ in range(size))
+            words_ = data.split()
+            want = [b" ".join(words_[i : i + n]) for i in range(len(words_) - n + 1)] or ([b" ".join(words_)] if words_ else [])
+            for piece in (1, 10, 1 << 20):
+                assert [g for x in simhash.shingles(data, n, piece) for g in x] == want
+
+
 def test_near_classes_take_similar_texts_only(spark, docs):
     long = [t for t in docs["text"] if 150 < len(t.split()) < 600][:20]
     copies = [" ".join(w if k != 40 else "changed" for k, w in enumerate(t.split())) for t in long]

@@ -49,6 +49,21 @@ def test_awkward_documents(spark, sf):
     assert left.count(3) <= 1 and None in left or not left
 
 
+def test_rows_with_one_id_are_judged_each_for_itself(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id")
+    own = [r for r in docs.join(good, "doc_id").orderBy("doc_id").limit(40).collect() if r["text"]]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in own]
+    one = 10**9  # no label names it
+    junk = [(one, rows[0][1], rows[0][2], "s", 1000), (one, "zq#x " * 200, rows[0][2], "s", 1000), (None, "qz@@ " * 200, rows[0][2], "s", 1000), (None, rows[1][1], rows[1][2], "s", 1)]
+    more = spark.createDataFrame([*rows, *junk], docs.schema)
+    kept = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["quality"](spark, more, sf).collect()]
+    assert (one, rows[0][1]) in kept and (None, rows[1][1]) in kept and not any(t.startswith(("zq#x", "qz@@")) for _, t in kept)
+    first = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, more, sf).collect()
+    texts = [(r["doc_id"], r["text"]) for r in first]
+    assert [i for i, t in texts if t == rows[0][1]] == [rows[0][0]] and sum(t.startswith("zq#x") for _, t in texts) == 1 and None in [i for i, _ in texts]
+
+
 def test_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
