@@ -1,6 +1,11 @@
 """From raw documents to packed sequences: language ID, quality, near duplicates, packing.
 
 Each stage is written to the shared folder and read again as the next one's documents.
+
+Defined results: a row is judged by itself, so rows with one id or none are kept or go each for itself.  A null or empty text
+has no language and goes in the first stage; a null lang is a language of its own (`und`) in the second.  Of rows that are
+the same in id and text one stays in the third stage, as of near duplicates the smallest id; a row without an id stays
+there.  Equal sizes of two languages reject; an empty table gives none.  Other columns are passed on as they are.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their language's perplexity threshold; an id goes if all its rows are beyond it."""
+    """Documents within their language's perplexity threshold."""
     bounded_batches(spark)
     scored = kneserney.classify(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    rejected = materialise(scored.groupBy("doc_id").agg(F.max("keep").alias("keep")).where("not keep").select("doc_id"), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rejected = materialise(scored.where("not keep").select(F.col("doc_id").alias("id_"), F.col("lang").alias("lang_"), F.col("text_hash").alias("hash_")).distinct(), "rejected")
+    gone = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.coalesce("lang", F.lit("und")) == F.col("lang_")) & (F.xxhash64("text") == F.col("hash_"))
+    return docs.join(rejected, gone, "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
