@@ -38,7 +38,7 @@ RESULT = "doc_id long, lang_pred string, score double, margin long, rejected boo
 SAMPLE, SHARE = 256, 1500
 #: Bound of the model, which goes to every task, in characters, and the least of a document that is worth a place.
 MODEL, LEAST = 32_000_000, 64
-LEVEL = 3
+LEVEL = 15
 #: Sizes within so many bytes, or this share of the smallest, are a narrow margin.
 NARROW_BYTES, NARROW = 4, 0.005
 #: Bytes of a piece.
