@@ -751,6 +751,47 @@ def test_components_of_a_chain(spark):
     assert got == dict.fromkeys(range(61), 0) | {100: 100, 101: 100}
 
 
+# all
+
+
+def every_operator(spark):
+    trusted = spark.createDataFrame([(1,), (2,), (4,)], "doc_id long")
+    return {
+        1: lambda df: sentencepiece.encode_decode(df, queries.tokenizer_path("piece_bpe_32k.model")).select("doc_id", "ids", "decoded"),
+        2: lambda df: kneserney.classify(df, trusted).select("doc_id", F.round("perplexity", 6)),
+        3: lambda df: editprint.fingerprints(df),
+        4: lambda df: lmscore.score(df, lambda i: crc_fold(i, 7) == 2).select("doc_id", "n_tokens", F.round("score", 4)),
+        5: lambda df: langid.predict(df, langid.fit(df)),
+        6: lambda df: licenses.scan(df).select("doc_id", "lic_labels", "lic_n_words"),
+        8: lambda df: packing.pack(df, queries.tokenizer_path(packing.TOKENIZER)).where("start = 0").select("doc_id", "doc_tokens", F.when(F.col("doc_tokens") < 2048, F.col("ids_crc32"))),
+        9: lambda df: simhash.near_classes(df).select("doc_id", "fp"),
+        10: lambda df: simhash.classes(df).select("doc_id", "fp"),
+    }
+
+
+@pytest.mark.parametrize("number", [1, 2, 3, 4, 5, 6, 8, 9, 10])
+def test_repeated_and_null_ids_long_texts_and_empty_tables(spark, number):
+    run = every_operator(spark)[number]
+    long = "The quick brown fox, all rights reserved, jumps over lazy dogs; " * 6000
+    texts = [None, "", "a b c", "a b c", long, "same words here", "same words here", "other words", long]
+    ids = [1, None, 2, 2, 3, None, None, 2, 4]
+    got = [tuple(map(str, r)) for r in run(table(spark, texts, ids).repartition(3)).collect()]
+    assert collections.Counter(r[0] for r in got) == collections.Counter(map(str, ids))
+    assert got.count(next(r for r in got if got.count(r) > 1)) == 2 and len({r[1:] for r in got}) >= 2
+    assert {r[1:] for r in got if r[0] == "3"} == {r[1:] for r in got if r[0] == "4"}
+    assert run(table(spark, [])).count() == 0
+
+
+def test_html_and_topk_take_empty_tables_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    weights = htmltext.fit(pages)
+    assert sorted((r["page_id"] or 0, r["text"]) for r in htmltext.main_text(pages, weights).collect()) == [(0, ""), (1, "x"), (1, "x")]
+    assert htmltext.main_text(pages.limit(0), htmltext.fit(pages.limit(0))).count() == 0
+    vectors = spark.createDataFrame([(0, [1.0]), (7, [2.0]), (7, [2.0]), (None, [9.0]), (3, [])], "vec_id long, embedding array<double>")
+    got = topk.top_k(vectors, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(7, 512 * 256), (7, 512 * 256)]
+
+
 def test_registered_names():
     assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(i) for i in range(1, 11)}
     assert os.path.isdir(queries.TOKENIZERS)
