@@ -81,6 +81,20 @@ def select_rename(df: DataFrame, fields: Mapping[str, str] | Sequence[str]) -> D
     return df.select(*[F.col(f"`{f}`").alias(n) for f, n in pairs])
 
 
+def sink(df: DataFrame, mapping: Mapping[str, str], keys: Sequence[str], node: str = "sink") -> Flow:
+    """The columns of a target (field: column) with their keys checked: every row of a repeated key, null ones included, is an issue."""
+    from ..functions.text import key_columns
+
+    for k in keys:
+        if k not in mapping:
+            raise ValueError(f"KEY_NOT_MAPPED: {k}")
+    out = select_rename(df, mapping)
+    own, names = key_columns(df, list(keys), "_k")
+    again = own.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").agg(F.sum("n").alias("n")).where("n is not null")
+    none = F.lit(None).cast("string")
+    return Flow(out, issues=again.select(F.lit(node).alias("node"), F.lit("ERROR").alias("severity"), F.lit("SINK_DUPLICATE_KEY").alias("code"), none.alias("message"), F.lit(",".join(keys)).alias("field"), "n"))
+
+
 def union_by_name(*inputs: DataFrame) -> DataFrame:
     """All rows of all inputs, aligned by name; missing fields are null, and the first input's type holds."""
     kinds: dict[str, T.DataType] = {}

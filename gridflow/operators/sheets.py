@@ -214,6 +214,30 @@ def repeating(cells: DataFrame, anchor: str, height: int, width: int, fields: Ma
     return form(local, fields, ("sheet", "block"))
 
 
+def strided(cells: DataFrame, region: Rect, step: tuple[int, int], size: tuple[int, int], fields: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """One row for each block of a grid of equal blocks (rows and cols from one block's corner to the next; rows and cols of a block): its ordinal and fields; blank blocks are left out.
+
+    step: 0 for a direction in which there is one block.  Blocks must not overlap.
+    """
+    for d, n in zip(step, size, strict=True):
+        if 0 < d < n:
+            raise ValueError("BLOCK_OVERLAP")
+    r, c = F.col("row") - region.top, F.col("col") - region.left
+    down, right = (F.floor(x / d) if d else F.lit(0) for x, d in ((r, step[0]), (c, step[1])))
+    across = (region.right - region.left) // step[1] + 1 if step[1] else 1
+    own = cut(filled_cells(cells), region).select("sheet", (down * across + right + 1).cast("int").alias("block"), (r - down * step[0] + 1).alias("row"), (c - right * step[1] + 1).alias("col"), "value")
+    return form(own.where((F.col("row") <= size[0]) & (F.col("col") <= size[1])), fields, ("sheet", "block"))
+
+
+def filled_cells(cells: DataFrame) -> DataFrame:
+    return cells.where(norm_text(F.col("value")) != "")
+
+
+def outside(fields: Mapping[str, tuple[int, int]], rows: int, cols: int) -> list[str]:
+    """Fields of a form whose place is not in it."""
+    return [f for f, (r, c) in fields.items() if not (1 <= r <= rows and 1 <= c <= cols)]
+
+
 def union_sheets(rows: DataFrame, pattern: str | None, as_column: str = "_sheet") -> DataFrame:
     """Rows of the sheets whose name matches, with the name as a field."""
     out = rows.where(F.col("sheet").rlike(r"\A(?:" + pattern + r")\z")) if pattern else rows

@@ -148,6 +148,11 @@ def cut(cells: DataFrame, located: DataFrame, masks: Sequence[DataFrame] = ()) -
     return out
 
 
+def preview(cells: DataFrame, located: DataFrame, rows: int = 20, cols: int = 20) -> DataFrame:
+    """The upper left cells of each rectangle: a report of `rows` times `cols` a sheet."""
+    return cut(cells, located).where((F.col("row") < F.col("top") + rows) & (F.col("col") < F.col("left") + cols)).select("sheet", "row", "col", "value")
+
+
 def padded(cells: DataFrame, located: DataFrame) -> DataFrame:
     """Every place of each rectangle: sheet, row, col, value, null where the sheet has no cell."""
     grid = located.select("sheet", F.explode(F.sequence("top", "bottom")).alias("row"), "left", "right").select("sheet", "row", F.explode(F.sequence("left", "right")).alias("col"))

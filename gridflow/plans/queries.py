@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import dataclasses
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import convert, scalars
 from ..functions.text import key_norm, norm_text, norm_value
 from ..operators import binding, changes, joins, pivot, rows, sheets, source, validate
+from ..sources.release import Releases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -672,6 +675,82 @@ def row_hash_values(spark, sf):
     return o.select("o_orderkey", F.lit(True).alias("made"), changes.row_hash(o).alias("h"))
 
 
+@query("SELECT o_orderkey AS id, o_custkey AS customer FROM orders")
+def sink_mapping(spark, sf):
+    return rows.sink(read(spark, sf, "orders"), {"o_orderkey": "id", "o_custkey": "customer"}, ["o_orderkey"]).out
+
+
+@query("""WITH k AS (SELECT CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS k, count(*) AS n FROM orders GROUP BY 1) SELECT 'sink' AS node, 'ERROR' AS severity, 'SINK_DUPLICATE_KEY' AS code, NULL::VARCHAR AS message, 'k' AS field,
+sum(n)::BIGINT AS n FROM k WHERE n > 1 HAVING count(*) > 0""")
+def sink_issues(spark, sf):
+    o = read(spark, sf, "orders").select(F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("k"))
+    return rows.sink(o, {"k": "k"}, ["k"]).issues
+
+
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, * FROM part) SELECT 's' AS sheet, (i + 1)::INT AS block, p_partkey::VARCHAR AS part, p_type AS kind FROM p""")
+def shape_strided_blocks(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", "p_type")
+    low = p.agg(F.min("p_partkey")).first()[0]
+    at = (F.col("p_partkey") - low).cast("int")
+    cells = p.select(F.lit("s").alias("sheet"), F.explode(F.array(
+        F.struct((F.floor(at / 4) * 3 + 1).cast("int").alias("row"), (at % 4 * 2 + 1).alias("col"), F.col("p_partkey").cast("string").alias("value")),
+        F.struct((F.floor(at / 4) * 3 + 2).cast("int").alias("row"), (at % 4 * 2 + 1).alias("col"), F.col("p_type").alias("value")),
+    )).alias("x")).select("sheet", "x.*")
+    return sheets.strided(cells, sheets.Rect(1, 1, 2**30, 8), (3, 2), (2, 1), {"part": (1, 1), "kind": (2, 1)})
+
+
+@query(f"{_BOOK_SQL} SELECT sheet, row, CASE WHEN even THEN 3 ELSE 1 END AS col, part::VARCHAR AS value FROM p WHERE row < 60")
+def region_preview(spark, sf):
+    cells = _book(spark, sf)
+    found = source.preview(cells, source.locate(cells, _PARTS).out, 57, 4).where("row > 3 and value <> 'The end'")
+    return found.where("(right(sheet, 1) % 2 = 0 and col = 3) or (right(sheet, 1) % 2 = 1 and col = 1)")
+
+
+# publications: written beside the live version, under the shared folder
+
+
+def _store(spark) -> Releases:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-releases-")
+    return Releases(spark, f"{shared.rstrip('/')}/releases-{uuid.uuid4().hex}")
+
+
+def _published(spark, sf) -> Releases:
+    """Two publications of customers, then one that replaces the partitions of two segments."""
+    c = read(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    store = _store(spark)
+    store.publish({"customer": c.where("c_custkey % 10 <> 0")}, {"customer": ["c_custkey"]})
+    store.publish({"customer": c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 4 == 0, 0.0).otherwise(F.col("c_acctbal")))}, {"customer": ["c_custkey"]})
+    store.publish({"customer": c.where("c_mktsegment in ('BUILDING', 'MACHINERY') and c_custkey % 2 = 0")}, {"customer": ["c_custkey"]}, force=True, partitions={"customer": ["c_mktsegment"]})
+    return store
+
+
+_TWO = "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer"
+
+
+@query(f"WITH t AS ({_TWO}) SELECT * FROM t WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 2 = 0")
+def release_live_rows(spark, sf):
+    return _published(spark, sf).read("customer")
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 10 <> 0")
+def release_rolled_back(spark, sf):
+    store = _published(spark, sf)
+    store.roll_back(1)
+    return store.read("customer")
+
+
+@query(_TWO)
+def release_partitions_undone(spark, sf):
+    store = _published(spark, sf)
+    store.undo_partitions("customer", 3)
+    return store.read("customer")
+
+
+@query("""SELECT CASE WHEN c_custkey % 10 = 0 THEN 'c' ELSE 'u' END AS op, c_custkey FROM customer WHERE c_custkey % 10 = 0 OR (c_custkey % 4 = 0 AND c_acctbal <> 0)""")
+def release_change_set(spark, sf):
+    return _published(spark, sf).changes_between("customer", 1, 2, ["c_custkey"]).select("op", "c_custkey")
+
+
 # conversion and scalar functions
 
 
