@@ -176,7 +176,6 @@ def links(nodes: DataFrame, bits: int, radius: int, blocks: int) -> DataFrame:
 
     nodes: distinct (fp binary).  Each of the choices of `blocks - radius` blocks out of `blocks` makes a bucket key.
     """
-    spark = nodes.sparkSession
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
     choices = list(combinations(range(blocks), blocks - radius))
 
