@@ -21,6 +21,8 @@ HIDDEN_ROW, HIDDEN_COL, STRIKE, ERROR, NO_CACHE, MERGED, BOLD = 1, 2, 4, 8, 16,
 ERRORS = frozenset(("#N/A", "#REF!", "#DIV/0!", "#VALUE!", "#NAME?", "#NUM!", "#NULL!", "#GETTING_DATA", "#SPILL!", "#CALC!"))
 MAX_UNZIPPED = 512 * 1024 * 1024
 CELLS = "path string, sheet string, sheet_no int, row int, col int, value string, kind string, flags int, fmt string"
+#: Cell types of the file, and kinds here.
+KINDS = {"s": "s", "inlineStr": "s", "str": "s", "b": "b", "e": "e"}
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -97,18 +99,22 @@ def cells_of(path: str, content: bytes, merge_fill: bool) -> Iterator[tuple]:
             for r in range(m[0], m[2] + 1):
                 by_row.setdefault(r, []).append(m)
         hidden_cols: list[tuple[int, int]] = []
-        hidden_row = False
         corner: dict[tuple[int, int], tuple] = {}
-        for event, e in ElementTree.iterparse(book.open(file), ("start", "end")):
-            if event == "start":
-                if e.tag == _MAIN + "row":
-                    hidden_row = e.get("hidden") in ("1", "true")
+        numbers: dict[str, int] = {}
+        last = 0
+        for _, line in ElementTree.iterparse(book.open(file)):
+            if line.tag == _MAIN + "col" and line.get("hidden") in ("1", "true"):
+                hidden_cols.append((int(line.get("min", "0")), int(line.get("max", "0"))))
+            if line.tag != _MAIN + "row":
                 continue
-            if e.tag == _MAIN + "col" and e.get("hidden") in ("1", "true"):
-                hidden_cols.append((int(e.get("min", "0")), int(e.get("max", "0"))))
-            elif e.tag == _MAIN + "c":
-                letters, row = re.fullmatch(r"([A-Z]+)(\d+)", e.get("r", "A1")).groups()
-                r, c = int(row), letters_to_number(letters)
+            hidden_row = HIDDEN_ROW if line.get("hidden") in ("1", "true") else 0
+            r = last = int(line.get("r") or last + 1)
+            held = by_row.get(r, ())
+            c = 0
+            for e in line:
+                ref = e.get("r")
+                letters = ref.rstrip("0123456789") if ref else ""
+                c = (numbers.get(letters) or numbers.setdefault(letters, letters_to_number(letters))) if letters else c + 1
                 style = int(e.get("s", "0"))
                 flags, fmt = styles[style] if style < len(styles) else (0, "")
                 kind, v = e.get("t", "n"), e.find(_MAIN + "v")
@@ -117,21 +123,21 @@ def cells_of(path: str, content: bytes, merge_fill: bool) -> Iterator[tuple]:
                     text = strings[int(text)]
                 elif kind == "inlineStr":
                     text = "".join(t.text or "" for t in e.iter(_MAIN + "t"))
-                kind = {"s": "s", "inlineStr": "s", "str": "s", "b": "b", "e": "e"}.get(kind, "d" if kind == "d" or (text and _is_date(fmt)) else "n")
+                kind = KINDS.get(kind) or ("d" if kind == "d" or (text and fmt and _is_date(fmt)) else "n")
                 if kind == "e" or text in ERRORS:
                     flags |= ERROR
-                if e.find(_MAIN + "f") is not None and text is None:
+                if text is None and e.find(_MAIN + "f") is not None:
                     flags |= NO_CACHE
-                flags |= HIDDEN_ROW * hidden_row | HIDDEN_COL * any(a <= c <= b for a, b in hidden_cols)
+                flags |= hidden_row
+                if hidden_cols and any(a <= c <= b for a, b in hidden_cols):
+                    flags |= HIDDEN_COL
                 cell = (path, name, number, r, c, text, kind, flags, fmt)
-                if any((r, c) == (m[0], m[1]) for m in by_row.get(r, ())):
+                if any((r, c) == (m[0], m[1]) for m in held):
                     corner[r, c] = cell
                 if (text is not None and text.strip()) or flags & ~(BOLD | HIDDEN_ROW | HIDDEN_COL):
-                    if not any(m[1] <= c <= m[3] and (r, c) != (m[0], m[1]) for m in by_row.get(r, ())):
+                    if not any(m[1] <= c <= m[3] and (r, c) != (m[0], m[1]) for m in held):
                         yield cell
-                e.clear()
-            elif e.tag == _MAIN + "row":
-                e.clear()
+            line.clear()
         for r1, c1, r2, c2 in merges:
             if (r1, c1) in corner:
                 own = corner[r1, c1]
