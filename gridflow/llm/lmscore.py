@@ -49,7 +49,7 @@ ORDER = 5
 #: Discount of the token level, and share of the spelling in a token's probability there.
 DISCOUNT, SPELLED = 0.75, 0.5
 #: Symbols of a traversal segment.
-SEGMENT = 1024
+SEGMENT = 384
 #: Bytes of text in a block, and for each bucket.
 BLOCK, BUCKET = 3_000_000, 16_000_000
 SPACE = 32
