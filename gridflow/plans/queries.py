@@ -706,6 +706,38 @@ def region_preview(spark, sf):
     return found.where("(right(sheet, 1) % 2 = 0 and col = 3) or (right(sheet, 1) % 2 = 1 and col = 1)")
 
 
+@query("""SELECT n_regionkey::VARCHAR AS sheet, n_nationkey + 1 AS row, 2 AS col, n_name AS value, levenshtein(n_name, 'UNITED STATE') AS distance FROM nation WHERE abs(length(n_name) - 12) <= 6 ORDER BY 5, 2 LIMIT 3""")
+def locate_similar(spark, sf):
+    return sheets.similar(_nation_cells(spark, sf).where("col = 2"), "UNITED STATE")
+
+
+@query("""SELECT n_regionkey::VARCHAR AS sheet, 1 AS row, n_nationkey + 1 AS col, n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT n_regionkey::VARCHAR, 2, n_nationkey + 1, n_name FROM nation""")
+def shape_transposed(spark, sf):
+    return sheets.transposed(_nation_cells(spark, sf))
+
+
+@query("SELECT DISTINCT p_brand AS sheet, 3 AS right FROM part")
+def locate_end_cols(spark, sf):
+    return sheets.end_cols(_part_cells(spark, sf), 1, 1)
+
+
+@query("SELECT n_regionkey::VARCHAR AS sheet, max(n_nationkey::VARCHAR) FILTER (WHERE n_nationkey = 3) AS id, max(n_name) FILTER (WHERE n_nationkey = 3) AS name FROM nation GROUP BY 1")
+def shape_form(spark, sf):
+    return sheets.form(_nation_cells(spark, sf), {"id": (4, 1), "name": (4, 2)})
+
+
+@query("SELECT p_brand AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS block, 'Part: ' || p_partkey AS name, p_type AS type FROM part")
+def shape_repeating_blocks(spark, sf):
+    p, at = read(spark, sf, "part"), (F.col("p_partkey") * 3).cast("int")
+    cells = p.select(F.col("p_brand").alias("sheet"), F.explode(F.array(F.struct((at + 5).alias("row"), F.lit(2).alias("col"), F.concat(F.lit("Part: "), "p_partkey").alias("value")), F.struct((at + 6).alias("row"), F.lit(3).alias("col"), F.col("p_type").alias("value")))).alias("x")).select("sheet", "x.*")
+    return sheets.repeating(cells, r"Part: \d+", 2, 2, {"name": (1, 1), "type": (2, 2)})
+
+
+@query("SELECT n_regionkey::VARCHAR AS region, n_nationkey + 1 AS row, n_nationkey::VARCHAR AS id, n_name AS name FROM nation WHERE n_regionkey IN (1, 3)")
+def sheets_united(spark, sf):
+    return sheets.union_sheets(sheets.detail(_nation_cells(spark, sf), {1: "id", 2: "name"}, 1), "[13]", "region")
+
+
 # publications: written beside the live version, under the shared folder
 
 
