@@ -203,12 +203,6 @@ def suffix_of(key: Column) -> Column:
     return F.pmod(key.bitwiseAND(F.lit((1 << ORDER_SHIFT) - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), (8 * (k - 1)).cast("int"))).bitwiseOR((k - 1).cast("long") * F.lit(1 << ORDER_SHIFT))
 
 
-def listed(counted: DataFrame) -> DataFrame:
-    """block, lang, i, key, n: a row for each distinct key of each block."""
-    zipped = counted.select("block", "lang", F.posexplode(F.arrays_zip("keys", "counts")).alias("i", "x"))
-    return zipped.select("block", "lang", "i", F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
-
-
 def probabilities(keys: np.ndarray, term: np.ndarray, gamma: np.ndarray, order: int) -> np.ndarray:
     """P(last byte | the rest) of every key: term + gamma(context) * P(suffix), from the shortest order on.
 
