@@ -272,8 +272,8 @@ NEAR_SEED, NEAR_WORDS, NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 42, 4, 5, 0.8, 10
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: Bytes of shingle hashes in a tile of the exact comparison.
-TILE_BYTES = 8_000_000
+#: Bytes of shingle hashes in a tile of the exact comparison, and linked sets whose names (16 bytes) are broadcast at most.
+TILE_BYTES, MOST_BROADCAST = 8_000_000, 2_000_000
 
 
 def near_radius(bits: int, similarity: float) -> int:
@@ -341,8 +341,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     h is a hash of the text, which tells rows with one id apart.  The radius that this likeness needs is too wide for
     choices of bit blocks, so the buckets are bands of minimum hashes of the shingles (with 10 bands of 3 a pair at 0.8
-    shares one with chance 0.999), and the comparison of bits is a filter.  The hash sets of the rows that it links go to
-    their buckets, and only pairs that are alike as sets are links.  A node is a distinct set, and stands for its copies.
+    shares one with chance 0.999), and the comparison of bits is a filter.  The hash sets of the rows that it links go once
+    to their connected group, and only pairs that are alike as sets are links.  A node is a distinct set, and stands for
+    its copies.
     """
     bits, radius = 64 * NEAR_WORDS, near_radius(64 * NEAR_WORDS, similarity)
     spark = docs.sparkSession
@@ -361,10 +362,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     own = materialise(picked.mapInPandas(run, "doc_id long, h long, fp binary, keys array<binary>, size long"), "near")
-    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("h").alias("h")), "nodes")
-    rows = materialise(own.select(F.explode("keys").alias("key"), "fp", "size").distinct(), "keyed")
-    found = bucket_links(rows.select("key", "fp"), radius, bits)
-    linked = materialise(found.select(F.col("a").alias("fp")).union(found.select("b")).distinct(), "linked")
+    nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("one"), F.min("size").alias("size")), "nodes")
+    rows = materialise(own.groupBy("fp").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "fp"), "keyed")
+    # what the filter links, by connected groups: every pair that shares a bucket and passes it lies in one group
+    linked = components(bucket_links(rows.select("key", "fp"), radius, bits)).select(F.col("node").alias("fp"), F.xxhash64("root").alias("key"))
+    linked = materialise(linked.join(nodes, "fp").select("fp", "key", F.col("one.doc_id").alias("id_"), F.col("one.h").alias("h"), "size"), "linked")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in chunks(batches, 2_000_000):
@@ -372,15 +374,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
             yield pd.DataFrame({"fp": [set_node(h, NEAR_WORDS) for h in made], "hashes": [h.tobytes() for h in made]})
 
     # of each linked set the hashes of one text that has it
-    texts = picked.join(nodes.join(linked, "fp").select("h").distinct(), "h", "left_semi").select("text")
-    sets = texts.mapInPandas(listed, "fp binary, hashes binary").join(linked, "fp", "left_semi").dropDuplicates(["fp"])
-    sets = materialise(sets, "sets")
-
-    # every bucket in tiles of bounded rows and bytes, and each pair of tiles a group
-    few = rows.join(linked, "fp", "left_semi")
-    tiles = few.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
+    wanted = linked.select("h", "id_").distinct()
+    if linked.count() <= MOST_BROADCAST:  # then no text is moved
+        wanted = F.broadcast(wanted)
+    sets = picked.join(wanted, (picked["h"] == wanted["h"]) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi").select("text").mapInPandas(listed, "fp binary, hashes binary")
+    sets = materialise(sets.join(linked.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+
+    # every group in tiles of bounded rows and bytes, and each pair of tiles a task's work
+    tiles = linked.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
     tiles = tiles.select("key", F.expr(f"cast(greatest(ceil(n / {TILE // 2}), ceil(all * 8 / {TILE_BYTES})) as int)").alias("tiles"))
-    dealt = few.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+    dealt = linked.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
     dealt = dealt.select("key", "fp", "tile", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
     dealt = dealt.select("key", "fp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile").join(sets, "fp")
 
