@@ -33,6 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     scored = kneserney.classify(docs, table(spark, sf_dir, "labels").where("quality = 1"))
     rejected = materialise(scored.where("not keep").select(F.col("doc_id").alias("id_"), F.col("lang").alias("lang_"), F.col("text_hash").alias("hash_")).distinct(), "rejected")
+    if rejected.count() <= simhash.MOST_BROADCAST:  # an id and a hash each; then no text is moved
+        rejected = F.broadcast(rejected)
     gone = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.coalesce("lang", F.lit("und")) == F.col("lang_")) & (F.xxhash64("text") == F.col("hash_"))
     return docs.join(rejected, gone, "left_anti").select(docs.columns)
 
