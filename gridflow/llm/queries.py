@@ -1,15 +1,17 @@
-"""The registered queries of the ten operators: thin digests of what the operators return, over whole tables."""
+"""The registered queries of the thirteen operators: thin digests of what the operators return, over whole tables."""
 
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editprint, htmltext, kneserney, langid, licenses, lmscore, packing, sentencepiece, simhash, topk
+from . import editprint, htmltext, kneserney, langid, lattice, lexical, licenses, lmscore, packing, periodic, sentencepiece, simhash, topk
 from .common import bounded_batches, crc_fold, materialise
 
 #: Where the public vocabularies lie; a parameter of every operator that takes one.
@@ -77,6 +79,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The places of words after a run is planted in a document of n words; its id says whether, where and of which period."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    place = np.arange(n)
+    return np.where(place < a, place, a + (place - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(table(spark, sf_dir, "documents"), reword=planted)
+    # lengths and periods are far below 2**26, so unequal quotients are unequal as doubles
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("times"), (-r["start"]).alias("s"), (-r["period"]).alias("q"), r.alias("r"))))["r"]
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    digest = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return digest.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality": op2_quality,
@@ -88,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,
+    "op11_lexical": op11_lexical,
+    "op12_lattice": op12_lattice,
+    "op13_periodic": op13_periodic,
 }
 
 SQL: dict[str, str] = {
@@ -102,4 +138,34 @@ SQL: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 5
     """,
+    "op11_lexical": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+        ), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL
+        ), c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), w AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c WHERE term IN (SELECT term FROM q) GROUP BY term, docs
+        ), s AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+            FROM q JOIN w USING (term) JOIN f USING (term) JOIN d USING (doc_id), c GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10
+    """,
+    "op12_lattice": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+        ), u AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_inner_product(e, e) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+        ), r AS (
+            SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+        )
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept
+        FROM v JOIN r ON r.a = vec_id GROUP BY vec_id
+    """,
 }
