@@ -7,8 +7,7 @@ output, and issues are rows of a common form.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +22,20 @@ RESERVED = frozenset((
 NAME = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
 
 
-@dataclass
 class Flow:
-    """An operator's main output, its side output, and its issues (node, severity, code, message, field, n)."""
+    """An operator's main output, its side output, and its issues (node, severity, code, message, field, n).
 
-    out: DataFrame
-    reject: DataFrame | None = None
-    issues: DataFrame | None = None
+    issues may be given as a function; its plan is made when it is first asked for.
+    """
+
+    def __init__(self, out: DataFrame, reject: DataFrame | None = None, issues: DataFrame | Callable[[], DataFrame | None] | None = None) -> None:
+        self.out, self.reject, self._issues = out, reject, issues
+
+    @property
+    def issues(self) -> DataFrame | None:
+        if callable(self._issues):
+            self._issues = self._issues()
+        return self._issues
 
 
 def pair(value: Value) -> tuple[Column, Column]:

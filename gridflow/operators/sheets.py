@@ -145,7 +145,7 @@ def key_values_wide(cells: DataFrame, key_col: int, value_col: int, fields: Mapp
     return long.groupBy("sheet").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(n) for k, n in fields.items()])
 
 
-def matrix(cells: DataFrame, header_rows: Mapping[int, str], header_cols: Mapping[int, str], value: str = "value", drop: Sequence[str] = (), drop_empty: bool = True, parsers: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+def matrix(cells: DataFrame, header_rows: Mapping[int, str], header_cols: Mapping[int, str], value: str = "value", drop: Sequence[str] = (), drop_empty: bool = True, parsers: Mapping[str, tuple[str, str]] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Unpivot: one row for each body cell with its row headers (column: name) and column headers (row: name).
 
     Header cells that are blank take the one before them; rows and columns with a header in `drop`, or whose headers are
@@ -154,7 +154,7 @@ def matrix(cells: DataFrame, header_rows: Mapping[int, str], header_cols: Mappin
     """
     first_row, first_col = max(header_rows) + 1, max(header_cols) + 1
     text = F.when(norm_text(F.col("value")) != "", norm_text(F.col("value")))
-    body = cells.where((F.col("row") >= first_row) & (F.col("col") >= first_col)).select("sheet", "row", "col", F.col("value").alias(value))
+    body = cells.where((F.col("row") >= first_row) & (F.col("col") >= first_col)).select("sheet", "row", "col", F.col("value").alias(value), *keep)
     rows = cells.where((F.col("row") >= first_row) & F.col("col").isin(*header_cols)).groupBy("sheet", "row").agg(*[F.max(F.when(F.col("col") == c, text)).alias(n) for c, n in header_cols.items()])
     cols = cells.where((F.col("col") >= first_col) & F.col("row").isin(*header_rows)).groupBy("sheet", "col").agg(*[F.max(F.when(F.col("row") == r, text)).alias(n) for r, n in header_rows.items()])
     down, across = Window.partitionBy("sheet").orderBy("row"), Window.partitionBy("sheet").orderBy("col")
@@ -200,16 +200,35 @@ def form(cells: DataFrame, fields: Mapping[str, tuple[int, int]], by: Sequence[s
     return cells.groupBy(*by).agg(*[F.max(F.when((F.col("row") == r) & (F.col("col") == c), F.col("value"))).alias(n) for n, (r, c) in fields.items()])
 
 
-def repeating(cells: DataFrame, anchor: str, height: int, width: int, fields: Mapping[str, tuple[int, int]]) -> DataFrame:
-    """One row for each block that an anchor text begins: its ordinal and its fields at places within the block (from 1).
+def in_blocks(cells: DataFrame, starts: DataFrame, high: int, wide: int) -> DataFrame:
+    """The cells (sheet, row, col, ...) with top and left of the block that holds them, for blocks of one size.
+
+    An equi-join on a grid of the block's size: a cell lies in one place of the grid, a block in four at most.
+    """
+    spread = {"gy": F.explode(F.sequence(F.floor(F.col("top") / high), F.floor((F.col("top") + high - 1) / high))), "gx": F.explode(F.sequence(F.floor(F.col("left") / wide), F.floor((F.col("left") + wide - 1) / wide)))}
+    dealt = starts.withColumn("gy", spread["gy"]).withColumn("gx", spread["gx"])
+    met = cells.withColumns({"gy": F.floor(F.col("row") / high), "gx": F.floor(F.col("col") / wide)}).join(dealt, ["sheet", "gy", "gx"])
+    return met.where(F.col("row").between(F.col("top"), F.col("top") + high - 1) & F.col("col").between(F.col("left"), F.col("left") + wide - 1)).drop("gy", "gx")
+
 
-    A block is at most `height` rows, so each cell looks back that far for its anchor: an equi-join on the possible
-    first rows, not a range join.
+def overlapping(starts: DataFrame, high: int, wide: int) -> DataFrame:
+    """The sheets in which two blocks of one size meet.
+
+    Two blocks that begin in one place of a grid of the block's size meet; where every place has one, each is compared with
+    those of four neighbouring places.
     """
+    places = starts.groupBy("sheet", F.floor(F.col("top") / high).alias("gy"), F.floor(F.col("left") / wide).alias("gx")).agg(F.count("*").alias("n"), F.min("top").alias("top"), F.min("left").alias("left"))
+    near = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    asking = places.where("n = 1").withColumn("o", near).select("sheet", (F.col("gy") + F.col("o.y")).alias("gy"), (F.col("gx") + F.col("o.x")).alias("gx"), F.col("top").alias("t"), F.col("left").alias("l"))
+    met = asking.join(places, ["sheet", "gy", "gx"]).where((F.abs(F.col("top") - F.col("t")) < high) & (F.abs(F.col("left") - F.col("l")) < wide))
+    return places.where("n > 1").select("sheet").union(met.select("sheet")).distinct()
+
+
+def repeating(cells: DataFrame, anchor: str, height: int, width: int, fields: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """One row for each block that an anchor text begins: its ordinal and its fields at places within the block (from 1); see `overlapping`."""
     starts = cells.where(matching(F.col("value"), anchor, "REGEX")).select("sheet", F.col("row").alias("top"), F.col("col").alias("left"))
     starts = starts.withColumn("block", F.row_number().over(Window.partitionBy("sheet").orderBy("top", "left")))
-    reach = cells.select("sheet", "row", "col", "value", F.explode(F.sequence(F.col("row") - height + 1, "row")).alias("top"))
-    inside = reach.join(starts, ["sheet", "top"]).where((F.col("col") >= F.col("left")) & (F.col("col") < F.col("left") + width))
+    inside = in_blocks(cells.select("sheet", "row", "col", "value"), starts, height, width)
     local = inside.select("sheet", "block", (F.col("row") - F.col("top") + 1).alias("row"), (F.col("col") - F.col("left") + 1).alias("col"), "value")
     return form(local, fields, ("sheet", "block"))
 

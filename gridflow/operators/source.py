@@ -1,63 +1,32 @@
 """The source node: regions of sheets are located, cut, shaped, bound to specs and coerced, for all sheets at once.
 
-A region's place and its header's columns may differ from sheet to sheet, so both are small tables with a row for each
-sheet, and cells meet them by an equi-join on the sheet.  Nothing is collected but names of columns that no spec asks for.
+Cells become lines by one exchange (see `places`), which serves all that a plan asks of them.  A region's place and its
+header's columns may differ from sheet to sheet, so both are small tables with a row for each sheet, and lines meet them by an
+equi-join on the sheet.  Nothing is collected but names of columns that no spec asks for, where they are to be included.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
-from .binding import CELL, Spec, coerce_rows, matches, spec_problems
+from . import sheets
+from .binding import Spec, coerce_rows, lone, matches, spec_problems
+from .places import RECT, Region, at, clash, filled_cols, lines, meet, places, text_of
 from .rows import Flow, issues
-from .sheets import Rect, anchors, letters, matching
+from .sheets import Rect, letters, matching
 
 #: Row flags of the workbook reader.
-HIDDEN_ROW, STRIKE = 1, 4
+BOLD, HIDDEN_ROW, STRIKE = 2, 1, 4
 #: A located region that is so much higher or lower than designed gets a warning.
 SIZE_CHANGE = 0.5
-
-
-@dataclass(frozen=True)
-class Region:
-    """Where a region lies, what shape it has, and which fields it gives.
-
-    locator: FIXED (the design), ANCHOR (a text, then an offset) or AUTO_EXPAND (from the design's corner to the first blank
-    header cell and a gap of `blanks` rows).  rows: FIXED_SIZE, SHEET_END, UNTIL_BLANK_ROWS or UNTIL_ANCHOR; cols: FIXED_SIZE,
-    SHEET_END or UNTIL_BLANK_HEADER.  shape: DETAIL, SUMMARY (the first row that is not blank; names from `align`) or IGNORE.
-    """
-
-    id: str
-    design: Rect
-    locator: str = "FIXED"
-    anchor: str = ""
-    match: str = "EXACT"
-    offset: tuple[int, int] = (0, 0)
-    rows: str = "FIXED_SIZE"
-    cols: str = "FIXED_SIZE"
-    blanks: int = 1
-    end: str = ""
-    end_match: str = "EXACT"
-    inclusive: bool = False
-    any_column: bool = False
-    shape: str = "DETAIL"
-    header_rows: int = 1
-    joiner: str = "_"
-    align: Sequence[str] = ()
-    specs: Sequence[Spec] = ()
-    new_columns: str = "DROP"
-    hidden: str = "KEEP_WARN"
-    strike: str = "KEEP"
-    comment: str = ""
-    subtotals: Sequence[str] = ()
-    exclude: Sequence[str] = ()
+#: Issues whose plan is made when they are asked for.
+Found = Callable[[], DataFrame]
 
 
 def picked_sheets(cells: DataFrame, how: str, what: str | int) -> DataFrame:
@@ -79,46 +48,28 @@ def find_cells(cells: DataFrame, text: str, how: str = "EXACT", scope: Rect | No
 
 def locate(cells: DataFrame, region: Region) -> Flow:
     """sheet, top, left, bottom, right of a region in each sheet that has it; issues for those that do not, or not clearly."""
-    d, found = region.design, []
-    sheets = cells.select("sheet").distinct()
-    if region.locator == "ANCHOR":
-        hits = anchors(cells, region.anchor, d, region.match)
-        found.append(issues(sheets.join(hits, "sheet", "left_anti"), region.id, "ANCHOR_NOT_FOUND", field=F.col("sheet")))
-        found.append(issues(hits.where("hits > 1"), region.id, "ANCHOR_AMBIGUOUS", "WARN", field=F.col("sheet")))
-        starts = hits.select("sheet", (F.col("row") + region.offset[0]).alias("top"), (F.col("col") + region.offset[1]).alias("left"))
-    else:
-        starts = sheets.select("sheet", F.lit(d.top).alias("top"), F.lit(d.left).alias("left"))
-    auto = region.locator == "AUTO_EXPAND"
-    cols, rows = ("UNTIL_BLANK_HEADER", "UNTIL_BLANK_ROWS") if auto else (region.cols, region.rows)
-    own = filled(cells).join(starts, "sheet")
-    if cols == "FIXED_SIZE":
-        wide = starts.withColumn("right", F.col("left") + (d.right - d.left))
-    elif cols == "SHEET_END":
-        wide = starts.join(own.groupBy("sheet").agg(F.max("col").alias("m")), "sheet", "left").select("sheet", "top", "left", F.greatest("left", "m").alias("right"))
-    else:
-        run = Window.partitionBy("sheet").orderBy("col")
-        head = own.where("row = top and col >= left").select("sheet", "col", "left").distinct().withColumn("n", F.row_number().over(run)).where(F.col("col") == F.col("left") + F.col("n") - 1)
-        wide = starts.join(head.groupBy("sheet").agg(F.max("col").alias("m")), "sheet", "left").select("sheet", "top", "left", F.greatest("left", "m").alias("right"))
-    inside = filled(cells).join(wide, "sheet").where("row >= top and col between left and right")
-    if rows == "FIXED_SIZE":
-        return Flow(wide.withColumn("bottom", F.col("top") + (d.bottom - d.top)).select("sheet", "top", "left", "bottom", "right"), issues=_all(found))
-    if rows == "SHEET_END":
-        ends = inside.groupBy("sheet").agg(F.max("row").alias("m"))
-    elif rows == "UNTIL_BLANK_ROWS":
-        run = Window.partitionBy("sheet").orderBy("row")
-        each = inside.select("sheet", "row", "top").distinct().withColumn("gap", F.col("row") - F.coalesce(F.lag("row").over(run), F.col("top") - 1) > region.blanks)
-        ends = each.withColumn("part", F.sum(F.col("gap").cast("int")).over(run)).where("part = 0").groupBy("sheet").agg(F.max("row").alias("m"))
-    else:
-        scope = filled(cells).join(wide, "sheet").where("row > top").where("col between left and right" if region.any_column else "col = left")
-        stops = scope.where(matching(F.col("value"), region.end, region.end_match)).groupBy("sheet").agg((F.min("row") - (0 if region.inclusive else 1)).alias("m"))
-        found.append(issues(wide.join(stops, "sheet", "left_anti"), region.id, "END_ANCHOR_NOT_FOUND", field=F.col("sheet")))
-        return Flow(wide.join(stops.withColumnRenamed("m", "bottom"), "sheet").select("sheet", "top", "left", "bottom", "right"), issues=_all(found))
-    out = wide.join(ends, "sheet", "left").select("sheet", "top", "left", F.greatest("top", "m").alias("bottom"), "right")
-    return Flow(out, issues=_all(found))
+    placed = places(lines(cells), [region])
+    return Flow(placed.where("p0 is not null").select("sheet", "p0.*"), issues=lambda: place_issues(placed, [region]))
+
 
+def place_issues(placed: DataFrame, regions: Sequence[Region], whole: bool = False) -> DataFrame:
+    """What is wrong with the places of regions, counted by sheet; `whole`: also changed sizes and regions that meet."""
+    found: list[tuple[Column, str, str, str, str | None]] = []
+    for i, r in enumerate(regions):
+        found += [(F.col(f"hits{i}") == 0, r.id, "ERROR", "ANCHOR_NOT_FOUND", None), (F.col(f"hits{i}") > 1, r.id, "WARN", "ANCHOR_AMBIGUOUS", None), (F.col(f"lost{i}"), r.id, "ERROR", "END_ANCHOR_NOT_FOUND", None)]
+        if whole and r.locator != "FIXED":
+            want = r.design.bottom - r.design.top + 1
+            found.append((F.abs(F.col(f"p{i}.bottom") - F.col(f"p{i}.top") + 1 - want) > SIZE_CHANGE * want, r.id, "WARN", "REGION_SIZE_CHANGED", None))
+        if whole:
+            found += [(meet(f"p{i}", f"p{j}"), r.id, "ERROR", "REGION_OVERLAP", o.id) for j, o in enumerate(regions) if i < j and clash(r, o)]
+    each = [F.when(cond, F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("node", "severity", "code", "message"), (node, severity, code, message), strict=True)])) for cond, node, severity, code, message in found]
+    rows = placed.select("sheet", F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.*", F.col("sheet").alias("field"))
+    return rows.groupBy("node", "severity", "code", "message", "field").agg(F.count("*").alias("n"))
 
-def _all(found: Sequence[DataFrame]) -> DataFrame | None:
-    return reduce(DataFrame.unionByName, found) if found else None
+
+def _all(found: Sequence[Found]) -> DataFrame | None:
+    made = [f() for f in found]
+    return reduce(DataFrame.unionByName, made) if made else None
 
 
 def report(located: DataFrame, region: Region) -> DataFrame:
@@ -177,92 +128,291 @@ def header_names(own: DataFrame, located: DataFrame, region: Region) -> DataFram
         levels = cols.join(levels, ["sheet", "col"], "left").withColumns({f"h{i}": F.last(f"h{i}", ignorenulls=True).over(across) for i in range(k - 1)})
         parts = F.array_compact(F.array(*[f"h{i}" for i in range(k)]))
         parts = F.filter(parts, lambda x, i: (i == 0) | (x != F.get(parts, i - 1)))
-        named = levels.select("sheet", "col", F.when(F.size(parts) > 0, F.array_join(parts, region.joiner)).otherwise(F.concat(F.lit("_col_"), letters(F.col("col")))).alias("name"))
+        blank = F.concat(F.lit("_row_"), F.col("col")) if region.turned else F.concat(F.lit("_col_"), letters(F.col("col")))
+        named = levels.select("sheet", "col", F.when(F.size(parts) > 0, F.array_join(parts, region.joiner)).otherwise(blank).alias("name"))
     turn = F.row_number().over(Window.partitionBy("sheet", "name").orderBy("col"))
     return named.withColumn("n", turn).select("sheet", "col", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat_ws("_", "name", "n")).alias("name"), (F.col("n") > 1).alias("repeated"))
 
 
-def region_rows(cells: DataFrame, region: Region, located: DataFrame | None = None, masks: Sequence[DataFrame] = (), base_1904: bool = False) -> Flow:
-    """sheet, row and the specs' fields of a region's rows; reject: the cells that fail; issues by code.
+# shapes.  A view is sheet, row, line, top, left, bottom, right: the lines of one region without the cells outside it or masked.
 
-    A required spec without a header is one issue a sheet, and its rows have the default; a row with a failing cell is dropped.
+
+def _view(own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region], more: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame]:
+    """The view of the region of number i, and its rectangles; rows and columns change places where the region is turned.
+
+    more: rows and columns beyond the rectangle that are looked at too.
     """
-    if problems := spec_problems(region.specs):
-        raise ValueError("; ".join(problems))
-    found: list[DataFrame] = []
-    if located is None:
-        place = locate(cells, region)
-        located, found = place.out, [place.issues] if place.issues is not None else []
-    located = located.cache()  # a row a sheet, asked for many times; a lost part is computed again
-    more = [c for c in ("kind", "flags") if c not in cells.columns]
-    cells = cells.withColumns({c: F.lit("s") if c == "kind" else F.lit(0) for c in more}) if more else cells
-    own = cut(cells.select("sheet", "row", "col", "value", "kind", "flags"), located, masks)
-    heads = header_names(own, located, region).cache()  # a row for each column of a sheet
-    k = 0 if region.shape == "SUMMARY" else max(0, region.header_rows)
-    body = own.where(F.col("row") >= F.col("top") + k)
-    text = norm_text(F.col("value"))
-
-    def bind(specs: Sequence[Spec]) -> DataFrame:
+    r, row = regions[i], F.col("row")
+    masks = [f"p{j}" for j, m in enumerate(regions) if j != i and (m.shape == "IGNORE" or m.id in r.exclude)]
+    rect = placed.where(F.col(f"p{i}").isNotNull()).select("sheet", f"p{i}.*", *masks)
+
+    def stays(c: Column, _: Column) -> Column:
+        fine = c.between(F.col("left"), F.col("right") + more[1])
+        for m in masks:
+            fine = fine & ~F.coalesce(row.between(F.col(f"{m}.top"), F.col(f"{m}.bottom")) & c.between(F.col(f"{m}.left"), F.col(f"{m}.right")), F.lit(False))
+        return fine
+
+    met = own.join(rect, "sheet").where(row.between(F.col("top"), F.col("bottom") + more[0]))
+    view = met.select("sheet", "row", F.map_filter("line", stays).alias("line"), "top", "left", "bottom", "right")
+    rect = rect.drop(*masks)
+    if not r.turned:
+        return view, rect
+    turned = view.select("sheet", "row", F.explode("line").alias("col", "cell")).groupBy("sheet", "col").agg(F.map_from_entries(F.collect_list(F.struct("row", "cell"))).alias("line"))
+    rect = rect.select("sheet", F.col("left").alias("top"), F.col("top").alias("left"), F.col("right").alias("bottom"), F.col("bottom").alias("right"))
+    return turned.withColumnRenamed("col", "row").join(rect, "sheet"), rect
+
+
+def named(spec: Spec, name: str) -> bool:
+    """Whether a fixed name is a spec's header."""
+    s = spec.header
+    return bool(re.fullmatch(s[1:-1], name)) if len(s) > 2 and s[0] == s[-1] == "/" else " ".join(s.split()) == name
+
+
+def _missing(rows: DataFrame, region: Region, absent: Mapping[int, Column]) -> list[Found]:
+    """Issues of specs without a header: `absent` says so by a spec's number."""
+    return [lambda: _absent(rows, region, absent)] if absent else []
+
+
+def _absent(rows: DataFrame, region: Region, absent: Mapping[int, Column]) -> DataFrame:
+    each = [F.when(c, F.struct(F.lit(region.specs[i].field).alias("field"), F.lit(region.specs[i].required).alias("required"))) for i, c in absent.items()]
+    found = rows.select(F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.*")
+    found = found.groupBy("field", "required").agg(F.count("*").alias("n"))
+    required = F.col("required")
+    return found.select(
+        F.lit(region.id).alias("node"), F.when(required, "ERROR").otherwise("WARN").alias("severity"), F.when(required, "HEADER_MISSING_REQUIRED").otherwise("HEADER_MISSING").alias("code"),
+        F.lit(None).cast("string").alias("message"), "field", "n",
+    )
+
+
+def _counted(found: DataFrame, node: str, code: str) -> DataFrame:
+    """Issues of fields that are counted already."""
+    return found.select(F.lit(node).alias("node"), F.lit("ERROR").alias("severity"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("message"), "field", "n")
+
+
+class _Shaped:
+    """A shape's rows before coercion: `keep` columns, c<i> (the cell of each spec), by spec whether its header is there, and issues."""
+
+    def __init__(self, rows: DataFrame, specs: Sequence[Spec], found: list[Found], bound: Mapping[int, Column] | None = None, keep: tuple[str, ...] = ("sheet", "row")) -> None:
+        self.rows, self.specs, self.found, self.bound, self.keep = rows, specs, found, bound or {}, keep
+
+
+def _detail(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
+    """DETAIL, GROUPED_DETAIL and SUMMARY: a row a line, below the header."""
+    k, found = 0 if r.shape == "SUMMARY" else max(0, r.header_rows), []
+    head = view.where(F.col("row") < F.col("top") + k).select("sheet", "row", "top", F.explode("line").alias("col", "cell"))
+    heads = header_names(head.withColumn("value", F.col("cell.value")), rect, r)
+    body = view.where(F.col("row") >= F.col("top") + k)
+    specs, titled = list(r.specs), {i for i, s in enumerate(r.specs) if r.shape == "GROUPED_DETAIL" and named(s, r.group_field)}
+
+    def bind() -> DataFrame:
         """sheet, s0, s1, ...: the first column of each spec's header."""
         return heads.groupBy("sheet").agg(*[F.min(F.when(matches(F.col("name"), s), F.col("col"))).alias(f"s{i}") for i, s in enumerate(specs)])
 
-    specs = list(region.specs)
-    bound = bind(specs).cache()  # a row a sheet
-    used = F.array(*[f"s{i}" for i in range(len(specs))])
-    extra = heads.join(bound, "sheet").where(~F.coalesce(F.array_contains(F.array_compact(used), F.col("col")), F.lit(False)) & ~F.col("name").startswith("_block")).select("sheet", "col", "name")
-    extra = extra.join(body.where(text != "").select("sheet", "col").distinct(), ["sheet", "col"])
-    if region.shape != "SUMMARY":
-        found.append(issues(extra, region.id, "HEADER_NEW_COLUMN", "WARN", field=F.col("name")))
-        if region.new_columns == "INCLUDE_AS_STRING":
-            names = sorted(r["name"] for r in extra.select("name").distinct().collect())  # headers of a region
+    bound = bind()
+    if r.shape != "SUMMARY":
+        used = F.array(*[f"s{i}" for i in range(len(specs))])
+        extra = heads.join(bound, "sheet").where(~F.coalesce(F.array_contains(F.array_compact(used), F.col("col")), F.lit(False)) & ~F.col("name").startswith("_block")).select("sheet", "col", "name")
+        extra = extra.join(body.select("sheet", F.explode(filled_cols()).alias("col")).distinct(), ["sheet", "col"])
+        found.append(lambda: issues(extra, r.id, "HEADER_NEW_COLUMN", "WARN", field=F.col("name")))
+        if r.new_columns == "INCLUDE_AS_STRING":
+            names = sorted(x["name"] for x in extra.select("name").distinct().collect())  # headers of a region
             specs += [Spec(re.sub(r"\W", "_", n), n) for n in names]
-            bound = bind(specs)
-    lacking = F.array_compact(F.array(*[F.when(F.col(f"s{i}").isNull(), F.struct(F.lit(s.field).alias("field"), F.lit(s.required).alias("required"))) for i, s in enumerate(specs)]))
-    missing = bound.select(F.explode(lacking).alias("x")).select("x.field", "x.required")
-    found.append(issues(missing.where("required"), region.id, "HEADER_MISSING_REQUIRED", "ERROR", field=F.col("field")))
-    found.append(issues(missing.where("not required"), region.id, "HEADER_MISSING", "WARN", field=F.col("field")))
-    found.append(issues(heads.where("repeated"), region.id, "HEADER_DUPLICATE", "WARN", field=F.col("name")))
-
-    cell = F.struct("value", "kind", F.col("flags").cast("int").alias("flags")).cast(CELL)
-    met = body.join(bound, "sheet")
-    lead = F.min_by(text, "col")
-    wide = met.groupBy("sheet", "row", *[f"s{i}" for i in range(len(specs))]).agg(
-        *[F.max(F.when(F.col("col") == F.col(f"s{i}"), cell)).alias(f"c{i}") for i in range(len(specs))],
-        F.max(text != "").alias("_filled"), F.max(F.col("flags").bitwiseAND(HIDDEN_ROW) != 0).alias("_hidden"),
-        F.min_by(F.col("flags").bitwiseAND(STRIKE) != 0, "col").alias("_struck"), F.coalesce(lead, F.lit("")).alias("_lead"),
-    ).where("_filled")
-    if region.hidden == "SKIP":
-        wide = wide.where("not _hidden")
+            bound = bind()
+        found.append(lambda: issues(heads.where("repeated"), r.id, "HEADER_DUPLICATE", "WARN", field=F.col("name")))
+    found += _missing(bound, r, {i: F.col(f"s{i}").isNull() for i in range(len(r.specs)) if i not in titled})
+    first, cells = at("line", F.col("left")), F.map_values("line")
+    made = F.struct(
+        *[at("line", F.col(f"s{i}")).alias(f"c{i}") for i in range(len(specs))],
+        F.size(filled_cols()).alias("_filled"), F.exists(cells, lambda c: c["flags"].bitwiseAND(HIDDEN_ROW) != 0).alias("_hidden"),
+        F.coalesce(first["flags"].bitwiseAND(STRIKE) != 0, F.lit(False)).alias("_struck"), F.coalesce(first["flags"].bitwiseAND(BOLD) != 0, F.lit(False)).alias("_bold"), F.coalesce(text_of(first), F.lit("")).alias("_lead"),
+    )
+    # a generator's columns are made once a line, whatever is asked of them later
+    wide = body.join(bound, "sheet").select("sheet", "row", *[f"s{i}" for i in range(len(specs))], F.inline(F.array(made))).where("_filled > 0")
+    if r.shape == "SUMMARY":
+        own = [c for c in wide.columns if not c.startswith("_") and c not in ("sheet", "row")]
+        wide = wide.groupBy("sheet").agg(F.min(F.struct("row", *own)).alias("x")).select("sheet", "x.*")
+        return _Shaped(wide, specs, found, {i: F.col(f"s{i}").isNotNull() for i in range(len(specs))})
+    lead = F.col("_lead")
+    if r.shape == "GROUPED_DETAIL":
+        if r.subtotal_pattern:
+            wide = wide.where(~lead.rlike(rf"\A(?:{r.subtotal_pattern})\z") | (lead == ""))
+        alone = (lead != "") & (F.col("_filled") == 1)
+        whole = rf"\A(?:{r.group_pattern})\z"
+        title = {"FIRST_CELL_ONLY": alone, "REGEX": (lead != "") & lead.rlike(whole), "BOLD": alone & F.col("_bold")}[r.group_by]
+        value = F.when(lead.rlike(whole), F.regexp_extract(lead, whole, 1 if re.compile(r.group_pattern).groups else 0)).otherwise(lead) if r.group_pattern else lead
+        down = Window.partitionBy("sheet").orderBy("row")
+        wide = wide.withColumn("_title", title).withColumn("_group", F.last(F.when(F.col("_title"), value), ignorenulls=True).over(down)).where("not _title")
+        wide = wide.withColumns({f"c{i}": lone(F.col("_group")) for i in titled})
+    if not r.turned:  # rows of the sheet are what is hidden or struck
+        if r.hidden == "SKIP":
+            wide = wide.where("not _hidden")
+        if r.strike == "SKIP":
+            wide = wide.where("not _struck")
+    if r.comment:
+        wide = wide.where(~lead.startswith(r.comment))
+    if r.subtotals:
+        wide = wide.where(~lead.isin(*r.subtotals))
+    if r.hidden != "SKIP" and not r.turned:
+        found.append(lambda: issues(wide.where("_hidden"), r.id, "HIDDEN_ROWS", "WARN"))
+    return _Shaped(wide, specs, found, {i: F.col(f"s{i}").isNotNull() for i in range(len(specs)) if i not in titled})
+
+
+def _fixed(rows: DataFrame, names: Mapping[str, Column], r: Region, found: list[Found], keep: tuple[str, ...] = ("sheet", "row")) -> _Shaped:
+    """A shape whose fields have fixed names: each spec takes the first that it asks for."""
+    picked = {i: next((n for n in names if named(s, n)), None) for i, s in enumerate(r.specs)}
+    absent = {i: F.lit(True) for i, n in picked.items() if n is None}
+    cells = {f"c{i}": names[n] if n is not None else lone(F.lit(None)) for i, n in picked.items()}
+    return _Shaped(rows.select(*keep, *[c.alias(n) for n, c in cells.items()]), r.specs, found + _missing(rows.select("sheet").distinct(), r, absent), {i: F.lit(n is not None) for i, n in picked.items()}, keep)
+
+
+def _key_values(view: DataFrame, rect: DataFrame, r: Region, by: tuple[str, ...] = ("sheet",), keep: tuple[str, ...] = ("sheet", "row")) -> _Shaped:
+    """Keys and values: a row for each group of `by` (WIDE), or for each key (LONG)."""
+    key = text_of(at("line", F.col("left") + (r.key_col - 1)))
+    pairs = view.select(*by, "row", "top", key.alias("key"), at("line", F.col("left") + (r.value_col - 1)).alias("cell")).where((F.col("key") != "") & ~F.col("key").startswith("#"))
+    pick, place = (F.max_by, F.max) if r.duplicates == "LAST" else (F.min_by, F.min)
+    if r.duplicates == "ARRAY":
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("row", F.coalesce(F.col("cell.value"), F.lit("")).alias("v")))), lambda x: x["v"])
+        each = pairs.groupBy(*by, "top", "key").agg(lone(F.array_join(texts, "|")).alias("cell"), F.min("row").alias("row"), F.count("*").alias("n"))
     else:
-        found.append(issues(wide.where("_hidden"), region.id, "HIDDEN_ROWS", "WARN"))
-    if region.strike == "SKIP":
-        wide = wide.where("not _struck")
-    if region.comment:
-        wide = wide.where(~F.col("_lead").startswith(region.comment))
-    if region.subtotals:
-        wide = wide.where(~F.col("_lead").isin(*region.subtotals))
-    if region.shape == "SUMMARY":
-        wide = wide.join(wide.groupBy("sheet").agg(F.min("row").alias("row")), ["sheet", "row"])
-    good, bad = coerce_rows(wide, {s.field: F.col(f"c{i}") for i, s in enumerate(specs)}, specs, ("sheet", "row"), {s.field: F.col(f"s{i}").isNotNull() for i, s in enumerate(specs)}, base_1904)
-    each = bad.groupBy("field", "code").agg(F.count("*").alias("n"))
-    found.append(each.select(F.lit(region.id).alias("node"), F.lit("ERROR").alias("severity"), "code", F.lit(None).cast("string").alias("message"), "field", "n"))
-    return Flow(good, bad, _all(found))
+        each = pairs.groupBy(*by, "top", "key").agg(pick("cell", "row").alias("cell"), place("row").alias("row"), F.count("*").alias("n"))
+    found = []
+    if r.duplicates == "ERROR":
+        again = each.where("n > 1").groupBy(F.col("key").alias("field")).agg(F.sum(F.col("n") - 1).alias("n"))
+        found.append(lambda: _counted(again, r.id, "KV_DUPLICATE_KEY"))
+    if r.long:
+        return _fixed(each, {"key": lone(F.col("key")), "value": F.col("cell")}, r, found, keep)
+    asked = [matches(F.col("key"), s) for s in r.specs]
+    found.append(lambda: issues(each.where(~reduce(lambda x, y: x | y, asked, F.lit(False))), r.id, "HEADER_NEW_COLUMN", "WARN", field=F.col("key")))
+    wide = each.groupBy(*by, F.col("top").alias("row_")).agg(
+        *[F.min_by("cell", F.when(a, F.col("row"))).alias(f"c{i}") for i, a in enumerate(asked)], *[F.max(a).alias(f"b{i}") for i, a in enumerate(asked)]
+    ).withColumnRenamed("row_", "row")
+    found += _missing(wide, r, {i: ~F.col(f"b{i}") for i in range(len(asked))})
+    return _Shaped(wide, r.specs, found, {i: F.col(f"b{i}") for i in range(len(asked))}, keep)
+
+
+def _form(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
+    """A row a sheet, of cells at stated places; a sheet whose region does not reach to one of them has none."""
+    high, wide = F.col("bottom") - F.col("top") + 1, F.col("right") - F.col("left") + 1
+    beyond = F.array_compact(F.array(*[F.when((high < y) | (wide < x) | F.lit(y < 1 or x < 1), F.lit(n)) for n, (y, x) in r.fields.items()]))
+    found = [lambda: issues(rect.select(F.explode(beyond).alias("f")), r.id, "FORM_FIELD_OUT_OF_RANGE", field=F.col("f"))]
+    rows = rect.where(F.size(beyond) == 0).join(_places_of(view, r.fields, ("sheet",)), "sheet", "left").withColumn("row", F.col("top"))
+    return _fixed(rows, {n: F.col(f"f_{n}") for n in r.fields}, r, found)
+
+
+def _places_of(view: DataFrame, fields: Mapping[str, tuple[int, int]], by: tuple[str, ...]) -> DataFrame:
+    """by, filled_, f_<name>: the cells at places of each group's rectangle, from 1."""
+    each = [F.max(F.when(F.col("row") == F.col("top") + (y - 1), at("line", F.col("left") + (x - 1)))).alias(f"f_{n}") for n, (y, x) in fields.items()]
+    return view.groupBy(*by).agg(*each, F.max(F.size(filled_cols()) > 0).alias("filled_"))
+
+
+def _matrix(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
+    """A row for each body cell, or for each combination of dimensions where one of them names metrics."""
+    down, across = list(r.row_dims) or ["row1"], list(r.col_dims) or ["col1"]
+    local = view.select("sheet", (F.col("row") - F.col("top") + 1).alias("row"), "top", F.col("left").alias("_left"), F.explode("line").alias("col", "cell"))
+    local = local.select("sheet", "row", (F.col("col") - F.col("_left") + 1).alias("col"), F.col("cell.value").alias("value"), "cell", "top")
+    long = sheets.matrix(local, {i + 1: n for i, n in enumerate(across)}, {i + 1: n for i, n in enumerate(down)}, "_value", r.totals, r.drop_empty, r.parsers, ("cell", "top"))
+    dims, found = [d for d in (*down, *across) if d != r.metric], []
+    names = {d: lone(F.col(d)) for d in dims}
+    long = long.withColumn("row", F.col("row") + F.col("top") - 1)
+    if not r.metric:
+        return _fixed(long, names | {r.value_name: F.col("cell")}, r, found)
+    again = sheets.repeated_metrics(long, dims, r.metric).groupBy(F.col(r.metric).alias("field")).agg(F.sum(F.col("n") - 1).alias("n"))
+    found.append(lambda: _counted(again, r.id, "MATRIX_DUPLICATE_CELL"))
+    fixed = {i: next((d for d in dims if named(s, d)), None) for i, s in enumerate(r.specs)}
+    asked, place = {i: matches(F.col(r.metric), s) for i, s in enumerate(r.specs) if fixed[i] is None}, F.struct("row", "col")
+    rows = long.groupBy("sheet", *dims).agg(F.min("row").alias("row"), *[F.min_by("cell", F.when(a, place)).alias(f"m{i}") for i, a in asked.items()])
+    there = long.groupBy("sheet").agg(*[F.max(F.coalesce(a, F.lit(False))).alias(f"b{i}") for i, a in asked.items()]) if asked else long.select("sheet").distinct()
+    rows = rows.join(there, "sheet").withColumns({f"c{i}": F.col(f"m{i}") if fixed[i] is None else names[fixed[i]] for i in fixed})
+    found += _missing(there, r, {i: ~F.col(f"b{i}") for i in asked})
+    return _Shaped(rows, r.specs, found, {i: F.col(f"b{i}") for i in asked})
+
+
+def _repeating(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
+    """A row for each block that is not blank, of stated size, from each hit of an anchor text or in equal steps.
+
+    Cells find their block by an equi-join on a grid of the block's size: a block lies in four grid places at most, a cell in
+    one.  A sheet whose blocks overlap has an issue and no rows.
+    """
+    high, wide = r.block
+    if r.inner == "FORM" and (bad := sheets.outside(r.fields, high, wide)):
+        raise ValueError(f"FORM_FIELD_OUT_OF_RANGE: {', '.join(bad)}")
+    if r.block_anchor:
+        hit = F.map_filter("line", lambda c, v: F.coalesce(matching(v["value"], r.block_anchor, "REGEX"), F.lit(False)) & (c <= F.col("right")))
+        starts = view.where(F.col("row") <= F.col("bottom")).select("sheet", F.col("row").alias("top"), F.explode(F.map_keys(hit)).alias("left"))
+    else:
+        dy, dx = r.stride
+        steps = [F.floor((F.col(b) - F.col(a)) / d) for a, b, d in (("top", "bottom", dy), ("left", "right", dx)) if d]
+        n = (F.least(*steps) if len(steps) > 1 else steps[0]) if steps else F.lit(0)
+        starts = rect.withColumn("i", F.explode(F.sequence(F.lit(0), n.cast("int")))).select("sheet", (F.col("top") + F.col("i") * dy).alias("top"), (F.col("left") + F.col("i") * dx).alias("left"))
+    clashing = sheets.overlapping(starts, high, wide)
+    found = [lambda: issues(clashing, r.id, "REPEATING_BLOCK_OVERLAP", field=F.col("sheet"))]
+    starts = starts.join(clashing, "sheet", "left_anti")
+    inside = sheets.in_blocks(view.select("sheet", "row", F.explode("line").alias("col", "cell")), starts, high, wide)
+    by = ("sheet", "top", "left")
+    block = inside.groupBy(*by, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("line"))
+    turn = F.row_number().over(Window.partitionBy("sheet").orderBy("top", "left"))
+    keep = ("sheet", "row", "_block")
+    if r.inner == "KEY_VALUE":
+        full = block.groupBy(*by).agg(F.max(F.size(filled_cols()) > 0).alias("f")).where("f" if r.skip_empty else "true").withColumn("_block", turn).select(*by, "_block")
+        shaped = _key_values(block.join(full, list(by)).withColumn("left_", F.col("left")), rect, r, ("sheet", "left_", "_block"), keep)
+        shaped.found += found
+        return shaped
+    rows = starts.join(_places_of(block, r.fields, by), list(by), "left").where("filled_" if r.skip_empty else "true")
+    rows = rows.withColumn("_block", turn).withColumn("row", F.col("top"))
+    return _fixed(rows, {n: F.col(f"f_{n}") for n in r.fields}, r, found, keep)
+
+
+SHAPES = {"DETAIL": _detail, "GROUPED_DETAIL": _detail, "SUMMARY": _detail, "KEY_VALUE": _key_values, "FORM": _form, "MATRIX": _matrix, "REPEATING_BLOCK": _repeating}
+
+
+def _flow(own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region], base_1904: bool) -> Flow:
+    """The rows, failing cells and issues of the region of number i."""
+    r = regions[i]
+    if problems := spec_problems(r.specs):
+        raise ValueError("; ".join(problems))
+    kind = "KEY_VALUE" if r.shape == "SUMMARY" and r.layout == "KV" else r.shape
+    more = (r.block[0] - 1, r.block[1] - 1) if kind == "REPEATING_BLOCK" else (0, 0)
+    view, rect = _view(own, placed, i, regions, more)
+    shaped = SHAPES[kind](view, rect, r)
+    cells = {s.field: F.col(f"c{k}") for k, s in enumerate(shaped.specs)}
+    bound = {s.field: shaped.bound[k] for k, s in enumerate(shaped.specs) if k in shaped.bound}
+    good, bad = coerce_rows(shaped.rows, cells, shaped.specs, shaped.keep, bound, base_1904)
+
+    def failed() -> DataFrame:
+        each = bad.groupBy("field", "code").agg(F.count("*").alias("n"))
+        return each.select(F.lit(r.id).alias("node"), F.lit("ERROR").alias("severity"), "code", F.lit(None).cast("string").alias("message"), "field", "n")
+
+    return Flow(good, bad, lambda: _all([*shaped.found, failed]))
+
+
+def region_rows(cells: DataFrame, region: Region, base_1904: bool = False) -> Flow:
+    """sheet, row and the specs' fields of a region's rows; reject: the cells that fail; issues by code.
+
+    A required spec without a header is one issue a sheet, and its rows have the default; a row with a failing cell is dropped.
+    Shapes that give one row take the region's first row as `row`; blocks have their ordinal in _block.
+    """
+    own = lines(cells)
+    placed = places(own, [region])
+    flow = _flow(own, placed, 0, [region], base_1904)
+    return Flow(flow.out, flow.reject, lambda: _all([lambda: place_issues(placed, [region]), lambda: flow.issues]))
 
 
 def source(cells: DataFrame, regions: Sequence[Region], how: str = "REGEX", what: str | int = ".*", as_column: str | None = "_sheet", base_1904: bool = False) -> dict[str, Flow]:
-    """A flow for each region that is not ignored, over all sheets that are picked; the sheet's name is a field, or left out."""
-    own = picked_sheets(cells, how, what)
-    places = {r.id: locate(own, r) for r in regions}
-    out = {}
-    for r in regions:
-        if r.shape == "IGNORE":
-            continue
-        masks = [places[m.id].out for m in regions if m.id != r.id and (m.shape == "IGNORE" or m.id in r.exclude)]
-        flow = region_rows(own, r, places[r.id].out, masks, base_1904)
-        found = [x for x in (places[r.id].issues, flow.issues) if x is not None]
+    """A flow for each region that is not ignored, over all sheets that are picked; the sheet's name is a field, or left out.
+
+    Regions that meet though neither excludes the other have no rows in that sheet.
+    """
+    own = lines(picked_sheets(cells, how, what))
+    placed = places(own, regions)
+    bad = {i: reduce(lambda x, y: x | y, [meet(f"p{i}", f"p{j}") for j, o in enumerate(regions) if j != i and clash(r, o)], F.lit(False)) for i, r in enumerate(regions)}
+    apart = placed.withColumns({f"p{i}": F.when(~bad[i], F.col(f"p{i}")).cast(RECT) for i in bad})
+
+    def one(i: int, r: Region) -> Flow:
+        flow = _flow(own, apart, i, regions, base_1904)
         rows = flow.out.withColumnRenamed("sheet", as_column) if as_column else flow.out.drop("sheet")
-        out[r.id] = Flow(rows, flow.reject, _all(found))
-    return out
+        return Flow(rows, flow.reject, lambda: _all([lambda: place_issues(placed, regions, whole=True).where(F.col("node") == r.id), lambda: flow.issues]))
+
+    return {r.id: one(i, r) for i, r in enumerate(regions) if r.shape != "IGNORE"}
 
 
 def severities(found: DataFrame) -> DataFrame:

@@ -481,11 +481,10 @@ def source_hidden_rows_skipped(spark, sf):
     return source.region_rows(_book(spark, sf), dataclasses.replace(_PARTS, hidden="SKIP")).out
 
 
-@query(f"""{_BOOK_SQL} SELECT sheet, row, part, p_retailprice::DECIMAL(18,2) AS price, CASE WHEN text THEN 'n/a' WHEN blank THEN '-' ELSE p_size::VARCHAR END AS "Size", CASE WHEN NOT even THEN p_type END AS "Kind" FROM p WHERE NOT error""")
+@query(f"""{_BOOK_SQL} SELECT sheet, row, part, p_retailprice::DECIMAL(18,2) AS price, CASE WHEN text THEN 'n/a' WHEN blank THEN NULL ELSE p_size::VARCHAR END AS "Size", CASE WHEN NOT even THEN p_type END AS "Kind" FROM p WHERE NOT error""")
 def source_new_columns(spark, sf):
     own = dataclasses.replace(_PARTS, new_columns="INCLUDE_AS_STRING", specs=(_PARTS.specs[0], _PARTS.specs[2]))
-    found = source.region_rows(_book(spark, sf), own).out
-    return found.withColumn("Size", F.coalesce("Size", F.when(F.col("part") % 13 == 0, "-")))
+    return source.region_rows(_book(spark, sf), own).out
 
 
 @query(f"""{_BOOK_SQL}, e AS (SELECT sheet, 3 AS top, 1 AS "left", max(row) AS bottom, CASE WHEN even THEN 3 ELSE 4 END AS "right" FROM p GROUP BY sheet, even) SELECT * FROM e""")
@@ -523,6 +522,141 @@ def shape_summary(spark, sf):
     return source.region_rows(_book(spark, sf).withColumn("flags", F.lit(0)), own).out.where("right(sheet, 1) % 2 = 1")
 
 
+# the other shapes through the source node: a card a customer, orders in blocks, parts in a matrix
+
+
+def _cells(df: DataFrame, sheet: Column, placed: list[tuple[Column, Column, Column]]) -> DataFrame:
+    """Cells of a sheet from (row, col, value) columns of each row; null values are no cells."""
+    each = F.array(*[F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"), v.cast("string").alias("value")) for r, c, v in placed])
+    return df.select(sheet.alias("sheet"), F.explode(each).alias("x")).select("sheet", "x.*").where("value is not null")
+
+
+def _cards(spark, sf):
+    c, n = read(spark, sf, "customer"), F.lit
+    k = F.col("c_custkey")
+    return _cells(c, F.concat(n("card "), k), [
+        (n(2), n(2), n("Name")), (n(2), n(3), F.col("c_name")), (n(3), n(2), n("# a note")), (n(3), n(3), n("no value")), (n(4), n(2), n(" Balance")), (n(4), n(3), F.col("c_acctbal").cast("decimal(18,2)")),
+        (n(5), n(2), F.when(k % 5 != 0, "Segment")), (n(5), n(3), F.when(k % 5 != 0, F.col("c_mktsegment"))), (n(6), n(2), F.when(k % 7 == 0, "Name")), (n(6), n(3), F.when(k % 7 == 0, "again")),
+        (n(7), n(2), F.when(k % 3 == 0, "Else")), (n(7), n(3), F.when(k % 3 == 0, "x")), (n(1), n(1), n("Card")),
+    ])
+
+
+_CARD = source.Region(
+    "card", sheets.Rect(2, 2, 7, 3), locator="ANCHOR", anchor="Card", offset=(1, 1), shape="KEY_VALUE",
+    specs=(binding.Spec("name", "Name", required=True), binding.Spec("balance", "Balance", "decimal", options={"precision": 18, "scale": 2}), binding.Spec("segment", "/(?i)segment/", default="none")),
+)
+
+
+@query("SELECT 'card ' || c_custkey AS card, 2 AS row, c_name AS name, c_acctbal::DECIMAL(18,2) AS balance, CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE c_mktsegment END AS segment FROM customer")
+def source_key_values(spark, sf):
+    return source.source(_cards(spark, sf), [_CARD], as_column="card")["card"].out
+
+
+@query("""WITH e AS (SELECT 'WARN' AS severity, 'HEADER_MISSING' AS code, 'segment' AS field, count(*) AS n FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT 'ERROR', 'KV_DUPLICATE_KEY', 'Name', count(*) FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT 'WARN', 'HEADER_NEW_COLUMN', 'Else', count(*) FROM customer WHERE c_custkey % 3 = 0)
+SELECT 'card' AS node, severity, code, NULL::VARCHAR AS message, field, n FROM e WHERE n > 0""")
+def source_key_value_issues(spark, sf):
+    return source.source(_cards(spark, sf), [_CARD])["card"].issues
+
+
+@query("""WITH k AS (SELECT 'card ' || c_custkey AS sheet, 2 AS row, 'Name' AS key, CASE WHEN c_custkey % 7 = 0 THEN c_name || '|again' ELSE c_name END AS value FROM customer
+UNION ALL SELECT 'card ' || c_custkey, 4, 'Balance', c_acctbal::DECIMAL(18,2)::VARCHAR FROM customer UNION ALL SELECT 'card ' || c_custkey, 5, 'Segment', c_mktsegment FROM customer WHERE c_custkey % 5 <> 0
+UNION ALL SELECT 'card ' || c_custkey, 7, 'Else', 'x' FROM customer WHERE c_custkey % 3 = 0) SELECT * FROM k""")
+def source_key_values_long(spark, sf):
+    own = dataclasses.replace(_CARD, long=True, duplicates="ARRAY", specs=(binding.Spec("key"), binding.Spec("value")))
+    return source.region_rows(_cards(spark, sf), own).out
+
+
+@query("""SELECT 'card ' || c_custkey AS sheet, 1 AS row, c_name AS name, c_acctbal::DOUBLE AS balance, CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE '?' END AS more FROM customer""")
+def source_form(spark, sf):
+    own = source.Region("form", sheets.Rect(1, 1, 7, 3), shape="FORM", fields={"name": (2, 3), "balance": (4, 3), "more": (7, 3), "unused": (1, 1)}, specs=(binding.Spec("name"), binding.Spec("balance", type="float"), binding.Spec("more", default="?")))
+    return source.region_rows(_cards(spark, sf), own).out
+
+
+@query("""SELECT p_brand AS sheet, (p_partkey + 2)::INT AS row, p_partkey AS part, p_size::INT AS size, 'part ' || p_partkey AS who FROM part WHERE p_size > 3""")
+def source_matrix(spark, sf):
+    p = read(spark, sf, "part")
+    row, col, n = F.col("p_partkey") + 2, F.col("p_size") + 10, F.lit
+    cells = _cells(p, F.col("p_brand"), [(row, col, F.col("p_partkey")), (row, n(1), F.concat(n("part "), "p_partkey")), (n(1), col, F.when(F.col("p_size") > 3, F.concat(n("size "), "p_size")).otherwise("all"))])
+    own = source.Region(
+        "m", sheets.Rect(1, 1, 9, 9), rows="SHEET_END", cols="SHEET_END", shape="MATRIX", row_dims=("who",), col_dims=("size",), totals=("all",), parsers={"size": (r"size (\d+)", "int")},
+        specs=(binding.Spec("part", "value", "long"), binding.Spec("size", type="int"), binding.Spec("who")),
+    )
+    return source.region_rows(cells, own).out
+
+
+@query("""SELECT p_brand AS sheet, (p_partkey + 2)::INT AS row, p_partkey AS part, CASE WHEN p_partkey % 4 > 0 THEN p_size END::INT AS size, p_type AS type, p_name AS pack FROM part""")
+def source_matrix_metrics(spark, sf):
+    p = read(spark, sf, "part")
+    row, n = F.col("p_partkey") + 2, F.lit
+    cells = _cells(p, F.col("p_brand"), [
+        (row, n(1), F.col("p_partkey")), (row, n(2), F.when(F.col("p_partkey") % 4 > 0, F.col("p_size"))), (row, n(3), F.col("p_type")), (row, n(4), F.col("p_name")),
+        (n(1), n(2), n("Size")), (n(1), n(3), n("Type")), (n(1), n(4), n("Pack")),
+    ])
+    specs = (binding.Spec("part", type="long"), binding.Spec("size", "Size", "int"), binding.Spec("type", "/(?i)type/"), binding.Spec("pack", "Pack"))
+    return source.region_rows(cells, source.Region("m", sheets.Rect(1, 1, 9, 4), rows="SHEET_END", shape="MATRIX", row_dims=("part",), col_dims=("what",), metric="what", specs=specs)).out
+
+
+@query("""WITH t AS (SELECT p_brand AS sheet, (p_partkey + 5)::INT AS row, CASE WHEN p_partkey % 10 = 7 THEN 'Total' WHEN p_partkey % 10 = 1 THEN 'group ' || p_partkey ELSE p_name END AS name, CASE WHEN p_partkey % 10 <> 1 THEN p_size END AS size FROM part),
+f AS (SELECT *, last_value(CASE WHEN size IS NULL THEN substr(name, 7) END IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY row) AS part FROM t)
+SELECT sheet, row, name, size::INT AS size, part::BIGINT AS part FROM f WHERE size IS NOT NULL AND name <> 'Total'""")
+def source_grouped(spark, sf):
+    p, k, n = read(spark, sf, "part"), F.col("p_partkey"), F.lit
+    name = F.when(k % 10 == 7, "Total").when(k % 10 == 1, F.concat(n("group "), k)).otherwise(F.col("p_name"))
+    cells = _cells(p, F.col("p_brand"), [(k + 5, n(2), name), (k + 5, n(3), F.when(k % 10 != 1, F.col("p_size"))), (n(3), n(2), n("Name")), (n(3), n(3), n("Size"))])
+    own = source.Region(
+        "g", sheets.Rect(3, 2, 9, 3), rows="SHEET_END", shape="GROUPED_DETAIL", group_field="part", group_pattern=r"group (\d+)", subtotal_pattern="(?i)total",
+        specs=(binding.Spec("name", "Name"), binding.Spec("size", "Size", "int"), binding.Spec("part", type="long")),
+    )
+    return source.region_rows(cells, own).out
+
+
+def _blocks(spark, sf):
+    """A sheet a priority, with a block of two rows and two columns for each order, two side by side; rows between bands are blank."""
+    o, n = read(spark, sf, "orders"), F.lit
+    k = F.col("o_orderkey")
+    top, left = F.floor(k / 2) * 4 + 1, (k % 2) * 3 + 1
+    return _cells(o, F.col("o_orderpriority"), [(top, left, n("Order")), (top, left + 1, k), (top + 1, left, n("Total")), (top + 1, left + 1, F.col("o_totalprice").cast("decimal(18,2)"))])
+
+
+_BLOCK = source.Region(
+    "b", sheets.Rect(1, 1, 8, 5), rows="SHEET_END", shape="REPEATING_BLOCK", block=(3, 2), block_anchor="Order", fields={"key": (1, 2), "total": (2, 2), "what": (2, 1)},
+    specs=(binding.Spec("key", type="long", required=True), binding.Spec("total", type="decimal", options={"precision": 18, "scale": 2})),
+)
+_BLOCK_SQL = """WITH o AS (SELECT o_orderpriority AS sheet, (o_orderkey // 2 * 4 + 1)::INT AS row, (o_orderkey % 2 * 3 + 1)::INT AS "left", o_orderkey AS key, o_totalprice::DECIMAL(18,2) AS total FROM orders)"""
+
+
+@query(f"""{_BLOCK_SQL} SELECT sheet, row, row_number() OVER (PARTITION BY sheet ORDER BY row, "left")::INT AS _block, key, total FROM o""")
+def source_repeating_blocks(spark, sf):
+    return source.region_rows(_blocks(spark, sf), _BLOCK).out
+
+
+@query(f"""{_BLOCK_SQL} SELECT sheet, row, row_number() OVER (PARTITION BY sheet ORDER BY row, "left")::INT AS _block, key, total FROM o""")
+def source_repeating_key_values(spark, sf):
+    own = dataclasses.replace(_BLOCK, inner="KEY_VALUE", specs=(dataclasses.replace(_BLOCK.specs[0], source="Order"), dataclasses.replace(_BLOCK.specs[1], source="Total")))
+    return source.region_rows(_blocks(spark, sf), own).out
+
+
+@query(f"""{_BLOCK_SQL}, t AS (SELECT DISTINCT a.sheet FROM o a JOIN o b ON a.sheet = b.sheet AND b.row = a.row + 4 AND a."left" = b."left")
+SELECT 'b' AS node, 'ERROR' AS severity, 'REPEATING_BLOCK_OVERLAP' AS code, NULL::VARCHAR AS message, sheet AS field, 1::BIGINT AS n FROM t
+UNION ALL SELECT 'b', 'ERROR', 'REGION_OVERLAP', 'c', sheet, 1 FROM (SELECT DISTINCT sheet FROM o)""")
+def source_overlap_issues(spark, sf):
+    rows = _blocks(spark, sf)
+    blocks = source.region_rows(rows, dataclasses.replace(_BLOCK, block=(5, 2))).issues
+    other = source.Region("c", sheets.Rect(1, 5, 2, 6), specs=(binding.Spec("x"),))
+    regions = source.source(rows, [_BLOCK, other, source.Region("d", sheets.Rect(1, 1, 9, 9), shape="IGNORE")])["b"].issues
+    return blocks.unionByName(regions)
+
+
+@query("""SELECT 'nation ' || s_nationkey AS sheet, (s_suppkey + 2)::INT AS row, s_suppkey AS id, s_name AS name, s_acctbal::DOUBLE AS balance FROM supplier WHERE s_suppkey % 6 <> 0""")
+def source_columns_as_rows(spark, sf):
+    s, k, n = read(spark, sf, "supplier"), F.col("s_suppkey"), F.lit
+    lead = F.when(k % 6 == 0, F.concat(n("# "), k)).otherwise(k.cast("string"))
+    cells = _cells(s, F.concat(n("nation "), "s_nationkey"), [(n(2), k + 2, lead), (n(3), k + 2, F.col("s_name")), (n(4), k + 2, F.col("s_acctbal")), (n(2), n(1), n("Id")), (n(3), n(1), n("Name")), (n(4), n(1), n("Balance"))])
+    own = source.Region("t", sheets.Rect(2, 1, 4, 9), cols="SHEET_END", orientation="COLUMN", comment="#", specs=(binding.Spec("id", "Id", "long"), binding.Spec("name", "Name"), binding.Spec("balance", "Balance", "float")))
+    return source.region_rows(cells, own).out
+
+
 @query(f"""{_BOOK_SQL} SELECT s.sheet, (4 + i)::INT AS row, 1 AS col, CASE WHEN p.part IS NULL THEN NULL WHEN p.even THEN format('{{:,.2f}}', p.p_retailprice::DOUBLE) ELSE p.part::VARCHAR END AS value
 FROM (SELECT DISTINCT sheet FROM p) s CROSS JOIN range(20) a(i) LEFT JOIN p ON p.sheet = s.sheet AND p.row = 4 + i""")
 def cut_padded(spark, sf):

@@ -1,14 +1,18 @@
+import dataclasses
 import datetime
 import decimal
+import itertools
 import zipfile
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridflow.functions import convert, scalars
 from gridflow.functions.text import norm_text
-from gridflow.operators import binding, changes, joins, pivot, rows, sheets, source, validate
+from gridflow.operators import binding, changes, joins, pivot, places, rows, sheets, source, validate
 from gridflow.sources import xlsx
 from gridflow.sources.release import ReleaseError, Releases
 
@@ -178,6 +182,100 @@ def test_source_over_workbooks(spark, tmp_path):
     assert sorted((r["id"], r["power"]) for r in two.out.collect()) == [(1, 5), (2, 5), (3, 5)]
 
 
+def grid_cells(spark, *grids):
+    rows = [(f"s{k}", i + 1, j + 1, str(v), "b" if isinstance(v, bool) else "n" if isinstance(v, (int, float)) else "s", 0) for k, g in enumerate(grids) for i, line in enumerate(g) for j, v in enumerate(line) if v is not None]
+    return spark.createDataFrame(rows, "sheet string, row int, col int, value string, kind string, flags int")
+
+
+def scans(df):
+    """(file scans, reused exchanges) of the plan that ran."""
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return final.count("FileScan"), final.count("ReusedExchange")
+
+
+def test_source_reads_cells_once(spark, tmp_path):
+    grid_cells(spark, [["Top", None], ["a", "b"], [1, 2], [3, 4]]).write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    region = source.Region("r", sheets.Rect(2, 1, 3, 2), locator="ANCHOR", anchor="Top", offset=(1, 0), rows="UNTIL_BLANK_ROWS", cols="UNTIL_BLANK_HEADER", specs=(binding.Spec("a", type="int"), binding.Spec("b", type="int")))
+    out = source.source(cells, [region, source.Region("f", sheets.Rect(9, 1, 9, 1), shape="FORM", fields={"x": (1, 1)}, specs=(binding.Spec("x"),))])
+    found = scans(out["r"].out)
+    assert found[0] == 1 and found[1] >= 3
+    assert sorted(tuple(r)[2:] for r in out["r"].out.collect()) == [(1, 2), (3, 4)] and [r["x"] for r in out["f"].out.collect()] == [None]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_shapes_of_the_source_node(spark):
+    kv = source.Region("kv", sheets.Rect(1, 1, 2, 3), shape="KEY_VALUE", orientation="HORIZONTAL", specs=(binding.Spec("a"), binding.Spec("b", type="int"), binding.Spec("c", required=True, default="d")))
+    flow = source.region_rows(grid_cells(spark, [["a", "b", "a"], ["x", 7, "y"]]), kv)
+    assert [tuple(r) for r in flow.out.collect()] == [("s0", 1, "x", 7, "d")]
+    assert {(r["code"], r["field"], r["n"]) for r in flow.issues.collect()} == {("KV_DUPLICATE_KEY", "a", 1), ("HEADER_MISSING_REQUIRED", "c", 1)}
+    last = source.region_rows(grid_cells(spark, [["a", "b", "a"], ["x", 7, "y"]]), dataclasses.replace(kv, duplicates="LAST"))
+    assert [r["a"] for r in last.out.collect()] == ["y"]
+    twice = grid_cells(spark, [[None, "p", "q"], ["k", 1, 2], ["k", 3, None]])
+    m = source.Region("m", sheets.Rect(1, 1, 3, 3), shape="MATRIX", row_dims=("key",), col_dims=("what",), metric="what", specs=(binding.Spec("key"), binding.Spec("p", type="int"), binding.Spec("q", type="int"), binding.Spec("r")))
+    flow = source.region_rows(twice, m)
+    assert [tuple(r) for r in flow.out.collect()] == [("s0", 2, "k", 1, 2, None)]
+    assert {(r["code"], r["field"], r["n"]) for r in flow.issues.collect()} == {("MATRIX_DUPLICATE_CELL", "p", 1), ("HEADER_MISSING", "r", 1)}
+    form = source.Region("f", sheets.Rect(1, 1, 3, 3), cols="UNTIL_BLANK_HEADER", shape="FORM", fields={"a": (1, 3)}, specs=(binding.Spec("a"),))
+    flow = source.region_rows(grid_cells(spark, [["u", "v", "w"]], [["u", None, "w"]]), form)
+    assert [(r["sheet"], r["a"]) for r in flow.out.collect()] == [("s0", "w")] and [(r["code"], r["field"], r["n"]) for r in flow.issues.collect()] == [("FORM_FIELD_OUT_OF_RANGE", "a", 1)]
+    bold = grid_cells(spark, [["n", "v"], ["G", None], ["x", 1], [None, 2], ["H", None], ["y", 3]]).withColumn("flags", F.when(F.col("value") == "G", 2).otherwise(0))
+    g = source.Region("g", sheets.Rect(1, 1, 6, 2), shape="GROUPED_DETAIL", group_by="BOLD", specs=(binding.Spec("n"), binding.Spec("v", type="int"), binding.Spec("group")))
+    assert sorted((r["row"], r["n"], r["v"], r["group"]) for r in source.region_rows(bold, g).out.collect()) == [(3, "x", 1, "G"), (4, None, 2, "G"), (5, "H", None, "G"), (6, "y", 3, "G")]
+
+
+def test_blocks_of_the_source_node(spark):
+    one = [["B", 1, "B", 2], ["x", 3, "x", 4], [None] * 4, [None, "B", 5, None], [None, "x", 6, None]]
+    region = source.Region("b", sheets.Rect(1, 1, 4, 4), shape="REPEATING_BLOCK", block=(2, 2), block_anchor="B", fields={"k": (1, 2), "x": (2, 2)}, specs=(binding.Spec("k", type="int"), binding.Spec("x", type="int")))
+    get = lambda r, *g: sorted(tuple(x) for x in source.region_rows(grid_cells(spark, *g), r).out.collect())
+    assert get(region, one) == [("s0", 1, 1, 1, 3), ("s0", 1, 2, 2, 4), ("s0", 4, 3, 5, 6)]  # the last block reaches beyond the region
+    assert get(dataclasses.replace(region, inner="KEY_VALUE", specs=(binding.Spec("k", "B", "int"), binding.Spec("x", type="int"))), one) == get(region, one)
+    assert get(dataclasses.replace(region, block_anchor="", stride=(0, 2)), one) == [("s0", 1, 1, 1, 3), ("s0", 1, 2, 2, 4)]
+    assert get(dataclasses.replace(region, block_anchor="", stride=(3, 1)), one) == [("s0", 1, 1, 1, 3), ("s0", 4, 2, 5, 6)]
+    blank = dataclasses.replace(region, block_anchor="", stride=(1, 0), block=(1, 2), fields={"k": (1, 2)}, specs=(binding.Spec("k", type="int"),))
+    assert get(blank, [r[:2] for r in one[:3]] + [[None, 9]]) == [("s0", 1, 1, 1), ("s0", 2, 2, 3), ("s0", 4, 3, 9)]
+    assert get(dataclasses.replace(blank, skip_empty=False), [r[:2] for r in one[:3]] + [[None, 9]]) == [("s0", 1, 1, 1), ("s0", 2, 2, 3), ("s0", 3, 3, None), ("s0", 4, 4, 9)]
+    with pytest.raises(ValueError, match="OUT_OF_RANGE"):
+        source.region_rows(grid_cells(spark, one), dataclasses.replace(region, fields={"k": (3, 1)}))
+
+
+@given(st.sets(st.tuples(st.integers(1, 12), st.integers(1, 12)), min_size=1, max_size=8), st.integers(1, 4), st.integers(1, 4))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_overlapping_blocks_against_all_pairs(spark, starts, high, wide):
+    want = any(abs(a - c) < high and abs(b - d) < wide for (a, b), (c, d) in itertools.combinations(starts, 2))
+    frame = spark.createDataFrame([("s", a, b) for a, b in starts], "sheet string, top int, left int")
+    assert (sheets.overlapping(frame, high, wide).count() > 0) == want
+
+
+def test_regions_that_meet_have_no_rows(spark):
+    a, b = (source.Region(n, sheets.Rect(1, c, 3, c + 1), specs=(binding.Spec("x"),)) for n, c in (("a", 1), ("b", 2)))
+    cells = grid_cells(spark, [["x", "y", "z"], [1, 2, 3]])
+    flow = source.source(cells, [a, b])
+    assert flow["a"].out.count() == flow["b"].out.count() == 0
+    assert [(r["code"], r["message"]) for r in flow["a"].issues.where("code = 'REGION_OVERLAP'").collect()] == [("REGION_OVERLAP", "b")]
+    assert source.source(cells, [dataclasses.replace(a, exclude=("b",)), b])["a"].out.count() == 1
+
+
+@given(st.lists(st.booleans(), min_size=1, max_size=40), st.integers(1, 3), st.integers(1, 4))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_ends_by_gaps_across_buckets(spark, filled, blanks, top):
+    held, places.BUCKET = places.BUCKET, 4
+    try:
+        want, gap = top, 0
+        for i in range(top, len(filled) + 1):
+            gap = 0 if filled[i - 1] else gap + 1
+            if gap >= blanks:
+                break
+            want = i if filled[i - 1] else want
+        cells = grid_cells(spark, [["h" if f else None] for f in filled] + [[None]] * 9 + [["end"]])
+        region = source.Region("r", sheets.Rect(top, 1, top, 1), rows="UNTIL_BLANK_ROWS", blanks=blanks)
+        assert source.locate(cells, region).out.first()["bottom"] == want
+    finally:
+        places.BUCKET = held
+
+
 def test_headers_of_several_levels(spark):
     cells = spark.createDataFrame([("s", 1, 1, "A"), ("s", 1, 3, "B"), ("s", 2, 1, "x"), ("s", 2, 2, "y"), ("s", 2, 3, "B"), ("s", 3, 1, "1")], "sheet string, row int, col int, value string")
     region = source.Region("r", sheets.Rect(1, 1, 3, 4), header_rows=2, specs=(binding.Spec("a", "A_x"),))
