@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridflow.llm import editprint, htmltext, kneserney, langid, licenses, lmscore, ngrams, packing, queries, sentencepiece, simhash, topk
+from gridflow.llm import editprint, htmltext, kneserney, langid, lattice, lexical, licenses, lmscore, ngrams, packing, periodic, queries, sentencepiece, simhash, topk
 from gridflow.llm.common import components, crc_fold
 
 AWKWARD = [None, "", " \n\t ", "a", "One two. One two.", "All rights reserved. CC BY-NC 4.0", "x" * 3000, "é日本 <|endoftext|> 😀 ﬁ", "the cat sat on the mat", "the cat sat on the mat", "A\x1cb c"]
@@ -792,6 +792,236 @@ def test_html_and_topk_take_empty_tables_and_repeated_rows(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(7, 512 * 256), (7, 512 * 256)]
 
 
+# 11
+
+
+def plain_terms(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low)
+
+
+def plain_search(docs, items, k=10):
+    """Every document against every item; docs: (id, text)."""
+    bags = [(i, collections.Counter(plain_terms(t))) for i, t in docs]
+    full = [b for _, b in bags if b]
+    n_docs, total = len(full), sum(sum(b.values()) for b in full)
+    df = collections.Counter(t for b in full for t in b)
+    wanted = collections.defaultdict(set)
+    for i, t in items:
+        if i is not None:
+            wanted[i] |= set(plain_terms(t))
+    out = []
+    for item, own in wanted.items():
+        found = []
+        for i, b in bags:
+            if i is None or not b:
+                continue
+            m = 10 + 90 * sum(b.values()) * n_docs // total
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * b[t] // (1000 * b[t] + 8 * m)) for t in own if b[t])
+            if score:
+                found.append((-score, i))
+        out += [(item, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+def test_lexical_against_brute_force(spark, sf, docs, monkeypatch):
+    texts = docs["text"].head(120).tolist() + AWKWARD + ["law " * 3000, "the CAT-sat; on_the mat 7", docs["text"].iloc[0]]
+    ids = [*range(len(texts) - 2), 5, None]
+    items = [(1, texts[3]), (1, "law of the sea"), (2, None), (None, "law"), (3, "..."), (4, "the cat É日本 7 law"), (5, "nowhere_word_at_all")] + [(10 + i, t) for i, t in enumerate(texts[:12])]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, term string, n long")
+    want = plain_search(list(zip(ids, texts, strict=True)), items)
+    get = lambda: sorted(map(tuple, lexical.search(table(spark, texts, ids), frame).collect()))
+    assert get() == want
+    for name, value in (("BUCKET", 7), ("BUCKET_ENTRIES", 300), ("BLOCK_TERMS", 200), ("PIECE", 50)):
+        monkeypatch.setattr(lexical, name, value)
+    assert get() == want
+
+
+def test_lexical_ties_and_empty_tables(spark):
+    same = ["alpha beta"] * 30 + ["gamma"]
+    frame = spark.createDataFrame([(1, "beta"), (2, "gamma delta")], "item_id long, text string")
+    got = lexical.search(table(spark, same, list(range(30, -1, -1))), frame).collect()
+    assert sorted((r["item_id"], r["rank"], r["doc_id"]) for r in got) == [(1, i + 1, i + 1) for i in range(10)] + [(2, 1, 0)]
+    assert lexical.search(table(spark, []), frame).count() == 0
+    assert lexical.search(table(spark, same), frame.limit(0)).count() == 0
+    assert lexical.search(table(spark, [None, "", "..."]), frame).count() == 0
+
+
+def test_lexical_bounds_prune():
+    """Documents that cannot reach the bar are not scored, and those that can are."""
+    rng = np.random.RandomState(1)
+    weight = rng.randint(0, 9000, 50).astype(np.int64)
+    sizes = rng.randint(1, 30, 200)
+    rows = [np.sort(rng.choice(50, s, replace=False)) for s in sizes]
+    x = rng.randint(1, 10**6, sizes.sum())
+    norm = np.sqrt(np.add.reduceat(weight[np.concatenate(rows)] * x.astype(float) ** 2, np.cumsum(sizes) - sizes))
+    r = pd.Series({"ids": np.arange(200).astype("<i8").tobytes(), "sizes": sizes.astype("<i8").tobytes(), "terms": np.concatenate(rows).astype("<i4").tobytes(), "impacts": x.astype("<i4").tobytes(), "top": norm.max()})
+    own = lexical.Bucket(r, weight)
+    dense = np.zeros((200, 50), np.int64)
+    dense[np.repeat(np.arange(200), sizes), np.concatenate(rows)] = x
+    for _ in range(50):
+        item = np.sort(rng.choice(50, rng.randint(1, 20), replace=False))
+        score = dense[:, item] @ weight[item]
+        for bar in (1, int(np.median(score)) + 1, int(score.max()), int(score.max()) + 1):
+            ids, got = own.best(item, weight, bar, 10)
+            want = sorted((-s, i) for i, s in enumerate(score) if s >= bar)[:10]
+            assert list(zip(-got, ids, strict=True)) == want
+
+
+# 12
+
+
+def plain_near(rows, similarity):
+    """rows: (id, vector, label); per row its links and the smallest id reached."""
+    fine = [v is not None and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, lab in rows]
+    scaled = [np.array(v, float) / max(map(abs, v)) if f else None for f, (_, v, _) in zip(fine, rows, strict=True)]
+    unit = [None if v is None else v / np.linalg.norm(v) for v in scaled]
+    near = [[j for j, b in enumerate(unit) if j != i and a is not None and b is not None and rows[i][2] == rows[j][2] and len(a) == len(b) and float(a @ b) >= similarity] for i, a in enumerate(unit)]
+    out = []
+    for i in range(len(rows)):
+        seen, open_ = {i}, [i]
+        while open_:
+            open_ += [j for j in near[open_.pop()] if j not in seen and not seen.add(j)]
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        low = min(ids) if ids else None
+        out.append((rows[i][0], len(near[i]), low, rows[i][0] is not None and rows[i][0] == low))
+    return sorted(out, key=repr)
+
+
+def clusters(rng, dim, sizes, spread, label):
+    """Vectors around centres, with exact copies."""
+    out = []
+    for s in sizes:
+        centre = rng.normal(size=dim)
+        out += [((centre / np.linalg.norm(centre) + rng.normal(size=dim) * spread / math.sqrt(dim)).tolist(), label) for _ in range(s)]
+    return out + out[:3]
+
+
+@pytest.mark.parametrize("tile", [4096, 20])
+def test_lattice_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(lattice, "TILE", tile)
+    rng = np.random.RandomState(3)
+    made = clusters(rng, 64, [1] * 40 + [2] * 10 + [3] * 5 + [80], 0.08, "a") + clusters(rng, 64, [30, 5], 0.05, "b") + clusters(rng, 20, [4, 4], 0.05, "a") + clusters(rng, 5, [6], 0.05, "c")
+    made += [(None, "a"), ([], "a"), ([0.0] * 64, "a"), ([float("nan")] + [1.0] * 63, "a"), ([None] + [1.0] * 63, "a"), ([1.0] * 64, None), ([1.0] * 64, None), ([float("inf")] + [1.0] * 63, "a"), ([1e200] * 64, "z"), ([1e-200] * 64, "z"), ([3.0] * 64, "z")]
+    rows = [(i if i % 50 else None if i % 100 else 7, v, lab) for i, (v, lab) in enumerate(made)]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label string, node long, v string")
+    got = lattice.near_duplicates(frame)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_near(rows, 0.98)
+
+
+def test_lattice_recall_at_the_bar():
+    """Pairs of exactly the cosine meet in some table with chance 0.98 and more, in any dimension; random ones hardly ever."""
+    rng = np.random.RandomState(5)
+    for dim in (8, 16, 24, 64, 200):
+        a = rng.normal(size=(3000, dim))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        b = rng.normal(size=(3000, dim))
+        b -= (a * b).sum(axis=1)[:, None] * a
+        b = 0.98 * a + math.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1)[:, None]
+        own = lattice.Hashing(dim, 0.98)
+        x, y = own.cells(a), own.cells(b)
+        met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any(axis=(0, 2))
+        assert met.mean() > 0.97, (dim, met.mean())
+        if dim >= 64:
+            z = np.roll(y, 1, axis=1)
+            assert ((x[:, :, :1] == z) | (z[:, :, :1] == x)).any(axis=(0, 2)).mean() < 0.001
+
+
+def test_lattice_points_are_the_nearest():
+    rng = np.random.RandomState(2)
+    y = rng.normal(size=(500, 8)) * 3
+    found = lattice.decode(y)
+    assert (np.abs(2 * found - np.rint(2 * found)) < 1e-12).all() and (np.abs(found.sum(axis=1) % 2) < 1e-9).all()
+    assert len({tuple(r) for r in lattice.ROOTS}) == 240 and np.allclose((lattice.ROOTS**2).sum(axis=1), 2)
+    # no neighbour of the point is nearer, which for this lattice means that none is
+    far = ((y[:, None] - found[:, None] - lattice.ROOTS) ** 2).sum(axis=2).min(axis=1)
+    assert (((y - found) ** 2).sum(axis=1) <= far + 1e-9).all()
+
+
+def test_lattice_empty_table(spark):
+    frame = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert lattice.near_duplicates(frame).count() == 0
+
+
+# 13
+
+
+def plain_runs(words_, times=4, least=6):
+    """Every run, by trying all periods: stretches of equal words that far apart, of which that period is the smallest."""
+    out, n = [], len(words_)
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            if words_[i] != words_[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words_[j] == words_[j + q]:
+                j += 1
+            own = words_[i : j + q]
+            if len(own) >= max(least, times * q) and not any(all(own[k] == own[k + p] for k in range(len(own) - p)) for p in range(1, q)):
+                out.append((i, len(own), q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def plain_collapse(words_, found):
+    drop = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w.decode() for i, w in enumerate(words_) if i not in drop)
+
+
+def test_periodic_against_brute_force(spark, docs, monkeypatch):
+    rng = np.random.RandomState(4)
+    texts = docs["text"].head(40).tolist() + AWKWARD + ["a " * 50, "a b " * 20 + "a", "x y z " * 3, "x y z " * 4, "p " * 6 + "q " * 6, ("a a b " * 5 + "c ") * 5]
+    texts += [" ".join(rng.choice(list("ab"), 60)) for _ in range(40)]
+    for _ in range(40):  # periods of all sizes among other words
+        unit = [str(x) for x in rng.randint(0, 3 + rng.randint(50), 1 + rng.randint(12))]
+        texts.append(" ".join([*map(str, rng.randint(0, 9, rng.randint(9))), *(unit * 9)[: rng.randint(1, 9 * len(unit))], *map(str, rng.randint(0, 9, rng.randint(9)))]))
+    for size in (periodic.BATCH, 100):
+        monkeypatch.setattr(periodic, "BATCH", size)
+        monkeypatch.setattr(periodic, "PIECE", size)
+        got = {r["doc_id"]: r for r in periodic.collapse(table(spark, texts)).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            own = (t or "").encode().split()
+            want = plain_runs(own)
+            assert got[i]["n_words"] == len(own) and [tuple(r) for r in got[i]["runs"]] == want
+            assert got[i]["collapsed"] == plain_collapse(own, want)
+
+
+def test_periodic_query_against_brute_force(spark, sf, docs):
+    got = {r["doc_id"]: r for r in queries.op13_periodic(spark, sf).collect()}
+    assert len(got) == len(docs) and sum(r["n_runs"] > 0 for r in got.values()) > 10
+    for i, t in zip(docs["doc_id"], docs["text"], strict=True):
+        own = (t or "").encode().split()
+        h, n = zlib.crc32(str(i).encode()), len(own)
+        if h % 10 == 0 and n:
+            g = h // 10
+            a, p = g % n, 1 + (n - g % n) // (3 + g % 8)
+            own = own[:a] + [own[a + (k - a) % p] for k in range(a, n)]
+        if n > 1500:  # the plain way takes all periods
+            continue
+        found, r = plain_runs(own), got[i]
+        assert r["n_runs"] == len(found)
+        assert r["runs_sha256"] == hashlib.sha256("".join(f"{s},{m},{q}\n" for s, m, q in found).encode()).hexdigest()
+        assert r["collapsed_sha256"] == hashlib.sha256(plain_collapse(own, found).encode()).hexdigest()
+        best = min(found, key=lambda x: (-x[1] / x[2], x[0], x[2]), default=None)
+        assert (r["start"], r["length"], r["period"]) == (best or (None,) * 3) and r["exponent_milli"] == (best and 1000 * best[1] // best[2])
+
+
+def test_periodic_long_texts_null_ids_and_empty_tables(spark):
+    long = "w v " * 300_000 + " ".join(map(str, range(20_000)))
+    got = periodic.collapse(table(spark, [long, None, "b " * 9, "b " * 9], [None, None, 2, 2])).collect()
+    by = {r["n_words"]: r for r in got}
+    assert [tuple(r) for r in by[620_000]["runs"]] == [(0, 600_000, 2)] and by[620_000]["collapsed"].startswith("w v 0 1 2 ")
+    assert by[0]["runs"] == [] and by[0]["collapsed"] == "" and [r["collapsed"] for r in got if r["doc_id"] == 2] == ["b", "b"]
+    assert periodic.collapse(table(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        periodic.collapse(table(spark, []), times=2)
+    assert queries.planted(None, 5) is None and queries.planted(7, 0) is None
+
+
 def test_registered_names():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == {str(i) for i in range(1, 14)}
     assert os.path.isdir(queries.TOKENIZERS)
