@@ -46,6 +46,11 @@ def norm_text(text: Column, width: bool = False) -> Column:
     return strip(F.regexp_replace(out, SPACE, " "))
 
 
+def has_text(text: Column) -> Column:
+    """Whether `norm_text` leaves anything of a text: it has a character that is neither white space nor invisible; false for null."""
+    return F.coalesce(text.rlike(rf"(?U)[^\s{INVISIBLE}]"), F.lit(False))
+
+
 def is_blank(value: Column) -> Column:
     """Null, NaN or text of white space and invisible characters only."""
     text = value.cast("string")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import convert
-from ..functions.text import NULL_TOKENS, clean_text, norm_text
+from ..functions.text import NULL_TOKENS, clean_text, has_text, norm_text
 from .rows import NAME, RESERVED
 
 #: Fixed value: whole numbers from here on may have lost their last digits in a workbook.
@@ -132,7 +132,7 @@ def _coded(error: Column) -> Column:
 def text_of(cell: Column, spec: Spec) -> Column:
     """A cell's cleaned text, null for null tokens and blanks."""
     text = clean_text(cell["value"])
-    return F.when(~text.isin(*spec.nulls) & (norm_text(text) != ""), text)
+    return F.when(~text.isin(*spec.nulls) & has_text(text), text)
 
 
 def coerce(cell: Column, spec: Spec, bound: Column | None = None, base_1904: bool = False, text: Column | None = None) -> convert.Pair:
@@ -157,9 +157,13 @@ def coerce(cell: Column, spec: Spec, bound: Column | None = None, base_1904: boo
 def coerce_rows(df: DataFrame, cells: Mapping[str, Column], specs: Sequence[Spec], keep: Sequence[str] = (), bound: Mapping[str, Column] | None = None, base_1904: bool = False) -> tuple[DataFrame, DataFrame]:
     """(typed rows, failing cells): the columns `keep` and the fields; keep, field, code and value of each cell that fails, whose row is dropped."""
     texts = {s.field: f"_text{i}" for i, s in enumerate(specs)}
-    df = df.withColumns({texts[s.field]: text_of(cells[s.field], s) for s in specs})
+    if texts:  # a generator's columns are made once a row, however often they are asked for, also by filters
+        df = df.select("*", F.inline(F.array(F.struct(*[text_of(cells[s.field], s).alias(texts[s.field]) for s in specs]))))
     pairs = {s.field: coerce(cells[s.field], s, (bound or {}).get(s.field), base_1904, F.col(texts[s.field])) for s in specs}
-    made = df.select(*keep, *[v.alias(s) for s, (v, _) in pairs.items()], *[e.alias(f"_e{i}") for i, (_, e) in enumerate(pairs.values())], *[cells[s]["value"].alias(f"_v{i}") for i, s in enumerate(pairs)])
+    if not pairs:
+        return df.select(*keep), df.select(*keep, *[F.lit(None).cast("string").alias(c) for c in ("field", "code", "value")]).where("false")
+    columns = [v.alias(s) for s, (v, _) in pairs.items()] + [e.alias(f"_e{i}") for i, (_, e) in enumerate(pairs.values())] + [cells[s]["value"].alias(f"_v{i}") for i, s in enumerate(pairs)]
+    made = df.select(*keep, F.inline(F.array(F.struct(*columns))))
     names = list(pairs)
     errors = F.array_compact(F.array(*[F.when(F.col(f"_e{i}").isNotNull(), F.struct(F.lit(s).alias("field"), F.col(f"_e{i}").alias("code"), F.col(f"_v{i}").alias("value"))) for i, s in enumerate(names)]))
     fine = F.forall(F.array(*[f"_e{i}" for i in range(len(names))]), lambda e: e.isNull())

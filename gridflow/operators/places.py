@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_text
+from ..functions.text import has_text, norm_text
 from .binding import CELL, Spec
 from .sheets import Rect, matching
 
@@ -107,7 +107,8 @@ def lines(cells: DataFrame) -> DataFrame:
     cells = cells.withColumns({c: F.lit("s") if c == "kind" else F.lit(0) for c in more}) if more else cells
     cell = F.struct("value", "kind", F.col("flags").cast("int").alias("flags")).cast(CELL)
     own = cells.select("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), cell.alias("cell")).where("sheet is not null and row is not null and col is not null")
-    one = own.repartition("sheet", "row").groupBy("sheet", "row", "col").agg(F.max("cell").alias("cell"))
+    # a line's cells are parsed and matched, so there are as many tasks as the session wants, however few the bytes
+    one = own.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sheet", "row").groupBy("sheet", "row", "col").agg(F.max("cell").alias("cell"))
     made = one.groupBy("sheet", "row").agg(F.max("row").alias("at"), F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("line"))
     return made.select("sheet", F.col("at").alias("row"), "line")
 
@@ -121,11 +122,11 @@ def at(line: Column | str, col: Column | int) -> Column:
 
 
 def filled_cols(line: Column | str = "line") -> Column:
-    return F.map_keys(F.map_filter(line, lambda c, v: F.coalesce(text_of(v) != "", F.lit(False))))
+    return F.map_keys(F.map_filter(line, lambda c, v: has_text(v["value"])))
 
 
 def _filled_in(left: Column, right: Column) -> Column:
-    return F.exists(filled_cols(), lambda c: c.between(left, right))
+    return F.exists(F.map_entries("line"), lambda e: e["key"].between(left, right) & has_text(e["value"]["value"]))
 
 
 def _hits(r: Region) -> tuple[Column, Column]:
@@ -153,7 +154,8 @@ def _before_gap(rows: Column, blanks: int) -> Column:
 def places(own: DataFrame, regions: Sequence[Region]) -> DataFrame:
     """A row a sheet: sheet and, for the region of number i, p<i> (its rectangle, null where it was not found), hits<i> (of its anchor) and lost<i> (its end was not found)."""
     row = F.col("row")
-    found: list[Column] = [F.max(F.array_max(filled_cols())).alias("widest")]
+    wide = any(r.cols == "SHEET_END" and r.locator != "AUTO_EXPAND" for r in regions)
+    found: list[Column] = [(F.max(F.array_max(filled_cols())) if wide else F.max(F.lit(None).cast("int"))).alias("widest")]
     for i, r in enumerate(regions):
         if r.locator == "ANCHOR":
             near, often = _hits(r)

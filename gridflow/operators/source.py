@@ -134,32 +134,41 @@ def header_names(own: DataFrame, located: DataFrame, region: Region) -> DataFram
     return named.withColumn("n", turn).select("sheet", "col", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat_ws("_", "name", "n")).alias("name"), (F.col("n") > 1).alias("repeated"))
 
 
-# shapes.  A view is sheet, row, line, top, left, bottom, right: the lines of one region without the cells outside it or masked.
+# shapes.  A view is the lines of one region without the cells outside it or masked.
 
 
-def _view(own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region], more: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame]:
-    """The view of the region of number i, and its rectangles; rows and columns change places where the region is turned.
+class _Cut:
+    """The lines of one region: `rect` has its rectangles, in which rows and columns change places where the region is turned.
 
     more: rows and columns beyond the rectangle that are looked at too.
     """
-    r, row = regions[i], F.col("row")
-    masks = [f"p{j}" for j, m in enumerate(regions) if j != i and (m.shape == "IGNORE" or m.id in r.exclude)]
-    rect = placed.where(F.col(f"p{i}").isNotNull()).select("sheet", f"p{i}.*", *masks)
-
-    def stays(c: Column, _: Column) -> Column:
-        fine = c.between(F.col("left"), F.col("right") + more[1])
-        for m in masks:
-            fine = fine & ~F.coalesce(row.between(F.col(f"{m}.top"), F.col(f"{m}.bottom")) & c.between(F.col(f"{m}.left"), F.col(f"{m}.right")), F.lit(False))
-        return fine
-
-    met = own.join(rect, "sheet").where(row.between(F.col("top"), F.col("bottom") + more[0]))
-    view = met.select("sheet", "row", F.map_filter("line", stays).alias("line"), "top", "left", "bottom", "right")
-    rect = rect.drop(*masks)
-    if not r.turned:
-        return view, rect
-    turned = view.select("sheet", "row", F.explode("line").alias("col", "cell")).groupBy("sheet", "col").agg(F.map_from_entries(F.collect_list(F.struct("row", "cell"))).alias("line"))
-    rect = rect.select("sheet", F.col("left").alias("top"), F.col("top").alias("left"), F.col("right").alias("bottom"), F.col("bottom").alias("right"))
-    return turned.withColumnRenamed("col", "row").join(rect, "sheet"), rect
+
+    def __init__(self, own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region], more: tuple[int, int] = (0, 0)) -> None:
+        r = regions[i]
+        self.own, self.turned, self.more = own, r.turned, more
+        self.masks = [f"p{j}" for j, m in enumerate(regions) if j != i and (m.shape == "IGNORE" or m.id in r.exclude)]
+        self.all = placed.where(F.col(f"p{i}").isNotNull()).select("sheet", f"p{i}.*", *self.masks)
+        names = {"top": "left", "left": "top", "bottom": "right", "right": "bottom"} if r.turned else {}
+        self.rect = self.all.select("sheet", *[F.col(names.get(c, c)).alias(c) for c in ("top", "left", "bottom", "right")])
+
+    def view(self, beside: DataFrame | None = None) -> DataFrame:
+        """sheet, row, line, top, left, bottom, right and what `beside` has for each sheet, which meets the lines in the same join."""
+        row = F.col("row")
+
+        def stays(c: Column, _: Column) -> Column:
+            fine = c.between(F.col("left"), F.col("right") + self.more[1])
+            for m in self.masks:
+                fine = fine & ~F.coalesce(row.between(F.col(f"{m}.top"), F.col(f"{m}.bottom")) & c.between(F.col(f"{m}.left"), F.col(f"{m}.right")), F.lit(False))
+            return fine
+
+        extra = [c for c in beside.columns if c != "sheet"] if beside is not None else []
+        rect = self.all if beside is None or self.turned else self.all.join(beside, "sheet")
+        met = self.own.join(rect, "sheet").where(row.between(F.col("top"), F.col("bottom") + self.more[0]))
+        cut = met.select("sheet", "row", F.map_filter("line", stays).alias("line"), "top", "left", "bottom", "right", *([] if self.turned else extra))
+        if not self.turned:
+            return cut
+        turned = cut.select("sheet", "row", F.explode("line").alias("col", "cell")).groupBy("sheet", "col").agg(F.map_from_entries(F.collect_list(F.struct("row", "cell"))).alias("line"))
+        return turned.withColumnRenamed("col", "row").join(self.rect if beside is None else self.rect.join(beside, "sheet"), "sheet")
 
 
 def named(spec: Spec, name: str) -> bool:
@@ -196,12 +205,12 @@ class _Shaped:
         self.rows, self.specs, self.found, self.bound, self.keep = rows, specs, found, bound or {}, keep
 
 
-def _detail(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
+def _detail(cut: _Cut, r: Region) -> _Shaped:
     """DETAIL, GROUPED_DETAIL and SUMMARY: a row a line, below the header."""
     k, found = 0 if r.shape == "SUMMARY" else max(0, r.header_rows), []
-    head = view.where(F.col("row") < F.col("top") + k).select("sheet", "row", "top", F.explode("line").alias("col", "cell"))
-    heads = header_names(head.withColumn("value", F.col("cell.value")), rect, r)
-    body = view.where(F.col("row") >= F.col("top") + k)
+    head = cut.view().where(F.col("row") < F.col("top") + k).select("sheet", "row", "top", F.explode("line").alias("col", "cell"))
+    heads = header_names(head.withColumn("value", F.col("cell.value")), cut.rect, r)
+    below = F.col("row") >= F.col("top") + k
     specs, titled = list(r.specs), {i for i, s in enumerate(r.specs) if r.shape == "GROUPED_DETAIL" and named(s, r.group_field)}
 
     def bind() -> DataFrame:
@@ -212,7 +221,7 @@ def _detail(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
     if r.shape != "SUMMARY":
         used = F.array(*[f"s{i}" for i in range(len(specs))])
         extra = heads.join(bound, "sheet").where(~F.coalesce(F.array_contains(F.array_compact(used), F.col("col")), F.lit(False)) & ~F.col("name").startswith("_block")).select("sheet", "col", "name")
-        extra = extra.join(body.select("sheet", F.explode(filled_cols()).alias("col")).distinct(), ["sheet", "col"])
+        extra = extra.join(cut.view().where(below).select("sheet", F.explode(filled_cols()).alias("col")).distinct(), ["sheet", "col"])
         found.append(lambda: issues(extra, r.id, "HEADER_NEW_COLUMN", "WARN", field=F.col("name")))
         if r.new_columns == "INCLUDE_AS_STRING":
             names = sorted(x["name"] for x in extra.select("name").distinct().collect())  # headers of a region
@@ -227,7 +236,7 @@ def _detail(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
         F.coalesce(first["flags"].bitwiseAND(STRIKE) != 0, F.lit(False)).alias("_struck"), F.coalesce(first["flags"].bitwiseAND(BOLD) != 0, F.lit(False)).alias("_bold"), F.coalesce(text_of(first), F.lit("")).alias("_lead"),
     )
     # a generator's columns are made once a line, whatever is asked of them later
-    wide = body.join(bound, "sheet").select("sheet", "row", *[f"s{i}" for i in range(len(specs))], F.inline(F.array(made))).where("_filled > 0")
+    wide = cut.view(bound).where(below).select("sheet", "row", *[f"s{i}" for i in range(len(specs))], F.inline(F.array(made))).where("_filled > 0")
     if r.shape == "SUMMARY":
         own = [c for c in wide.columns if not c.startswith("_") and c not in ("sheet", "row")]
         wide = wide.groupBy("sheet").agg(F.min(F.struct("row", *own)).alias("x")).select("sheet", "x.*")
@@ -265,10 +274,10 @@ def _fixed(rows: DataFrame, names: Mapping[str, Column], r: Region, found: list[
     return _Shaped(rows.select(*keep, *[c.alias(n) for n, c in cells.items()]), r.specs, found + _missing(rows.select("sheet").distinct(), r, absent), {i: F.lit(n is not None) for i, n in picked.items()}, keep)
 
 
-def _key_values(view: DataFrame, rect: DataFrame, r: Region, by: tuple[str, ...] = ("sheet",), keep: tuple[str, ...] = ("sheet", "row")) -> _Shaped:
+def _key_values(cut: _Cut | None, r: Region, view: DataFrame | None = None, by: tuple[str, ...] = ("sheet",), keep: tuple[str, ...] = ("sheet", "row")) -> _Shaped:
     """Keys and values: a row for each group of `by` (WIDE), or for each key (LONG)."""
     key = text_of(at("line", F.col("left") + (r.key_col - 1)))
-    pairs = view.select(*by, "row", "top", key.alias("key"), at("line", F.col("left") + (r.value_col - 1)).alias("cell")).where((F.col("key") != "") & ~F.col("key").startswith("#"))
+    pairs = (cut.view() if view is None else view).select(*by, "row", "top", key.alias("key"), at("line", F.col("left") + (r.value_col - 1)).alias("cell")).where((F.col("key") != "") & ~F.col("key").startswith("#"))
     pick, place = (F.max_by, F.max) if r.duplicates == "LAST" else (F.min_by, F.min)
     if r.duplicates == "ARRAY":
         texts = F.transform(F.array_sort(F.collect_list(F.struct("row", F.coalesce(F.col("cell.value"), F.lit("")).alias("v")))), lambda x: x["v"])
@@ -290,12 +299,12 @@ def _key_values(view: DataFrame, rect: DataFrame, r: Region, by: tuple[str, ...]
     return _Shaped(wide, r.specs, found, {i: F.col(f"b{i}") for i in range(len(asked))}, keep)
 
 
-def _form(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
+def _form(cut: _Cut, r: Region) -> _Shaped:
     """A row a sheet, of cells at stated places; a sheet whose region does not reach to one of them has none."""
     high, wide = F.col("bottom") - F.col("top") + 1, F.col("right") - F.col("left") + 1
     beyond = F.array_compact(F.array(*[F.when((high < y) | (wide < x) | F.lit(y < 1 or x < 1), F.lit(n)) for n, (y, x) in r.fields.items()]))
-    found = [lambda: issues(rect.select(F.explode(beyond).alias("f")), r.id, "FORM_FIELD_OUT_OF_RANGE", field=F.col("f"))]
-    rows = rect.where(F.size(beyond) == 0).join(_places_of(view, r.fields, ("sheet",)), "sheet", "left").withColumn("row", F.col("top"))
+    found = [lambda: issues(cut.rect.select(F.explode(beyond).alias("f")), r.id, "FORM_FIELD_OUT_OF_RANGE", field=F.col("f"))]
+    rows = cut.rect.where(F.size(beyond) == 0).join(_places_of(cut.view(), r.fields, ("sheet",)), "sheet", "left").withColumn("row", F.col("top"))
     return _fixed(rows, {n: F.col(f"f_{n}") for n in r.fields}, r, found)
 
 
@@ -305,10 +314,10 @@ def _places_of(view: DataFrame, fields: Mapping[str, tuple[int, int]], by: tuple
     return view.groupBy(*by).agg(*each, F.max(F.size(filled_cols()) > 0).alias("filled_"))
 
 
-def _matrix(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
+def _matrix(cut: _Cut, r: Region) -> _Shaped:
     """A row for each body cell, or for each combination of dimensions where one of them names metrics."""
     down, across = list(r.row_dims) or ["row1"], list(r.col_dims) or ["col1"]
-    local = view.select("sheet", (F.col("row") - F.col("top") + 1).alias("row"), "top", F.col("left").alias("_left"), F.explode("line").alias("col", "cell"))
+    local = cut.view().select("sheet", (F.col("row") - F.col("top") + 1).alias("row"), "top", F.col("left").alias("_left"), F.explode("line").alias("col", "cell"))
     local = local.select("sheet", "row", (F.col("col") - F.col("_left") + 1).alias("col"), F.col("cell.value").alias("value"), "cell", "top")
     long = sheets.matrix(local, {i + 1: n for i, n in enumerate(across)}, {i + 1: n for i, n in enumerate(down)}, "_value", r.totals, r.drop_empty, r.parsers, ("cell", "top"))
     dims, found = [d for d in (*down, *across) if d != r.metric], []
@@ -327,7 +336,7 @@ def _matrix(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
     return _Shaped(rows, r.specs, found, {i: F.col(f"b{i}") for i in asked})
 
 
-def _repeating(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
+def _repeating(cut: _Cut, r: Region) -> _Shaped:
     """A row for each block that is not blank, of stated size, from each hit of an anchor text or in equal steps.
 
     Cells find their block by an equi-join on a grid of the block's size: a block lies in four grid places at most, a cell in
@@ -338,23 +347,23 @@ def _repeating(view: DataFrame, rect: DataFrame, r: Region) -> _Shaped:
         raise ValueError(f"FORM_FIELD_OUT_OF_RANGE: {', '.join(bad)}")
     if r.block_anchor:
         hit = F.map_filter("line", lambda c, v: F.coalesce(matching(v["value"], r.block_anchor, "REGEX"), F.lit(False)) & (c <= F.col("right")))
-        starts = view.where(F.col("row") <= F.col("bottom")).select("sheet", F.col("row").alias("top"), F.explode(F.map_keys(hit)).alias("left"))
+        starts = cut.view().where(F.col("row") <= F.col("bottom")).select("sheet", F.col("row").alias("top"), F.explode(F.map_keys(hit)).alias("left"))
     else:
         dy, dx = r.stride
         steps = [F.floor((F.col(b) - F.col(a)) / d) for a, b, d in (("top", "bottom", dy), ("left", "right", dx)) if d]
         n = (F.least(*steps) if len(steps) > 1 else steps[0]) if steps else F.lit(0)
-        starts = rect.withColumn("i", F.explode(F.sequence(F.lit(0), n.cast("int")))).select("sheet", (F.col("top") + F.col("i") * dy).alias("top"), (F.col("left") + F.col("i") * dx).alias("left"))
+        starts = cut.rect.withColumn("i", F.explode(F.sequence(F.lit(0), n.cast("int")))).select("sheet", (F.col("top") + F.col("i") * dy).alias("top"), (F.col("left") + F.col("i") * dx).alias("left"))
     clashing = sheets.overlapping(starts, high, wide)
     found = [lambda: issues(clashing, r.id, "REPEATING_BLOCK_OVERLAP", field=F.col("sheet"))]
     starts = starts.join(clashing, "sheet", "left_anti")
-    inside = sheets.in_blocks(view.select("sheet", "row", F.explode("line").alias("col", "cell")), starts, high, wide)
+    inside = sheets.in_blocks(cut.view().select("sheet", "row", F.explode("line").alias("col", "cell")), starts, high, wide)
     by = ("sheet", "top", "left")
     block = inside.groupBy(*by, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("line"))
     turn = F.row_number().over(Window.partitionBy("sheet").orderBy("top", "left"))
     keep = ("sheet", "row", "_block")
     if r.inner == "KEY_VALUE":
         full = block.groupBy(*by).agg(F.max(F.size(filled_cols()) > 0).alias("f")).where("f" if r.skip_empty else "true").withColumn("_block", turn).select(*by, "_block")
-        shaped = _key_values(block.join(full, list(by)).withColumn("left_", F.col("left")), rect, r, ("sheet", "left_", "_block"), keep)
+        shaped = _key_values(None, r, block.join(full, list(by)).withColumn("left_", F.col("left")), ("sheet", "left_", "_block"), keep)
         shaped.found += found
         return shaped
     rows = starts.join(_places_of(block, r.fields, by), list(by), "left").where("filled_" if r.skip_empty else "true")
@@ -372,8 +381,7 @@ def _flow(own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region],
         raise ValueError("; ".join(problems))
     kind = "KEY_VALUE" if r.shape == "SUMMARY" and r.layout == "KV" else r.shape
     more = (r.block[0] - 1, r.block[1] - 1) if kind == "REPEATING_BLOCK" else (0, 0)
-    view, rect = _view(own, placed, i, regions, more)
-    shaped = SHAPES[kind](view, rect, r)
+    shaped = SHAPES[kind](_Cut(own, placed, i, regions, more), r)
     cells = {s.field: F.col(f"c{k}") for k, s in enumerate(shaped.specs)}
     bound = {s.field: shaped.bound[k] for k, s in enumerate(shaped.specs) if k in shaped.bound}
     good, bad = coerce_rows(shaped.rows, cells, shaped.specs, shaped.keep, bound, base_1904)
