@@ -141,6 +141,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return again.agg(F.sum("n").alias("n")).where("n > 0").select(F.lit(",".join(keys)).alias("field"), F.lit("repeated").alias("problem"), "n")
 
 
+def sharing_keys(df: DataFrame, others: DataFrame, keys: Sequence[str]) -> int:
+    """How many rows have a key that other rows have too."""
+    own, names = key_columns(df, list(keys), "_k")
+    theirs, _ = key_columns(others, list(keys), "_k")
+    mark = {n: F.coalesce(F.col(n), F.lit("\u0000null")) for n in names}
+    return own.withColumns(mark).join(theirs.withColumns(mark).select(*names), names, "left_semi").count()
+
+
 def touched(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The partitions that rows touch."""
     return df.select(*fields).distinct()

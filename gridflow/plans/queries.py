@@ -876,7 +876,12 @@ def sheets_united(spark, sf):
 
 
 def _store(spark) -> Releases:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-releases-")
+    """A store in the folder that the cluster names; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-releases-")
     return Releases(spark, f"{shared.rstrip('/')}/releases-{uuid.uuid4().hex}")
 
 
@@ -912,6 +917,55 @@ def release_partitions_undone(spark, sf):
     return store.read("customer")
 
 
+def _by_priority(spark, sf) -> Releases:
+    """Orders kept by priority and status; then two priorities lose every second order, and one of them all whose key is even."""
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    store, by = _store(spark), {"orders": ["o_orderpriority", "o_orderstatus"]}
+    put = lambda df: store.publish({"orders": df}, {"orders": ["o_orderkey"]}, force=True, partitions=by)
+    put(o)
+    put(o.where("o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderkey % 2 = 0"))
+    put(o.where("o_orderpriority = '5-LOW'").withColumn("o_totalprice", F.lit(0.0)))
+    return store
+
+
+_ORDERS = "SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM orders"
+_HALF = "o_orderpriority NOT IN ('1-URGENT', '2-HIGH') OR o_orderkey % 2 = 0"
+
+
+@query(f"""WITH o AS ({_ORDERS}), g AS (SELECT o_orderpriority, o_orderstatus FROM o WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 2 = 0 GROUP BY ALL)
+SELECT o_orderkey, o_orderpriority, o_orderstatus, CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM o
+WHERE {_HALF} OR (o_orderpriority, o_orderstatus) NOT IN (SELECT (o_orderpriority, o_orderstatus) FROM g)""")
+def release_partition_rows(spark, sf):
+    return _by_priority(spark, sf).read("orders")
+
+
+@query(f"""WITH o AS ({_ORDERS}) SELECT o_orderpriority, o_orderstatus, CASE WHEN o_orderpriority = '5-LOW' THEN 3 WHEN bool_or(o_orderkey % 2 = 0) AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2 ELSE 1 END AS publication,
+CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND bool_or(o_orderkey % 2 = 0) THEN count(*) FILTER (WHERE o_orderkey % 2 = 0) ELSE count(*) END AS n FROM o GROUP BY 1, 2""")
+def release_partition_files(spark, sf):
+    store = _by_priority(spark, sf)
+    number = F.lit(0)
+    for h in store.manifest()["history"]:
+        number = F.when(F.input_file_name().contains(h["live"]["orders"]), h["id"]).otherwise(number)
+    return store.read("orders").select("o_orderpriority", "o_orderstatus", number.alias("publication")).groupBy("o_orderpriority", "o_orderstatus", "publication").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT o_orderkey, o_orderpriority, o_orderstatus, CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM ({_ORDERS})")
+def release_partition_undo(spark, sf):
+    store = _by_priority(spark, sf)
+    store.undo_partitions("orders", 2)
+    return store.read("orders")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'c' WHEN o_orderkey % 10 = 1 THEN 'd' ELSE 'u' END AS op, o_orderkey, CASE WHEN o_orderkey % 10 > 1 THEN 'o_totalprice' END AS changed
+FROM orders WHERE o_orderkey % 10 < 2 OR (o_orderkey % 7 = 0 AND o_totalprice <> 0)""")
+def release_hash_changes(spark, sf):
+    o, store = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), _store(spark)
+    store.publish({"orders": o.where("o_orderkey % 10 <> 0")}, {"orders": ["o_orderkey"]})
+    new = o.where("o_orderkey % 10 <> 1").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, 0.0).otherwise(F.col("o_totalprice")))
+    store.publish({"orders": new}, {"orders": ["o_orderkey"]}, force=True)
+    return store.changes_between("orders", 1, 2, ["o_orderkey"]).select("op", "o_orderkey", F.array_join("changed", ",").alias("changed"))
+
+
 @query("""SELECT CASE WHEN c_custkey % 10 = 0 THEN 'c' ELSE 'u' END AS op, c_custkey FROM customer WHERE c_custkey % 10 = 0 OR (c_custkey % 4 = 0 AND c_acctbal <> 0)""")
 def release_change_set(spark, sf):
     return _published(spark, sf).changes_between("customer", 1, 2, ["c_custkey"]).select("op", "c_custkey")

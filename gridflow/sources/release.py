@@ -1,7 +1,8 @@
 """Versioned datasets: each publication is a folder of Parquet, and one small manifest names the live one.
 
 A publication is written beside the live version, counted, and made live by replacing the manifest.  Rolling back is
-pointing to an older version.  All paths go through Spark's Hadoop file system, so any store that Spark reads will do.
+pointing to an older version.  A dataset that is published by partitions is kept by partitions (see `partitions`): only those
+that a publication touches are read, compared and written.  Beside a version that has a key lie its hashes (see `hashes`).  All paths go through Spark's Hadoop file system, so any store that Spark reads will do.
 
 Two publications at once: the second to write the next manifest is refused, since a file is created without overwriting.
 HDFS and local file systems do that in one step; on an object store without such a step the writers need a lock of their
@@ -10,16 +11,20 @@ own.  A refused publication deletes what it has written.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import changes
+from . import hashes, partitions
+from .partitions import Layout
 
 
 class ReleaseError(RuntimeError):
@@ -63,17 +68,37 @@ class Releases:
             stream = self.fs.create(self._path(f"manifest-{new['id']:012d}.json"), False)
         except Exception as e:
             raise ReleaseError("LIVE_CHANGED: another publication came first") from e
-        stream.write(bytearray(json.dumps(new).encode()))
-        stream.close()
+        try:
+            stream.write(bytearray(json.dumps(new).encode()))
+            stream.close()
+        except Exception:  # the file is ours and names versions that are about to go
+            self.fs.delete(self._path(f"manifest-{new['id']:012d}.json"), False)
+            raise
         return new
 
+    def _layout(self, dataset: str, version: str | None) -> Layout | None:
+        """How a version is partitioned; None if it is not."""
+        text = self._text(f"_layouts/{dataset}/{version}.json") if version else None
+        return Layout.of(text) if text else None
+
+    def _keep(self, dataset: str, version: str, layout: Layout) -> None:
+        stream = self.fs.create(self._path("_layouts", dataset, f"{version}.json"), False)
+        stream.write(bytearray(layout.text().encode()))
+        stream.close()
+
     def read(self, dataset: str, version: str | None = None) -> DataFrame | None:
         """The live rows of a dataset, or those of a version; None if there are none yet."""
         own = version or self.manifest()["live"].get(dataset)
-        return self.spark.read.parquet(f"{self.root}/{dataset}/{own}") if own else None
+        if own is None:
+            return None
+        layout = self._layout(dataset, own)
+        return self.spark.read.parquet(f"{self.root}/{dataset}/{own}") if layout is None else partitions.read(self.spark, f"{self.root}/{dataset}", layout)
 
     def _sum(self, df: DataFrame) -> list[str]:
-        return [str(x) for x in changes.checksum(df.select(*sorted(df.columns))).first()]
+        return [str(x) for x in self._sums(df)]
+
+    def _sums(self, df: DataFrame) -> tuple[int, Decimal]:
+        return tuple(changes.checksum(df.select(*[f"`{c}`" for c in sorted(df.columns)])).first())
 
     def drifted(self, dataset: str) -> bool:
         """Whether the live rows are no longer those that were published."""
@@ -96,42 +121,89 @@ class Releases:
         live, report, sums, written, kept = dict(start["live"]), {}, {}, [], {}
         try:
             for name, df in outputs.items():
-                version = uuid.uuid4().hex
-                before = self.read(name, live.get(name))
-                fields = (partitions or {}).get(name)
-                if fields and not df.where(" or ".join(f"`{f}` is null" for f in fields)).isEmpty():
-                    raise ReleaseError(f"PARTITION_NULL: {name}")
+                version, fields, key = uuid.uuid4().hex, (partitions or {}).get(name), keys.get(name)
                 target = (targets or {}).get(name)
                 wrong = changes.schema_problems(df, target) if target is not None else []
                 if wrong:
                     raise ReleaseError(f"GUARDS: {name}: SCHEMA: {'; '.join(wrong)}")
-                written.append(f"{name}/{version}")
-                (changes.replace_partitions(before, df, fields) if fields and before is not None else df).write.parquet(f"{self.root}/{name}/{version}")
-                new = self.read(name, version)
-                n, key = new.count(), keys.get(name)
                 bad = changes.bad_values(df, target, (lengths or {}).get(name)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] if target is not None else 0
-                if key:
-                    bad += sum(r["n"] for r in changes.duplicate_keys(new, key).collect())  # one row at most
-                moved = drift == "REJECT" and not fields and before is not None and self.drifted(name)
-                if before is None:
-                    counts = {"created": n, "updated": 0, "deleted": 0}
-                    failed = changes.guards(0, n, n, 0, 0, limits, errors, bad)
-                else:
-                    counts = changes.summary(changes.keyed(before, new, key) if key else changes.keyless(before, new)).first().asDict()
-                    failed = changes.guards(before.count(), n, **counts, limits=limits, errors=errors, bad_values=bad, drift=moved)
+                make = self._partitioned if fields else self._whole
+                rows, n, counts, again, sums[name] = make(name, version, df, live.get(name), key, fields, written)
+                moved = drift == "REJECT" and not fields and name in live and self.drifted(name)
+                failed = changes.guards(rows, n, **counts, limits=limits, errors=errors, bad_values=bad + again, drift=moved)
                 if [g for g in failed if not force or g in changes.NEVER_FORCED]:
                     raise ReleaseError(f"GUARDS: {name}: {', '.join(failed)}")
                 if fields:
-                    written.append(f"{name}/{version}-touched")
-                    changes.touched(df, fields).write.parquet(f"{self.root}/{name}/{version}-touched")
                     kept[name] = {"fields": list(fields), "before": live.get(name)}
-                live[name], report[name], sums[name] = version, counts, self._sum(new)
+                live[name], report[name] = version, counts
             return {"changes": report, "manifest": self._commit(start["id"], live, note, sums=sums, partitions=kept)}
         except Exception:
+            named = {v for h in self.manifest()["history"] for v in h["live"].values()}
             for path in written:
-                self.fs.delete(self._path(path), True)
+                if not any(v in path for v in named):
+                    self.fs.delete(self._path(path), True)
             raise
 
+    def _whole(self, name: str, version: str, df: DataFrame, live: str | None, key: Sequence[str] | None, fields: None, written: list[str]) -> tuple:
+        """Write all rows; live rows, new rows, counts of changes, rows beyond the first of their key, and sums."""
+        written.append(f"{name}/{version}")
+        df.write.parquet(f"{self.root}/{name}/{version}")
+        new, before = self.read(name, version), self.read(name, live)
+        n, total = self._sums(new)
+        again = 0
+        if key:
+            written.append(f"_hashes/{name}/{version}")
+            mine = hashes.write(new, key, f"{self.root}/_hashes/{name}/{version}")
+            again = hashes.repeated(mine)
+        if before is None:
+            return 0, n, {"created": n, "updated": 0, "deleted": 0}, again, [str(n), str(total)]
+        theirs = hashes.read(self.spark, f"{self.root}/_hashes/{name}/{live}") if key else None
+        if theirs is not None and hashes.fit(theirs, mine):
+            found = hashes.changed(theirs, mine)
+        else:
+            found = changes.keyed(before, new, key) if key else changes.keyless(before, new)
+        return before.count(), n, changes.summary(found).first().asDict(), again, [str(n), str(total)]
+
+    def _partitioned(self, name: str, version: str, df: DataFrame, live: str | None, key: Sequence[str] | None, fields: Sequence[str], written: list[str]) -> tuple:
+        """The same for the partitions that the rows touch; the others are neither read nor written, but for keys that do not hold the partition."""
+        base, fields = f"{self.root}/{name}", list(fields)
+        void = [F.col(f"`{f}`").isNull() | (F.col(f"`{f}`").cast("string") == "") for f in fields]
+        if not df.where(F.exists(F.array(*void), lambda x: x)).isEmpty():
+            raise ReleaseError(f"PARTITION_NULL: {name}")
+        old = self._layout(name, live)
+        if live is not None and old is None:
+            old = self._split(name, live, fields)
+        if old is None:
+            old = Layout(tuple(fields), df.schema.json())
+        if list(old.fields) != fields:
+            raise ReleaseError(f"PARTITION_FIELDS: {name} is kept by {', '.join(old.fields)}")
+        written.append(f"{name}/{partitions.RELEASE}={version}")
+        partitions.write(df.select(*[f"`{c}`" for c in T.StructType.fromJson(json.loads(old.schema)).names]), base, version, fields)
+        own = partitions.written(self.fs, self._path(name, f"{partitions.RELEASE}={version}"), len(fields))
+        layout = dataclasses.replace(old, folders=old.folders | dict.fromkeys(own, version), own=tuple(own))
+        before, new = partitions.read(self.spark, base, old, set(own)), partitions.read(self.spark, base, layout, set(own))
+        layout = layout.with_sums(self._sums(before), self._sums(new))
+        again = 0
+        if key:
+            again = sum(r["n"] for r in changes.duplicate_keys(new, key).collect())  # one row at most
+            if not set(fields) <= set(key):
+                others = partitions.read(self.spark, base, old, set(old.folders) - set(own)).select(*key)
+                again += changes.sharing_keys(new.select(*key), others, key)
+        counts = changes.summary(changes.keyed(before, new, key) if key else changes.keyless(before, new)).first().asDict()
+        written.append(f"_layouts/{name}/{version}.json")
+        self._keep(name, version, layout)
+        return old.rows, layout.rows, counts, again, [str(layout.rows), layout.total]
+
+    def _split(self, name: str, live: str, fields: Sequence[str]) -> Layout:
+        """The layout of a version that was written whole: its rows are written once more, by partition."""
+        rows, base, version = self.read(name, live), f"{self.root}/{name}", f"{live}-{uuid.uuid4().hex[:8]}"
+        partitions.write(rows, base, version, fields)
+        own = partitions.written(self.fs, self._path(name, f"{partitions.RELEASE}={version}"), len(fields))
+        n, total = self._sums(rows)
+        layout = Layout(tuple(fields), rows.schema.json(), dict.fromkeys(own, version), tuple(own), n, str(total))
+        self._keep(name, live, layout)
+        return layout
+
     def take_over(self, dataset: str, df: DataFrame) -> dict:
         """The rows that a dataset had before it was published here, as its baseline, which retention never deletes."""
         start = self.manifest()
@@ -147,16 +219,18 @@ class Releases:
         own = next((h for h in now["history"] if h["id"] == publication and dataset in h.get("partitions", {})), None)
         if own is None or own["partitions"][dataset]["before"] is None:
             raise ReleaseError(f"NO_PARTITIONS: {publication}")
-        fields = own["partitions"][dataset]["fields"]
-        parts = self.read(dataset, own["live"][dataset] + "-touched")
+        then, past, here = (self._layout(dataset, v) for v in (own["live"][dataset], own["partitions"][dataset]["before"], now["live"][dataset]))
         for h in now["history"]:
             if h["id"] > publication and h["live"].get(dataset) != own["live"][dataset]:
-                again = dataset in h.get("partitions", {}) and h["partitions"][dataset]["fields"] == fields
-                if not again or not self.read(dataset, h["live"][dataset] + "-touched").join(parts, fields, "left_semi").isEmpty():
+                later = self._layout(dataset, h["live"].get(dataset))
+                if later is None or later.fields != then.fields or set(later.own) & set(then.own):
                     raise ReleaseError(f"PARTITION_TOUCHED_LATER: by {h['id']}")
-        version = uuid.uuid4().hex
-        changes.undone(self.read(dataset), self.read(dataset, own["partitions"][dataset]["before"]), fields, parts).write.parquet(f"{self.root}/{dataset}/{version}")
-        return self._commit(now["id"], now["live"] | {dataset: version}, f"undo partitions of {publication}", sums={dataset: self._sum(self.read(dataset, version))})
+        version, base, touched = uuid.uuid4().hex, f"{self.root}/{dataset}", set(then.own)
+        folders = {p: v for p, v in here.folders.items() if p not in touched} | {p: past.folders[p] for p in then.own if p in past.folders}
+        layout = dataclasses.replace(here, folders=folders, own=then.own)
+        layout = layout.with_sums(self._sums(partitions.read(self.spark, base, here, touched)), self._sums(partitions.read(self.spark, base, layout, touched)))
+        self._keep(dataset, version, layout)
+        return self._commit(now["id"], now["live"] | {dataset: version}, f"undo partitions of {publication}", sums={dataset: [str(layout.rows), layout.total]})
 
     def forecast(self, dataset: str, df: DataFrame, key: Sequence[str], limits: changes.Limits = changes.Limits()) -> dict:
         """Counts and failing guards of a publication that is not made."""
@@ -201,23 +275,36 @@ class Releases:
         return self._commit(now["id"] if expected is None else expected, past["live"], f"roll back to {to}")
 
     def changes_between(self, dataset: str, old: int, new: int, key: Sequence[str]) -> DataFrame:
-        """The change set of a dataset between two publications, computed when asked for."""
+        """The change set of a dataset between two publications, computed when asked for.
+
+        Where both have hashes and few rows differ, the keys that differ come from them, and go to both sides' rows.
+        """
         by = {h["id"]: h["live"].get(dataset) for h in self.manifest()["history"]}
-        return changes.keyed(self.read(dataset, by[old]), self.read(dataset, by[new]), key)
+        before, after = self.read(dataset, by[old]), self.read(dataset, by[new])
+        ours, theirs = (hashes.read(self.spark, f"{self.root}/_hashes/{dataset}/{by[i]}") for i in (old, new))
+        if ours is not None and theirs is not None and hashes.fit(ours, theirs) and hashes.keys(ours) == list(key):
+            found = hashes.changed(ours, theirs)
+            if found.count() <= hashes.FEW:
+                return changes.keyed(hashes.having(before, found, key), hashes.having(after, found, key), key)
+        return changes.keyed(before, after, key)
 
     def drop_old(self, keep: int, days: float = 1.0) -> list[str]:
         """Delete versions that none of the newest `keep` publications names, nor the live one, nor a baseline, and that are `days` old.
 
-        The age spares what another publication is writing just now.
+        The age spares what another publication is writing just now; a partition's folder stays while a layout that is kept names it.
         """
         now = self.manifest()
         held = {(d, v) for h in now["history"] if h in now["history"][-keep:] or h.get("baseline") for d, v in h["live"].items()} | set(now["live"].items())
         before = (time.time() - days * 86_400) * 1000
         gone = []
         for d in {d for h in now["history"] for d in h["live"]}:
-            for status in self.fs.listStatus(self._path(d)):
-                v = status.getPath().getName()
-                if (d, v.removesuffix("-touched")) not in held and status.getModificationTime() <= before:
-                    self.fs.delete(status.getPath(), True)
-                    gone.append(f"{d}/{v}")
+            versions = {v for name, v in held if name == d}
+            layouts = [x for x in (self._layout(d, v) for v in versions) if x is not None]
+            folders = {f"{partitions.RELEASE}={v}" for x in layouts for v in x.folders.values()}
+            for place, kept in ((d, versions | folders), (f"_layouts/{d}", {f"{v}.json" for v in versions}), (f"_hashes/{d}", versions)):
+                for status in self.fs.listStatus(self._path(place)) if self.fs.exists(self._path(place)) else ():
+                    v = status.getPath().getName()
+                    if v not in kept and status.getModificationTime() <= before:
+                        self.fs.delete(status.getPath(), True)
+                        gone.append(f"{place}/{v}")
         return gone
