@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import key_columns
@@ -12,6 +13,8 @@ from .rows import Flow, issues
 
 #: A side is broadcast only below this many rows (counted), each of bounded width.
 BROADCAST_ROWS = 100_000
+#: A key with more left rows than this, and more than a task's fair share, is split; frequent keys that a sketch tells apart.
+HOT_ROWS, HOT_KEYS = 1_000_000, 200
 
 
 class JoinError(ValueError):
@@ -59,7 +62,8 @@ def check(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: S
     rows = found["rows"]
     limit = max_rows if cardinality == "MANY_TO_MANY" else min(max_rows, int(max(found["left"], 1) * amplification))
     if rows > limit:
-        raise JoinError("JOIN_EXPLOSION", f"{rows} rows, at most {limit}")
+        worst = a.join(b, names).withColumn("n", F.col("nl") * F.col("nr")).orderBy(F.desc("n"), *names).limit(10).collect()
+        raise JoinError("JOIN_EXPLOSION", f"{rows} rows, at most {limit}; most from " + ", ".join(f"{'/'.join(r[n] for n in names)} ({r['n']})" for r in worst))
 
 
 def column_plan(
@@ -93,13 +97,42 @@ def column_plan(
     return out
 
 
+def hot_keys(df: DataFrame, names: Sequence[str], hot_rows: int = HOT_ROWS) -> list[tuple[str, int]]:
+    """(key text, parts) of the keys that deserve several tasks, from one mergeable sketch of frequent keys."""
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = df.select(_text(names).alias("k")).agg(F.expr(f"approx_top_k(k, {HOT_KEYS}, {20 * HOT_KEYS})").alias("top"), F.count("*").alias("n")).first()
+    bar = max(hot_rows, found["n"] / tasks)
+    return [(r["item"], min(tasks, int(-(-r["count"] // bar)) + 1)) for r in found["top"] or () if r["item"] is not None and r["count"] > bar]
+
+
+def _text(names: Sequence[str]) -> Column:
+    return F.concat_ws("\u0001", *[F.col(n) for n in names])
+
+
+def spread(left: DataFrame, right: DataFrame, names: Sequence[str], hot: Sequence[tuple[str, int]]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with `_salt`, by which the left rows of a hot key are dealt out, and the columns to join on; right rows of a hot key are there once for each part.
+
+    Left rows that are equal in all columns stay together.
+    """
+    if not hot:
+        return left, right, list(names)
+    table = F.broadcast(left.sparkSession.createDataFrame(hot, "_hot string, _parts int"))  # HOT_KEYS rows at most
+    l = left.join(table, _text(names) == F.col("_hot"), "left")
+    l = l.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("_parts")).cast("int"), F.lit(0))).drop("_hot", "_parts")
+    r = right.join(table, _text(names) == F.col("_hot"), "left")
+    r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts")
+    return l, r, [*names, "_salt"]
+
+
 def join(
     left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], how: str = "INNER", unmatched: str = "SIDE_OUTPUT", prefix: str = "right",
     cardinality: str = "MANY_TO_ONE", max_rows: int = 1_000_000_000, amplification: float = 1.0, checked: bool = True, node: str = "join",
-    select: Sequence[str] | None = None, aliases: Mapping[str, str] | None = None, merge: bool = True,
+    select: Sequence[str] | None = None, aliases: Mapping[str, str] | None = None, merge: bool = True, hot_rows: int | None = None,
 ) -> Flow:
-    """Equi-join on normalised keys; null keys never meet.
+    """Equi-join on normalised keys; null keys never meet, and rows that have one are not sent anywhere.
 
+    hot_rows: left keys with more rows are split over several tasks (see `hot_keys`, which reads the left keys once more).
     INNER drops left rows without a partner.  LEFT with SIDE_OUTPUT puts them out on the side only; with KEEP_NULLS
     they stay in the main output with nulls.  select, aliases, merge and prefix: see `column_plan`.
     """
@@ -112,11 +145,19 @@ def join(
     r, _ = keyed(right, right_on)
     plan = column_plan(left.columns, right.columns, left_on, right_on, prefix, select, aliases, merge)
     r = r.dropna(subset=names).select(*names, *[F.col(f"`{f}`").alias(f"_r{i}") for i, (side, f, _) in enumerate(plan) if side == "right"])
-    out = l.join(r, names, "left" if keep else "inner").select(*[(F.col(f"`{f}`") if side == "left" else F.col(f"_r{i}")).alias(n) for i, (side, f, n) in enumerate(plan)])
+    void = reduce(lambda x, y: x | y, [F.col(n).isNull() for n in names])
+    whole, on = l.where(~void), list(names)
+    if hot_rows is not None:
+        whole, r, on = spread(whole, r, names, hot_keys(whole, names, hot_rows))
+    fields = [(F.col(f"`{f}`") if side == "left" else F.col(f"_r{i}")).alias(n) for i, (side, f, n) in enumerate(plan)]
+    out = whole.join(r, on, "left" if keep else "inner").select(*fields)
+    if keep:
+        blank = {f"_r{i}": F.lit(None).cast(right.schema[f].dataType) for i, (side, f, _) in enumerate(plan) if side == "right"}
+        out = out.union(l.where(void).withColumns(blank).select(*fields))
     if how == "INNER":
         return Flow(out)
-    alone = l.join(r.select(*names), names, "left_anti").select(*left.columns)
-    return Flow(out, None if keep else alone, issues(alone, node, "JOIN_UNMATCHED", "WARN"))
+    alone = whole.join(r.select(*on), on, "left_anti").select(*left.columns).union(l.where(void).select(*left.columns))
+    return Flow(out, None if keep else alone, lambda: issues(alone, node, "JOIN_UNMATCHED", "WARN"))
 
 
 def broadcast_join(left: DataFrame, right: DataFrame, prefix: str = "right") -> DataFrame:
@@ -133,16 +174,24 @@ def lookup(df: DataFrame, dictionary: DataFrame, on: Sequence[str], keys: Sequen
     A repeated dictionary key is fatal.  A row without an entry has nulls (NULL, or WARN with an issue), or is dropped
     with an issue (ERROR).  The dictionary is broadcast only if its counted rows are few.
     """
-    if found := repeated_keys(dictionary, keys, 3).collect():
-        raise JoinError("LOOKUP_KEY_NOT_UNIQUE", str([tuple(r) for r in found]))
+    if again := repeated_keys(dictionary, keys, 3).collect():
+        raise JoinError("LOOKUP_KEY_NOT_UNIQUE", str([tuple(r) for r in again]))
     l, names = keyed(df, on)
     d, _ = keyed(dictionary, keys)
     d = d.dropna(subset=names).select(*names, *[F.col(f"`{f}`") for f in fields])
     if dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         d = F.broadcast(d)
-    alone = l.join(d.select(*names), names, "left_anti").select(*df.columns)
-    out = l.join(d, names, "inner" if missing == "ERROR" else "left").select(*df.columns, *fields)
-    return Flow(out, issues=None if missing == "NULL" else issues(alone, node, "LOOKUP_MISSING", missing))
+    void = reduce(lambda x, y: x | y, [F.col(n).isNull() for n in names])
+    whole, lost = l.where(~void), l.where(void)
+    out = whole.join(d, names, "inner" if missing == "ERROR" else "left").select(*df.columns, *fields)
+    if missing != "ERROR":
+        out = out.union(lost.withColumns({f"_d{i}": F.lit(None).cast(dictionary.schema[f].dataType) for i, f in enumerate(fields)}).select(*df.columns, *[F.col(f"_d{i}").alias(f) for i, f in enumerate(fields)]))
+
+    def found() -> DataFrame:
+        alone = whole.join(d.select(*names), names, "left_anti").select(*df.columns).union(lost.select(*df.columns))
+        return issues(alone, node, "LOOKUP_MISSING", missing)
+
+    return Flow(out, issues=None if missing == "NULL" else found)
 
 
 def reference(df: DataFrame, other: DataFrame, on: str, key: str) -> Flow:

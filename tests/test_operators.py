@@ -216,6 +216,33 @@ def test_hashes_are_compared_without_exchange(spark, tmp_path):
         hashes.FEW = held
 
 
+def test_null_and_hot_keys_are_spread(spark):
+    n = 20_000
+    left = spark.range(n).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise((F.col("id") % 997).cast("string")).alias("k"), "id")
+    right = spark.createDataFrame([("hot", "h")] + [(str(i), f"v{i}") for i in range(0, 997, 2)], "k string, v string")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        get = lambda **more: joins.join(left, right, ["k"], ["k"], "LEFT", "KEEP_NULLS", checked=False, **more).out
+        plain, even = get(), get(hot_rows=500)
+        share = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        assert share(plain) > n / 3 and share(even) < n / 5
+        rows = lambda df: sorted(map(str, df.collect()))
+        want = rows(left.join(right, "k", "left"))
+        assert rows(plain) == rows(even) == want
+        for how in ("INNER", "LEFT"):
+            a, b = (joins.join(left, right, ["k"], ["k"], how, checked=False, hot_rows=h) for h in (None, 500))
+            assert rows(a.out) == rows(b.out) == rows(left.join(right, "k")) and (how == "INNER" or a.reject.count() == b.reject.count() == left.join(right, "k", "left_anti").count())
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    twice = spark.createDataFrame([("a", 1)] * 5 + [("b", 2)] * 2, "k string, x int")
+    with pytest.raises(joins.JoinError, match=r"29 rows, at most 10; most from a \(25\), b \(4\)"):
+        joins.join(twice, twice.withColumnRenamed("x", "y"), ["k"], ["k"], cardinality="MANY_TO_MANY", max_rows=10)
+
+
 def test_source_over_workbooks(spark, tmp_path):
     grid = [["Heroes", None, None, None], ["Id", "Power", "Power", "Born"], [1, 10, "x", 45000], [2, "#N/A", "y", 45001.5], ["# note", None, None, None], [3, None, "z", None], ["Total", 10, None, None], [None] * 4, ["other", None, None, None]]
     workbook(tmp_path / "a.xlsx", grid, hidden=(6,))
