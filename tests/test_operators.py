@@ -426,6 +426,39 @@ def workbook(path, grid, merges=(), hidden=()):
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{lines}</sheetData>{merged}</worksheet>")
 
 
+def large_workbook(path, names=("S1",), broken=(), prefix=""):
+    """Sheets of 60 rows with shared strings, rows without numbers, a merge over many rows and a hidden column."""
+    main = f'xmlns{":" + prefix if prefix else ""}="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    p = prefix + ":" if prefix else ""
+    rows = "".join(f'<{p}row{f" r={chr(34)}{i}{chr(34)}" if i % 7 == 1 else ""}><{p}c t="s"><{p}v>{i % 9}</{p}v></{p}c><{p}c><{p}v>{i}</{p}v></{p}c><{p}c t="s"><{p}f>A1</{p}f><{p}v>10</{p}v></{p}c></{p}row>' for i in range(1, 61))
+    sheet = f'<{p}worksheet {main}><{p}cols><{p}col min="2" max="2" hidden="1"/></{p}cols><{p}sheetData>{rows}</{p}sheetData>' + ("" if prefix else '<mergeCells><mergeCell ref="A5:B40"/></mergeCells>') + f"</{p}worksheet>"
+    own = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {own} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(names))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {own}>" + "".join(f"<si><t>t{i}</t></si>" for i in range(12)) + "</sst>")
+        for i, n in enumerate(names):
+            z.writestr(f"xl/worksheets/s{i}.xml", "no xml <" if n in broken else sheet)
+
+
+def test_workbook_in_parts(spark, tmp_path):
+    large_workbook(tmp_path / "a.xlsx", ("one", "two"))
+    whole = sorted(map(tuple, xlsx.read_cells(spark, f"file://{tmp_path}/a.xlsx").collect()), key=repr)
+    content = (tmp_path / "a.xlsx").read_bytes()
+    for size in (1, 300, 2000):
+        parts = list(xlsx.parts_of("a.xlsx", content, size=size))
+        assert len(parts) > 2 if size < 2000 else len(parts) >= 2
+        assert sorted(map(tuple, xlsx.read_cells(spark, f"file://{tmp_path}/a.xlsx", part_bytes=size).collect()), key=repr) == whole
+    by = {(c[1], c[3], c[4]): (c[5], c[7]) for c in whole}
+    assert by["one", 1, 1] == ("t1", 0) and by["two", 60, 2] == ("60", xlsx.HIDDEN_COL) and by["one", 9, 3] == ("t10", 0) and by["one", 40, 2][0] == by["one", 5, 1][0] == "t5"
+    large_workbook(tmp_path / "p.xlsx", prefix="x")
+    assert {(c[3], c[4]): (c[5], c[7]) for c in map(tuple, xlsx.read_cells(spark, f"file://{tmp_path}/p.xlsx", part_bytes=300).collect())}[60, 2] == ("60", xlsx.HIDDEN_COL)
+    large_workbook(tmp_path / "b.xlsx", [f"n{i}" for i in range(8)], broken=[f"n{i}" for i in range(8) if i != 5])
+    got = xlsx.read_cells(spark, f"file://{tmp_path}/b.xlsx", sheets="n5")  # the others could not be read
+    assert {r["sheet"] for r in got.collect()} == {"n5"} and got.count() == len(whole) // 2
+    assert xlsx.read_cells(spark, f"file://{tmp_path}/b.xlsx", sheets="m.*").count() == 0
+
+
 def test_workbook_and_shapes(spark, tmp_path):
     grid = [["title", None, None], ["job", "Lv1", "Lv2"], ["war", 100, 120], ["mage", 60, None], [None, None, None], ["Hero: H1", None, None], ["hp", 5, None], ["Hero: H2", None, None], ["hp", 6, None], ["#N/A", None, None]]
     workbook(tmp_path / "a.xlsx", grid, merges=("A1:B1",), hidden=(4,))
