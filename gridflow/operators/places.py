@@ -21,6 +21,7 @@ from .sheets import Rect, matching
 
 #: Rows of a sheet that are looked at together for gaps; windows run over such buckets, not over rows.
 BUCKET = 4096
+PLACED = CELL[:-1] + ",r:int,c:int>"
 RECT = "struct<top:int,left:int,bottom:int,right:int>"
 
 
@@ -99,13 +100,13 @@ class Region:
 
 
 def lines(cells: DataFrame) -> DataFrame:
-    """sheet, row, line: a map from col to cell (value, kind, flags); of cells in one place the greatest.
+    """sheet, row, line: a map from col to cell (value, kind, flags, and its place r and c); of cells in one place the greatest.
 
     `row` is taken from an aggregate, so no filter on it reaches below the exchange and makes it another one.
     """
     more = [c for c in ("kind", "flags") if c not in cells.columns]
     cells = cells.withColumns({c: F.lit("s") if c == "kind" else F.lit(0) for c in more}) if more else cells
-    cell = F.struct("value", "kind", F.col("flags").cast("int").alias("flags")).cast(CELL)
+    cell = F.struct("value", "kind", F.col("flags").cast("int").alias("flags"), F.col("row").alias("r"), F.col("col").alias("c")).cast(PLACED)
     own = cells.select("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), cell.alias("cell")).where("sheet is not null and row is not null and col is not null")
     # a line's cells are parsed and matched, so there are as many tasks as the session wants, however few the bytes
     one = own.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sheet", "row").groupBy("sheet", "row", "col").agg(F.max("cell").alias("cell"))

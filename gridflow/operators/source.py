@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
+from . import lineage as origin
 from . import sheets
-from .binding import Spec, coerce_rows, lone, matches, spec_problems
-from .places import RECT, Region, at, clash, filled_cols, lines, meet, places, text_of
+from .binding import Spec, coerce_rows, matches, spec_problems
+from .places import PLACED, RECT, Region, at, clash, filled_cols, lines, meet, places, text_of
 from .rows import Flow, issues
 from .sheets import Rect, letters, matching
 
@@ -171,6 +172,12 @@ class _Cut:
         return turned.withColumnRenamed("col", "row").join(self.rect if beside is None else self.rect.join(beside, "sheet"), "sheet")
 
 
+def lone(value: Column) -> Column:
+    """A text as a cell without a place."""
+    none = F.lit(None).cast("int")
+    return F.struct(value.cast("string").alias("value"), F.lit("s").alias("kind"), F.lit(0).alias("flags"), none.alias("r"), none.alias("c")).cast(PLACED)
+
+
 def named(spec: Spec, name: str) -> bool:
     """Whether a fixed name is a spec's header."""
     s = spec.header
@@ -233,7 +240,7 @@ def _detail(cut: _Cut, r: Region) -> _Shaped:
     made = F.struct(
         *[at("line", F.col(f"s{i}")).alias(f"c{i}") for i in range(len(specs))],
         F.size(filled_cols()).alias("_filled"), F.exists(cells, lambda c: c["flags"].bitwiseAND(HIDDEN_ROW) != 0).alias("_hidden"),
-        F.coalesce(first["flags"].bitwiseAND(STRIKE) != 0, F.lit(False)).alias("_struck"), F.coalesce(first["flags"].bitwiseAND(BOLD) != 0, F.lit(False)).alias("_bold"), F.coalesce(text_of(first), F.lit("")).alias("_lead"),
+        F.coalesce(first["flags"].bitwiseAND(STRIKE) != 0, F.lit(False)).alias("_struck"), F.coalesce(first["flags"].bitwiseAND(BOLD) != 0, F.lit(False)).alias("_bold"), F.coalesce(text_of(first), F.lit("")).alias("_lead"), first.alias("_first"),
     )
     # a generator's columns are made once a line, whatever is asked of them later
     wide = cut.view(bound).where(below).select("sheet", "row", *[f"s{i}" for i in range(len(specs))], F.inline(F.array(made))).where("_filled > 0")
@@ -250,8 +257,8 @@ def _detail(cut: _Cut, r: Region) -> _Shaped:
         title = {"FIRST_CELL_ONLY": alone, "REGEX": (lead != "") & lead.rlike(whole), "BOLD": alone & F.col("_bold")}[r.group_by]
         value = F.when(lead.rlike(whole), F.regexp_extract(lead, whole, 1 if re.compile(r.group_pattern).groups else 0)).otherwise(lead) if r.group_pattern else lead
         down = Window.partitionBy("sheet").orderBy("row")
-        wide = wide.withColumn("_title", title).withColumn("_group", F.last(F.when(F.col("_title"), value), ignorenulls=True).over(down)).where("not _title")
-        wide = wide.withColumns({f"c{i}": lone(F.col("_group")) for i in titled})
+        wide = wide.withColumn("_title", title).withColumn("_group", F.last(F.when(F.col("_title"), F.col("_first").withField("value", value).withField("kind", F.lit("s"))), ignorenulls=True).over(down)).where("not _title")
+        wide = wide.withColumns({f"c{i}": F.col("_group") for i in titled})
     if not r.turned:  # rows of the sheet are what is hidden or struck
         if r.hidden == "SKIP":
             wide = wide.where("not _hidden")
@@ -374,7 +381,7 @@ def _repeating(cut: _Cut, r: Region) -> _Shaped:
 SHAPES = {"DETAIL": _detail, "GROUPED_DETAIL": _detail, "SUMMARY": _detail, "KEY_VALUE": _key_values, "FORM": _form, "MATRIX": _matrix, "REPEATING_BLOCK": _repeating}
 
 
-def _flow(own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region], base_1904: bool) -> Flow:
+def _flow(own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region], base_1904: bool, lineage: bool = False) -> Flow:
     """The rows, failing cells and issues of the region of number i."""
     r = regions[i]
     if problems := spec_problems(r.specs):
@@ -384,7 +391,14 @@ def _flow(own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region],
     shaped = SHAPES[kind](_Cut(own, placed, i, regions, more), r)
     cells = {s.field: F.col(f"c{k}") for k, s in enumerate(shaped.specs)}
     bound = {s.field: shaped.bound[k] for k, s in enumerate(shaped.specs) if k in shaped.bound}
-    good, bad = coerce_rows(shaped.rows, cells, shaped.specs, shaped.keep, bound, base_1904)
+    rows, keep = shaped.rows, shaped.keep
+    if lineage:
+        each = [F.when(c["r"].isNotNull(), F.struct(F.lit(f).alias("key"), F.array(F.concat("sheet", F.lit("!"), letters(c["c"]), c["r"])).alias("value"))) for f, c in cells.items()]
+        rid = F.concat_ws("#", F.concat_ws("!", "sheet", "row"), *[c for c in keep if c == "_block"])
+        rows = rows.withColumns({origin.RID: rid, origin.CELLS: F.map_from_entries(F.array_compact(F.array(*each))) if each else F.create_map().cast(origin.TYPE)})
+        keep = (*keep, origin.RID, origin.CELLS)
+    good, bad = coerce_rows(rows, cells, shaped.specs, keep, bound, base_1904)
+    bad = bad.drop(origin.CELLS)
 
     def failed() -> DataFrame:
         each = bad.groupBy("field", "code").agg(F.count("*").alias("n"))
@@ -393,19 +407,19 @@ def _flow(own: DataFrame, placed: DataFrame, i: int, regions: Sequence[Region],
     return Flow(good, bad, lambda: _all([*shaped.found, failed]))
 
 
-def region_rows(cells: DataFrame, region: Region, base_1904: bool = False) -> Flow:
+def region_rows(cells: DataFrame, region: Region, base_1904: bool = False, lineage: bool = False) -> Flow:
     """sheet, row and the specs' fields of a region's rows; reject: the cells that fail; issues by code.
 
     A required spec without a header is one issue a sheet, and its rows have the default; a row with a failing cell is dropped.
-    Shapes that give one row take the region's first row as `row`; blocks have their ordinal in _block.
+    Shapes that give one row take the region's first row as `row`; blocks have their ordinal in _block.  lineage: see `lineage`.
     """
     own = lines(cells)
     placed = places(own, [region])
-    flow = _flow(own, placed, 0, [region], base_1904)
+    flow = _flow(own, placed, 0, [region], base_1904, lineage)
     return Flow(flow.out, flow.reject, lambda: _all([lambda: place_issues(placed, [region]), lambda: flow.issues]))
 
 
-def source(cells: DataFrame, regions: Sequence[Region], how: str = "REGEX", what: str | int = ".*", as_column: str | None = "_sheet", base_1904: bool = False) -> dict[str, Flow]:
+def source(cells: DataFrame, regions: Sequence[Region], how: str = "REGEX", what: str | int = ".*", as_column: str | None = "_sheet", base_1904: bool = False, lineage: bool = False) -> dict[str, Flow]:
     """A flow for each region that is not ignored, over all sheets that are picked; the sheet's name is a field, or left out.
 
     Regions that meet though neither excludes the other have no rows in that sheet.
@@ -416,7 +430,7 @@ def source(cells: DataFrame, regions: Sequence[Region], how: str = "REGEX", what
     apart = placed.withColumns({f"p{i}": F.when(~bad[i], F.col(f"p{i}")).cast(RECT) for i in bad})
 
     def one(i: int, r: Region) -> Flow:
-        flow = _flow(own, apart, i, regions, base_1904)
+        flow = _flow(own, apart, i, regions, base_1904, lineage)
         rows = flow.out.withColumnRenamed("sheet", as_column) if as_column else flow.out.drop("sheet")
         return Flow(rows, flow.reject, lambda: _all([lambda: place_issues(placed, regions, whole=True).where(F.col("node") == r.id), lambda: flow.issues]))
 

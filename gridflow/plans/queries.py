@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import convert, scalars
 from ..functions.text import key_norm, norm_text, norm_value
-from ..operators import binding, changes, joins, pivot, rows, sheets, source, validate
+from ..operators import binding, changes, joins, lineage, pivot, rows, sheets, source, validate
 from ..sources.release import Releases
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -648,13 +648,32 @@ def source_overlap_issues(spark, sf):
     return blocks.unionByName(regions)
 
 
+_LETTERS = "CASE WHEN c > 702 THEN chr((65 + (c - 703) // 676 % 26)::INT) ELSE '' END || CASE WHEN c > 26 THEN chr((65 + (c - 27) // 26 % 26)::INT) ELSE '' END || chr((65 + (c - 1) % 26)::INT)"
+
+
 @query("""SELECT 'nation ' || s_nationkey AS sheet, (s_suppkey + 2)::INT AS row, s_suppkey AS id, s_name AS name, s_acctbal::DOUBLE AS balance FROM supplier WHERE s_suppkey % 6 <> 0""")
 def source_columns_as_rows(spark, sf):
+    return source.region_rows(*_turned(spark, sf)).out
+
+
+def _turned(spark, sf):
+    """Cells of suppliers, a column each, and their region."""
     s, k, n = read(spark, sf, "supplier"), F.col("s_suppkey"), F.lit
     lead = F.when(k % 6 == 0, F.concat(n("# "), k)).otherwise(k.cast("string"))
     cells = _cells(s, F.concat(n("nation "), "s_nationkey"), [(n(2), k + 2, lead), (n(3), k + 2, F.col("s_name")), (n(4), k + 2, F.col("s_acctbal")), (n(2), n(1), n("Id")), (n(3), n(1), n("Name")), (n(4), n(1), n("Balance"))])
     own = source.Region("t", sheets.Rect(2, 1, 4, 9), cols="SHEET_END", orientation="COLUMN", comment="#", specs=(binding.Spec("id", "Id", "long"), binding.Spec("name", "Name"), binding.Spec("balance", "Balance", "float")))
-    return source.region_rows(cells, own).out
+    return cells, own
+
+
+@query(f"""{_BOOK_SQL}, g AS ({_GOOD_SQL}), j AS (SELECT g.*, s.s_name, s.s_suppkey + 2 AS c, 'nation ' || s_nationkey AS nation, right(g.sheet, 1)::INT % 2 = 0 AS even FROM g JOIN supplier s ON g.part = s.s_suppkey AND s.s_suppkey % 6 <> 0)
+SELECT sheet || '!' || row || '+' || nation || '!' || c AS rid, price * size AS total, sheet || '!' || CASE WHEN even THEN 'A' ELSE 'C' END || row || ',' || sheet || '!B' || row AS total_cells,
+s_name AS name, nation || '!' || {_LETTERS} || 3 AS name_cells, CASE WHEN even THEN '' ELSE sheet || '!D' || row END AS kind_cells FROM j""")
+def lineage_join_derive(spark, sf):
+    parts = lineage.derive(source.region_rows(_book(spark, sf), _PARTS, lineage=True).out, {"total": F.col("price") * F.col("size")}, uses={"total": ["price", "size"]}).out
+    suppliers = source.region_rows(*_turned(spark, sf), lineage=True).out.drop("sheet", "row")
+    both = lineage.join(parts, suppliers, ["part"], ["id"], aliases={"right.name": "supplier"}).out
+    cells = lambda f: F.array_join(lineage.of(f), ",")
+    return both.select(F.col("_rid").alias("rid"), "total", cells("total").alias("total_cells"), F.col("supplier").alias("name"), cells("supplier").alias("name_cells"), cells("kind").alias("kind_cells"))
 
 
 @query(f"""{_BOOK_SQL} SELECT s.sheet, (4 + i)::INT AS row, 1 AS col, CASE WHEN p.part IS NULL THEN NULL WHEN p.even THEN format('{{:,.2f}}', p.p_retailprice::DOUBLE) ELSE p.part::VARCHAR END AS value

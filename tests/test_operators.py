@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gridflow.functions import convert, scalars
 from gridflow.functions.text import norm_text
-from gridflow.operators import binding, changes, joins, pivot, places, rows, sheets, source, validate
+from gridflow.operators import binding, changes, joins, lineage, pivot, places, rows, sheets, source, validate
 from gridflow.sources import hashes, xlsx
 from gridflow.sources.release import ReleaseError, Releases
 
@@ -216,6 +216,24 @@ def test_hashes_are_compared_without_exchange(spark, tmp_path):
         hashes.FEW = held
 
 
+def test_lineage_through_derive_join_and_union(spark):
+    cells = grid_cells(spark, [["id", "a", "b"], [1, 10, 20], [2, 5, None]], [["id", "n"], [1, "x"], [3, "y"]])
+    one, two = (source.region_rows(cells.where(f"sheet = '{n}'"), source.Region("r", sheets.Rect(1, 1, 3, w), specs=tuple(binding.Spec(f, type=t) for f, t in fields)), lineage=True).out.drop("sheet", "row")
+                for n, w, fields in (("s0", 3, (("id", "int"), ("a", "int"), ("b", "int"))), ("s1", 2, (("id", "int"), ("n", "string")))))
+    assert lineage.used(one, F.col("a") + F.coalesce("b", F.lit(0))) == ["a", "b"]
+    made = lineage.derive(one, {"s": F.col("a") + F.coalesce("b", F.lit(0)), "t": F.col("s") * F.col("a"), "c": F.lit(1)}).out
+    by = {r["id"]: r["_cells"] for r in made.collect()}
+    assert by[1]["s"] == ["s0!B2", "s0!C2"] and by[1]["t"] == ["s0!B2", "s0!C2"] and by[1]["c"] == [] and by[2]["s"] == ["s0!B3"] and "b" not in by[2]
+    flow = lineage.join(made, two, ["id"], ["id"], "LEFT", "KEEP_NULLS", merge=False, prefix="r")
+    got = {r["id"]: r for r in flow.out.collect()}
+    assert got[1]["_rid"] == "s0!2+s1!2" and got[1]["_cells"]["n"] == ["s1!B2"] and got[1]["_cells"]["r_id"] == ["s1!A2"] and got[1]["_cells"]["id"] == ["s0!A2"]
+    assert got[2]["_rid"] == "s0!3" and "n" not in got[2]["_cells"] and flow.issues.first()["n"] == 1
+    both = rows.union_by_name(one, two)
+    assert {r["_rid"] for r in both.collect()} == {"s0!2", "s0!3", "s1!2", "s1!3"}
+    page = changes.page(made, ["id"], 1, 1).collect()
+    assert [(r["_rid"], r["_cells"]["a"]) for r in page] == [("s0!3", ["s0!B3"])]
+
+
 def test_null_and_hot_keys_are_spread(spark):
     n = 20_000
     left = spark.range(n).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise((F.col("id") % 997).cast("string")).alias("k"), "id")
