@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import convert, scalars
 from ..functions.text import key_norm, norm_text, norm_value
-from ..operators import binding, changes, joins, lineage, pivot, rows, sheets, source, validate
+from ..operators import binding, changes, joins, lineage, pivot, profile, rows, sheets, source, validate
 from ..sources.release import Releases
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -716,6 +716,22 @@ def suggest_types(spark, sf):
     return source.typed(cells.withColumn("col", F.col("at") + 1))
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS s, c_nationkey AS n, c_acctbal::DECIMAL(18,2) AS b FROM customer), a AS (SELECT count(*) AS n FROM c),
+f AS (SELECT 1 AS col, 'Customer Key' AS source, 'customerKey' AS field, 'int' AS type, a.n AS filled, NULL::VARCHAR AS "values", true AS is_key FROM a
+UNION ALL SELECT 2, 'Segment', 'segment', 'string', a.n, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT s FROM c)), false FROM a
+UNION ALL SELECT 3, 'Segment_2', 'segment2', 'long', count(*), NULL, false FROM c WHERE k % 2 = 1
+UNION ALL SELECT 4, 'Bal', 'col4', 'float', a.n, NULL, (SELECT count(DISTINCT b) FROM c) = a.n FROM a
+UNION ALL SELECT 5, '_col_E', 'colE', 'string', 0, NULL, false)
+SELECT 'customers' AS sheet, * FROM f""")
+def suggest_fields(spark, sf):
+    c, n, k = read(spark, sf, "customer"), F.lit, F.col("c_custkey")
+    row = k + 3
+    heads = [(n(2), n(1), n("Customer Key")), (n(2), n(2), n("Segment")), (n(2), n(3), n("Segment")), (n(2), n(4), n("Bal"))]
+    cells = _cells(c, n("customers"), [(row, n(1), k), (row, n(2), F.col("c_mktsegment")), (row, n(3), F.when(k % 2 == 1, k + 5_000_000_000)), (row, n(4), F.format_number("c_acctbal", 2))] + heads)
+    found = profile.fields(cells, source.Region("c", sheets.Rect(2, 1, 9, 5), rows="SHEET_END"))
+    return found.withColumn("values", F.array_join("values", ","))
+
+
 @query("""SELECT c_custkey, c_nationkey::VARCHAR || '.0' IS NOT NULL AS fine, c_nationkey::VARCHAR AS nation, 'ID_PRECISION_LOST' AS lost, c_nationkey % 2 = 1 AS flag_true FROM customer""")
 def coerce_text(spark, sf):
     c = read(spark, sf, "customer")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gridflow.functions import convert, scalars
 from gridflow.functions.text import norm_text
-from gridflow.operators import binding, changes, joins, lineage, pivot, places, rows, sheets, source, validate
+from gridflow.operators import binding, changes, joins, lineage, pivot, places, profile, rows, sheets, source, validate
 from gridflow.sources import hashes, xlsx
 from gridflow.sources.release import ReleaseError, Releases
 
@@ -216,6 +216,20 @@ def test_hashes_are_compared_without_exchange(spark, tmp_path):
         hashes.FEW = held
 
 
+def test_profile_of_fields_and_bindings(spark):
+    grid = [["职业 Job", "Yes", "Born on", "x", "x"], *[[f"j{i}", ["true", "false"][i % 2], f"2024-01-0{i + 1}", 2**33 + i, 7] for i in range(6)]]
+    found = {r["col"]: r for r in profile.fields(grid_cells(spark, grid), source.Region("r", sheets.Rect(1, 1, 7, 6))).collect()}
+    assert [(found[c]["source"], found[c]["field"], found[c]["type"], found[c]["is_key"], found[c]["values"]) for c in sorted(found)] == [
+        ("职业 Job", "col1", "string", True, None), ("Yes", "col2", "bool", False, ["false", "true"]), ("Born on", "bornOn", "date", True, None), ("x", "col4", "long", True, None), ("x_2", "col5", "int", False, ["7"]), ("_col_F", "colF", "string", False, None),
+    ]
+    heads = spark.createDataFrame([("s", 1, "Credit Support 2"), ("s", 2, "credit support 2"), ("s", 3, "9 Lives left")], "sheet string, col int, name string")
+    assert [r["field"] for r in profile.field_names(heads).orderBy("col").collect()] == ["creditSupport2", "creditSupport2_2", "livesLeft9"]
+    assert profile.matrix_names("Job \\ Level") == ("Job", "Level") and profile.matrix_names("Currency") == ("item", "Currency") and profile.matrix_names(None) == ("item", "col")
+    own, want = T._parse_datatype_string("a int, b string, d date"), T.StructType([T.StructField("A", T.DoubleType(), False), T.StructField("B", T.IntegerType()), T.StructField("D", T.TimestampType(), False)])
+    assert profile.binding_problems(own, want, {"a": "A", "b": "B", "q": "Z"}, [["D"], ["A"]]) == (["no column Z", "no field q", "b (string) does not fit B (int)", "column D needs a field"], ["a"])
+    assert profile.binding_problems(own, want, {"a": "A", "d": "D"}, [["A"]], ["a"], ["b"]) == (["partition field b is not mapped"], None)
+
+
 def test_lineage_through_derive_join_and_union(spark):
     cells = grid_cells(spark, [["id", "a", "b"], [1, 10, 20], [2, 5, None]], [["id", "n"], [1, "x"], [3, "y"]])
     one, two = (source.region_rows(cells.where(f"sheet = '{n}'"), source.Region("r", sheets.Rect(1, 1, 3, w), specs=tuple(binding.Spec(f, type=t) for f, t in fields)), lineage=True).out.drop("sheet", "row")
