@@ -6,7 +6,7 @@ that a pair at the bar is `STEP` apart in each on average and shifted at random,
 around each decoded one the nearest to the vector are neighbours, and the cheapest combinations of them are probed too.
 Two vectors meet where one probes the other's cell or both lie in one, in any table.  With the settings here a pair of cosine
 0.98 meets with chance 0.99 (measured, see the README), one that is nearer more surely, and random vectors of 64 dimensions
-with chance of less than 1 in a million.
+with chance of some 2.5 in a million.
 
 Vectors that meet are compared, and those that reach the cosine are linked; a cell gives the links of a spanning forest.
 The links' connected classes hold every linked pair, so direct links are counted within classes, each pair once.  Equal
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, hook, materialise, parts
+from .ngrams import mix
 
 #: Tables, eights of coordinates of a cell, probed cells of a table, and the mean distance of a pair at the bar in an eight.
 TABLES, EIGHTS, PROBES, STEP, SEED = 4, 3, 6, 0.283, 12
@@ -126,7 +127,10 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def hashed(nodes: DataFrame, similarity: float) -> DataFrame:
-    """label, dim, cell, node, home: the cells of each node in all tables; home: it lies there."""
+    """cell, node, home: the cells of each node in all tables; home: it lies there.
+
+    A cell is told by 64 bits, in which the label and the dimension have a part; only who shares them goes on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[int, Hashing] = {}
@@ -135,15 +139,13 @@ def hashed(nodes: DataFrame, similarity: float) -> DataFrame:
                 made[dim] = made.get(dim) or Hashing(int(dim), similarity)
                 for a in range(0, len(same), HASHED):
                     part = same.iloc[a : a + HASHED]
+                    names = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), int(dim)) for x in part["label"]], np.uint64)
                     for t, own in enumerate(made[dim].cells(matrix(part["v"]))):
-                        cells = (own + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)).astype(np.int64).ravel()
+                        cells = mix(own + names[:, None] + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)).astype(np.int64).ravel()
                         width = own.shape[1]
-                        yield pd.DataFrame({
-                            "label": np.repeat(part["label"].to_numpy(object), width), "dim": int(dim), "cell": cells,
-                            "node": np.repeat(part["node"].to_numpy(np.int64), width), "home": np.tile(np.arange(width) == 0, len(part)),
-                        })
+                        yield pd.DataFrame({"cell": cells, "node": np.repeat(part["node"].to_numpy(np.int64), width), "home": np.tile(np.arange(width) == 0, len(part))})
 
-    return nodes.select("node", "label", "v").mapInPandas(run, "label string, dim int, cell long, node long, home boolean")
+    return nodes.select("node", "label", "v").mapInPandas(run, "cell long, node long, home boolean")
 
 
 def all_pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +230,8 @@ def links(nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of nodes that meet in a cell and reach the cosine, enough to connect every class of them."""
     rows = materialise(hashed(nodes, similarity), "cells")
     key = ["label", "dim", "cell"]
-    shared = rows.groupBy(*key).agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").select(*key)
-    met = rows.join(shared, key).join(nodes.select("node", "v"), "node")
+    shared = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("cell")
+    met = rows.join(shared, "cell").join(nodes.select("node", "label", F.length("v").alias("dim"), "v"), "node")
 
     def spanning(pdf: pd.DataFrame, size: np.ndarray) -> pd.DataFrame:
         out = []
