@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,9 @@ class Limits:
     allow_empty: bool = False
 
 
+#: Characters that a charset cannot hold; years of a date.
+CHARSETS = {"ascii": r"[^\x00-\x7F]", "latin1": r"[^\x{0}-\x{FF}]", "utf8mb3": r"[\x{10000}-\x{10FFFF}]"}
+YEARS = (1, 9999)
 #: Guards that a forced publication does not pass over.
 NEVER_FORCED = ("ERRORS", "SCHEMA", "VALUES")
 
@@ -134,6 +137,47 @@ def bad_values(df: DataFrame, target: T.StructType, lengths: Mapping[str, int] |
     return found.groupBy("x.field", "x.problem").agg(F.count("*").alias("n"))
 
 
+def _misfits(f: T.StructField, c: Column, length: int | None, charset: str | None) -> list[tuple[Column, str]]:
+    """(condition, problem) of the values of one field."""
+    out = [(c.isNull(), "null")] if not f.nullable else []
+    text = c.cast("string")
+    if length is not None:
+        out.append((F.length(text) > length, "too long"))
+    if charset is not None:
+        out.append((text.rlike(CHARSETS[charset]), f"not in {charset}"))
+    if isinstance(f.dataType, T.IntegralType):
+        number = text.try_cast("decimal(38,10)")
+        out += [(c.isNotNull() & number.isNull(), "no number"), (number != F.floor(number), "not whole"), (number.isNotNull() & (number == F.floor(number)) & number.try_cast(f.dataType).isNull(), "out of range")]
+    elif isinstance(f.dataType, T.DecimalType):
+        digits = F.length(F.ltrim(F.regexp_extract(F.abs(text.try_cast("decimal(38,18)")).cast("string"), r"^\d*", 0), F.lit("0")))
+        out += [(c.isNotNull() & text.try_cast("double").isNull(), "no number"), (digits > f.dataType.precision - f.dataType.scale, "too many digits")]
+    elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        out.append((c.isNotNull() & text.try_cast("double").isNull(), "no number"))
+    elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        out += [(c.isNotNull() & text.try_cast("timestamp").isNull(), "no date"), (~F.year(text.try_cast("timestamp")).between(*YEARS), "date out of range")]
+    return out
+
+
+def offending(df: DataFrame, target: T.StructType, keys: Sequence[str] = (), lengths: Mapping[str, int] | None = None, charsets: Mapping[str, str] | None = None, most: int = 200) -> DataFrame:
+    """field, problem, key, value, cells: the values that do not fit a target, the first `most` of each field by key (a report); `bad_values` counts.
+
+    key: the texts of the key's fields, joined by |; cells: the addresses of a row that carries its lineage, else null.  Each field's rows
+    are cut to `most` before they are sent anywhere.
+    """
+    checks = []
+    for f in target:
+        if f.name in df.columns:
+            c = F.col(f"`{f.name}`")
+            place = F.try_element_at("_cells", F.lit(f.name)) if "_cells" in df.columns else F.lit(None).cast("array<string>")
+            for wrong, problem in _misfits(f, c, (lengths or {}).get(f.name), (charsets or {}).get(f.name)):
+                checks.append(F.when(wrong, F.struct(F.lit(f.name).alias("field"), F.lit(problem).alias("problem"), c.cast("string").alias("value"), place.alias("cells"))))
+    key = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys]) if keys else F.lit("")
+    each = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<struct<field:string,problem:string,value:string,cells:array<string>>>")
+    rows = df.select(key.alias("key"), F.explode(each).alias("x")).select("x.field", "x.problem", "key", "x.value", "x.cells")
+    place = F.row_number().over(Window.partitionBy("field").orderBy("key", "problem", "value"))
+    return rows.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """field, problem, n like `bad_values`: rows beyond the first of their key, null keys included."""
     own, names = key_columns(df, list(keys), "_k")

@@ -952,6 +952,21 @@ def release_partitions_undone(spark, sf):
     return store.read("customer")
 
 
+@query("""WITH t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 7 THEN 'x.5' WHEN c_custkey % 50 = 8 THEN '2.5' WHEN c_custkey % 50 = 9 THEN '3000000000' ELSE c_nationkey::VARCHAR END AS n,
+CASE WHEN c_custkey % 30 = 0 THEN NULL WHEN c_custkey % 30 = 1 THEN c_name || '😀' ELSE c_name END AS name, CASE WHEN c_custkey % 40 = 3 THEN '123456.7' ELSE '12.345' END AS b, CASE WHEN c_custkey % 60 = 5 THEN 'soon' ELSE '2024-02-29' END AS d FROM customer),
+e AS (SELECT 'n' AS field, CASE k % 50 WHEN 7 THEN 'no number' WHEN 8 THEN 'not whole' ELSE 'out of range' END AS problem, k, n AS value FROM t WHERE k % 50 IN (7, 8, 9)
+UNION ALL SELECT 'name', 'null', k, name FROM t WHERE name IS NULL UNION ALL SELECT 'name', 'not in utf8mb3', k, name FROM t WHERE k % 30 = 1 UNION ALL SELECT 'name', 'too long', k, name FROM t WHERE k % 30 = 1
+UNION ALL SELECT 'b', 'too many digits', k, b FROM t WHERE k % 40 = 3 UNION ALL SELECT 'd', 'no date', k, d FROM t WHERE k % 60 = 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY k::VARCHAR, problem, value) AS i FROM e) SELECT field, problem, k::VARCHAR AS key, value FROM r WHERE i <= 20""")
+def guard_offending_values(spark, sf):
+    k = F.col("c_custkey")
+    n = F.when(k % 50 == 7, "x.5").when(k % 50 == 8, "2.5").when(k % 50 == 9, "3000000000").otherwise(F.col("c_nationkey").cast("string"))
+    name = F.when(k % 30 == 0, None).when(k % 30 == 1, F.concat("c_name", F.lit("😀"))).otherwise(F.col("c_name"))
+    rows_ = read(spark, sf, "customer").select(k.alias("k"), n.alias("n"), name.alias("name"), F.when(k % 40 == 3, "123456.7").otherwise("12.345").alias("b"), F.when(k % 60 == 5, "soon").otherwise("2024-02-29").alias("d"))
+    target = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("name", T.StringType(), False), T.StructField("b", T.DecimalType(6, 2)), T.StructField("d", T.DateType())])
+    return changes.offending(rows_, target, ["k"], {"name": 18}, {"name": "utf8mb3"}, 20).drop("cells")
+
+
 def _by_priority(spark, sf) -> Releases:
     """Orders kept by priority and status; then two priorities lose every second order, and one of them all whose key is even."""
     o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")

@@ -230,6 +230,14 @@ def test_profile_of_fields_and_bindings(spark):
     assert profile.binding_problems(own, want, {"a": "A", "d": "D"}, [["A"]], ["a"], ["b"]) == (["partition field b is not mapped"], None)
 
 
+def test_offending_values_are_bounded_by_field(spark):
+    df = spark.range(50).select("id", F.lit("é").alias("a"), F.lit(300).alias("b"), F.map_from_arrays(F.array(F.lit("a")), F.array(F.array(F.lit("s!A1")))).alias("_cells"))
+    target = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.ByteType()), T.StructField("c", T.StringType(), False)])
+    got = changes.offending(df, target, ["id"], charsets={"a": "ascii"}, most=3).collect()
+    assert sorted((r["field"], r["problem"], r["key"], r["cells"]) for r in got) == sorted((f, p, k, c) for f, p, c in (("a", "not in ascii", ["s!A1"]), ("b", "out of range", None)) for k in ("0", "1", "10"))
+    assert changes.offending(df, target, ["id"], charsets={"a": "latin1"}).where("field = 'a'").count() == 0 and changes.offending(df, T.StructType([])).count() == 0
+
+
 def test_lineage_through_derive_join_and_union(spark):
     cells = grid_cells(spark, [["id", "a", "b"], [1, 10, 20], [2, 5, None]], [["id", "n"], [1, "x"], [3, "y"]])
     one, two = (source.region_rows(cells.where(f"sheet = '{n}'"), source.Region("r", sheets.Rect(1, 1, 3, w), specs=tuple(binding.Spec(f, type=t) for f, t in fields)), lineage=True).out.drop("sheet", "row")
