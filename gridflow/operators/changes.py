@@ -24,15 +24,21 @@ def checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("total"))
 
 
+def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows in the fields and types of others: a field that they lack is null, as is a value that does not fit."""
+    own = {f.name: f.dataType for f in before.schema}
+    return before.select(*[(F.lit(None).cast(f.dataType) if f.name not in own else F.col(f"`{f.name}`") if own[f.name] == f.dataType else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name) for f in after.schema])
+
+
 def keyed(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """op (c, u, d), the key fields, changed (names), before and after (structs): one shuffle of each side by key.
 
-    Rows meet by normalised keys; a row is changed if its hash differs.  Keys must be unique on each side.
+    Rows meet by normalised keys; a row is changed if its hash over the fields of `after` differs.  Keys must be unique on each side.
     """
-    fields = after.columns
-    b, names = key_columns(before.select(*fields), list(keys), "_k")
+    fields, before = after.columns, aligned(before, after)
+    b, names = key_columns(before, list(keys), "_k")
     a, _ = key_columns(after, list(keys), "_k")
-    b = b.select(*names, row_hash(before.select(*fields)).alias("_hb"), F.struct(*fields).alias("before"))
+    b = b.select(*names, row_hash(before).alias("_hb"), F.struct(*fields).alias("before"))
     a = a.select(*names, row_hash(after).alias("_ha"), F.struct(*fields).alias("after"))
     both = _full(b, a, names)
     op = F.when(F.col("before").isNull(), "c").when(F.col("after").isNull(), "d").when(F.col("_hb") != F.col("_ha"), "u")
@@ -50,7 +56,7 @@ def _full(b: DataFrame, a: DataFrame, names: list[str]) -> DataFrame:
 
 def keyless(before: DataFrame, after: DataFrame) -> DataFrame:
     """op (c, d) and the row: multiset difference, from signed counts of equal rows in one aggregation."""
-    fields = after.columns
+    fields, before = after.columns, aligned(before, after)
     both = before.select(*fields, F.lit(-1).alias("_n")).unionByName(after.select(*fields, F.lit(1).alias("_n")))
     net = both.groupBy(*fields).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     return net.select(F.when(F.col("_n") > 0, "c").otherwise("d").alias("op"), *fields, F.explode(F.sequence(F.lit(1), F.abs("_n"))).alias("_i")).drop("_i")

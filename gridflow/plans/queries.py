@@ -1006,6 +1006,15 @@ def release_partition_undo(spark, sf):
     return store.read("orders")
 
 
+@query("""SELECT c_custkey, c_nationkey::VARCHAR AS c_nationkey, c_acctbal, 'none' AS c_note FROM customer WHERE c_custkey % 4 <> 0""")
+def release_rewritten_back(spark, sf):
+    c, store = read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), _store(spark)
+    store.publish({"customer": c.where("c_custkey % 4 <> 0")}, {"customer": ["c_custkey"]})
+    store.publish({"customer": c.withColumn("c_nationkey", F.concat(F.lit("n"), "c_nationkey")).withColumn("c_note", F.lit("x"))}, {"customer": ["c_custkey"]}, force=True)
+    store.rewrite_back(1, expected=2, defaults={"customer": {"c_note": "none"}})
+    return store.read("customer")
+
+
 @query("""SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'c' WHEN o_orderkey % 10 = 1 THEN 'd' ELSE 'u' END AS op, o_orderkey, CASE WHEN o_orderkey % 10 > 1 THEN 'o_totalprice' END AS changed
 FROM orders WHERE o_orderkey % 10 < 2 OR (o_orderkey % 7 = 0 AND o_totalprice <> 0)""")
 def release_hash_changes(spark, sf):

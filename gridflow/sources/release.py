@@ -266,13 +266,72 @@ class Releases:
         issues.write.parquet(path)
         return path
 
-    def roll_back(self, to: int, expected: int | None = None) -> dict:
-        """Make the versions of an older publication live again; nothing is rewritten."""
+    def roll_back(self, to: int, expected: int | None = None, drift: str = "OVERWRITE", same_schema: bool = False) -> dict:
+        """Make the versions of an older publication live again; nothing is rewritten.
+
+        drift REJECT refuses live rows that someone else has changed; same_schema refuses versions of another schema (see `rewrite_back`).
+        """
+        now, past = self._past(to)
+        for name, version in past["live"].items():
+            if version == now["live"].get(name):
+                continue
+            if drift == "REJECT" and self.drifted(name):
+                raise ReleaseError(f"DRIFT: {name}")
+            if same_schema and name in now["live"]:
+                wrong = changes.schema_problems(self.read(name, version), self.read(name).schema)
+                if wrong:
+                    raise ReleaseError(f"SCHEMA: {name}: {'; '.join(wrong)}")
+        return self._commit(now["id"] if expected is None else expected, past["live"], f"roll back to {to}")
+
+    def _past(self, to: int) -> tuple[dict, dict]:
         now = self.manifest()
         past = next((h for h in now["history"] if h["id"] == to), None)
         if past is None:
             raise ReleaseError(f"NO_RELEASE: {to}")
-        return self._commit(now["id"] if expected is None else expected, past["live"], f"roll back to {to}")
+        return now, past
+
+    def rewrite_back(self, to: int, expected: int | None = None, defaults: Mapping[str, Mapping[str, object]] | None = None, drift: str = "REJECT", lossy: bool = False) -> dict:
+        """The rows of an older publication, written anew in the schema that is live.
+
+        Values are cast to the live types; a field that is new since then takes its default, or null.  Refused are live rows that
+        have drifted, a value that a cast would lose, and a field that is no longer there, unless `lossy` says that they may go.
+        """
+        now, past = self._past(to)
+        if expected is not None and now["id"] != expected:
+            raise ReleaseError(f"LIVE_CHANGED: {expected} is no longer live")
+        live, sums, written = dict(now["live"]), {}, []
+        try:
+            for name, version in past["live"].items():
+                if version == live.get(name):
+                    continue
+                if name not in live:
+                    live[name] = version
+                    continue
+                if drift == "REJECT" and self.drifted(name):
+                    raise ReleaseError(f"DRIFT: {name}")
+                old, want = self.read(name, version), self.read(name).schema
+                gone = [c for c in old.columns if c not in want.names]
+                if gone and not lossy:
+                    raise ReleaseError(f"REWRITE_LOSS: {name}: {', '.join(gone)} no longer there")
+                made = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in old.columns else F.lit((defaults or {}).get(name, {}).get(f.name)).cast(f.dataType) for f in want}
+                if not lossy:
+                    both = [f.name for f in want if f.name in old.columns and old.schema[f.name].dataType != f.dataType]
+                    # a value is lost where the cast gives null, or another value on the way back
+                    lost = [F.count(F.when(F.col(f"`{c}`").isNotNull() & ~F.equal_null(made[c].try_cast(old.schema[c].dataType), F.col(f"`{c}`")), 1)).alias(c) for c in both]
+                    found = {c: n for c, n in (old.agg(*lost).first().asDict() if lost else {}).items() if n}
+                    if found:
+                        raise ReleaseError(f"REWRITE_LOSS: {name}: " + ", ".join(f"{n} values of {c}" for c, n in found.items()))
+                fresh = uuid.uuid4().hex
+                written.append(f"{name}/{fresh}")
+                old.select(*[c.alias(n) for n, c in made.items()]).write.parquet(f"{self.root}/{name}/{fresh}")
+                live[name], sums[name] = fresh, self._sum(self.read(name, fresh))
+            return self._commit(now["id"], live, f"rewrite back to {to}", sums=sums)
+        except Exception:
+            named = {v for h in self.manifest()["history"] for v in h["live"].values()}
+            for path in written:
+                if not any(v in path for v in named):
+                    self.fs.delete(self._path(path), True)
+            raise
 
     def changes_between(self, dataset: str, old: int, new: int, key: Sequence[str]) -> DataFrame:
         """The change set of a dataset between two publications, computed when asked for.

@@ -151,6 +151,34 @@ def test_baseline_partition_undo_preview_and_retention(spark, tmp_path):
     assert gone and store.read("t").count() == 7 and store.read("t", store.manifest()["history"][0]["live"]["t"]).count() == 9
 
 
+def test_rolling_back_refuses_and_rewrites(spark, tmp_path):
+    store = Releases(spark, f"file://{tmp_path}/r")
+    old = spark.createDataFrame([(1, "5", 1.5), (2, "x", 2.5)], "k int, v string, gone double")
+    new = spark.createDataFrame([(1, 5, "a")], "k long, v int, more string")
+    store.publish({"t": old}, {"t": ["k"]})
+    store.publish({"t": new}, {"t": ["k"]}, force=True)
+    with pytest.raises(ReleaseError, match="SCHEMA: t: unknown field gone"):
+        store.roll_back(1, same_schema=True)
+    with pytest.raises(ReleaseError, match="gone no longer there"):
+        store.rewrite_back(1)
+    with pytest.raises(ReleaseError, match="LIVE_CHANGED"):
+        store.rewrite_back(1, expected=1)
+    with pytest.raises(ReleaseError, match="NO_RELEASE"):
+        store.rewrite_back(9)
+    store.publish({"t": new.withColumn("gone", F.lit(0.0))}, {"t": ["k"]}, force=True)
+    with pytest.raises(ReleaseError, match="1 values of v"):
+        store.rewrite_back(1)
+    assert store.manifest()["id"] == 3 and store.read("t").count() == 1
+    store.rewrite_back(1, defaults={"t": {"more": "m"}}, lossy=True)
+    assert sorted(map(tuple, store.read("t").select("k", "v", "more", "gone").collect())) == [(1, 5, "m", 1.5), (2, None, "m", 2.5)] and dict(store.read("t").dtypes)["k"] == "bigint"
+    version = store.manifest()["live"]["t"]
+    store.read("t").limit(1).write.mode("append").parquet(f"{tmp_path}/r/t/{version}")
+    for back in (lambda: store.rewrite_back(3), lambda: store.roll_back(3, drift="REJECT")):
+        with pytest.raises(ReleaseError, match="DRIFT"):
+            back()
+    assert store.roll_back(3)["id"] == 5 and store.read("t").count() == 1
+
+
 def test_partitions_touch_only_their_own(spark, tmp_path):
     store = Releases(spark, f"file://{tmp_path}/r")
     base = spark.createDataFrame([(i, i % 5, f"t {i % 2}") for i in range(40)], "k int, p int, q string")
