@@ -126,9 +126,10 @@ class Releases:
                 wrong = changes.schema_problems(df, target) if target is not None else []
                 if wrong:
                     raise ReleaseError(f"GUARDS: {name}: SCHEMA: {'; '.join(wrong)}")
-                bad = changes.bad_values(df, target, (lengths or {}).get(name)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] if target is not None else 0
                 make = self._partitioned if fields else self._whole
                 rows, n, counts, again, sums[name] = make(name, version, df, live.get(name), key, fields, written)
+                # what was written is checked, so that the rows are made once
+                bad = changes.bad_values(self._fresh(name, version), target, (lengths or {}).get(name)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] if target is not None else 0
                 moved = drift == "REJECT" and not fields and name in live and self.drifted(name)
                 failed = changes.guards(rows, n, **counts, limits=limits, errors=errors, bad_values=bad + again, drift=moved)
                 if [g for g in failed if not force or g in changes.NEVER_FORCED]:
@@ -144,6 +145,11 @@ class Releases:
                     self.fs.delete(self._path(path), True)
             raise
 
+    def _fresh(self, dataset: str, version: str) -> DataFrame:
+        """The rows that a version wrote itself."""
+        layout = self._layout(dataset, version)
+        return self.read(dataset, version) if layout is None else partitions.read(self.spark, f"{self.root}/{dataset}", layout, set(layout.own))
+
     def _whole(self, name: str, version: str, df: DataFrame, live: str | None, key: Sequence[str] | None, fields: None, written: list[str]) -> tuple:
         """Write all rows; live rows, new rows, counts of changes, rows beyond the first of their key, and sums."""
         written.append(f"{name}/{version}")
