@@ -527,6 +527,30 @@ def test_html_names_that_only_look_like_those_of_other_parts(page_weights):
         assert "not this" not in htmltext.extract(page, page_weights)[0], name
 
 
+def test_html_names_with_such_a_word_among_others(page_weights):
+    body = "<p>" + " ".join(f"word{i}" for i in range(60)) + "</p>"
+    inner = ('<div class="newsletter-archive"><p>The letters of last year.</p></div>', '<div class="banner-image">A flag in the wind.</div>', '<div class="ad-hoc-committee"><p>It met twice.</p></div>')
+    for weights in (page_weights, {}):
+        for part in inner:
+            said = re.sub("<[^>]*>", "", part)
+            for page in (f"<article>{body}{part}{body}</article>", f"<div><div>{body}{part}{body}</div></div>"):
+                assert said in htmltext.extract(f"<html><body>{page}</body></html>", weights)[0], (part, page)
+        for name in ("menu-engineering", "comments-on-law"):
+            for page in (f'<div id="{name}">{body}</div>', f'<div id="{name}"><article>{body}</article></div>', f'<article><h3>Card</h3></article><div id="{name}">{body}</div>'):
+                assert "word59" in htmltext.extract(f"<html><body><nav><a>x</a></nav>{page}</body></html>", weights)[0], (name, page)
+        outside = htmltext.extract(f'<html><body><div class="banner-autumn-sale"><p>Buy it</p></div><article>{body}</article></body></html>', weights)[0]
+        assert "Buy it" not in outside
+
+
+def test_html_weights_of_names_are_learned(spark):
+    body = "<p>" + " ".join(f"word{i}" for i in range(60)) + "</p>"
+    page = f'<html><body><article>{body}<div class="promo-tuesday"><p>Half price</p></div></article></body></html>'
+    other = f'<html><body><article>{body}</article>' + '<div class="promo-tuesday"><p>Half price at all times of every day</p></div>' * 5 + "</body></html>"
+    made = htmltext.fit(spark.createDataFrame([(other,)] * 400, "html string"))
+    assert made["n:promo"] < 0 and "Half price" in htmltext.extract(page, {})[0]
+    assert "Half price" not in htmltext.extract(page, made)[0]
+
+
 def test_html_deep_nesting_and_long_pages(page_weights):
     deep = "<div><b>" * 30_000 + "deep text" + "</b></div>" * 30_000
     assert htmltext.extract(deep, page_weights)[0] == "deep text"
