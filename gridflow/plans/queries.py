@@ -15,6 +15,7 @@ from ..functions import convert, scalars
 from ..functions.text import key_norm, norm_text, norm_value
 from ..operators import binding, changes, joins, lineage, pivot, profile, rows, sheets, source, validate
 from ..sources.release import Releases
+from ..streaming.publish import publishing, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1030,6 +1031,30 @@ def release_change_set(spark, sf):
     return _published(spark, sf).changes_between("customer", 1, 2, ["c_custkey"]).select("op", "c_custkey")
 
 
+def _streamed(spark, sf, keys: list[str], by: list[str]) -> DataFrame:
+    """Events come as a stream of files, two at a time; each batch merges the last event of its keys into the dataset."""
+    store, events = _store(spark), read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    source_ = f"{store.root}/_incoming"
+    events.repartition(6, "event_id").write.parquet(source_)
+    stream = spread(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source_), keys, 8)
+    write = publishing(stream, store, "events", [*keys, *by], ["ts", "event_id"], changes.Limits(change_ratio=100.0), by)
+    write.option("checkpointLocation", f"{store.root}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.read("events")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1")
+def stream_last_by_key(spark, sf):
+    return _streamed(spark, sf, ["user_id"], ["_part"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT event_type, count(*) AS users, sum(event_id)::BIGINT AS ids FROM e WHERE r = 1 AND value >= 5 GROUP BY 1""")
+def stream_last_by_type(spark, sf):
+    """Partitioned by a field of the key; a last event of little value is read as a deletion."""
+    t = _streamed(spark, sf, ["user_id", "event_type"], ["event_type"])
+    return t.where("value >= 5").groupBy("event_type").agg(F.count("*").alias("users"), F.sum("event_id").alias("ids"))
+
+
 # conversion and scalar functions
 
 

@@ -109,15 +109,17 @@ class Releases:
 
     def publish(
         self, outputs: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], limits: changes.Limits = changes.Limits(), force: bool = False, partitions: Mapping[str, Sequence[str]] | None = None, errors: int = 0,
-        targets: Mapping[str, T.StructType] | None = None, lengths: Mapping[str, Mapping[str, int]] | None = None, drift: str = "OVERWRITE", note: str = "publish",
+        targets: Mapping[str, T.StructType] | None = None, lengths: Mapping[str, Mapping[str, int]] | None = None, drift: str = "OVERWRITE", note: str = "publish", expected: int | None = None,
     ) -> dict:
         """Write, check and make live; the counts of changes by dataset, and the manifest.
 
         A dataset named in `partitions` replaces only the partitions that its rows touch.  targets: the schema that a
         dataset must fit in names, types and values (guards SCHEMA and VALUES, as for repeated keys); drift REJECT refuses
-        live rows that someone else has changed, but for partitions.
+        live rows that someone else has changed, but for partitions.  expected: the publication that the rows were made from.
         """
         start = self.manifest()
+        if expected is not None and start["id"] != expected:
+            raise ReleaseError(f"LIVE_CHANGED: {expected} is no longer live")
         live, report, sums, written, kept = dict(start["live"]), {}, {}, [], {}
         try:
             for name, df in outputs.items():

@@ -563,3 +563,37 @@ def test_stream_publishes(spark, tmp_path):
     stream = spark.readStream.schema("k int, t int").parquet(src)
     publishing(stream, store, "t", ["k"], "t").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(map(tuple, store.read("t").collect())) == [(1, 2), (2, 1)]
+
+
+def test_stream_touches_only_its_partitions(spark, tmp_path):
+    from gridflow.streaming.publish import beside, publishing
+
+    src, schema = f"{tmp_path}/in", "k int, day string, t int, gone boolean"
+    store = Releases(spark, f"file://{tmp_path}/r")
+
+    def come(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        own = publishing(stream, store, "t", ["k", "day"], "t", changes.Limits(change_ratio=9.0), ["day"])
+        own.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+        return store._layout("t", store.manifest()["live"]["t"])
+
+    first = come((1, "mon", 5, False), (2, "tue", 1, False), (2, "tue", 3, False), (None, "wed", 1, False), (None, "wed", 2, False))
+    assert sorted(first.own) == ["day=mon", "day=tue", "day=wed"]
+    assert sorted(map(tuple, store.read("t").collect()), key=str) == [(1, "mon", 5, False), (2, "tue", 3, False), (None, "wed", 2, False)]
+    # a late row, a deletion, a new key: only monday's folder changes
+    second = come((1, "mon", 4, True), (3, "mon", 1, True), (3, "mon", 0, False))
+    assert second.own == ("day=mon",) and {p: v for p, v in second.folders.items() if p != "day=mon"} == {p: v for p, v in first.folders.items() if p != "day=mon"}
+    assert sorted(map(tuple, store.read("t").where("day = 'mon'").collect())) == [(1, "mon", 5, False), (3, "mon", 1, True)]
+    # the same batch again, and an empty one, change nothing
+    before = sorted(map(tuple, store.read("t").collect()), key=str)
+    come((3, "mon", 1, True))
+    come()
+    assert sorted(map(tuple, store.read("t").collect()), key=str) == before
+    rows = spark.createDataFrame([(1, "mon")], "k int, day string")
+    plan = beside(store.read("t"), rows, ["day"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "mon" in plan.split("PartitionFilters")[1].split("]")[0]
+    with pytest.raises(ReleaseError, match="LIVE_CHANGED"):
+        store.publish({"t": store.read("t")}, {"t": ["k", "day"]}, expected=1)
+    with pytest.raises(ValueError):
+        publishing(rows, store, "t", ["k"], "t", by=["day"])
