@@ -113,8 +113,9 @@ class Automaton:
         self.fail = self.longest(c_state, k_state - 1)
         arcs = np.flatnonzero(term > 0)
         self.table = Table(np.searchsorted(self.states, up[arcs]) << 8 | (code[arcs] & 255))
-        self.cost = np.log10(p[arcs])
-        self.to = self.longest(code[arcs], np.minimum(k_of[arcs], order - 1))
+        # one entry more, so that a model without arcs has one to stand in
+        self.cost = np.append(np.log10(p[arcs]), 0.0)
+        self.to = np.append(self.longest(code[arcs], np.minimum(k_of[arcs], order - 1)), self.root)
 
     def longest(self, code: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The state of the longest suffix of at most k bytes that is a context."""
@@ -137,22 +138,19 @@ class Automaton:
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and log10 probabilities of one symbol each."""
-        state = state.copy()
-        score = np.zeros(len(state))
-        out = np.zeros(len(state), np.int64)
-        open_ = np.arange(len(state))
+        at = self.table.find(state << 8 | symbol)
+        out, score = self.to[at], self.cost[at]  # most have an arc; the last arc stands in for the others until they fail
+        open_ = np.flatnonzero(at < 0)
+        here, paid = state[open_], np.zeros(len(open_))
         while len(open_):
-            at = self.table.find(state[open_] << 8 | symbol[open_])
+            paid += self.back[here]
+            lost = here == self.root
+            out[open_[lost]], score[open_[lost]] = self.root, paid[lost] + self.floor
+            open_, paid, here = open_[~lost], paid[~lost], self.fail[here[~lost]]
+            at = self.table.find(here << 8 | symbol[open_])
             hit = at >= 0
-            out[open_[hit]] = self.to[at[hit]]
-            score[open_[hit]] += self.cost[at[hit]]
-            open_ = open_[~hit]
-            score[open_] += self.back[state[open_]]
-            lost = state[open_] == self.root
-            score[open_[lost]] += self.floor
-            out[open_[lost]] = self.root
-            open_ = open_[~lost]
-            state[open_] = self.fail[state[open_]]
+            out[open_[hit]], score[open_[hit]] = self.to[at[hit]], paid[hit] + self.cost[at[hit]]
+            open_, paid, here = open_[~hit], paid[~hit], here[~hit]
         return out, score
 
     def run(self, payload: bytes) -> np.ndarray:
@@ -185,21 +183,21 @@ class Tokens:
     """The token stream of a block: codes in order with an end mark (the last code) after each document, and their words."""
 
     def __init__(self, payload: bytes) -> None:
-        texts = pa.array(payload.decode("utf-8", "surrogatepass").split("\n")[:-1], pa.large_string())
-        lists = pc.ascii_split_whitespace(texts)
-        words = lists.flatten()
-        full = pc.not_equal(words, "")
-        coded = words.filter(full).dictionary_encode()
-        upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
-        n = np.diff(upto[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
-        self.words = [*coded.dictionary.cast(pa.large_binary()).to_pylist(), b""]  # the empty word stands for the end mark
+        symbols = np.frombuffer(payload, np.uint8)
+        self.ends = np.flatnonzero((symbols == SPACE) | (symbols == ngrams.END))  # of each token: the space after a word, or the mark itself
+        bounds = pa.py_buffer(np.append(0, self.ends + 1).astype(np.int64))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.ends), [None, bounds, pa.py_buffer(payload)]).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy()
+        # the end mark, which no word equals, gets the last code, and the empty word stands for it
+        mark = words.index(b"\n") if words else 0
+        shifted = np.arange(len(words), dtype=np.int64) - (np.arange(len(words)) > mark)
+        shifted[mark : mark + 1] = len(words) - 1
+        self.codes = shifted[codes]
+        self.words = [*(w[:-1] for i, w in enumerate(words) if i != mark), b""]
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        self.n = n + 1
-        self.last = np.cumsum(self.n) - 1
-        self.codes = np.full(int(self.n.sum()), len(self.words) - 1, np.int64)
-        inner = np.ones(len(self.codes), bool)
-        inner[self.last] = False
-        self.codes[inner] = coded.indices.to_numpy()
+        self.last = np.flatnonzero(symbols[self.ends] == ngrams.END)
+        self.n = np.diff(self.last, prepend=-1)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the distinct pairs of neighbours in ascending order, their first and second codes' pair of each place, and first codes."""
@@ -282,7 +280,8 @@ def values(replies: list, name: str) -> np.ndarray:
 def log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log10 of the sum of two numbers given by their log10; -inf is nought."""
     top = np.maximum(a, b)
-    return np.where(np.isneginf(top), top, top + np.log10(10.0 ** (a - top) + 10.0 ** (b - top)))
+    top[np.isneginf(top)] = 0.0  # nought and nought
+    return top + np.log10(10.0 ** (a - top) + 10.0 ** (b - top))
 
 
 def score(docs: DataFrame, held_out: Callable[[Column], Column], order: int = ORDER) -> DataFrame:
@@ -350,8 +349,7 @@ def _scored(made: DataFrame, order: int) -> DataFrame:
                 at = np.argsort(keys)
                 symbols = Automaton(keys[at], (seen / both)[at], np.where(total > 0, types / both, 1.0)[at], order).run(r.payload)
                 tokens = Tokens(r.payload)
-                ends = np.flatnonzero(np.isin(np.frombuffer(r.payload, np.uint8), (SPACE, ngrams.END)))  # of each token
-                spelt = np.add.reduceat(symbols, np.append(0, ends[:-1] + 1), dtype=np.float64) if len(ends) else np.empty(0)
+                spelt = np.add.reduceat(symbols, np.append(0, tokens.ends[:-1] + 1), dtype=np.float64) if len(tokens.ends) else np.empty(0)
                 c, followers = np.empty(len(tokens.words)), np.empty(len(tokens.words))
                 c[tokens.order()], followers[tokens.order()] = values(r.w, "one"), values(r.w, "two")
                 _, at, first = tokens.pairs()
