@@ -1,13 +1,13 @@
 """Language-model scores by a weighted back-off automaton.
 
-The automaton has two levels.  On the token level a state is the token before; a seen pair of tokens is an arc from it,
-and its failure arc leads, at the cost of the back-off weight, to the state without a token before, whose arcs are the
-tokens that training has seen.  The failure arc from there leads to the spelling level, where a token's symbols (a word's
-bytes and a space, or the end mark) are scored one by one: contexts of up to `order` - 1 bytes are states, a seen n-gram is
-an arc from its context to the longest context that ends it, and a state's failure arc leads to its context without the
-first byte.  The spelling state is carried on through all tokens.  One traversal from left to right adds up log
-probabilities; documents advance together, long ones in segments that begin `order` - 1 bytes early, after which the
-state is the same as in one run.
+A token's spelling is scored by an automaton.  Its symbols (a word's bytes and a space, or the end mark) go one by one:
+contexts of up to `order` - 1 bytes are states, a seen n-gram is an arc from its context to the longest context that ends
+it, and a state's failure arc leads, at the cost of the back-off weight, to its context without the first byte.  The state
+is carried on through all tokens.  One traversal from left to right adds up log probabilities; documents advance together,
+long ones in segments that begin `order` - 1 bytes early, after which the state is the same as in one run.
+
+Tokens and pairs of tokens are no states of it: what an arc of theirs would cost depends on the spelling where the token
+stands, so they are interpolated with the spelling's score by the formula below, for all places of a block at once.
 
 Weights: interpolated Witten-Bell on the spelling level, interpolated absolute discounting on the token level, so an arc
 costs what its own counts and what lies below it give together:
