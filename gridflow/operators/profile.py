@@ -59,7 +59,8 @@ def fields(cells: DataFrame, region: Region) -> DataFrame:
     for n in reversed(fits):
         kind = F.when(F.col(f"is_{n}") == F.col("filled"), n).otherwise(kind)
     listed = F.array_sort(F.transform("top", lambda x: x["item"]))
-    few = (F.size("top") <= MOST_VALUES) & (F.col("filled") >= 2 * F.size("top"))
+    # the sketch lacks nothing while its values are within what it tracks; beyond, it names some of the frequent ones or none
+    few = (F.col("about") <= TRACKED // 2) & (F.size("top") <= MOST_VALUES) & (F.col("filled") >= 2 * F.size("top"))
     rows = body.groupBy("sheet").agg(F.count_distinct("row").alias("rows"))
     seen = found.join(rows, "sheet").select("sheet", "col", "filled", kind.alias("type"), F.when(few, listed).alias("values"), ((F.col("filled") == F.col("rows")) & (F.col("about") >= (1 - 4 * ERROR) * F.col("filled"))).alias("maybe"))
     again = body.join(seen.where("maybe").select("sheet", "col"), ["sheet", "col"], "left_semi").groupBy("sheet", "col", "t").count().where("count > 1").select("sheet", "col", F.lit(True).alias("again")).distinct()
