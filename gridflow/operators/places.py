@@ -1,9 +1,10 @@
 """Cells as lines, and the places of regions in them.
 
-A line is a row of a sheet with all its cells.  Cells are gathered into lines by one exchange on (sheet, row); whatever asks
-for lines in a plan is served by that exchange (Spark reuses it), so a source is read once however many regions, headers,
-ends and shapes ask for its cells.  A sheet's places are one row, found by three aggregations over lines at most: the anchors
-of all regions, their right ends and their bottoms.
+A line is a row of a sheet with all its cells.  Cells are gathered into lines once and dealt by (sheet, band), a band being some
+rows of a sheet; whatever asks for lines in a plan is served by that exchange (Spark reuses it), so a source is read once
+however many regions, headers, ends and shapes ask for its cells.  A sheet's places are one row, found by three aggregations
+over lines at most: the anchors of all regions, their right ends and their bottoms.  Where lines ask for what is known of their
+sheet, that row is repeated for each band, so a large sheet is met where its lines are and never in one task.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .sheets import Rect, matching
 
 #: Rows of a sheet that are looked at together for gaps; windows run over such buckets, not over rows.
 BUCKET = 4096
+#: A band has 2 ** BAND rows of a sheet.
+BAND = 9
 PLACED = CELL[:-1] + ",r:int,c:int>"
 RECT = "struct<top:int,left:int,bottom:int,right:int>"
 
@@ -99,19 +102,34 @@ class Region:
         return self.orientation in ("COLUMN", "HORIZONTAL")
 
 
-def lines(cells: DataFrame) -> DataFrame:
-    """sheet, row, line: a map from col to cell (value, kind, flags, and its place r and c); of cells in one place the greatest.
+def shared(df: DataFrame, *by: str) -> DataFrame:
+    """`df` dealt by some columns, in as many tasks as the session wants, by an exchange that all who use it in a plan share.
 
-    `row` is taken from an aggregate, so no filter on it reaches below the exchange and makes it another one.
+    Its other columns are made by a generator, so no filter on them and no choice among them reaches below the exchange and
+    makes it another one.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *by).select(*by, F.inline(F.array(F.struct(*[c for c in df.columns if c not in by]))))
+
+
+def band(row: Column) -> Column:
+    return F.shiftright(row, BAND)
+
+
+def by_bands(rects: DataFrame, top: Column, bottom: Column) -> DataFrame:
+    """Each row once for each band between two rows of its sheet, with it as `band`."""
+    return rects.withColumn("band", F.explode(F.when(top <= bottom, F.sequence(band(top), band(bottom)))))
+
+
+def lines(cells: DataFrame) -> DataFrame:
+    """sheet, band, row, line: a map from col to cell (value, kind, flags, and its place r and c); of cells in one place the greatest."""
     more = [c for c in ("kind", "flags") if c not in cells.columns]
     cells = cells.withColumns({c: F.lit("s") if c == "kind" else F.lit(0) for c in more}) if more else cells
     cell = F.struct("value", "kind", F.col("flags").cast("int").alias("flags"), F.col("row").alias("r"), F.col("col").alias("c")).cast(PLACED)
     own = cells.select("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), cell.alias("cell")).where("sheet is not null and row is not null and col is not null")
-    # a line's cells are parsed and matched, so there are as many tasks as the session wants, however few the bytes
-    one = own.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sheet", "row").groupBy("sheet", "row", "col").agg(F.max("cell").alias("cell"))
-    made = one.groupBy("sheet", "row").agg(F.max("row").alias("at"), F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("line"))
-    return made.select("sheet", F.col("at").alias("row"), "line")
+    made = own.groupBy("sheet", "row").agg(F.sort_array(F.collect_list(F.struct("col", "cell"))).alias("all"))
+    last = F.filter("all", lambda x, i: F.coalesce(F.get(F.col("all"), i + 1)["col"] != x["col"], F.lit(True)))
+    return shared(made.select("sheet", band(F.col("row")).alias("band"), "row", F.map_from_entries(last).alias("line")).where("band is not null"), "sheet", "band")
 
 
 def text_of(cell: Column) -> Column:
@@ -130,11 +148,11 @@ def _filled_in(left: Column, right: Column) -> Column:
     return F.exists(F.map_entries("line"), lambda e: e["key"].between(left, right) & has_text(e["value"]["value"]))
 
 
-def _hits(r: Region) -> tuple[Column, Column]:
-    """Of a line's cells that match an anchor, the one nearest to the design (far, row, col), and their number."""
+def _hits(r: Region) -> Column:
+    """A line's cells that match an anchor: how far from the design, row and col."""
     row = F.col("row")
     hit = F.filter(F.map_entries("line"), lambda e: F.coalesce(matching(e["value"]["value"], r.anchor, r.match), F.lit(False)))
-    return F.array_min(F.transform(hit, lambda e: F.struct((F.abs(row - r.design.top) + F.abs(e["key"] - r.design.left)).alias("far"), row.alias("row"), e["key"].alias("col")))), F.size(hit)
+    return F.transform(hit, lambda e: F.struct((F.abs(row - r.design.top) + F.abs(e["key"] - r.design.left)).alias("far"), row.alias("row"), e["key"].alias("col")))
 
 
 def _run(left: Column) -> Column:
@@ -153,23 +171,25 @@ def _before_gap(rows: Column, blanks: int) -> Column:
 
 
 def places(own: DataFrame, regions: Sequence[Region]) -> DataFrame:
-    """A row a sheet: sheet and, for the region of number i, p<i> (its rectangle, null where it was not found), hits<i> (of its anchor) and lost<i> (its end was not found)."""
+    """A row a sheet: sheet, last (its last row) and, for the region of number i, p<i> (its rectangle, null where it was not found), hits<i> (of its anchor) and lost<i> (its end was not found)."""
     row = F.col("row")
     wide = any(r.cols == "SHEET_END" and r.locator != "AUTO_EXPAND" for r in regions)
-    found: list[Column] = [(F.max(F.array_max(filled_cols())) if wide else F.max(F.lit(None).cast("int"))).alias("widest")]
+    found = [F.max("wide").alias("widest"), F.max("row").alias("last")]
+    each = [row.alias("row"), (F.array_max(filled_cols()) if wide else F.lit(None).cast("int")).alias("wide")]
     for i, r in enumerate(regions):
         if r.locator == "ANCHOR":
-            near, often = _hits(r)
-            found += [F.min(near).alias(f"hit{i}"), F.sum(often).alias(f"hits{i}")]
-    starts = own.groupBy("sheet").agg(*found)
+            each.append(_hits(r).alias(f"near{i}"))
+            found += [F.min(F.array_min(f"near{i}")).alias(f"hit{i}"), F.sum(F.size(f"near{i}")).alias(f"hits{i}")]
+    # what is sorted for the least of places are these few columns, not lines
+    starts = own.select("sheet", F.inline(F.array(F.struct(*each)))).groupBy("sheet").agg(*found)
     made: dict[str, Column] = {}
     for i, r in enumerate(regions):
         anchored = r.locator == "ANCHOR"
         made[f"top{i}"] = F.col(f"hit{i}.row") + r.offset[0] if anchored else F.lit(r.design.top)
         made[f"left{i}"] = F.col(f"hit{i}.col") + r.offset[1] if anchored else F.lit(r.design.left)
         made[f"hits{i}"] = F.coalesce(f"hits{i}", F.lit(0)) if anchored else F.lit(1).cast("long")
-    starts = starts.select("sheet", "widest", *[c.alias(n) for n, c in made.items()])
-    keep = [f"{c}{i}" for i in range(len(regions)) for c in ("top", "left", "hits")]
+    starts = starts.select("sheet", "last", "widest", *[c.alias(n) for n, c in made.items()])
+    keep = ["last"] + [f"{c}{i}" for i in range(len(regions)) for c in ("top", "left", "hits")]
 
     cols = {i: "UNTIL_BLANK_HEADER" if r.locator == "AUTO_EXPAND" else r.cols for i, r in enumerate(regions)}
     heads = []
@@ -177,7 +197,9 @@ def places(own: DataFrame, regions: Sequence[Region]) -> DataFrame:
         left = F.col(f"left{i}")
         heads.append(F.max(F.when(row == F.col(f"top{i}"), left + F.size(_run(left)) - 1)).alias(f"head{i}"))
     if heads:
-        starts = own.join(starts, "sheet").groupBy("sheet", "widest", *keep).agg(*heads)
+        tops = F.array_distinct(F.array_compact(F.array(*[band(F.col(f"top{i}")) for i, c in cols.items() if c == "UNTIL_BLANK_HEADER"])))
+        met = own.join(starts.withColumn("band", F.explode(tops)).hint("shuffle_hash"), ["sheet", "band"])
+        starts = starts.join(met.groupBy("sheet").agg(*heads), "sheet", "left")
     right = {}
     for i, r in enumerate(regions):
         left = F.col(f"left{i}")
@@ -196,7 +218,8 @@ def places(own: DataFrame, regions: Sequence[Region]) -> DataFrame:
         elif rows[i] == "UNTIL_BLANK_ROWS":
             ends.append(F.array_sort(F.collect_set(F.when((row >= top) & _filled_in(left, end), row))).alias(f"end{i}"))
     if ends:
-        met = own.join(starts, "sheet")
+        first = F.least(*[f"top{i}" for i, w in rows.items() if w != "FIXED_SIZE"], "last")
+        met = own.join(by_bands(starts, first, F.col("last")).hint("shuffle_hash"), ["sheet", "band"])
         if gaps:
             met = met.groupBy("sheet", *keep, F.floor(row / BUCKET).alias("bucket")).agg(*ends)
             before = Window.partitionBy("sheet").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -209,7 +232,7 @@ def places(own: DataFrame, regions: Sequence[Region]) -> DataFrame:
                 stops[f"high{i}"] = high
             met = met.withColumns(stops)
             ends = [F.coalesce(F.min(f"stop{i}"), F.max(f"high{i}")).alias(f"end{i}") if i in gaps else (F.max if rows[i] == "SHEET_END" else F.min)(f"end{i}").alias(f"end{i}") for i in rows if rows[i] != "FIXED_SIZE"]
-        starts = met.groupBy("sheet", *keep).agg(*ends)
+        starts = starts.join(met.groupBy("sheet").agg(*ends), "sheet", "left")
     out: list[Column] = []
     for i, r in enumerate(regions):
         top = F.col(f"top{i}")
@@ -221,7 +244,7 @@ def places(own: DataFrame, regions: Sequence[Region]) -> DataFrame:
             bottom = F.greatest(top, f"end{i}")
         rect = F.struct(top.alias("top"), F.col(f"left{i}").alias("left"), bottom.alias("bottom"), F.col(f"right{i}").alias("right")).cast(RECT)
         out += [F.when(top.isNotNull() & bottom.isNotNull(), rect).alias(f"p{i}"), F.col(f"hits{i}"), (top.isNotNull() & bottom.isNull()).alias(f"lost{i}")]
-    return starts.select("sheet", *out)
+    return starts.select("sheet", "last", *out)
 
 
 def meet(a: str, b: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,10 @@ def letters(col: Column) -> Column:
 
 def matching(text: Column, pattern: str, how: str = "EXACT") -> Column:
     own = norm_text(text)
+    # a text without one of the characters needs no normalising; none that is searched for is deleted or replaced by it
+    held = [text.contains(c) for c in dict.fromkeys(pattern) if not c.isspace()]
     return {
-        "EXACT": lambda: own == pattern, "REGEX": lambda: own.rlike(r"\A(?:" + pattern + r")\z"), "CONTAINS": lambda: own.contains(pattern), "PREFIX": lambda: own.startswith(pattern),
+        "EXACT": lambda: reduce(lambda x, y: x & y, [*held, own == pattern]), "REGEX": lambda: own.rlike(r"\A(?:" + pattern + r")\z"), "CONTAINS": lambda: own.contains(pattern), "PREFIX": lambda: own.startswith(pattern),
     }[how]()
 
 

@@ -1,8 +1,8 @@
 """The source node: regions of sheets are located, cut, shaped, bound to specs and coerced, for all sheets at once.
 
-Cells become lines by one exchange (see `places`), which serves all that a plan asks of them.  A region's place and its
-header's columns may differ from sheet to sheet, so both are small tables with a row for each sheet, and lines meet them by an
-equi-join on the sheet.  Nothing is collected but names of columns that no spec asks for, where they are to be included.
+Cells become lines once (see `places`), which serves all that a plan asks of them.  A region's place and its header's columns
+may differ from sheet to sheet, so both are small tables with a row for each sheet, and lines meet them by an equi-join on the
+sheet and band.  Nothing is collected but names of columns that no spec asks for, where they are to be included.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ..functions.text import norm_text
 from . import lineage as origin
 from . import sheets
 from .binding import Spec, coerce_rows, matches, spec_problems
-from .places import PLACED, RECT, Region, at, clash, filled_cols, lines, meet, places, text_of
+from .places import PLACED, RECT, Region, at, band, by_bands, clash, filled_cols, lines, meet, places, shared, text_of
 from .rows import Flow, issues
 from .sheets import Rect, letters, matching
 
@@ -148,7 +148,7 @@ class _Cut:
         r = regions[i]
         self.own, self.turned, self.more = own, r.turned, more
         self.masks = [f"p{j}" for j, m in enumerate(regions) if j != i and (m.shape == "IGNORE" or m.id in r.exclude)]
-        self.all = placed.where(F.col(f"p{i}").isNotNull()).select("sheet", f"p{i}.*", *self.masks)
+        self.all = placed.where(F.col(f"p{i}").isNotNull()).select("sheet", "last", f"p{i}.*", *self.masks)
         names = {"top": "left", "left": "top", "bottom": "right", "right": "bottom"} if r.turned else {}
         self.rect = self.all.select("sheet", *[F.col(names.get(c, c)).alias(c) for c in ("top", "left", "bottom", "right")])
 
@@ -163,13 +163,16 @@ class _Cut:
             return fine
 
         extra = [c for c in beside.columns if c != "sheet"] if beside is not None else []
-        rect = self.all if beside is None or self.turned else self.all.join(beside, "sheet")
-        met = self.own.join(rect, "sheet").where(row.between(F.col("top"), F.col("bottom") + self.more[0]))
-        cut = met.select("sheet", "row", F.map_filter("line", stays).alias("line"), "top", "left", "bottom", "right", *([] if self.turned else extra))
+        rect = self.all if beside is None else self.all.join(beside, "sheet")
+        low = F.col("bottom") + self.more[0]
+        met = self.own.join(by_bands(rect, F.col("top"), F.least(low, "last")).hint("shuffle_hash"), ["sheet", "band"]).where(row.between(F.col("top"), low))
+        cut = met.select("sheet", "row", F.map_filter("line", stays).alias("line"), "top", "left", "bottom", "right", *extra)
         if not self.turned:
             return cut
-        turned = cut.select("sheet", "row", F.explode("line").alias("col", "cell")).groupBy("sheet", "col").agg(F.map_from_entries(F.collect_list(F.struct("row", "cell"))).alias("line"))
-        return turned.withColumnRenamed("col", "row").join(self.rect if beside is None else self.rect.join(beside, "sheet"), "sheet")
+        # a sheet's rectangle and its extras are the same for all its columns
+        sides = [F.col(b).alias(a) for a, b in (("top", "left"), ("left", "top"), ("bottom", "right"), ("right", "bottom"))]
+        cells = cut.select("sheet", "row", F.explode("line").alias("col", "cell"), *sides, *extra)
+        return cells.groupBy("sheet", "col", "top", "left", "bottom", "right", *extra).agg(F.map_from_entries(F.collect_list(F.struct("row", "cell"))).alias("line")).withColumnRenamed("col", "row")
 
 
 def lone(value: Column) -> Column:
@@ -360,24 +363,35 @@ def _repeating(cut: _Cut, r: Region) -> _Shaped:
         steps = [F.floor((F.col(b) - F.col(a)) / d) for a, b, d in (("top", "bottom", dy), ("left", "right", dx)) if d]
         n = (F.least(*steps) if len(steps) > 1 else steps[0]) if steps else F.lit(0)
         starts = cut.rect.withColumn("i", F.explode(F.sequence(F.lit(0), n.cast("int")))).select("sheet", (F.col("top") + F.col("i") * dy).alias("top"), (F.col("left") + F.col("i") * dx).alias("left"))
+    starts = shared(starts.withColumn("band", band(F.col("top"))), "sheet", "band")
     clashing = sheets.overlapping(starts, high, wide)
     found = [lambda: issues(clashing, r.id, "REPEATING_BLOCK_OVERLAP", field=F.col("sheet"))]
-    starts = starts.join(clashing, "sheet", "left_anti")
+    fine = by_bands(cut.rect.join(clashing, "sheet", "left_anti"), F.col("top"), F.col("bottom")).select("sheet", "band")
+    starts = starts.join(fine.hint("shuffle_hash"), ["sheet", "band"]).drop("band")
     inside = sheets.in_blocks(cut.view().select("sheet", "row", F.explode("line").alias("col", "cell")), starts, high, wide)
     by = ("sheet", "top", "left")
     block = inside.groupBy(*by, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("line"))
-    turn = F.row_number().over(Window.partitionBy("sheet").orderBy("top", "left"))
     keep = ("sheet", "row", "_block")
     if r.inner == "KEY_VALUE":
-        full = block.groupBy(*by).agg(F.max(F.size(filled_cols()) > 0).alias("f")).where("f" if r.skip_empty else "true").withColumn("_block", turn).select(*by, "_block")
+        full = block.groupBy(*by).agg(F.max(F.size(filled_cols()) > 0).alias("f")).where("f" if r.skip_empty else "true")
+        full = _numbered(full.select(*by)).select(*by, "_block")
         shaped = _key_values(None, r, block.join(full, list(by)).withColumn("left_", F.col("left")), ("sheet", "left_", "_block"), keep)
         shaped.found += found
         return shaped
     rows = starts.join(_places_of(block, r.fields, by), list(by), "left").where("filled_" if r.skip_empty else "true")
-    rows = rows.withColumn("_block", turn).withColumn("row", F.col("top"))
+    rows = _numbered(rows).withColumn("row", F.col("top"))
     return _fixed(rows, {n: F.col(f"f_{n}") for n in r.fields}, r, found, keep)
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """`blocks` with _block, their ordinal by top and left: the number of those in bands above and the place in the own band."""
+    dealt = shared(blocks.withColumn("band", band(F.col("top"))), "sheet", "band")
+    above = F.sum("n").over(Window.partitionBy("sheet").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    before = dealt.groupBy("sheet", "band").agg(F.count("*").alias("n")).select("sheet", "band", F.coalesce(above, F.lit(0)).alias("above"))
+    turn = F.row_number().over(Window.partitionBy("sheet", "band").orderBy("top", "left"))
+    return dealt.withColumn("_turn", turn).join(before.hint("shuffle_hash"), ["sheet", "band"]).withColumn("_block", (F.col("above") + F.col("_turn")).cast("int")).drop("band", "above", "_turn")
+
+
 SHAPES = {"DETAIL": _detail, "GROUPED_DETAIL": _detail, "SUMMARY": _detail, "KEY_VALUE": _key_values, "FORM": _form, "MATRIX": _matrix, "REPEATING_BLOCK": _repeating}
 
 
