@@ -26,6 +26,8 @@ from .sheets import Rect, letters, matching
 BOLD, HIDDEN_ROW, STRIKE = 2, 1, 4
 #: A located region that is so much higher or lower than designed gets a warning.
 SIZE_CHANGE = 0.5
+#: Lines of more cells are cut into tiles of so many columns before blocks take theirs.
+TILE = 64
 #: Issues whose plan is made when they are asked for.
 Found = Callable[[], DataFrame]
 
@@ -153,7 +155,7 @@ class _Cut:
         self.rect = self.all.select("sheet", *[F.col(names.get(c, c)).alias(c) for c in ("top", "left", "bottom", "right")])
 
     def view(self, beside: DataFrame | None = None) -> DataFrame:
-        """sheet, row, line, top, left, bottom, right and what `beside` has for each sheet, which meets the lines in the same join."""
+        """sheet, band, row, line, top, left, bottom, right and what `beside` has for each sheet, which meets the lines in the same join."""
         row = F.col("row")
 
         def stays(c: Column, _: Column) -> Column:
@@ -166,13 +168,13 @@ class _Cut:
         rect = self.all if beside is None else self.all.join(beside, "sheet")
         low = F.col("bottom") + self.more[0]
         met = self.own.join(by_bands(rect, F.col("top"), F.least(low, "last")).hint("shuffle_hash"), ["sheet", "band"]).where(row.between(F.col("top"), low))
-        cut = met.select("sheet", "row", F.map_filter("line", stays).alias("line"), "top", "left", "bottom", "right", *extra)
+        cut = met.select("sheet", "band", "row", F.map_filter("line", stays).alias("line"), "top", "left", "bottom", "right", *extra)
         if not self.turned:
             return cut
         # a sheet's rectangle and its extras are the same for all its columns
         sides = [F.col(b).alias(a) for a, b in (("top", "left"), ("left", "top"), ("bottom", "right"), ("right", "bottom"))]
         cells = cut.select("sheet", "row", F.explode("line").alias("col", "cell"), *sides, *extra)
-        return cells.groupBy("sheet", "col", "top", "left", "bottom", "right", *extra).agg(F.map_from_entries(F.collect_list(F.struct("row", "cell"))).alias("line")).withColumnRenamed("col", "row")
+        return cells.groupBy("sheet", "col", "top", "left", "bottom", "right", *extra).agg(F.map_from_entries(F.collect_list(F.struct("row", "cell"))).alias("line")).withColumnRenamed("col", "row").withColumn("band", band(F.col("row")))
 
 
 def lone(value: Column) -> Column:
@@ -349,47 +351,98 @@ def _matrix(cut: _Cut, r: Region) -> _Shaped:
 def _repeating(cut: _Cut, r: Region) -> _Shaped:
     """A row for each block that is not blank, of stated size, from each hit of an anchor text or in equal steps.
 
-    Cells find their block by an equi-join on a grid of the block's size: a block lies in four grid places at most, a cell in
-    one.  A sheet whose blocks overlap has an issue and no rows.
+    A line meets the blocks that lie over it where it is: a window over its band has the starts of the rows above, and those that
+    reach into a band from above it are few.  Its parts go to the bands in which their blocks begin, which is the only exchange of
+    cells.  A sheet whose blocks overlap has an issue and no rows.
     """
     high, wide = r.block
     if r.inner == "FORM" and (bad := sheets.outside(r.fields, high, wide)):
         raise ValueError(f"FORM_FIELD_OUT_OF_RANGE: {', '.join(bad)}")
+    steps = _anchored(r) if r.block_anchor else _strided(r)
+    starts, clashing = steps(cut.view()), None
     if r.block_anchor:
-        hit = F.map_filter("line", lambda c, v: F.coalesce(matching(v["value"], r.block_anchor, "REGEX"), F.lit(False)) & (c <= F.col("right")))
-        starts = cut.view().where(F.col("row") <= F.col("bottom")).select("sheet", F.col("row").alias("top"), F.explode(F.map_keys(hit)).alias("left"))
+        # all starts over a line lie within a block's height, so two of them meet if their columns do
+        lefts = starts.where(F.size("lefts") > 0).select("sheet", F.explode(F.array(F.array_sort(F.flatten(F.col("over.lefts"))))).alias("all"))
+        clashing = lefts.where(F.size(F.filter("all", lambda x, k: F.coalesce(F.get(F.col("all"), k + 1) - x < wide, F.lit(False)))) > 0).select("sheet").distinct()
     else:
-        dy, dx = r.stride
-        steps = [F.floor((F.col(b) - F.col(a)) / d) for a, b, d in (("top", "bottom", dy), ("left", "right", dx)) if d]
-        n = (F.least(*steps) if len(steps) > 1 else steps[0]) if steps else F.lit(0)
-        starts = cut.rect.withColumn("i", F.explode(F.sequence(F.lit(0), n.cast("int")))).select("sheet", (F.col("top") + F.col("i") * dy).alias("top"), (F.col("left") + F.col("i") * dx).alias("left"))
-    starts = shared(starts.withColumn("band", band(F.col("top"))), "sheet", "band")
-    clashing = sheets.overlapping(starts, high, wide)
+        clashing = cut.rect.where((_last_step(r) > 0) & F.lit(r.stride[0] < high and r.stride[1] < wide)).select("sheet")
     found = [lambda: issues(clashing, r.id, "REPEATING_BLOCK_OVERLAP", field=F.col("sheet"))]
-    fine = by_bands(cut.rect.join(clashing, "sheet", "left_anti"), F.col("top"), F.col("bottom")).select("sheet", "band")
-    starts = starts.join(fine.hint("shuffle_hash"), ["sheet", "band"]).drop("band")
-    inside = sheets.in_blocks(cut.view().select("sheet", "row", F.explode("line").alias("col", "cell")), starts, high, wide)
-    by = ("sheet", "top", "left")
-    block = inside.groupBy(*by, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("line"))
-    keep = ("sheet", "row", "_block")
+    fine = cut.rect.join(clashing, "sheet", "left_anti")
+    block = _parts(steps(cut.view(fine.select("sheet"))), wide)
+    if not r.skip_empty and not r.block_anchor:
+        blank = fine.withColumn("i", F.explode(F.sequence(F.lit(0), _last_step(r)))).select("sheet", (F.col("top") + F.col("i") * r.stride[0]).alias("top"), (F.col("left") + F.col("i") * r.stride[1]).alias("left"))
+        block = block.unionByName(blank.select("sheet", F.col("top").alias("row"), "top", "left", F.create_map().cast(f"map<int,{PLACED}>").alias("line")))
+    # a join asks this of one of its sides, which would then be another exchange
+    block = shared(block.withColumn("band", band(F.col("top"))).where("sheet is not null and band is not null"), "sheet", "band")
+    by, keep = ("sheet", "band", "top", "left"), ("sheet", "row", "_block")
+    full = F.max(F.size(filled_cols()) > 0)
+    each = block.groupBy(*by).agg(full.alias("f")).where("f" if r.skip_empty else "true")
+    above = F.sum("n").over(Window.partitionBy("sheet").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    before = each.groupBy("sheet", "band").agg(F.count("*").alias("n")).select("sheet", "band", F.coalesce(above, F.lit(0)).alias("above"))
+    ordered = Window.partitionBy("sheet", "band").orderBy("top", "left")
+
+    def numbered(rows: DataFrame, turn: Column) -> DataFrame:
+        """_block, the ordinal by top and left: the number of the blocks in bands above and the place in the own band."""
+        return rows.withColumn("_turn", turn.over(ordered)).join(before.hint("shuffle_hash"), ["sheet", "band"]).withColumn("_block", (F.col("above") + F.col("_turn")).cast("int"))
+
     if r.inner == "KEY_VALUE":
-        full = block.groupBy(*by).agg(F.max(F.size(filled_cols()) > 0).alias("f")).where("f" if r.skip_empty else "true")
-        full = _numbered(full.select(*by)).select(*by, "_block")
-        shaped = _key_values(None, r, block.join(full, list(by)).withColumn("left_", F.col("left")), ("sheet", "left_", "_block"), keep)
+        own = block.withColumn("f", full.over(Window.partitionBy(*by))).where("f" if r.skip_empty else "true")
+        shaped = _key_values(None, r, numbered(own, F.dense_rank()).withColumn("left_", F.col("left")), ("sheet", "band", "left_", "_block"), keep)
         shaped.found += found
         return shaped
-    rows = starts.join(_places_of(block, r.fields, by), list(by), "left").where("filled_" if r.skip_empty else "true")
-    rows = _numbered(rows).withColumn("row", F.col("top"))
+    rows = numbered(_places_of(block, r.fields, by).where("filled_" if r.skip_empty else "true"), F.row_number()).withColumn("row", F.col("top"))
     return _fixed(rows, {n: F.col(f"f_{n}") for n in r.fields}, r, found, keep)
 
 
-def _numbered(blocks: DataFrame) -> DataFrame:
-    """`blocks` with _block, their ordinal by top and left: the number of those in bands above and the place in the own band."""
-    dealt = shared(blocks.withColumn("band", band(F.col("top"))), "sheet", "band")
-    above = F.sum("n").over(Window.partitionBy("sheet").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
-    before = dealt.groupBy("sheet", "band").agg(F.count("*").alias("n")).select("sheet", "band", F.coalesce(above, F.lit(0)).alias("above"))
-    turn = F.row_number().over(Window.partitionBy("sheet", "band").orderBy("top", "left"))
-    return dealt.withColumn("_turn", turn).join(before.hint("shuffle_hash"), ["sheet", "band"]).withColumn("_block", (F.col("above") + F.col("_turn")).cast("int")).drop("band", "above", "_turn")
+def _anchored(r: Region) -> Callable[[DataFrame], DataFrame]:
+    """Lines with `lefts`, the columns in which a block begins in them, and `over`, the blocks that lie over them by the row in which they begin."""
+    high, row = r.block[0], F.col("row")
+    hit = F.map_filter("line", lambda c, v: F.coalesce(matching(v["value"], r.block_anchor, "REGEX"), F.lit(False)) & (c <= F.col("right")))
+    lefts = F.when(row <= F.col("bottom"), F.map_keys(hit)).otherwise(F.array().cast("array<int>"))
+
+    def met(view: DataFrame) -> DataFrame:
+        own = view.select("sheet", "band", "row", "line", F.inline(F.array(F.struct(lefts.alias("lefts")))))
+        here = F.struct(row.alias("top"), "lefts")
+        low = own.where(band(row + (high - 1)) > F.col("band")).where(F.size("lefts") > 0).select("sheet", F.explode(F.sequence(F.col("band") + 1, band(row + (high - 1)))).alias("band"), here.alias("x"))
+        both = own.join(low.groupBy("sheet", "band").agg(F.collect_list("x").alias("_above")).hint("shuffle_hash"), ["sheet", "band"], "left")
+        near = Window.partitionBy("sheet", "band").orderBy("row").rangeBetween(1 - high, 0)
+        both = both.withColumn("_near", F.collect_list(F.when(F.size("lefts") > 0, here)).over(near))
+        above = F.filter("_above", lambda x: x["top"] > row - high)
+        over = F.when(F.size("_above") > 0, F.concat(above, "_near")).otherwise(F.col("_near"))
+        return both.where((F.size("_near") > 0) | (F.size("_above") > 0)).select("sheet", "row", "line", "lefts", F.explode(F.array(over)).alias("over"))
+
+    return met
+
+
+def _last_step(r: Region) -> Column:
+    """The number of the last block of a rectangle, from 0."""
+    steps = [F.floor((F.col(b) - F.col(a)) / d) for a, b, d in (("top", "bottom", r.stride[0]), ("left", "right", r.stride[1])) if d]
+    return ((F.least(*steps) if len(steps) > 1 else steps[0]) if steps else F.lit(0)).cast("int")
+
+
+def _strided(r: Region) -> Callable[[DataFrame], DataFrame]:
+    """Lines with `over`, the blocks in equal steps that lie over them."""
+    (dy, dx), down = r.stride, F.col("row") - F.col("top")
+    first, last = F.lit(0), _last_step(r)
+    if dy:
+        first, last = F.greatest(first, F.ceil((down - r.block[0] + 1) / dy)).cast("int"), F.least(last, F.floor(down / dy)).cast("int")
+    each = F.transform(F.sequence(first, last), lambda i: F.struct((F.col("top") + i * dy).alias("top"), F.array(F.col("left") + i * dx).alias("lefts")))
+    return lambda view: view.where(first <= last).select("sheet", "row", "line", each.alias("over"))
+
+
+def _parts(lines: DataFrame, wide: int) -> DataFrame:
+    """sheet, row, top, left, line: the cells that a line has in each of the blocks over it; a line of many columns is cut into tiles first."""
+    side = max(TILE, wide)
+    tile = lambda left: F.floor(left / side).cast("int")
+    blocks = F.flatten(F.transform("over", lambda x: F.transform(x["lefts"], lambda c: F.struct(x["top"].alias("top"), c.alias("left")))))
+    own = lines.select("sheet", "row", "line", F.explode(F.array(blocks)).alias("blocks"))
+    narrow = F.size("line") <= side
+    own = own.withColumn("tile", F.explode(F.when(narrow, F.array(F.lit(None).cast("int"))).otherwise(F.array_distinct(F.transform("blocks", lambda b: tile(b["left"]))))))
+    low, whole = F.col("tile") * side, F.col("tile").isNull()
+    part = F.when(whole, F.col("line")).otherwise(F.map_filter("line", lambda c, _: c.between(low, low + (side + wide - 2))))
+    own = own.select("sheet", "row", part.alias("part"), F.explode(F.when(whole, F.col("blocks")).otherwise(F.filter("blocks", lambda b: tile(b["left"]) == F.col("tile")))).alias("b"))
+    line = F.map_filter("part", lambda c, _: c.between(F.col("b.left"), F.col("b.left") + (wide - 1)))
+    return own.select("sheet", "row", "b.top", "b.left", F.explode(F.array(line)).alias("line")).where(F.size("line") > 0)
 
 
 SHAPES = {"DETAIL": _detail, "GROUPED_DETAIL": _detail, "SUMMARY": _detail, "KEY_VALUE": _key_values, "FORM": _form, "MATRIX": _matrix, "REPEATING_BLOCK": _repeating}
