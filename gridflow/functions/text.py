@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 INVISIBLE = "\u200b\u200c\u200d\ufeff\u2060"
 NULL_TOKENS = ("", "-", "N/A", "NULL")
 SPACE = r"(?U)\s+"
+#: What a text has that cleaning or normalising may change: anything but visible ASCII and single spaces between.
+ENDS, ROUGH = r"[^ -~]|^ | $", r"[^ -~]|^ | $|  "
 
 
 def is_ascii(text: Column) -> Column:
@@ -36,14 +38,16 @@ def strip(text: Column) -> Column:
 
 def clean_text(text: Column, width: bool = False) -> Column:
     """No-break spaces to spaces, invisible characters deleted, ends stripped; inner white space stays."""
+    text = text.cast("string")
     out = nfkc(text) if width else text
-    return strip(F.translate(F.replace(out, F.lit("\u00a0"), F.lit(" ")), INVISIBLE, ""))
+    return F.when(text.rlike(ENDS), strip(F.translate(F.replace(out, F.lit("\u00a0"), F.lit(" ")), INVISIBLE, ""))).otherwise(text)
 
 
 def norm_text(text: Column, width: bool = False) -> Column:
     """Invisible characters deleted, white space runs to one space, ends stripped; NFKC first with `width`."""
+    text = text.cast("string")
     out = nfkc(F.translate(text, INVISIBLE, "")) if width else F.translate(text, INVISIBLE, "")
-    return strip(F.regexp_replace(out, SPACE, " "))
+    return F.when(text.rlike(ROUGH), strip(F.regexp_replace(out, SPACE, " "))).otherwise(text)
 
 
 def has_text(text: Column) -> Column:
